@@ -100,16 +100,16 @@ class KeywordSet:
         """
         start, n = self.offsets[group]
         kws = F.array(*[F.lit(kw) for kw in self.groups[group]])
-        return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(
-            F.element_at(sims, j + start + 1).alias("sim"), (-j).alias("nkid"),
-            F.element_at(kws, j + 1).alias("keyword"))))
+        return bind(sims, lambda s: F.array_max(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(
+            F.element_at(s, j + start + 1).alias("sim"), (-j).alias("nkid"),
+            F.element_at(kws, j + 1).alias("keyword")))))
 
     def group_stats(self, sims: Column, group: str) -> Column:
         """struct<avg double, max double> of the similarities to one group."""
         start, n = self.offsets[group]
-        part = F.slice(sims, start + 1, n)
-        total = F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
-        return F.struct((total / n).alias("avg"), F.array_max(part).alias("max"))
+        return bind(F.slice(sims, start + 1, n), lambda part: F.struct(
+            (F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / n).alias("avg"),
+            F.array_max(part).alias("max")))
 
 
 def py_cosine(a: str, b: str) -> float:
