@@ -3,8 +3,9 @@
 The default vector of a term is its character-trigram count vector: pad the
 term to ``^term$`` and take every 3-character substring (a one-letter term
 gives one gram). ``cos(a, b) = sum(cnt_a * cnt_b) / sqrt(|a|^2 * |b|^2)``,
-0 when no gram is shared. Similarities that decide an order or a threshold
-are rounded to 9 decimals first.
+0 when no gram is shared. Dot products and norms are integers and the
+quotient is one IEEE expression, so every engine computes identical bits and
+orderings agree without rounding.
 
 Scoring against a keyword set is an in-row expression: keyword sets are small
 literals (checked by ``MAX_KEYWORD_GRAMS``), so each term is scored by a map
@@ -64,8 +65,20 @@ class KeywordSet:
             pos += len(kws)
 
     def _gram_map(self) -> Column:
-        return F.create_map(*[x for g, v in self.gram_counts.items()
-                              for x in (F.lit(g), F.array(*[F.lit(n) for n in v]))])
+        """Two-level literal map: first character -> (gram -> per-keyword counts).
+
+        Spark looks up a literal map by scanning its keys, so splitting by the
+        first character cuts a lookup from all keyword grams to a few dozen.
+        """
+        by_first: dict[str, list[tuple[str, list[int]]]] = {}
+        for g, v in self.gram_counts.items():
+            by_first.setdefault(g[0], []).append((g, v))
+        return F.create_map(*[x for c, items in sorted(by_first.items()) for x in (
+            F.lit(c), F.create_map(*[y for g, v in items for y in (F.lit(g), F.array(*[F.lit(n) for n in v]))]))])
+
+    @staticmethod
+    def _lookup(gmap: Column, gram: Column) -> Column:
+        return F.element_at(F.element_at(gmap, F.substring(gram, 1, 1)), gram)
 
     def sims_of(self, terms: Column) -> Column:
         """``array<array<double>>``: per term, the rounded cosine to every keyword.
@@ -80,13 +93,24 @@ class KeywordSet:
         gmap = self._gram_map()
         kn = F.array(*[F.lit(n) for n in self.norm2])
         with_grams = F.transform(terms, lambda t: char_grams(t))
+
+        def add_hit(acc, x):
+            # a gram no keyword holds (the common case) leaves the accumulator
+            # as it is; only a hit is looked up twice and allocates
+            return F.when(self._lookup(gmap, x).isNull(), acc).otherwise(
+                F.zip_with(acc, self._lookup(gmap, x), lambda a, b: a + b))
+
+        def norm2(g):
+            # without repeated grams the squared norm is the gram count
+            return F.when(F.size(g) == F.size(F.array_distinct(g)), F.size(g).cast("long")).otherwise(
+                F.aggregate(g, F.lit(0).cast("long"), lambda acc, x: acc + F.size(F.filter(g, lambda h: h == x))))
+
         stats = F.transform(with_grams, lambda g: F.struct(
-            F.aggregate(g, zeros, lambda acc, x: F.zip_with(
-                acc, F.coalesce(F.element_at(gmap, x), zeros), lambda a, b: a + b)).alias("dots"),
-            F.aggregate(g, F.lit(0).cast("long"),
-                        lambda acc, x: acc + F.size(F.filter(g, lambda h: h == x))).alias("n2")))
-        return F.transform(stats, lambda st: F.zip_with(st["dots"], kn, lambda d, m: F.round(
-            d.cast("double") / F.sqrt((st["n2"] * m).cast("double")), SIM_DECIMALS)))
+            F.aggregate(g, zeros, add_hit).alias("dots"), norm2(g).alias("n2")))
+        # integer dot products and one IEEE formula: the same bits in every engine,
+        # so no rounding is needed before ordering
+        return F.transform(stats, lambda st: F.zip_with(st["dots"], kn, lambda d, m: (
+            d.cast("double") / F.sqrt((st["n2"] * m).cast("double")))))
 
     def sims(self, term: Column) -> Column:
         """``array<double>``: rounded cosine of one term to every keyword."""

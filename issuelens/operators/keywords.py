@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterable, Sequence
 from math import sqrt
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -204,15 +205,6 @@ def _mean(vectors: list[dict], weights: list[float] | None = None) -> dict:
     return {g: x / tot for g, x in out.items()}
 
 
-def _cos(a: dict, b: dict) -> float:
-    if len(a) > len(b):
-        a, b = b, a
-    dot = sum(x * b.get(g, 0.0) for g, x in a.items())
-    na = sqrt(sum(x * x for x in a.values()))
-    nb = sqrt(sum(x * x for x in b.values()))
-    return 0.0 if na == 0 or nb == 0 else dot / (na * nb)
-
-
 def mmr_select(tokens: list[str], n: int, top_n: int, diversity: float,
                seeds: Sequence[str] = (), cache: dict | None = None) -> list[tuple[int, str, float]]:
     """Greedy MMR for one document; returns ``(rank, phrase, relevance)``.
@@ -222,6 +214,10 @@ def mmr_select(tokens: list[str], n: int, top_n: int, diversity: float,
     over all n-gram occurrences (KEY-5), pulled towards the seeds as
     ``(3 * doc + mean(seeds)) / 4`` when seeds are given (KEY-7). Ties go to
     the earlier candidate.
+
+    Phrase vectors are unit rows of a sparse (CSR) matrix over the document's
+    trigrams: relevance is one sparse mat-vec, and each greedy step is one
+    O(nnz) product with the last pick, so a step never touches all pairs.
     """
     cache = {} if cache is None else cache
     grams = [" ".join(tokens[i:i + n]) for i in range(len(tokens) - n + 1)] if len(tokens) >= n else []
@@ -229,27 +225,60 @@ def mmr_select(tokens: list[str], n: int, top_n: int, diversity: float,
         return []
     cands = list(dict.fromkeys(grams))
     counts = Counter(grams)
-    vecs = [_mean([_unit_grams(w, cache) for w in c.split(" ")]) for c in cands]
-    doc = _mean(vecs, [float(counts[c]) for c in cands])
+    index: dict[str, int] = {}
+    indptr, indices, data, raw = [0], [], [], []
+    for c in cands:
+        v = _mean([_unit_grams(w, cache) for w in c.split(" ")])
+        nrm = sqrt(sum(x * x for x in v.values())) or 1.0
+        for g, x in v.items():
+            indices.append(index.setdefault(g, len(index)))
+            data.append(x / nrm)
+            raw.append(x * counts[c])
+        indptr.append(len(indices))
+    ind = np.asarray(indices, dtype=np.int64)
+    dat = np.asarray(data, dtype=np.float64)
+    ptr = np.asarray(indptr, dtype=np.int64)
+    # document vector = count-weighted mean of the (unnormalised) phrase means
+    doc = np.bincount(ind, weights=np.asarray(raw, dtype=np.float64), minlength=len(index)) / float(len(grams))
     if seeds:
         sv = _mean([_unit_grams(s, cache) for s in seeds])
-        doc = _mean([doc, sv], [3.0, 1.0])
-    rel = [round(_cos(v, doc), 9) for v in vecs]
-    k = min(top_n, len(cands))
-    first = max(range(len(cands)), key=lambda i: (rel[i], -i))
+        ext = np.zeros(len(index))
+        extra = {}
+        for g, x in sv.items():
+            if g in index:
+                ext[index[g]] += x
+            else:
+                extra[g] = x
+        doc = (3.0 * doc + ext) / 4.0
+        out_norm2 = sum((x / 4.0) ** 2 for x in extra.values())
+    else:
+        out_norm2 = 0.0
+    dn = sqrt(float(doc @ doc) + out_norm2)
+
+    def matvec(vec: np.ndarray) -> np.ndarray:
+        prod = dat * vec[ind]
+        return np.add.reduceat(prod, ptr[:-1]) if len(prod) else np.zeros(len(cands))
+
+    rel = np.round(matvec(doc) / dn, 9) if dn > 0 else np.zeros(len(cands))
+    m = len(cands)
+    k = min(top_n, m)
+    order_idx = np.arange(m)
+    first = int(np.lexsort((order_idx, -rel))[0])
     chosen = [first]
-    best_sim = [-float("inf")] * len(cands)
-    remaining = set(range(len(cands))) - {first}
+    taken = np.zeros(m, dtype=bool)
+    taken[first] = True
+    best_sim = np.full(m, -np.inf)
     while len(chosen) < k:
-        last = vecs[chosen[-1]]
-        for i in remaining:
-            s = _cos(vecs[i], last)
-            if s > best_sim[i]:
-                best_sim[i] = s
-        nxt = max(remaining, key=lambda i: (round((1 - diversity) * rel[i] - diversity * best_sim[i], 9), -i))
+        last = np.zeros(len(index))
+        lo, hi = ptr[chosen[-1]], ptr[chosen[-1] + 1]
+        last[ind[lo:hi]] = dat[lo:hi]
+        best_sim = np.maximum(best_sim, matvec(last))
+        score = np.round((1 - diversity) * rel - diversity * best_sim, 9)
+        score[taken] = -np.inf
+        nxt = int(np.lexsort((order_idx, -score))[0])
         chosen.append(nxt)
-        remaining.discard(nxt)
-    return [(r + 1, cands[i], rel[i]) for r, i in enumerate(chosen)]
+        taken[nxt] = True
+    return [(r + 1, cands[i], float(rel[i])) for r, i in enumerate(chosen)]
 
 
 MMR_SCHEMA = "doc_id long, rank int, phrase string, relevance double"

@@ -147,7 +147,7 @@ tn AS (SELECT term, sum(cnt * cnt) AS n2 FROM tgc GROUP BY term),
 tdot AS (SELECT c.term, k.grp, k.kid, sum(c.cnt * k.kcnt) AS dot FROM tgc c JOIN kwg k USING (gram)
     GROUP BY c.term, k.grp, k.kid),
 tsim AS (SELECT n.term, w.grp, w.kid, w.keyword,
-    round(CAST(coalesce(d.dot, 0) AS DOUBLE) / sqrt(CAST(n.n2 * kn.kn2 AS DOUBLE)), 9) AS sim
+    CAST(coalesce(d.dot, 0) AS DOUBLE) / sqrt(CAST(n.n2 * kn.kn2 AS DOUBLE)) AS sim
     FROM tn n CROSS JOIN kw w JOIN kwn kn ON kn.grp = w.grp AND kn.kid = w.kid
     LEFT JOIN tdot d ON d.term = n.term AND d.grp = w.grp AND d.kid = w.kid),
 tbest AS (SELECT term, grp, kid, keyword, sim FROM (SELECT *, row_number() OVER
