@@ -171,3 +171,34 @@ def null_text(c: Column, policy: str = "empty") -> Column:
 def combine_text(summary: Column, description: Column, sep: str = " - ") -> Column:
     """PRJ-1: ``coalesce(S,'') || sep || coalesce(D,'')``; both empty keeps ``sep``."""
     return F.concat(F.coalesce(summary, F.lit("")), F.lit(sep), F.coalesce(description, F.lit("")))
+
+
+# CLN-18: a code-looking line (after stripping blanks).
+CODE_LINE = r"^(import |package |public |private |protected |class |@|/|\*|\{|\}|;)"
+
+
+def drop_code_runs(c: Column) -> Column:
+    """CLN-18: drop runs of >= 2 consecutive code-looking lines, keep single ones.
+
+    A code line belongs to a run of two or more exactly when one of its
+    neighbours is a code line too, so the rule is decided inside the row from
+    each line's neighbour flags (no explode, no regroup). Kept lines are
+    stripped, blank ones dropped, and the rest joined by one space.
+    """
+    lines = F.transform(F.split(c, "\n"), lambda l: F.trim(F.regexp_replace(l, "^" + WS + "+|" + WS + "+$", "")))
+    flags = F.transform(lines, lambda l: l.rlike(CODE_LINE))
+    n = F.size(flags)
+    prev = F.concat(F.array(F.lit(False)), F.slice(flags, 1, F.greatest(n - 1, F.lit(0))))
+    nxt = F.concat(F.slice(flags, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(False)))
+    z = F.arrays_zip(lines.alias("l"), flags.alias("f"), prev.alias("p"), nxt.alias("n"))
+    kept = F.filter(z, lambda r: ~(r["f"] & (r["p"] | r["n"])) & (r["l"] != ""))
+    return collapse_whitespace(F.array_join(F.transform(kept, lambda r: r["l"]), " "))
+
+
+def apply_text_fn(c: Column, fn) -> Column:
+    """UDF-1: a caller-supplied ``pandas.Series -> pandas.Series`` text function,
+    run as an Arrow-batched pandas UDF (the open extension point; prefer a
+    native Column expression when one exists)."""
+    import pandas as pd  # noqa: F401
+    from pyspark.sql.functions import pandas_udf
+    return pandas_udf(fn, "string")(c)

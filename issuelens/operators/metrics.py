@@ -175,3 +175,8 @@ def union_curves(frames: dict[str, DataFrame]) -> DataFrame:
         d = df.withColumn("model", F.lit(model))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     return out
+
+
+def custom_metric(df: DataFrame, fn, label_col: str = "label", pred_col: str = "prediction") -> DataFrame:
+    """UDF-2: a caller metric is any ``DataFrame(label, prediction) -> DataFrame``."""
+    return fn(df.select(F.col(label_col).alias("label"), F.col(pred_col).alias("prediction")))

@@ -1,3 +1,115 @@
-"""Registered queries."""
+"""Registered queries: language detection, explanations, code-line rules, UDF points."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from issuelens.functions import text as T
+from issuelens.operators import explain as X
+from issuelens.operators import language as LG
+from issuelens.operators import metrics as M
+from issuelens.plans import chains as C
+from issuelens.plans import oracle as O
+from issuelens.plans.catalog import query, round_doubles
+from issuelens.plans.partitioning import spread
+from issuelens.sources import tables
+
+_TRAIN = "md5('lang:' || CAST(doc_id AS VARCHAR)) < '8'"
+
+
+def _train_flag():
+    return F.md5(F.concat(F.lit("lang:"), F.col("doc_id").cast("string"))) < F.lit("8")
+
+
+@query("detect_language", f"""WITH d AS (SELECT doc_id, lang,
+  trim(regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g')) AS t, {_TRAIN} AS train FROM documents),
+g AS (SELECT doc_id, lang, train, substr(t, i, 3) AS gram FROM d, range(1, length(t) - 1) AS r(i) WHERE length(t) >= 3),
+cnt AS (SELECT lang, gram, count(*) AS cnt FROM g WHERE train GROUP BY lang, gram),
+v AS (SELECT count(DISTINCT gram) AS v FROM cnt),
+tot AS (SELECT lang, -ln(sum(cnt) + max(v.v)) AS unseen FROM cnt CROSS JOIN v GROUP BY lang),
+prof AS (SELECT lang, gram, ln(cnt + 1.0) AS delta FROM cnt),
+occ AS (SELECT doc_id, gram, count(*) AS c FROM g WHERE NOT train GROUP BY doc_id, gram),
+n AS (SELECT doc_id, sum(c) AS n FROM occ GROUP BY doc_id),
+part AS (SELECT o.doc_id, p.lang, sum(o.c * p.delta) AS s FROM occ o JOIN prof p USING (gram) GROUP BY o.doc_id, p.lang),
+sc AS (SELECT n.doc_id, t.lang, round(n.n * t.unseen + coalesce(part.s, 0.0), 9) AS score FROM n CROSS JOIN tot t
+  LEFT JOIN part ON part.doc_id = n.doc_id AND part.lang = t.lang),
+best AS (SELECT doc_id, arg_min(lang, (-score, lang)) AS detected FROM sc GROUP BY doc_id)
+SELECT d.doc_id, d.lang, best.detected FROM d LEFT JOIN best USING (doc_id) WHERE NOT d.train""")
+def detect_language(spark, sf):
+    """LNG-1: trigram profile trained on one md5 half of ``documents``, applied to the other."""
+    d = tables.table(spark, sf, "documents").select("doc_id", "text", "lang").withColumn("_train", _train_flag())
+    prof, unseen = LG.train_profile(d.filter("_train"))
+    ev = d.filter(~F.col("_train"))
+    return ev.select("doc_id", "lang").join(LG.detect_language(ev, prof, unseen), "doc_id")
+
+
+@query("drop_code_runs")
+def drop_code_runs(spark, sf):
+    """CLN-18 over every document with a code-run fixture injected (checked by tests)."""
+    d = spread(tables.table(spark, sf, "documents").select("doc_id", "text"))
+    fx = F.lit("import a.b;\npublic class X {\nprose stays\n@Override\n")
+    return d.select("doc_id", T.drop_code_runs(F.concat(fx, F.col("text"))).alias("out"))
+
+
+@query("optional_line_rules")
+def optional_line_rules(spark, sf):
+    """CLN-17: all opt-in line rules folded into one expression (Java regex look-ahead: no RE2 twin)."""
+    d = spread(tables.table(spark, sf, "documents").select("doc_id", "text"))
+    fx = F.lit("[info] build\ndiff --git a b\n+x\n-y\nafter\n{{log}} org.a:b ...... 1.2 -> 1.3\n")
+    return d.select("doc_id", T.optional_line_rules(F.concat(fx, F.col("text"))).alias("out"))
+
+
+@query("apply_text_fn", "SELECT doc_id, lower(text) AS out FROM documents")
+def apply_text_fn(spark, sf):
+    """UDF-1: a caller function as an Arrow pandas UDF; checked against its native twin."""
+    d = tables.table(spark, sf, "documents").select("doc_id", "text")
+    return d.select("doc_id", T.apply_text_fn(F.col("text"), lambda s: s.str.lower()).alias("out"))
+
+
+def balanced_accuracy(df):
+    """An example caller metric (UDF-2): mean recall over classes."""
+    pc = M.per_class(M.confusion_matrix(df))
+    return pc.agg(F.avg("recall").alias("balanced_accuracy"))
+
+
+@query("custom_metric", """WITH p AS (SELECT quality AS label, 1 - toxic AS prediction FROM labels),
+r AS (SELECT label, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS rec FROM p GROUP BY label)
+SELECT round(avg(rec), 6) AS balanced_accuracy FROM r""")
+def custom_metric(spark, sf):
+    """UDF-2: metric callbacks are ``DataFrame -> DataFrame`` over (label, prediction)."""
+    return round_doubles(M.custom_metric(tables.predictions(spark, sf), balanced_accuracy))
+
+
+_XPL_TOKENS = f"""t AS (SELECT d.doc_id, u.tok FROM documents d, unnest({O.tokenize("lower(coalesce(d.text, 'nan'))")}) AS u(tok)),
+x AS (SELECT doc_id, tok, CAST(count(*) AS DOUBLE) AS v FROM t WHERE regexp_full_match(tok, '\\p{{L}}+') GROUP BY doc_id, tok),
+nd AS (SELECT count(*) AS big_n FROM documents),
+w AS (SELECT tok, (length(tok) % 5 - 2) / 10.0 AS weight FROM (SELECT DISTINCT tok FROM x)),
+mu AS (SELECT x.tok, sum(x.v) / max(nd.big_n) AS mean FROM x CROSS JOIN nd GROUP BY x.tok)"""
+
+
+@query("explain_linear", f"""WITH {_XPL_TOKENS},
+base AS (SELECT 0.1 + sum(w.weight * mu.mean) AS base FROM w JOIN mu USING (tok)),
+c AS (SELECT x.doc_id, sum(w.weight * (x.v - mu.mean)) AS nz, sum(w.weight * mu.mean) AS nzmean, count(*) AS n
+  FROM x JOIN w USING (tok) JOIN mu USING (tok) GROUP BY x.doc_id),
+m AS (SELECT x.doc_id, 0.1 + sum(w.weight * x.v) AS margin FROM x JOIN w USING (tok) GROUP BY x.doc_id)
+SELECT d.doc_id, round(coalesce(m.margin, 0.1), 6) AS margin,
+  round(b.base + coalesce(c.nz, 0.0) + ((b.base - 0.1) - coalesce(c.nzmean, 0.0)) * -1, 6) AS reconstructed,
+  coalesce(c.n, 0) + 1 AS n_terms
+FROM documents d CROSS JOIN base b LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""")
+def explain_linear(spark, sf):
+    """XPL-1: additive contributions ``w_j (x_j - mean_j)`` for a linear model with given
+    weights (``(len(token) % 5 - 2) / 10``, bias 0.1) on word counts; per document the
+    margin and ``base + sum(contributions)``, which must agree."""
+    d = spread(tables.table(spark, sf, "documents").select("doc_id", "text"))
+    toks = d.select("doc_id", F.explode(F.filter(C.K.tokenize_words(F.lower(T.null_text(F.col("text"), "nan"))),
+                                                 lambda t: t.rlike(r"^\p{L}+$"))).alias("feature"))
+    x = toks.groupBy("doc_id", "feature").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    weights = x.select("feature").distinct().select(
+        "feature", ((F.length("feature") % 5 - 2) / 10.0).alias("weight"))
+    contrib, base = X.explain_linear(x, weights, 0.1, d.select("doc_id"))
+    per_doc = contrib.groupBy("doc_id").agg(F.sum("contribution").alias("s"), F.count(F.lit(1)).alias("n_terms"))
+    margins = X.linear_margin(x, weights, 0.1, d.select("doc_id"))
+    out = margins.join(per_doc, "doc_id", "left").select(
+        "doc_id", "margin", (F.lit(base) + F.coalesce(F.col("s"), F.lit(0.0))).alias("reconstructed"),
+        F.coalesce(F.col("n_terms"), F.lit(1)).cast("bigint").alias("n_terms"))
+    return round_doubles(out)
