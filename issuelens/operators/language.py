@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,8 @@ def train_profile(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     language (a bounded, tiny result brought to the driver).
     """
     occ = doc_trigrams(df.select(id_col, text_col), text_col, id_col).join(df.select(id_col, lang_col), id_col)
-    counts = occ.groupBy(lang_col, "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    # read three times below (V, totals, profile): keep it (recomputable on loss)
+    counts = occ.groupBy(lang_col, "gram").agg(F.count(F.lit(1)).alias("cnt")).persist(StorageLevel.MEMORY_AND_DISK)
     v = counts.select("gram").distinct().count()
     totals = counts.groupBy(lang_col).agg(F.sum("cnt").alias("total")).collect()
     unseen = {r[lang_col]: -math.log(r["total"] + v) for r in totals}
