@@ -40,13 +40,14 @@ def ngrams(tokens: Column, n: int = 1) -> Column:
         raise ValueError("n must be >= 1")
     if n == 1:
         return tokens
-    # zip shifted copies instead of slicing ``tokens`` inside a lambda, so the
-    # token expression is evaluated n times per row, never once per element
-    m = F.greatest(F.size(tokens) - n + 1, F.lit(0))
-    grams = F.slice(tokens, 1, m)
-    for k in range(1, n):
-        grams = F.zip_with(grams, F.slice(tokens, k + 1, m), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+    # the token expression is bound once, then shifted copies are zipped
+    def build(t: Column) -> Column:
+        m = F.greatest(F.size(t) - n + 1, F.lit(0))
+        grams = F.slice(t, 1, m)
+        for k in range(1, n):
+            grams = F.zip_with(grams, F.slice(t, k + 1, m), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
+    return F.element_at(F.transform(F.array(tokens), build), 1)
 
 
 def drop_punct_tokens(tokens: Column) -> Column:

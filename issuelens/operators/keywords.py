@@ -47,8 +47,20 @@ def tfidf_top_terms(docs: DataFrame, text_col: str = "preprocessed", id_col: str
     (documents without a vocabulary gram count as zeros).
     """
     toks = K.remove_stopwords(F.regexp_extract_all(F.col(text_col), F.lit(TFIDF_TOKEN), 0), list(stopwords))
-    occ = docs.select(id_col, F.explode(K.ngrams(toks, n)).alias("gram"))
-    big_n = n_docs if n_docs is not None else docs.count()
+    # the per-document gram arrays are read three times (N, corpus counts, tf):
+    # they are kept for the duration of this call (recomputable on executor
+    # loss) and released before returning; the result is a bounded top-k
+    grams = docs.select(id_col, K.ngrams(toks, n).alias("_g")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _tfidf_from_grams(grams, id_col, max_features, top_n, n_docs)
+    finally:
+        grams.unpersist()
+
+
+def _tfidf_from_grams(grams: DataFrame, id_col: str, max_features: int, top_n: int,
+                      n_docs: int | None) -> DataFrame:
+    occ = grams.select(id_col, F.explode("_g").alias("gram"))
+    big_n = n_docs if n_docs is not None else grams.count()
     corpus = occ.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
     vocab = corpus.orderBy(F.desc("c"), F.asc("gram")).limit(max_features).select("gram")
     tf = occ.join(F.broadcast(vocab), "gram", "left_semi").groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("tf"))
@@ -58,7 +70,8 @@ def tfidf_top_terms(docs: DataFrame, text_col: str = "preprocessed", id_col: str
     norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     scored = (w.join(norms, id_col).groupBy("gram")
               .agg((F.sum(F.col("w") / F.col("norm")) / F.lit(float(big_n))).alias("score")))
-    return rank_top(scored, "score", "gram", top_n)
+    top = rank_top(scored, "score", "gram", top_n)
+    return grams.sparkSession.createDataFrame(top.collect(), top.schema)
 
 
 def rank_top(df: DataFrame, score_col: str, key_col: str, k: int) -> DataFrame:

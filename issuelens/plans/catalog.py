@@ -33,11 +33,15 @@ def query(name: str, sql: str | None = None):
 
 
 def round_doubles(df: DataFrame, decimals: int = 6) -> DataFrame:
-    """Round every double/float column (output normalisation for the oracle)."""
+    """Round every double/float column (output normalisation for the oracle).
+
+    ``+ 0.0`` turns a rounded ``-0.0`` into ``0.0``, so float noise around an
+    exact zero cannot flip a hash.
+    """
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (Tp.DoubleType, Tp.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), decimals).alias(f.name))
+            cols.append((F.round(F.col(f.name).cast("double"), decimals) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

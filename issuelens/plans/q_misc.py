@@ -92,8 +92,8 @@ base AS (SELECT 0.1 + sum(w.weight * mu.mean) AS base FROM w JOIN mu USING (tok)
 c AS (SELECT x.doc_id, sum(w.weight * (x.v - mu.mean)) AS nz, sum(w.weight * mu.mean) AS nzmean, count(*) AS n
   FROM x JOIN w USING (tok) JOIN mu USING (tok) GROUP BY x.doc_id),
 m AS (SELECT x.doc_id, 0.1 + sum(w.weight * x.v) AS margin FROM x JOIN w USING (tok) GROUP BY x.doc_id)
-SELECT d.doc_id, round(coalesce(m.margin, 0.1), 6) AS margin,
-  round(b.base + coalesce(c.nz, 0.0) + ((b.base - 0.1) - coalesce(c.nzmean, 0.0)) * -1, 6) AS reconstructed,
+SELECT d.doc_id, round(coalesce(m.margin, 0.1), 6) + 0.0 AS margin,
+  round(b.base + coalesce(c.nz, 0.0) + ((b.base - 0.1) - coalesce(c.nzmean, 0.0)) * -1, 6) + 0.0 AS reconstructed,
   coalesce(c.n, 0) + 1 AS n_terms
 FROM documents d CROSS JOIN base b LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""")
 def explain_linear(spark, sf):
