@@ -218,6 +218,27 @@ def _mean(vectors: list[dict], weights: list[float] | None = None) -> dict:
     return {g: x / tot for g, x in out.items()}
 
 
+def _word_entry(word: str, cache: dict) -> tuple[list[str], np.ndarray]:
+    """Trigram keys and unit weights of one word (memoised per task)."""
+    e = cache.get(word)
+    if e is None:
+        c = Counter(py_char_grams(word))
+        keys = list(c)
+        vals = np.asarray([c[k] for k in keys], dtype=np.float64)
+        e = (keys, vals / np.sqrt((vals * vals).sum()))
+        cache[word] = e
+    return e
+
+
+def _segments(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Concatenated ``arange(start, start + length)`` for every segment."""
+    total = int(lengths.sum())
+    if total == 0:
+        return np.zeros(0, dtype=np.int64)
+    offs = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return np.repeat(starts, lengths) + offs
+
+
 def mmr_select(tokens: list[str], n: int, top_n: int, diversity: float,
                seeds: Sequence[str] = (), cache: dict | None = None) -> list[tuple[int, str, float]]:
     """Greedy MMR for one document; returns ``(rank, phrase, relevance)``.
@@ -229,62 +250,75 @@ def mmr_select(tokens: list[str], n: int, top_n: int, diversity: float,
     the earlier candidate.
 
     Phrase vectors are unit rows of a sparse (CSR) matrix over the document's
-    trigrams: relevance is one sparse mat-vec, and each greedy step is one
-    O(nnz) product with the last pick, so a step never touches all pairs.
+    trigrams, built with vectorised segment gathers: relevance is one sparse
+    mat-vec, and each greedy step is one O(nnz) product with the last pick, so
+    a step never touches all pairs.
     """
     cache = {} if cache is None else cache
-    grams = [" ".join(tokens[i:i + n]) for i in range(len(tokens) - n + 1)] if len(tokens) >= n else []
-    if not grams:
+    if len(tokens) < n:
         return []
-    cands = list(dict.fromkeys(grams))
+    grams = [" ".join(tokens[i:i + n]) for i in range(len(tokens) - n + 1)]
     counts = Counter(grams)
-    index: dict[str, int] = {}
-    indptr, indices, data, raw = [0], [], [], []
-    for c in cands:
-        v = _mean([_unit_grams(w, cache) for w in c.split(" ")])
-        nrm = sqrt(sum(x * x for x in v.values())) or 1.0
-        for g, x in v.items():
-            indices.append(index.setdefault(g, len(index)))
-            data.append(x / nrm)
-            raw.append(x * counts[c])
-        indptr.append(len(indices))
-    ind = np.asarray(indices, dtype=np.int64)
-    dat = np.asarray(data, dtype=np.float64)
-    ptr = np.asarray(indptr, dtype=np.int64)
-    # document vector = count-weighted mean of the (unnormalised) phrase means
-    doc = np.bincount(ind, weights=np.asarray(raw, dtype=np.float64), minlength=len(index)) / float(len(grams))
+    cands = list(counts)  # insertion order = first position
+    m = len(cands)
+    words = list(dict.fromkeys(w for c in cands for w in c.split(" ")))
+    wid = {w: i for i, w in enumerate(words)}
+    entries = [_word_entry(w, cache) for w in words]
+    wlen = np.asarray([len(k) for k, _ in entries], dtype=np.int64)
+    wptr = np.concatenate([[0], np.cumsum(wlen)])
+    all_keys = [k for ks, _ in entries for k in ks]
+    all_vals = np.concatenate([v for _, v in entries])
+    uniq, gid = np.unique(np.asarray(all_keys, dtype=object), return_inverse=True)
+    g = len(uniq)
+    cw = np.asarray([[wid[w] for w in c.split(" ")] for c in cands], dtype=np.int64).reshape(m, n)
+    rows, cols, vals = [], [], []
+    for k in range(n):
+        wk = cw[:, k]
+        idx = _segments(wptr[wk], wlen[wk])
+        rows.append(np.repeat(np.arange(m), wlen[wk]))
+        cols.append(gid[idx])
+        vals.append(all_vals[idx] / n)
+    key = np.concatenate(rows) * g + np.concatenate(cols)
+    ukey, inv = np.unique(key, return_inverse=True)
+    raw = np.bincount(inv, weights=np.concatenate(vals))
+    row, col = ukey // g, ukey % g
+    ptr = np.searchsorted(row, np.arange(m + 1))
+    norms = np.sqrt(np.bincount(row, weights=raw * raw, minlength=m))
+    dat = raw / norms[row]
+    cnt = np.asarray([counts[c] for c in cands], dtype=np.float64)
+    doc = np.bincount(col, weights=raw * cnt[row], minlength=g) / float(len(grams))
+    out_norm2 = 0.0
     if seeds:
-        sv = _mean([_unit_grams(s, cache) for s in seeds])
-        ext = np.zeros(len(index))
-        extra = {}
-        for g, x in sv.items():
-            if g in index:
-                ext[index[g]] += x
+        sv: dict[str, float] = {}
+        for s in seeds:
+            ks, vs = _word_entry(s, cache)
+            for kk, vv in zip(ks, vs):
+                sv[kk] = sv.get(kk, 0.0) + vv / len(seeds)
+        pos = {k: i for i, k in enumerate(uniq)}
+        ext = np.zeros(g)
+        for kk, vv in sv.items():
+            if kk in pos:
+                ext[pos[kk]] += vv
             else:
-                extra[g] = x
+                out_norm2 += (vv / 4.0) ** 2
         doc = (3.0 * doc + ext) / 4.0
-        out_norm2 = sum((x / 4.0) ** 2 for x in extra.values())
-    else:
-        out_norm2 = 0.0
-    dn = sqrt(float(doc @ doc) + out_norm2)
+    dn = float(np.sqrt(doc @ doc + out_norm2))
 
     def matvec(vec: np.ndarray) -> np.ndarray:
-        prod = dat * vec[ind]
-        return np.add.reduceat(prod, ptr[:-1]) if len(prod) else np.zeros(len(cands))
+        return np.add.reduceat(dat * vec[col], ptr[:-1])
 
-    rel = np.round(matvec(doc) / dn, 9) if dn > 0 else np.zeros(len(cands))
-    m = len(cands)
-    k = min(top_n, m)
+    rel = np.round(matvec(doc) / dn, 9) if dn > 0 else np.zeros(m)
+    k_out = min(top_n, m)
     order_idx = np.arange(m)
     first = int(np.lexsort((order_idx, -rel))[0])
     chosen = [first]
     taken = np.zeros(m, dtype=bool)
     taken[first] = True
     best_sim = np.full(m, -np.inf)
-    while len(chosen) < k:
-        last = np.zeros(len(index))
+    while len(chosen) < k_out:
+        last = np.zeros(g)
         lo, hi = ptr[chosen[-1]], ptr[chosen[-1] + 1]
-        last[ind[lo:hi]] = dat[lo:hi]
+        last[col[lo:hi]] = dat[lo:hi]
         best_sim = np.maximum(best_sim, matvec(last))
         score = np.round((1 - diversity) * rel - diversity * best_sim, 9)
         score[taken] = -np.inf
