@@ -48,3 +48,81 @@ def linear_margin(x: DataFrame, weights: DataFrame, bias: float, docs: DataFrame
     m = x.join(weights, "feature").groupBy(id_col).agg(F.sum(F.col("weight") * F.col("value")).alias("s"))
     return docs.select(id_col).join(m, id_col, "left").select(
         id_col, (F.lit(bias) + F.coalesce(F.col("s"), F.lit(0.0))).alias("margin"))
+
+
+# -- XPL-2 ---------------------------------------------------------------------------
+
+LIME_SCHEMA = "doc_id long, rank int, token string, weight double, intercept double"
+
+
+def lime_variants(docs: DataFrame, *, n_samples: int = 50, seed: int = 42, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """Masked variants: ``(doc_id, v, toks, kept array<boolean>, text)``.
+
+    Masks are per distinct whitespace token and come from seeded md5 bits, so
+    they do not depend on partitioning; variant 0 keeps every token. A masked
+    token disappears everywhere in the text.
+    """
+    from issuelens.functions.tokens import split_words
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), split_words(F.col(text_col)).alias("all"))
+    base = base.withColumn("toks", F.array_distinct("all"))
+    v = base.select("doc_id", "all", "toks", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("v"))
+    key = lambda t: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"),
+                                      F.col("v").cast("string"), t))
+    keep = lambda t: (F.col("v") == 0) | (F.substring(key(t), 1, 1) < "8")
+    v = v.withColumn("kept", F.transform("toks", keep))
+    # the mask is a function of (doc, variant, token), so every occurrence
+    # decides for itself: linear in the text, no set lookups
+    return v.withColumn("text", F.array_join(F.filter(F.col("all"), keep), " ")).drop("all")
+
+
+def _ridge_per_doc(top_k: int, ridge: float, width: float):
+    import numpy as np
+    import pandas as pd
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        toks = list(pdf["toks"].iloc[0])
+        if not toks:
+            return pd.DataFrame(columns=["doc_id", "rank", "token", "weight", "intercept"])
+        x = np.stack([np.asarray(k, dtype=np.float64) for k in pdf["kept"]])
+        y = pdf["p1"].to_numpy(dtype=np.float64)
+        share = x.mean(axis=1)
+        d = 1.0 - np.sqrt(share)
+        w = np.sqrt(np.exp(-((100.0 * d) ** 2) / width ** 2))
+        sw = w.sum()
+        xm = (w[:, None] * x).sum(0) / sw
+        ym = float((w * y).sum() / sw)
+        xc, yc = x - xm, y - ym
+        if x.shape[1] <= x.shape[0]:
+            a = xc.T @ (w[:, None] * xc) + ridge * np.eye(x.shape[1])
+            beta = np.linalg.solve(a, xc.T @ (w * yc))
+        else:
+            # dual form: an n x n solve instead of d x d (d = distinct tokens >> n samples);
+            # (X'WX + rI)^-1 X'W y = B'(BB' + rI)^-1 sqrt(w) y with B = sqrt(w) X
+            sw_ = np.sqrt(w)
+            b = sw_[:, None] * xc
+            beta = b.T @ np.linalg.solve(b @ b.T + ridge * np.eye(x.shape[0]), sw_ * yc)
+        intercept = ym - float(xm @ beta)
+        order = sorted(range(len(toks)), key=lambda j: (-round(abs(beta[j]), 9), toks[j]))[:top_k]
+        return pd.DataFrame({"doc_id": int(pdf["doc_id"].iloc[0]), "rank": list(range(1, len(order) + 1)),
+                             "token": [toks[j] for j in order], "weight": [float(beta[j]) for j in order],
+                             "intercept": intercept})
+    return fit
+
+
+def explain_lime(model, docs: DataFrame, *, n_samples: int = 50, seed: int = 42, ridge: float = 1.0,
+                 kernel_width: float = 25.0, top_k: int = 10, id_col: str = "doc_id",
+                 text_col: str = "text", positive: int = 1) -> DataFrame:
+    """XPL-2: local surrogate per issue.
+
+    All variants of all issues are scored by one ``model.transform`` (a
+    distributed job); the weighted ridge fit (intercept unpenalised) is a
+    closed-form solve per issue in ``applyInPandas``. A group is one issue's
+    ``n_samples`` variants, so its size is bounded by the caller's setting.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    var = lime_variants(docs, n_samples=n_samples, seed=seed, id_col=id_col, text_col=text_col)
+    scored = model.transform(var).select(
+        "doc_id", "v", "toks", "kept", F.element_at(vector_to_array("probability"), positive + 1).alias("p1"))
+    return scored.groupBy("doc_id").applyInPandas(_ridge_per_doc(top_k, ridge, kernel_width), LIME_SCHEMA)

@@ -113,3 +113,13 @@ def explain_linear(spark, sf):
         "doc_id", "margin", (F.lit(base) + F.coalesce(F.col("s"), F.lit(0.0))).alias("reconstructed"),
         F.coalesce(F.col("n_terms"), F.lit(1)).cast("bigint").alias("n_terms"))
     return round_doubles(out)
+
+
+@query("explain_lime")
+def explain_lime(spark, sf):
+    """XPL-2: LIME-style token weights for every labelled document (20 masked
+    variants each) under a text classifier trained on the labelled documents."""
+    from issuelens.operators import active as A
+    lab = tables.labelled(spark, sf)
+    model = A.train_classifier(lab)
+    return round_doubles(X.explain_lime(model, lab.select("doc_id", "text"), n_samples=20))

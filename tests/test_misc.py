@@ -39,3 +39,22 @@ def test_linear_explanation_adds_up(spark):
     margins = {r[0]: r[1] for r in X.linear_margin(x, w, 0.1, docs).collect()}
     for d in (1, 2, 3):
         assert abs(base + sums[d] - margins[d]) < 1e-12
+
+
+def test_lime_recovers_the_decisive_token(spark):
+    from issuelens.operators import active as A
+    rows = [(i, ("refactor " if i % 2 else "weather ") + "common words here " + str(i % 7), i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = A.train_classifier(df)
+    out = X.explain_lime(model, df.filter("doc_id < 4").select("doc_id", "text"), n_samples=40).collect()
+    top = {r["doc_id"]: r["token"] for r in out if r["rank"] == 1}
+    assert top == {0: "weather", 1: "refactor", 2: "weather", 3: "refactor"}
+    assert all(r["rank"] <= 10 for r in out)
+
+
+def test_lime_masks_are_deterministic(spark):
+    df = spark.createDataFrame([(1, "a b c a")], "doc_id long, text string")
+    v1 = sorted((r["v"], tuple(r["kept"]), r["text"]) for r in X.lime_variants(df, n_samples=5).collect())
+    v2 = sorted((r["v"], tuple(r["kept"]), r["text"]) for r in X.lime_variants(df.repartition(3), n_samples=5).collect())
+    assert v1 == v2
+    assert v1[0] == (0, (True, True, True), "a b c a")
