@@ -85,7 +85,8 @@ def active_learning_run(spark: SparkSession, pool: DataFrame, test: DataFrame, *
                         seed: int = fixed.SEED, run_dir: str | None = None) -> tuple[DataFrame, DataFrame]:
     """ACT-4: initial sample -> train -> evaluate -> ``rounds`` x (query, label, retrain, evaluate).
 
-    Returns ``(ledger, curve)``. The ledger is ``(iteration, rank, doc_id, label)``
+    Returns ``(ledger, curve)`` and saves the best round's model under
+    ``run_dir/best_model`` (ACT-7). The ledger is ``(iteration, rank, doc_id, label)``
     and holds no test row; ``curve.training_size`` is the actual ledger size
     (ACT-5). A round whose query comes back empty is skipped; once the pool is
     exhausted the remaining rounds would all be skipped, so the loop stops.
@@ -123,6 +124,9 @@ def active_learning_run(spark: SparkSession, pool: DataFrame, test: DataFrame, *
         step.write.mode("append").parquet(ledger_path)
     pool.unpersist()
     test.unpersist()
+    # ACT-7 / TOP-4: keep the model of the first round with the best F1
+    best = max(range(len(curve)), key=lambda i: (round(curve[i][4], 9), -i))
+    save_model(models[best], f"{run_dir}/best_model")
     cdf = spark.createDataFrame(curve, "training_size long, accuracy double, precision double, recall double, "
                                        "fscore double, model string, iteration int")
     return spark.read.parquet(ledger_path), cdf

@@ -98,3 +98,5 @@ def test_active_learning_ledger_invariants(spark, tmp_path):
     assert ledger.join(test, "doc_id").count() == 0
     sizes = [r["training_size"] for r in curve.orderBy("iteration").collect()]
     assert sizes == [100, 200, 300]
+    best = A.load_model(str(tmp_path / "al" / "best_model"))
+    assert A.predict(best, test, ["doc_id"]).count() == test.count()
