@@ -261,3 +261,15 @@ def cosine(spark, sf):
     e = tables.pool(spark, sf)
     return round_doubles(e.select("doc_id", dense_cosine(F.slice("embedding", 1, 32),
                                                          F.slice("embedding", 33, 32)).alias("cosine")))
+
+
+@query("label_with_word2vec")
+def label_with_word2vec(spark, sf):
+    """KEY-3 (c) + JOIN-3: Word2Vec vectors trained on the labelling chunks, then
+    every document labelled by the closest MMR-list keyword through the term join."""
+    from issuelens.operators import providers as P
+    iss = spread(tables.issues(spark, sf))
+    ch = iss.select("doc_id", C.labelling_tokens(L.T.combine_text(F.col("Summary"), F.col("Description")))
+                    .alias("chunks"))
+    vecs = P.word2vec_vectors(ch, "chunks", vector_size=16)
+    return round_doubles(P.label_with_vectors(ch, vecs, fixed.KEYWORDS["mmr"]))
