@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from issuelens.llm.common import cut
+from issuelens.llm.filters import filter_bits, may_have
 from issuelens.llm.graph import components, fresh
 from issuelens.llm.textbytes import LOWER, U64, Chunk, PrefixHash, mix, text_chunks, words
 
@@ -185,24 +186,14 @@ def shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                                "shared": pa.array(counts[a:a + 100_000].astype(np.int64))})
 
 
-def filter_bits(keys: DataFrame, key: Column, bits: int) -> np.ndarray:
-    """A bitmap of ``2**bits`` bits with a bit for each key: a fixed size, whatever the number of keys."""
-    spot = F.shiftrightunsigned(key, 64 - bits)
-    rows = (keys.select((spot / 32).cast("int").alias("word"), (spot % 32).cast("int").alias("bit"))
-            .groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("value")).toArrow())
-    bitmap = np.zeros(1 << (bits - 5), np.uint32)
-    bitmap[rows.column("word").to_numpy()] = rows.column("value").to_numpy().astype(np.uint32)
-    return np.unpackbits(bitmap.view(np.uint8), bitorder="little")
-
-
-def wanted_sets(size: int, bitmap: np.ndarray, bits: int):
+def wanted_sets(size: int, bitmap: np.ndarray):
     """Task body: ``(cls, n, tokens)`` of the rows whose key may be wanted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch.column("text")):
                 tokens, sizes = shingle_sets(chunk, size)
                 names = fingerprints(tokens, sizes)
-                use = np.flatnonzero((sizes > 0) & (bitmap[names >> U64(64 - bits)] == 1))
+                use = np.flatnonzero((sizes > 0) & may_have(bitmap, names))
                 end = np.cumsum(sizes)
                 seen, rows = np.unique(names[use], return_index=True)
                 use = np.sort(use[rows])
@@ -288,7 +279,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE_WORD
     sizes = rows.where("n > 0").groupBy("cls").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
     wanted = cut(sizes.join(shared, "cls").where(100 * F.col("shared") >= percent * F.col("n")).select("cls"))
     bitmap = filter_bits(wanted, F.col("cls"), FILTER_BITS)
-    sets = (docs.select("text").mapInArrow(wanted_sets(size, bitmap, FILTER_BITS), "cls long, n long, tokens array<long>")
+    sets = (docs.select("text").mapInArrow(wanted_sets(size, bitmap), "cls long, n long, tokens array<long>")
             .join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
     links = class_links(cut(sets), percent)
     names = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
