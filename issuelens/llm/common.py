@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer file lies on every machine (the operators take any path)."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there (lineage ends)."""
     ensure_checkpoint_dir(df.sparkSession)
