@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from issuelens.llm import ngram_join, packing, quality_rules, suffix_dedup
-from issuelens.llm.common import table, tokenizer_path
+from issuelens.llm import compression, ngram_join, packing, quality_rules, suffix_dedup
+from issuelens.llm.common import held_out, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,3 +48,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", F.col("rules.n_words").alias("n_words"), "rules.word_chars", "rules.n_symbols",
                     "rules.n_dup_lines", "rules.n_repeat_words", "rules.base_failed", "rules.kept",
                     "rules.content_share"))
+
+
+@query
+def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = compression.fit(docs, table(spark, sf_dir, "labels"))
+    return compression.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
