@@ -9,9 +9,12 @@ Plan, all steps exact:
    differences, packed), so that one shingle costs a few shuffled bytes. Two
    sets with Jaccard t share at least ``t * n`` shingles of either, hence a
    class with fewer shared shingles has no link and leaves.
-3. Those that stay order their shingles globally in ``ORDERS`` ways, rare ones
-   first. Linked sets share a token of their prefixes under *every* order; a
-   pair is verified only if it passes all orders and the length bound.
+3. Those that stay order their shingles globally in three ways: by counted
+   frequency, ties by hash; by frequency, ties by another hash; by a hash
+   alone. Linked sets share a token of their prefixes under *every* order; a
+   pair is verified only if it passes all orders, the length bound and the
+   place bound of the first. Frequencies come from a sketch of fixed size: any
+   order is exact as long as it is the same for all sets.
 4. Verification is in two rounds, so that a large group of near copies makes
    pairs in proportion to its size: first every class against the smallest
    class on each prefix token, then only pairs that lie in different components
@@ -43,11 +46,14 @@ from issuelens.llm.textbytes import LOWER, U64, Chunk, PrefixHash, mix, text_chu
 
 SHINGLE_WORDS = 5
 PERCENT = 75
-#: Token orders: document frequency, ties by hash; the same, ties by another hash; a hash alone.
-ORDERS = 3
 #: Hash ranges of the shingle count, and shingles that a task gathers before it packs them.
 RANGES = 64
 GATHER = 2_000_000
+#: Counters of the frequency sketch that orders the tokens, and the parts it is summed in.
+SKETCH_BITS = 22
+SKETCH_BLOCKS = 64
+#: Bits of a set's parity signature.
+SIGN_BITS = 256
 #: Bits of the filter that keeps whole rows away from the second read of the texts.
 FILTER_BITS = 22
 
@@ -204,64 +210,141 @@ def wanted_sets(size: int, bitmap: np.ndarray):
     return run
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """Adds ``p0..p2``: the prefix of each set under each order, without tokens that no other set has.
-
-    Under an order by frequency those come first, so they use up prefix places
-    but cannot match; under the hash order all places are taken by hash.
+def sketch_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task body over ``tokens``: the task's counters of all tokens, in compressed blocks ``(block, counters)``."""
+    total = np.zeros(1 << SKETCH_BITS, np.uint32)
+    for batch in batches:
+        tokens = batch.column("tokens").values.to_numpy().view(np.uint64)
+        if len(tokens):
+            total += np.bincount(cell(tokens), minlength=len(total)).astype(np.uint32)
+    for i, part in enumerate(np.split(total, SKETCH_BLOCKS)):
+        if part.any():
+            yield pa.record_batch({"block": pa.array([i], pa.int32()),
+                                   "counters": pa.array([zstandard.compress(part.tobytes(), 1)], pa.binary())})
+
+
+def sketch_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task body over blocks: the sum of each block of the partition."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, data in zip(batch.column("block").to_pylist(), batch.column("counters").to_pylist()):
+            part = np.frombuffer(zstandard.decompress(data), np.uint32)
+            total[i] = total[i] + part if i in total else part
+    for i, part in total.items():
+        yield pa.record_batch({"block": pa.array([i], pa.int32()),
+                               "counters": pa.array([zstandard.compress(part.tobytes(), 1)], pa.binary())})
+
+
+def cell(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> U64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def token_sketch(sets: DataFrame) -> np.ndarray:
+    """How many of the ``sets`` have a token, at least: ``2**SKETCH_BITS`` counters, whatever the number of sets."""
+    form = "block int, counters binary"
+    rows = (sets.select("tokens").mapInArrow(sketch_blocks, form).repartition("block").mapInArrow(sketch_sums, form)
+            .toArrow())
+    total = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.uint32)
+    for i, data in zip(rows.column("block").to_pylist(), rows.column("counters").to_pylist()):
+        total[i] += np.frombuffer(zstandard.decompress(data), np.uint32)
+    return total.ravel()
+
+
+def prefixes(sketch: np.ndarray, percent: int):
+    """Task body: ``(cls, n, tok, at, other, lone, signs)`` of the sets.
+
+    ``tok`` and ``at`` are the prefix under the first order and the places in
+    it, ``other`` the prefix under the second. Both orders are global, as they
+    go by the token's counter and hash alone. A token whose counter is 1 is in
+    no other set: it has its place, but is left out. ``lone`` counts those
+    tokens, and ``signs`` has a bit for the parity of the others in each of
+    ``SIGN_BITS`` classes: two sets differ in at least their lone tokens and as
+    many others as their signs differ in.
     """
-    postings = sets.select("cls", F.explode("tokens").alias("tok"))
-    counts = cut(postings.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"))
-    rare_first = F.sort_array(F.collect_list(F.struct("df", "tok")))
-    known = postings.join(counts, "tok").groupBy("cls").agg(rare_first.alias("found"))
-    need = F.floor((F.col("n") * percent + 99) / 100)
-    length = F.col("n") - need + 1
-    left = F.greatest(length - (F.col("n") - F.size("found")), F.lit(0)).cast("int")
-    again = F.sort_array(F.transform("found", lambda x: F.struct(x["df"], F.xxhash64(x["tok"]).alias("h"), x["tok"])))
-    by_hash = F.sort_array(F.transform("tokens", lambda t: F.struct(F.xxhash64(t, F.lit(3)).alias("h"), t.alias("tok"))))
-    return (sets.join(known, "cls").withColumn("left", left).where("left > 0")
-            .select("cls", "n", "tokens", F.slice("found.tok", F.lit(1), F.col("left")).alias("p0"),
-                    F.slice(again["tok"], F.lit(1), F.col("left")).alias("p1"),
-                    F.slice(by_hash["tok"], F.lit(1), length.cast("int")).alias("p2")))
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share a prefix token under every order and then reach the similarity."""
-    one = sets.select(F.col("cls").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("n", "tokens", "p1", "p2")))
-    two = sets.select(F.col("cls").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("n", "tokens", "p1", "p2")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for n, tokens in zip(batch.column("n").to_pylist(), batch.column("tokens")):
+                tokens = tokens.values.to_numpy().view(np.uint64)
+                df = sketch[cell(tokens)]
+                length = n - -(-n * percent // 100) + 1
+                first, second = np.lexsort((tokens, df))[:length], np.lexsort((mix(tokens), df))[:length]
+                at = np.flatnonzero(df[first] > 1)
+                odd = np.bincount((mix(tokens[df > 1]) & U64(SIGN_BITS - 1)).astype(np.int64), minlength=SIGN_BITS) & 1
+                rows.append((tokens[first[at]].view(np.int64), at.astype(np.int32),
+                             tokens[second[df[second] > 1]].view(np.int64), int((df == 1).sum()),
+                             np.packbits(odd.astype(bool)).view(np.int64)))
+            tok, at, other, lone, signs = zip(*rows) if rows else ((),) * 5
+            yield pa.record_batch({
+                "cls": batch.column("cls"), "n": batch.column("n"), "tok": pa.array(tok, pa.list_(pa.int64())),
+                "at": pa.array(at, pa.list_(pa.int32())), "other": pa.array(other, pa.list_(pa.int64())),
+                "lone": pa.array(lone, pa.int64()), "signs": pa.array(signs, pa.list_(pa.int64()))})
+    return run
+
+
+def verified(pairs: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share a prefix token under the second and the third order too, and reach the similarity."""
+    def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
+        return table.select(F.col("cls").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+
+    def by_hash(name: str) -> Column:
+        """The prefix under the order by a seeded hash alone."""
+        n = F.col(f"n_{name}")
+        order = F.transform(f"tokens_{name}", lambda t: F.struct(F.xxhash64(t, F.lit(3)).alias("h"), t.alias("t")))
+        return F.slice(F.sort_array(order), F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))["t"]
+
+    second = (pairs.join(side(heads, "a", "other"), "a").join(side(heads, "b", "other"), "b")
+              .where(F.arrays_overlap("other_a", "other_b")).select("a", "b"))
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return (pairs.join(one, "a").join(two, "b")
-            .where(F.arrays_overlap("p1_a", "p1_b") & F.arrays_overlap("p2_a", "p2_b"))
+    return (second.join(side(sets, "a", "n", "tokens"), "a").join(side(sets, "b", "n", "tokens"), "b")
+            .where(F.arrays_overlap(by_hash("a"), by_hash("b")))
             .where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b"))
 
 
-def near(percent: int, a: str, b: str) -> Column:
-    """The length bound of the similarity."""
-    return ((100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a)))
+def may_link(percent: int, na: str, ia: str, nb: str, ib: str) -> Column:
+    """Length bound, and place bound of a pair's first common token.
+
+    No token before the first common one is in the other set, so the places of
+    that token are together at most the difference that the similarity allows.
+    """
+    a, b = F.col(na), F.col(nb)
+    length = (100 * a >= percent * b) & (100 * b >= percent * a)
+    return length & ((F.col(ia) + F.col(ib)) * (100 + percent) <= (a + b) * (100 - percent))
 
 
 def class_links(sets: DataFrame, percent: int) -> DataFrame:
     """``(node, root)``: the components of the classes that have a link."""
-    sets = cut(prefixes(sets, percent))
-    postings = sets.select("cls", "n", F.explode("p0").alias("tok"))
-    pivot = postings.groupBy("tok").agg(F.min(F.struct("n", "cls")).alias("p"), F.count("*").alias("df")).where("df > 1")
+    form = "cls long, n long, tok array<long>, at array<int>, other array<long>, lone long, signs array<long>"
+    heads = cut(sets.mapInArrow(prefixes(token_sketch(sets), percent), form))
+    postings = (heads.select("cls", "n", F.explode(F.arrays_zip("tok", "at")).alias("p"))
+                .select("cls", "n", "p.tok", "p.at"))
+    pivot = postings.groupBy("tok").agg(F.min(F.struct("at", "n", "cls")).alias("p"), F.count("*").alias("df")).where("df > 1")
     stars = (fresh(postings, "tok").join(fresh(pivot, "tok").drop("tok"), "tok_k")
-             .where("cls <> p.cls").withColumn("pn", F.col("p.n")).where(near(percent, "n", "pn"))
-             .select(F.col("p.cls").alias("a"), F.col("cls").alias("b")).distinct())
-    first = cut(components(verified(stars, sets, percent)))
+             .withColumns({"pn": F.col("p.n"), "pat": F.col("p.at")})
+             .where((F.col("cls") != F.col("p.cls")) & may_link(percent, "n", "at", "pn", "pat"))
+             .select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct())
+    first = cut(components(verified(stars, heads, sets, percent)))
     # What is left: pairs on one token whose ends are in different components. The largest component of a
     # token meets the others, never itself.
-    placed = (postings.join(first.withColumnRenamed("node", "cls"), "cls", "left")
-              .select("tok", "cls", "n", F.coalesce("root", "cls").alias("comp")))
+    placed = cut(postings.join(first.withColumnRenamed("node", "cls"), "cls", "left")
+                 .select("tok", "cls", "n", "at", F.coalesce("root", "cls").alias("comp")))
     split = (placed.groupBy("tok", "comp").agg(F.count("*").alias("k"))
              .groupBy("tok").agg(F.max(F.struct("k", "comp"))["comp"].alias("big"), F.count("*").alias("comps"))
              .where("comps > 1"))
-    placed = fresh(placed, "tok").join(fresh(split, "tok").drop("tok"), "tok_k").drop("tok_k")
-    one = placed.where("comp <> big").select("tok", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    two = placed.select("tok", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "big")
-    pairs = (one.join(two, "tok").where("ca <> cb and (cb = big or a < b)").where(near(percent, "na", "nb"))
-             .select("a", "b").distinct())
-    second = verified(pairs, sets, percent)
+    marks = [F.col("signs")[k].alias(f"s{k}") for k in range(SIGN_BITS // 64)]
+    placed = cut(fresh(placed, "tok").join(fresh(split, "tok").drop("tok"), "tok_k").drop("tok_k")
+                 .join(heads.select("cls", "lone", *marks), "cls"))
+    cols = [c for c in placed.columns if c not in ("tok", "big")]
+    one = placed.where("comp <> big").select("tok", *(F.col(c).alias(f"{c}_a") for c in cols))
+    two = placed.select("tok", "big", *(F.col(c).alias(f"{c}_b") for c in cols))
+    differ = F.col("lone_a") + F.col("lone_b")
+    for k in range(SIGN_BITS // 64):
+        differ = differ + F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b")))
+    pairs = (one.join(two, "tok").where("comp_a <> comp_b and (comp_b = big or cls_a < cls_b)")
+             .where(may_link(percent, "n_a", "at_a", "n_b", "at_b"))
+             .where(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+             .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct())
+    second = verified(pairs, heads, sets, percent)
     tree = first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(second.unionByName(tree))
 
