@@ -11,9 +11,10 @@ after the last digit are exactly the repeated windows.
 * Digit 2 is the whole context that the windows of an anchor can reach. If it
   occurs twice, all those windows do, and the anchor is settled.
 * For the anchors left, each with one row per different context, the windows
-  are sorted by digits of ``DIGITS`` bytes. A group of more than ``BLOCK``
-  contexts is sorted in salted blocks, and windows that are alone in their
-  block are then counted across blocks.
+  are sorted by digits of ``DIGITS`` bytes. In a group of more than ``BLOCK``
+  contexts one more digit comes first, the bytes that ``PARTS`` ranges of the
+  windows have in common; then it is sorted in salted blocks, and windows that
+  are alone in their block are counted across blocks.
 
 Digits are 64-bit hashes of the bytes. Rows are named by xxhash64 of id and
 text, so rows that repeat share a name and count as copies of each other.
@@ -42,7 +43,8 @@ from issuelens.llm.textbytes import POWERS, U64, Chunk, PrefixHash, mix, repeate
 
 LENGTH = 400
 DIGITS = (8, 32)
-BLOCK = 2000
+BLOCK = 4000
+PARTS = 8
 FILTER_BITS = 23
 ANCHOR = "row long, pos long, before int, after int, gram long, ctx long"
 HIGH = U64(0xFFFFFFFF00000000)
@@ -128,8 +130,33 @@ def context_bytes(length: int, bitmap: np.ndarray):
     return run
 
 
+def range_keys(length: int, bitmap: np.ndarray):
+    """Task body: ``(ctx, part, key)`` of the contexts that may be in a large group.
+
+    The windows of an anchor are split into ``PARTS`` ranges by the anchor's
+    place in them; the key is the bytes that all windows of a range have.
+    """
+    gram = max(1, length // 2)
+    width = length - gram + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in text_chunks(batch.column("text")):
+                a = Anchors(chunk, length)
+                use = np.flatnonzero(may_have(bitmap, a.ctx))
+                use = use[np.unique(a.ctx[use], return_index=True)[1]]
+                for part in range(PARTS):
+                    least, most = part * width // PARTS, (part + 1) * width // PARTS - 1  # bytes before the anchor
+                    ok = use[(a.start[use] <= a.pos[use] - least) & (a.end[use] >= a.pos[use] + length - most)]
+                    key = a.hashes.of(a.pos[ok] - least, a.pos[ok] + length - most)
+                    yield pa.record_batch({
+                        "ctx": pa.array(a.ctx[ok].view(np.int64)), "part": pa.array(np.full(len(ok), part, np.int32)),
+                        "key": pa.array(mix(key + U64(part)).view(np.int64))})
+    return run
+
+
 def sort_windows(length: int):
-    """Task body over ``(gram, salt, salts, row, pos, before, own, bytes)``, whole (gram, salt) blocks in a partition.
+    """Task body over ``(gram, salt, salts, live, row, pos, before, own, bytes)``, whole (gram, salt) blocks in a partition.
 
     Gives ``(row, start, end)`` for the windows repeated in a block, and
     ``(row, start, end, key)`` for those of salted groups that must be counted
@@ -139,10 +166,13 @@ def sort_windows(length: int):
     width = length - gram + 1
     out = T.StructType.fromDDL("row long, start long, end long, key long, own boolean")
     bounds = [0, *(d for d in np.cumsum(DIGITS) if d < length), length]
+    part_of = np.zeros(width, np.int64)
+    for part in range(PARTS):
+        part_of[part * width // PARTS:(part + 1) * width // PARTS] = part
 
     def block(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        col = {k: t.column(k).to_numpy(zero_copy_only=False) for k in ("gram", "salt", "salts", "row", "pos", "before", "own")}
+        col = {k: t.column(k).to_numpy(zero_copy_only=False) for k in ("gram", "salt", "salts", "live", "row", "pos", "before", "own")}
         data = t.column("bytes")
         offs = np.frombuffer(data.buffers()[1], np.int32)[data.offset:data.offset + len(data) + 1].astype(np.int64)
         buf = np.frombuffer(data.buffers()[2], np.uint8)[offs[0]:offs[-1]]
@@ -154,6 +184,7 @@ def sort_windows(length: int):
         shift = np.arange(len(who)) - np.repeat(np.cumsum(windows) - windows, windows)
         align = col["before"][who] - shift  # the anchor's place in the window
         ok = (align >= 0) & (align + gram <= length)
+        ok &= (col["live"][who] >> part_of[np.clip(align, 0, width - 1)]) & 1 == 1
         who, shift, align = who[ok], shift[ok], align[ok]
         begin = offs[who] + shift
         key = mix(group[who] + align.astype(np.uint64) * U64(0xD1B54A33))
@@ -202,7 +233,7 @@ def sort_windows(length: int):
                 to = at + 1
                 while to < len(keys) and keys[to] == keys[at]:
                     to += 1
-                if count >= BLOCK * 5 and keys[at] != last:
+                if count >= 10_000 and keys[at] != last:
                     yield from block(held)
                     held, count = [], 0
                 held.append(batch.slice(at, to - at))
@@ -213,6 +244,27 @@ def sort_windows(length: int):
     return run, out
 
 
+def in_reach(docs: DataFrame, members: DataFrame, length: int) -> DataFrame:
+    """``members`` with ``live``, a bit for each range of windows that may be repeated, without those that have none.
+
+    In a group of more than ``BLOCK`` contexts, the bytes common to the windows
+    of a range are the next digit: a context that is alone with them has no
+    repeated window there. Counts alone are gathered, whatever the group's size.
+    """
+    large = members.where("salts > 1")
+    every = F.lit((1 << PARTS) - 1)
+    if large.isEmpty():
+        return members.withColumn("live", every)
+    keys = docs.select("text").mapInArrow(range_keys(length, filter_bits(large, F.col("ctx"), FILTER_BITS)),
+                                          "ctx long, part int, key long")
+    keys = cut(keys)
+    shared = keys.groupBy("key").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("a <> b").select("key")
+    live = (fresh(keys, "key").join(fresh(shared, "key").drop("key"), "key_k", "left_semi")
+            .groupBy("ctx").agg(F.expr("bit_or(shiftleft(1, part))").alias("live")))
+    kept = large.join(live, "ctx").unionByName(members.where("salts = 1").withColumn("live", every))
+    return cut(kept)
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``(row, start, end)``: spans of bytes that hold all repeated windows of the rows ``(row, text)``."""
     counts = (docs.select("text").mapInArrow(gram_counts(length), "gram long, count long")
@@ -232,6 +284,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                   .withColumn("salts", F.ceil(F.col("kinds") / BLOCK).cast("int"))
                   .select("gram", "ctx", "salts", F.pmod(F.xxhash64("ctx"), F.col("salts")).cast("int").alias("salt"),
                           "at.row", "at.pos", "at.before", (F.col("copies") == 1).alias("own")))
+    members = in_reach(docs, members, length)
     wanted = filter_bits(members, F.col("ctx"), FILTER_BITS)
     contexts = (docs.select("text").mapInArrow(context_bytes(length, wanted), "ctx long, bytes binary")
                 .dropDuplicates(["ctx"]))
