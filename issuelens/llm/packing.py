@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from issuelens.llm.common import cut
-from issuelens.llm.textbytes import PrefixHash, text_chunks, words
+from issuelens.llm.textbytes import LOWER, SPACE, Chunk, PrefixHash, text_chunks
 
 CAPACITY = 4096
 END_ID = 1
@@ -43,15 +43,41 @@ ROUNDS = 12
 REST = 20_000
 CACHED_WORDS = 800_000
 
+#: 1: ASCII letter, 2: sign that never belongs to a token with a letter, 0: anything else.
+KIND = np.zeros(256, np.int8)
+KIND[ord("a"):ord("z") + 1] = KIND[ord("A"):ord("Z") + 1] = 1
+SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+KIND[[ord(c) for c in SIGNS]] = 2
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordTokens:
-    """Token ids of words, kept for the task's process up to a bound.
+def token_runs(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends) of the runs that the tokenizer treats one by one.
 
-    The tokenizer never joins across white space, so a text's ids are those of
-    its words one after the other.
+    The vocabulary's pre-tokenizer never joins across white space, nor an ASCII
+    letter with an ASCII sign of ``SIGNS``; it lower-cases, and without
+    combining marks or special tokens that can be done before. Hence the ids of
+    a text are those of its runs, one after the other.
     """
+    buf = chunk.buf
+    if not (((buf == 0xCC) | (buf == 0xCD)).any() or b"<|" in buf.tobytes()):
+        buf = LOWER[buf]
+    inside = ~SPACE[buf]
+    start, end = inside.copy(), inside.copy()
+    if len(buf):
+        kind = KIND[buf]
+        cut = (kind[1:] + kind[:-1]) == 3  # letter and sign, either way round
+        start[1:] &= ~inside[:-1] | cut
+        end[:-1] &= ~inside[1:] | cut
+        at = chunk.offsets[(chunk.offsets > 0) & (chunk.offsets < len(buf))]
+        start[at] = inside[at]
+        end[at - 1] = inside[at - 1]
+    return buf, np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+class WordTokens:
+    """Token ids of runs, kept for the task's process up to a bound."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -110,8 +136,8 @@ def tokenized(path: str, capacity: int, end_id: int, with_ids: bool):
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             for chunk in text_chunks(batch.column("text")):
-                starts, ends = words(chunk)
-                ids, sizes = LOADED[path].encode(chunk.buf, starts, ends)
+                buf, starts, ends = token_runs(chunk)
+                ids, sizes = LOADED[path].encode(buf, starts, ends)
                 total = np.concatenate([[0], np.cumsum(sizes)])
                 bounds = total[np.searchsorted(starts, chunk.offsets)]
                 rows = []
