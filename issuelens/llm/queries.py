@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from issuelens.llm import compression, decontam, langid, ngram_join, packing, quality_rules, suffix_dedup, toxicity
+from issuelens.llm import chat, compression, decontam, langid, licenses, ngram_join, packing, quality_rules, suffix_dedup, toxicity
 from issuelens.llm.common import held_out, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,21 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def mask_text(mask: str) -> Column:
+    """A mask as text: ``length:train`` of each turn."""
+    return F.array_join(F.transform(mask, lambda m: F.concat(m["length"].cast("string"), F.lit(":"),
+                                                             m["train"].cast("int").cast("string"))), ",")
+
+
+@query
+def op6_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat.format_preferences(chat.preference_pairs(table(spark, sf_dir, "conversations")))
+    return pairs.withColumns({c: mask_text(c) for c in ("chosen_mask", "rejected_mask")})
+
+
+SQL["op6_preference_chat"] = chat.format_sql()
+
+
 @query
 def op7_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -72,6 +87,14 @@ def op7_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
         "hits")
 
 
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+SQL["op8_license_scan"] = licenses.scan_sql()
+
+
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
