@@ -14,8 +14,8 @@ prior itself is used.
 
 Defined results: a null or empty text has no words, so it is not kept; lines
 without a word carry no words and do not change the share; equal rows get
-equal results; an empty table gives an empty result; other columns are never
-read, so clashing names do no harm. A long text costs memory in proportion to
+equal results; an empty table gives an empty result; other columns pass through untouched, except
+that ``rules`` is added (a column of that name is replaced). A long text costs memory in proportion to
 itself and nothing else.
 """
 
@@ -238,9 +238,9 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, float], min_share: float = M
     A narrow map: one pass over the rows, no shuffle.
     """
     weights, stay = model
-    names = docs.columns
+    names = [c for c in docs.columns if c.lower() != "rules"]
     rules = T.StructType.fromDDL(f"{BASE_SCHEMA}, base_failed boolean, content_share double, kept boolean")
-    out = T.StructType([*docs.schema.fields, T.StructField("rules", rules)])
+    out = T.StructType([*(docs.schema[c] for c in names), T.StructField("rules", rules)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,9 +256,9 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, float], min_share: float = M
                     ["word_chars", "n_words", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                      "content_share", "kept"])
                 rows = batch.slice(chunk.first, chunk.n)
-                yield pa.RecordBatch.from_arrays([*rows.columns, found], names=[*names, "rules"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), found], names=[*names, "rules"])
 
-    return docs.mapInArrow(run, out)
+    return docs.select(*names).mapInArrow(run, out)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS,

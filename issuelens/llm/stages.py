@@ -1,24 +1,50 @@
-"""The stages of the corpus pipeline, in order. Each takes ``(spark, docs, sf_dir)``."""
+"""The stages of the corpus pipeline, in order. Each takes ``(spark, docs, sf_dir)``.
+
+A table without rows goes through every stage. Rows without a doc_id are no
+near duplicates of anything (they cannot be named) and stay.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from issuelens.llm import ngram_join, quality_rules
-from issuelens.llm.common import table
+from issuelens.llm import decontam, ngram_join, packing, quality_rules, suffix_dedup
+from issuelens.llm.common import table, tokenizer_path
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality_rules.quality_rules(docs, table(spark, sf_dir, "labels"))
-    return judged.where("rules.kept").drop("rules")
+    return quality_rules.quality_rules(docs, table(spark, sf_dir, "labels")).where("rules.kept").select(docs.columns)
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id."""
-    found = ngram_join.ngram_join(docs).where("n_shingles = 0 or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each near-duplicate group: the one with the smallest id, once."""
+    found = ngram_join.ngram_join(docs)
+    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    named = docs.join(keep, "doc_id", "left_semi").withColumn("place", first).where("place = 1")
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their long repeated substrings; a text that is all repeated becomes empty."""
+    out = suffix_dedup.suffix_dedup(docs).withColumn("text", F.col("dedup.kept_text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+
+
+def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces with their places in the packed sequences."""
+    return packing.pack(packing.tokenize(docs, tokenizer_path("word_bpe_49k.json")))
 
 
-STAGES = [("quality_rules", stage_quality), ("ngram_jaccard_join", stage_near_duplicates)]
+STAGES = [("quality_rules", stage_quality), ("ngram_jaccard_join", stage_near_duplicates),
+          ("suffix_array_dedup", stage_suffix_dedup), ("benchmark_decontamination", stage_decontamination),
+          ("best_fit_packing", stage_packing)]

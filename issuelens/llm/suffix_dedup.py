@@ -300,13 +300,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows of ``docs`` with the struct ``dedup``: n_bytes, n_removed, spans (removed runs) and kept (bytes)."""
+    """The rows of ``docs`` with the struct ``dedup``: n_bytes, n_removed, spans (removed runs), kept (bytes), kept_text.
+
+    ``kept_text`` leaves out bytes of characters that a span cut in two, and is
+    null for a null text.
+    """
     names = [c for c in docs.columns if c.lower() != "dedup"]
     keyed = docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("row"), "text")
     spans = (repeated_spans(keyed, length).groupBy("row", "start").agg(F.max("end").alias("end"))
              .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("dedup_spans")))
     out = T.StructType([*(docs.schema[c] for c in names), T.StructField("dedup", T.StructType.fromDDL(
-        "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"))])
+        "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, kept_text string"))])
     joined = (docs.select(*names, F.xxhash64(F.col("doc_id"), F.col("text")).alias("dedup_row"))
               .join(spans.withColumnRenamed("row", "dedup_row"), "dedup_row", "left").drop("dedup_row"))
 
@@ -328,11 +332,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         kept.append(data[at:s])
                         at = e
                     kept.append(data[at:])
+                    rest = b"".join(kept)
                     found.append({"n_bytes": len(data), "n_removed": sum(e - s for s, e in merged),
-                                  "spans": [{"start": s, "end": e} for s, e in merged], "kept": b"".join(kept)})
+                                  "spans": [{"start": s, "end": e} for s, e in merged], "kept": rest,
+                                  "kept_text": None if text is None else rest.decode("utf-8", "ignore")})
                 kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                                   ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                                  ("kept", pa.binary())])
+                                  ("kept", pa.binary()), ("kept_text", pa.string())])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(found, kind)],
                                                  names=[*names, "dedup"])
 
