@@ -31,35 +31,77 @@ CURVE_SCHEMA = T.StructType([
     T.StructField("fscore", T.DoubleType()),
     T.StructField("model", T.StringType()),
 ])
-PROJECT_PATTERN = r"([^/]+?)(?:-[^/-]*)?\.csv$"
+#: The project is the file name without its ending.
+PROJECT_PATTERN = r"([^/]+?)(?:\.[A-Za-z0-9]+)*$"
 
 
-def _csv(spark: SparkSession, schema, sep: str):
-    return (spark.read.schema(schema).option("header", True).option("sep", sep)
-            .option("multiLine", True).option("quote", '"').option("escape", '"'))
+def csv_options(reader, sep: str):
+    """Header, quoting and multi-line options of every CSV read here (batch or stream)."""
+    return (reader.option("header", True).option("sep", sep).option("multiLine", True)
+            .option("quote", '"').option("escape", '"'))
+
+
+def header_of(spark: SparkSession, path: str, sep: str) -> list[str]:
+    """Column names of one CSV file (of a folder: its first file), from the header."""
+    return csv_options(spark.read, sep).csv(path).columns
+
+
+def _read_csv(spark: SparkSession, paths: Sequence[str], sep: str, schema: T.StructType) -> tuple[DataFrame, set[str]]:
+    """One read per header layout, columns taken by name.
+
+    A CSV read with a schema binds by position, so the files are grouped by
+    their header line and each group is read under its own names. Columns of
+    ``schema`` that a file does not have are null; others are left out.
+    """
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    files = csv_options(spark.read, sep).csv(list(paths)).inputFiles()
+    for path in files:
+        layouts.setdefault(tuple(header_of(spark, path, sep)), []).append(path)
+    parts = []
+    for names, own in layouts.items():
+        read = csv_options(spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])), sep).csv(own)
+        have = {n.strip().lower(): n for n in names}
+        cols = [(F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in schema]
+        parts.append(read.select(*cols, F.col("_metadata.file_path").alias("_file"),
+                                 F.col("_metadata.file_name").alias("_name"),
+                                 F.monotonically_increasing_id().alias("_row")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out, {n.strip().lower() for names in layouts for n in names}
 
 
 def read_issues(spark: SparkSession, paths: str | Sequence[str], sep: str = ";",
                 schema: T.StructType = ISSUE_SCHEMA) -> DataFrame:
-    """SRC-1 / SRC-4: one read over all project files; ``project`` from the file name."""
+    """SRC-1 / SRC-4: all project files, columns by name; ``project`` is the file name without its ending.
+
+    ``Key`` is optional: if no file has it, the result has no such column (PRJ-2
+    then makes keys). ``Summary`` and ``Description`` are required.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = _csv(spark, schema, sep).csv(paths)
-    return df.withColumn("project", F.regexp_extract(F.col("_metadata.file_name"), PROJECT_PATTERN, 1))
+    df, names = _read_csv(spark, paths, sep, schema)
+    missing = [f.name for f in schema if f.name != "Key" and f.name.lower() not in names]
+    if missing:
+        raise ValueError(f"input has no column {missing}")
+    df = df.withColumn("project", F.regexp_extract("_name", PROJECT_PATTERN, 1)).drop("_file", "_name", "_row")
+    return df if "key" in names else df.drop("Key")
 
 
 def read_corpus(spark: SparkSession, paths: str | Sequence[str], sep: str = ",",
                 schema: T.StructType = CORPUS_SCHEMA) -> DataFrame:
-    """SRC-2: a ``text`` corpus; the engine adds a stable ``doc_id`` (content hash)."""
+    """SRC-2: a ``text`` corpus with a ``doc_id`` of its own for every row, equal texts included."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = _csv(spark, schema, sep).csv(paths)
-    return df.withColumn("doc_id", F.xxhash64(F.col("_metadata.file_path"), F.col("text")))
+    df, names = _read_csv(spark, paths, sep, schema)
+    if "text" not in names:
+        raise ValueError("input must have a 'text' column")
+    return df.withColumn("doc_id", F.xxhash64("_file", "_row")).drop("_file", "_name", "_row")
 
 
 def read_labelled(spark: SparkSession, paths: str | Sequence[str], sep: str = ",") -> DataFrame:
     """SRC-3: labelled issues; ``Summary_Description`` is derived when missing (SRC-5)."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.option("header", True).option("sep", sep).option("multiLine", True) \
-        .option("quote", '"').option("escape", '"').option("inferSchema", False).csv(paths)
+    df = csv_options(spark.read, sep).csv(paths)
     return require_columns(df, mode="labelled")
 
 
@@ -87,8 +129,7 @@ def require_columns(df: DataFrame, mode: str = "corpus") -> DataFrame:
 def read_curves(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """SRC-6 / RES-1: result curves; the unnamed index column is dropped."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return (spark.read.schema(CURVE_SCHEMA).option("header", True).option("quote", '"')
-            .option("escape", '"').csv(paths).drop("_c0"))
+    return csv_options(spark.read.schema(CURVE_SCHEMA), ",").csv(paths).drop("_c0")
 
 
 def land_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

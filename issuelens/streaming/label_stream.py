@@ -12,24 +12,35 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from issuelens import fixed
 from issuelens.operators.labelling import label_issues
-from issuelens.sources.io import ISSUE_SCHEMA, PROJECT_PATTERN
+from issuelens.sources.io import ISSUE_SCHEMA, PROJECT_PATTERN, csv_options, header_of
 
 
 def issue_stream(spark: SparkSession, source_dir: str, fmt: str = "csv", sep: str = ";",
-                 max_files_per_trigger: int = 100) -> DataFrame:
-    """A streaming issue table from a folder of CSV (``;``) or Parquet files."""
-    from pyspark.sql import functions as F
-    r = spark.readStream.schema(ISSUE_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
+                 max_files_per_trigger: int = 100, columns: Sequence[str] | None = None) -> DataFrame:
+    """A streaming issue table from a folder of CSV (``;``) or Parquet files.
+
+    The folder's files have one layout; a CSV stream takes its column names from
+    the header of the files there when it starts (or from ``columns``).
+    """
+    names = list(columns) if columns else None
+    r = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
-        df = (r.option("header", True).option("sep", sep).option("multiLine", True)
-              .option("quote", '"').option("escape", '"').csv(source_dir))
+        names = names or header_of(spark, source_dir, sep)
+        df = csv_options(r.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])), sep).csv(source_dir)
     else:
-        df = r.parquet(source_dir)
-    return df.withColumn("project", F.regexp_extract(F.col("_metadata.file_name"), PROJECT_PATTERN, 1))
+        df = r.schema(spark.read.parquet(source_dir).schema if names is None else ISSUE_SCHEMA).parquet(source_dir)
+    have = {n.strip().lower(): n for n in df.columns}
+    missing = [f.name for f in ISSUE_SCHEMA if f.name != "Key" and f.name.lower() not in have]
+    if missing:
+        raise ValueError(f"input has no column {missing}")
+    cols = [F.col(f"`{have[f.name.lower()]}`").alias(f.name) for f in ISSUE_SCHEMA if f.name.lower() in have]
+    return df.select(*cols, F.regexp_extract(F.col("_metadata.file_name"), PROJECT_PATTERN, 1).alias("project"))
 
 
 def label_stream(issues: DataFrame, keywords: Sequence[str] = fixed.KEYWORDS["seed_expansion"], *,

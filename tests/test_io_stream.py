@@ -76,3 +76,67 @@ def test_stream_equals_batch(spark, tmp_path):
     cols = ["Key", "Summary_Description_Preprocessed", "closest_keyword", "similarity_score", "label"]
     norm = lambda d: sorted(tuple(r) for r in d.select(*cols).fillna("").collect())
     assert norm(got) == norm(batch)
+
+
+def _write(path, *lines):
+    path.write_text("\n".join(lines) + "\n")
+    return str(path)
+
+
+def test_issue_columns_by_name(spark, tmp_path):
+    """Reordered, missing and extra columns; project names keep their hyphens."""
+    a = _write(tmp_path / "foo-a.csv", "Summary;Key;Description", "move;A-1;code")
+    b = _write(tmp_path / "foo-b.csv", "Extra;description;Summary", "x;second;first")
+    got = {(r.project, r.Key, r.Summary, r.Description) for r in io.read_issues(spark, [a, b]).collect()}
+    assert got == {("foo-a", "A-1", "move", "code"), ("foo-b", None, "first", "second")}
+    only = io.read_issues(spark, b)
+    assert "Key" not in only.columns
+    assert label_issues(only, ["move"]).collect()[0].Key.startswith("unknown-")
+    with pytest.raises(ValueError):
+        io.read_issues(spark, _write(tmp_path / "c.csv", "Key;Summary", "1;x"))
+
+
+def test_read_corpus_ids(spark, tmp_path):
+    path = _write(tmp_path / "c.csv", "id,text", "1,same", "2,same", '3,"two\nlines"')
+    rows = io.read_corpus(spark, path).collect()
+    assert len({r.doc_id for r in rows}) == 3
+    assert sorted(r.text for r in rows) == ["same", "same", "two\nlines"]
+    with pytest.raises(ValueError):
+        io.read_corpus(spark, _write(tmp_path / "d.csv", "a,b", "1,2"))
+
+
+def test_read_labelled(spark, tmp_path):
+    path = _write(tmp_path / "l.csv", "label,Description,Summary", "1,d,s", "0,,t")
+    got = sorted((r.label, r.Summary_Description) for r in io.read_labelled(spark, path).collect())
+    assert got == [("0", "t. "), ("1", "s. d")]
+
+
+def test_curves_round_trip_and_union(spark, tmp_path):
+    from issuelens.operators import metrics
+    path = _write(tmp_path / "x.csv", ",training_size,accuracy,precision,recall,fscore,model",
+                  '0,100,0.5,0.4,0.3,0.2,"A(k=1, m=2)"', "1,200,0.6,0.5,0.4,0.3,B")
+    curves = io.read_curves(spark, path)
+    io.write_curves(curves, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).select(curves.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, curves.collect()))
+    got = metrics.union_curves({"a": curves, "b": curves})
+    assert sorted(r.model for r in got.collect()) == ["a", "a", "b", "b"]
+
+
+def test_land_parquet_and_ledger(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, part string")
+    io.land_parquet(df, str(tmp_path / "p"), ["part"])
+    assert sorted(p.name for p in (tmp_path / "p").glob("part=*")) == ["part=a", "part=b"]
+    io.write_ledger(df, str(tmp_path / "l"))
+    assert spark.read.parquet(str(tmp_path / "l")).count() == 2
+
+
+def test_parquet_stream_has_its_project(spark, tmp_path):
+    rows = spark.createDataFrame([("K-1", "move code", None)], io.ISSUE_SCHEMA)
+    rows.coalesce(1).write.parquet(str(tmp_path / "w"))
+    (tmp_path / "in").mkdir()
+    next((tmp_path / "w").glob("part-*.parquet")).rename(tmp_path / "in" / "some-project.parquet")
+    q = S.start(S.label_stream(S.issue_stream(spark, str(tmp_path / "in"), "parquet")), str(tmp_path / "out"),
+                str(tmp_path / "ck"), available_now=True)
+    q.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).collect()[0].project == "some-project"
