@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from issuelens.fixed import ENGLISH_STOPWORDS, PENN_OF_POS, PUNCT, default_lexicon
+from issuelens.fixed import ENGLISH_STOPWORDS, PUNCT, default_lexicon
 from issuelens.functions.text import WORD_CHARS, WS, WS_CHARS
 
 # TOK-3: a run of word characters (apostrophes included), or one other
@@ -93,13 +93,6 @@ def map_pos_tag(tag: Column) -> Column:
             .when(first == "N", "n").when(first == "R", "r").otherwise("n"))
 
 
-def _lexicon_maps(lexicon: list[tuple[str, str, str]] | None):
-    rows = lexicon if lexicon is not None else default_lexicon()
-    pos_map = F.create_map(*[x for t, p, _ in rows for x in (F.lit(t), F.lit(p))])
-    lemma_map = F.create_map(*[x for t, _, l in rows for x in (F.lit(t), F.lit(l))])
-    return pos_map, lemma_map
-
-
 def rule_pos(t: Column) -> Column:
     """Part of speech of a token missing from the lexicon."""
     return F.when(t.rlike(NUM_TOKEN), "NUM").when(t.rlike(SYM_TOKEN), "SYM").otherwise("NOUN")
@@ -108,16 +101,20 @@ def rule_pos(t: Column) -> Column:
 def tag_tokens(tokens: Column, lexicon: list[tuple[str, str, str]] | None = None) -> Column:
     """TOK-8/TOK-9 in-row: ``array<struct<tok,pos,lemma>>`` from a bounded lexicon.
 
-    The lexicon is a literal of bounded size (the default has ~160 rows), so
-    the lookup is a map expression inside the projection, not a join. A large
-    lexicon table goes through ``operators.lexicon.lexicon_join`` instead.
+    The lexicon is a literal list, so the lookup is an expression inside the
+    projection, not a join. Spark scans a map's keys one by one, but plans
+    ``isin`` over literals as a hash set: tokens that the lexicon lacks (nearly
+    all) never reach the map, which has one value with both fields. A lexicon
+    *table* goes through ``operators.lexicon.tag_tokens_table`` instead.
     """
-    pos_map, lemma_map = _lexicon_maps(lexicon)
-    return F.transform(tokens, lambda t: F.struct(
-        t.alias("tok"),
-        F.coalesce(F.element_at(pos_map, t), rule_pos(t)).alias("pos"),
-        F.coalesce(F.element_at(lemma_map, t), t).alias("lemma"),
-    ))
+    rows = list(lexicon if lexicon is not None else default_lexicon())
+    if not rows:
+        return F.transform(tokens, lambda t: F.struct(t.alias("tok"), rule_pos(t).alias("pos"), t.alias("lemma")))
+    known = sorted({t for t, _, _ in rows})
+    entries = F.create_map(*[x for t, p, l in dict((r[0], r) for r in rows).values() for x in (
+        F.lit(t), F.struct(F.lit(t).alias("tok"), F.lit(p).alias("pos"), F.lit(l).alias("lemma")))])
+    return F.transform(tokens, lambda t: F.when(t.isin(known), F.element_at(entries, t)).otherwise(
+        F.struct(t.alias("tok"), rule_pos(t).alias("pos"), t.alias("lemma"))))
 
 
 def filter_pos(tagged: Column, keep: Iterable[str]) -> Column:
@@ -131,19 +128,6 @@ def lemmas(tagged: Column) -> Column:
     return F.transform(tagged, lambda x: x["lemma"])
 
 
-def penn_tags(tagged: Column) -> Column:
-    """A Penn-style tag for each tagged token (input of TOK-10)."""
-    m = F.create_map(*[x for k, v in PENN_OF_POS.items() for x in (F.lit(k), F.lit(v))])
-    return F.transform(tagged, lambda x: F.coalesce(F.element_at(m, x["pos"]), F.lit("NN")))
-
-
 def rejoin_tokens(tokens: Column) -> Column:
     """TOK-11: order and multiplicity kept."""
     return F.array_join(tokens, " ")
-
-
-def encode_ids(tokens: Column, vocab_map: Column, max_length: int) -> Column:
-    """TOK-15 tail: ids (unknown -> 1) truncated/padded with 0 to ``max_length``."""
-    ids = F.transform(F.slice(tokens, 1, max_length), lambda t: F.coalesce(F.element_at(vocab_map, t), F.lit(1)))
-    pad = F.array_repeat(F.lit(0), F.lit(max_length) - F.size(ids))
-    return F.concat(ids, pad)

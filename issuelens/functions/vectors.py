@@ -7,13 +7,14 @@ gives one gram). ``cos(a, b) = sum(cnt_a * cnt_b) / sqrt(|a|^2 * |b|^2)``,
 quotient is one IEEE expression, so every engine computes identical bits and
 orderings agree without rounding.
 
-Scoring against a keyword set is an in-row expression: keyword sets are small
-literals (checked by ``MAX_KEYWORD_GRAMS``), so each term is scored by a map
-lookup per gram, with no join and no shuffle.
+Scoring against a keyword set is an in-row expression: the keyword list is one
+literal, so each term is scored by a map lookup per gram, with no join and no
+shuffle, whatever the number of keywords.
 """
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Sequence
 from math import sqrt
@@ -21,8 +22,6 @@ from math import sqrt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Literal keyword sets larger than this go through a join instead.
-MAX_KEYWORD_GRAMS = 20000
 SIM_DECIMALS = 9
 
 
@@ -53,8 +52,6 @@ class KeywordSet:
             raise ValueError("empty keyword set")
         counts = [Counter(py_char_grams(kw)) for _, _, kw in self.flat]
         grams = sorted(set().union(*counts))
-        if len(grams) * len(self.flat) > MAX_KEYWORD_GRAMS:
-            raise ValueError("keyword set too large for in-row scoring; use a join")
         self.norm2 = [sum(v * v for v in c.values()) for c in counts]
         # gram -> per-keyword counts (dense over all keywords of all groups)
         self.gram_counts = {g: [c.get(g, 0) for c in counts] for g in grams}
@@ -65,20 +62,21 @@ class KeywordSet:
             pos += len(kws)
 
     def _gram_map(self) -> Column:
-        """Two-level literal map: first character -> (gram -> per-keyword counts).
+        """Two-level literal map: first two characters -> (gram -> per-keyword counts).
 
         Spark looks up a literal map by scanning its keys, so splitting by the
-        first character cuts a lookup from all keyword grams to a few dozen.
+        first characters cuts a lookup from all keyword grams to a few. The map
+        is one JSON literal that Catalyst folds, so a plan with thousands of
+        keywords has no more nodes than one with ten.
         """
-        by_first: dict[str, list[tuple[str, list[int]]]] = {}
+        by_first: dict[str, dict[str, list[int]]] = {}
         for g, v in self.gram_counts.items():
-            by_first.setdefault(g[0], []).append((g, v))
-        return F.create_map(*[x for c, items in sorted(by_first.items()) for x in (
-            F.lit(c), F.create_map(*[y for g, v in items for y in (F.lit(g), F.array(*[F.lit(n) for n in v]))]))])
+            by_first.setdefault(g[:2], {})[g] = v
+        return F.from_json(F.lit(json.dumps(by_first)), "map<string,map<string,array<int>>>")
 
     @staticmethod
     def _lookup(gmap: Column, gram: Column) -> Column:
-        return F.element_at(F.element_at(gmap, F.substring(gram, 1, 1)), gram)
+        return F.element_at(F.element_at(gmap, F.substring(gram, 1, 2)), gram)
 
     def sims_of(self, terms: Column) -> Column:
         """``array<array<double>>``: per term, the rounded cosine to every keyword.
@@ -89,16 +87,19 @@ class KeywordSet:
         each element, which turns a linear scorer quadratic.
         """
         k = len(self.flat)
-        zeros = F.array(*[F.lit(0) for _ in range(k)])
+        zeros = F.array_repeat(F.lit(0), k)
         gmap = self._gram_map()
-        kn = F.array(*[F.lit(n) for n in self.norm2])
+        known = list(self.gram_counts)
+        kn = F.from_json(F.lit(json.dumps(self.norm2)), "array<int>")
         with_grams = F.transform(terms, lambda t: char_grams(t))
 
         def add_hit(acc, x):
-            # a gram no keyword holds (the common case) leaves the accumulator
-            # as it is; only a hit is looked up twice and allocates
-            return F.when(self._lookup(gmap, x).isNull(), acc).otherwise(
-                F.zip_with(acc, self._lookup(gmap, x), lambda a, b: a + b))
+            return F.zip_with(acc, self._lookup(gmap, x), lambda a, b: a + b)
+
+        def hits(g):
+            # `isin` is a hash set: a gram that no keyword holds (the common
+            # case) reaches neither the map nor the accumulator
+            return F.filter(g, lambda x: x.isin(known))
 
         def norm2(g):
             # without repeated grams the squared norm is the gram count
@@ -106,7 +107,7 @@ class KeywordSet:
                 F.aggregate(g, F.lit(0).cast("long"), lambda acc, x: acc + F.size(F.filter(g, lambda h: h == x))))
 
         stats = F.transform(with_grams, lambda g: F.struct(
-            F.aggregate(g, zeros, add_hit).alias("dots"), norm2(g).alias("n2")))
+            F.aggregate(hits(g), zeros, add_hit).alias("dots"), norm2(g).alias("n2")))
         # integer dot products and one IEEE formula: the same bits in every engine,
         # so no rounding is needed before ordering
         return F.transform(stats, lambda st: F.zip_with(st["dots"], kn, lambda d, m: (
@@ -123,7 +124,7 @@ class KeywordSet:
         Order: similarity descending, then list position ascending.
         """
         start, n = self.offsets[group]
-        kws = F.array(*[F.lit(kw) for kw in self.groups[group]])
+        kws = F.from_json(F.lit(json.dumps(self.groups[group])), "array<string>")
         return bind(sims, lambda s: F.array_max(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(
             F.element_at(s, j + start + 1).alias("sim"), (-j).alias("nkid"),
             F.element_at(kws, j + 1).alias("keyword")))))

@@ -16,9 +16,9 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterable, Sequence
-from math import sqrt
 
 import numpy as np
 import pandas as pd
@@ -104,7 +104,8 @@ def drop_banned_grams(phrases: DataFrame, banned: Iterable[str], phrase_col: str
 
 # -- KEY-9 ---------------------------------------------------------------------------------
 
-MAX_FUZZY_KEYWORD_LEN = 62
+#: Characters that the 64-bit recurrence holds; a longer keyword goes through the plain table.
+WORD_BITS = 62
 
 
 def _lcs_len(term: Column, keyword: str) -> Column:
@@ -113,12 +114,14 @@ def _lcs_len(term: Column, keyword: str) -> Column:
     Bit-parallel recurrence over the characters of ``term``:
     ``U = V & M[c]; V = ((V + U) | (V - U)) & mask``, starting from all ones;
     the LCS length is the number of zero bits among the keyword's ``m`` bits.
+    A keyword of more than ``WORD_BITS`` characters uses the table of the
+    recurrence itself, one row at a time.
     """
     m = len(keyword)
     if m == 0:
         return F.lit(0)
-    if m > MAX_FUZZY_KEYWORD_LEN:
-        raise ValueError("keyword too long for the 64-bit LCS recurrence")
+    if m > WORD_BITS:
+        return _lcs_table(term, keyword)
     masks: dict[str, int] = {}
     for i, ch in enumerate(keyword):
         masks[ch] = masks.get(ch, 0) | (1 << i)
@@ -130,6 +133,26 @@ def _lcs_len(term: Column, keyword: str) -> Column:
     return F.lit(m) - F.bit_count(v)
 
 
+def _lcs_table(term: Column, keyword: str) -> Column:
+    """LCS length by rows of the dynamic-programming table, one per character of ``term``.
+
+    ``row[j]`` is the LCS length with the first j keyword characters. The new
+    row is the running maximum of ``row[j]`` and, where character j matches,
+    ``row[j - 1] + 1``.
+    """
+    letters = F.from_json(F.lit(json.dumps(list(keyword))), "array<string>")
+    m = len(keyword)
+
+    def step(row, c):
+        prev = F.concat(F.array(F.lit(0)), F.slice(row, 1, m - 1))
+        took = F.zip_with(F.zip_with(letters, prev, lambda k, p: F.when(k == c, p + 1).otherwise(F.lit(0))), row, F.greatest)
+        return F.aggregate(took, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.greatest(
+            x, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))))))
+
+    chars = F.filter(F.split(term, ""), lambda c: c != "")
+    return F.element_at(F.aggregate(chars, F.array_repeat(F.lit(0), m), step), m)
+
+
 def _lcs_step(v: Column, match: Column, full: int) -> Column:
     u = v.bitwiseAND(match)
     return ((v + u).bitwiseOR(v - u)).bitwiseAND(F.lit(full).cast("long"))
@@ -190,34 +213,18 @@ def score_candidates(terms: DataFrame, known: Sequence[str], term_col: str = "ph
 
 
 def pick_new_seeds(scored: DataFrame, known: Sequence[str], k: int = fixed.NEW_SEEDS,
-                   term_col: str = "phrase") -> DataFrame:
-    """KEY-11: the ``k`` best terms not yet known, by (rounded score desc, term)."""
-    fresh = scored.filter(~F.col(term_col).isin(list(known)))
+                   term_col: str = "phrase", distinct: bool = True) -> DataFrame:
+    """KEY-11: the ``k`` best terms, by (rounded score desc, term).
+
+    ``distinct`` leaves out the known ones and repeats; without it they compete
+    like any other row, so a term may be picked again.
+    """
+    fresh = scored.filter(~F.col(term_col).isin(list(known))).dropDuplicates([term_col]) if distinct else scored
     return rank_top(fresh, "score", term_col, k)
 
 
 # -- KEY-5, KEY-6, KEY-7 ---------------------------------------------------------------------------
 
-def _unit_grams(word: str, cache: dict) -> dict:
-    v = cache.get(word)
-    if v is None:
-        c = Counter(py_char_grams(word))
-        nrm = sqrt(sum(x * x for x in c.values()))
-        v = {g: x / nrm for g, x in c.items()}
-        cache[word] = v
-    return v
-
-
-def _mean(vectors: list[dict], weights: list[float] | None = None) -> dict:
-    out: dict[str, float] = {}
-    weights = weights or [1.0] * len(vectors)
-    for v, w in zip(vectors, weights):
-        for g, x in v.items():
-            out[g] = out.get(g, 0.0) + w * x
-    tot = sum(weights) or 1.0
-    return {g: x / tot for g, x in out.items()}
-
-
 def _word_entry(word: str, cache: dict) -> tuple[list[str], np.ndarray]:
     """Trigram keys and unit weights of one word (memoised per task)."""
     e = cache.get(word)
@@ -328,7 +335,8 @@ def mmr_select(tokens: list[str], n: int, top_n: int, diversity: float,
     return [(r + 1, cands[i], float(rel[i])) for r, i in enumerate(chosen)]
 
 
-MMR_SCHEMA = "doc_id long, rank int, phrase string, relevance double"
+#: Words whose trigrams a task remembers.
+CACHED_WORDS = 100_000
 
 
 def mmr_keywords(docs: DataFrame, tokens_col: str, id_col: str = "doc_id", *, n: int = 1,
@@ -346,12 +354,15 @@ def mmr_keywords(docs: DataFrame, tokens_col: str, id_col: str = "doc_id", *, n:
         for pdf in batches:
             rows = []
             for did, toks in zip(pdf["doc_id"], pdf["tokens"]):
+                if len(cache) > CACHED_WORDS:
+                    cache.clear()
                 for rank, phrase, rel in mmr_select(list(toks), n, top_n, diversity, seeds, cache):
-                    rows.append((int(did), rank, phrase, float(rel)))
+                    rows.append((did, rank, phrase, float(rel)))
             yield pd.DataFrame(rows, columns=["doc_id", "rank", "phrase", "relevance"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(tokens_col).alias("tokens"))
-    out = src.mapInPandas(run, MMR_SCHEMA)
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(tokens_col).alias("tokens"))
+    out = src.mapInPandas(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, rank int, phrase string, "
+                               "relevance double")
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
 
 
