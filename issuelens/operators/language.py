@@ -6,21 +6,18 @@ gram the profile never saw contributes ``ln(1 / (total_lang + V))``. The
 profile is stored as ``delta = log p - unseen_lang`` so that only seen grams
 need to be joined: ``score = n_grams * unseen_lang + sum(cnt * delta)``.
 
-The profile has (languages x distinct trigrams) rows; it is broadcast only
-after its row count is checked, else joined by shuffle.
+The profile has (languages x distinct trigrams) rows; the planner sizes its join.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from issuelens.functions.vectors import bind
-from issuelens.operators.lexicon import bounded_broadcast
+from issuelens.session import ensure_checkpoint_dir
 
 
 def letters_only(text: Column) -> Column:
@@ -37,16 +34,15 @@ def doc_trigrams(df: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     return df.select(id_col, F.explode(grams).alias("gram"))
 
 
-def train_profile(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                  id_col: str = "doc_id") -> tuple[DataFrame, dict[str, float]]:
+def train_profile(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, dict[str, float]]:
     """Returns ``(profile(lang, gram, delta), unseen {lang: ln(1 / (total + V))})``.
 
     ``delta = log p - unseen = ln(cnt + 1)``. The unseen map has one entry per
     language (a bounded, tiny result brought to the driver).
     """
-    occ = doc_trigrams(df.select(id_col, text_col), text_col, id_col).join(df.select(id_col, lang_col), id_col)
-    # read three times below (V, totals, profile): keep it (recomputable on loss)
-    counts = occ.groupBy(lang_col, "gram").agg(F.count(F.lit(1)).alias("cnt")).persist(StorageLevel.MEMORY_AND_DISK)
+    occ = doc_trigrams(df, text_col, lang_col)  # the language goes through the explode, so nothing is joined back
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = occ.groupBy(lang_col, "gram").agg(F.count(F.lit(1)).alias("cnt")).checkpoint()
     v = counts.select("gram").distinct().count()
     totals = counts.groupBy(lang_col).agg(F.sum("cnt").alias("total")).collect()
     unseen = {r[lang_col]: -math.log(r["total"] + v) for r in totals}
@@ -66,7 +62,7 @@ def detect_language(df: DataFrame, profile: DataFrame, unseen: dict[str, float],
     n = occ.groupBy(id_col).agg(F.sum("cnt").alias("n"))
     langs = F.array(*[F.struct(F.lit(k).alias(lang_col), F.lit(v).alias("unseen")) for k, v in sorted(unseen.items())])
     base = n.select(id_col, "n", F.inline(langs))
-    part = occ.join(bounded_broadcast(profile), "gram").groupBy(id_col, lang_col).agg(
+    part = occ.join(profile, "gram").groupBy(id_col, lang_col).agg(
         F.sum(F.col("cnt") * F.col("delta")).alias("s"))
     scored = base.join(part, [id_col, lang_col], "left").select(
         id_col, lang_col, F.round(F.col("n") * F.col("unseen") + F.coalesce(F.col("s"), F.lit(0.0)), 9).alias("score"))

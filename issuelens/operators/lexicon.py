@@ -2,9 +2,8 @@
 
 The in-row path (``functions.tokens.tag_tokens``) serves bounded literal
 lexicons. This module serves a lexicon given as a DataFrame of any size:
-tokens are exploded to ``(doc_id, pos, token)`` and joined. The lexicon side is
-broadcast only after its row count is checked against ``MAX_BROADCAST_ROWS``;
-a larger one is left to the planner (shuffle join, AQE skew handling).
+tokens are exploded to ``(doc_id, pos, token)`` and joined; the planner sizes the
+join (and AQE splits a frequent token's partition).
 """
 
 from __future__ import annotations
@@ -15,8 +14,6 @@ from pyspark.sql import functions as F
 from issuelens import fixed
 from issuelens.functions import tokens as K
 
-MAX_BROADCAST_ROWS = 2_000_000
-
 
 def lexicon_df(spark: SparkSession, rows=None) -> DataFrame:
     """The lexicon table ``(token, lex_pos, lex_lemma)``; default rows from ``fixed``."""
@@ -24,12 +21,6 @@ def lexicon_df(spark: SparkSession, rows=None) -> DataFrame:
     return spark.createDataFrame(rows, "token string, lex_pos string, lex_lemma string")
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` only if its row count is proven below ``max_rows``."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def explode_tokens(df: DataFrame, text_col: str, id_col: str = "doc_id") -> DataFrame:
     """``(doc_id, pos int 0-based, token)`` from lower-cased TOK-3 tokens."""
     return df.select(id_col, F.posexplode(K.tokenize_words(F.lower(F.col(text_col)))).alias("pos", "token"))
@@ -37,7 +28,7 @@ def explode_tokens(df: DataFrame, text_col: str, id_col: str = "doc_id") -> Data
 
 def lexicon_join(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """JOIN-1: left join; unknown tokens are tagged by rule and are their own lemma."""
-    j = tokens.join(bounded_broadcast(lexicon), "token", "left")
+    j = tokens.join(lexicon, "token", "left")
     return (j.withColumn("tag", F.coalesce(F.col("lex_pos"), K.rule_pos(F.col("token"))))
              .withColumn("lemma", F.coalesce(F.col("lex_lemma"), F.col("token")))
              .drop("lex_pos", "lex_lemma"))
@@ -48,6 +39,22 @@ def filter_pos(tagged: DataFrame, keep) -> DataFrame:
     return tagged.filter(F.col("tag").isin(list(keep)))
 
 
+def tag_tokens_table(df: DataFrame, tokens_col: str, lexicon: DataFrame, out: str = "tagged") -> DataFrame:
+    """TOK-8/TOK-9 against a lexicon table: adds ``array<struct<tok,pos,lemma>>`` like ``functions.tokens.tag_tokens``.
+
+    Tokens are joined with their places and come back as one array per row, as
+    long as the row's own tokens. Rows are told apart by a key of their own.
+    """
+    keyed = df.withColumn("_row", F.monotonically_increasing_id())
+    toks = keyed.select("_row", F.posexplode(tokens_col).alias("_at", "token"))
+    one = F.struct("_at", F.col("token").alias("tok"), F.coalesce("lex_pos", K.rule_pos(F.col("token"))).alias("pos"),
+                   F.coalesce("lex_lemma", "token").alias("lemma"))
+    found = toks.join(lexicon, "token", "left").groupBy("_row").agg(F.sort_array(F.collect_list(one)).alias("_found"))
+    tagged = F.transform("_found", lambda x: F.struct(x["tok"], x["pos"], x["lemma"]))
+    empty = F.array().cast("array<struct<tok:string,pos:string,lemma:string>>")
+    return keyed.join(found, "_row", "left").withColumn(out, F.coalesce(tagged, empty)).drop("_row", "_found")
+
+
 def penn_tag(tag: Column) -> Column:
     m = F.create_map(*[x for k, v in fixed.PENN_OF_POS.items() for x in (F.lit(k), F.lit(v))])
     return F.coalesce(F.element_at(m, tag), F.lit("NN"))

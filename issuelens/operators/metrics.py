@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from issuelens import fixed
 
-MAX_LABEL_DOMAIN = 100_000
-
 
 def encode_label_fixed(df: DataFrame, label_col: str = "label", out: str = "label") -> DataFrame:
     """PRJ-6: ``Non-ATD`` -> 0, ``ATD`` -> 1, anything else -> null."""
@@ -27,7 +25,7 @@ def encode_label_fixed(df: DataFrame, label_col: str = "label", out: str = "labe
 
 def require_codes(df: DataFrame, col: str) -> DataFrame:
     """Guard for PRJ-6: fail if any label did not encode."""
-    if not df.filter(F.col(col).isNull()).limit(1).rdd.isEmpty():
+    if not df.filter(F.col(col).isNull()).isEmpty():
         raise ValueError(f"unknown label value in column {col!r}")
     return df
 
@@ -35,16 +33,14 @@ def require_codes(df: DataFrame, col: str) -> DataFrame:
 def encode_label_first_seen(df: DataFrame, label_col: str, order_col: str, out: str = "code") -> DataFrame:
     """PRJ-7: code labels 0, 1, ... by first appearance along ``order_col``.
 
-    ``groupBy(label).min(order)`` is a partial aggregate whose output has one row
-    per distinct label; its size is checked before the ranking window (one
-    partition) and the broadcast join back.
+    ``groupBy(label).min(order)`` is a partial aggregate with one row per distinct
+    label. Codes are consecutive, so these rows (and only they) are ranked in one
+    window; the planner sizes the join back.
     """
     firsts = df.groupBy(label_col).agg(F.min(order_col).alias("_first"))
-    if firsts.count() > MAX_LABEL_DOMAIN:
-        raise ValueError("label domain too large for first-seen encoding")
     codes = firsts.select(label_col, (F.row_number().over(Window.orderBy("_first", label_col)) - 1)
                           .cast("int").alias(out))
-    return df.join(F.broadcast(codes), label_col)
+    return df.join(codes, label_col)
 
 
 def label_variant(df: DataFrame, variant: str, label_col: str = "label") -> DataFrame:

@@ -4,19 +4,18 @@ Every row gets a rank key ``(md5(seed || ':' || id), id)``: the same inputs
 give the same split whatever the partitioning, and the DuckDB oracle computes
 the same key.
 
-Exact selection of the ``quota`` smallest keys per group never sorts a whole
-group in one task. It narrows down by histograms of the hash prefix:
-
-1. 4096 buckets on the first 12 bits: one partial aggregate (groups x 4096 rows);
-   cumulative counts on that tiny table find, per group, the bucket holding
-   the quota-th key;
-2. 4096 sub-buckets on the next 12 bits, counted only inside that bucket;
-3. only the rows of the final sub-bucket (about group/16.7M rows) are ranked
-   exactly with a window.
-
-Rows in lower buckets are selected, rows in higher ones are not. Ordering by
-hex prefix equals ordering by the md5 string, so the result is the exact
-``row_number() <= quota``.
+Exact selection of the ``quota`` smallest keys per group finds the boundary
+key of each group and compares every row with it:
+
+1. a histogram of the first ``PREFIX_DIGITS`` digits of the hash per group (partial
+   aggregates) gives the bucket that holds the quota-th key;
+2. only the rows of that bucket (a 65,536th of the group) are ranked, which gives
+   the boundary key ``(hash, id)``;
+3. a row is selected if its key is not above its group's boundary.
+
+That is three scans of the input, two of which read the id and the group only.
+The group tables are joined by the planner's choice, never under a broadcast
+hint, and rows are never joined with themselves.
 """
 
 from __future__ import annotations
@@ -29,7 +28,8 @@ from pyspark.sql import functions as F
 from issuelens import fixed
 from issuelens.functions.tokens import split_words
 
-_B = 4096
+#: Hash bits of the histogram, in hexadecimal digits of four bits.
+PREFIX_DIGITS = 4
 
 
 def rank_hash(id_col: str, seed: int) -> Column:
@@ -43,52 +43,41 @@ def filter_token_len(df: DataFrame, text_col: str, lo: int = fixed.TOKEN_MIN_EXC
     return df.filter((n > lo) & (n < hi))
 
 
-def _prefix(h: Column, start: int) -> Column:
-    return F.conv(F.substring(h, start, 3), 16, 10).cast("int")
+def boundaries(keys: DataFrame, quotas: DataFrame, g: str, id_col: str) -> DataFrame:
+    """``(g, quota, last_h, last_id)``: the quota-th smallest key of each group.
+
+    A quota past the group's end has null keys (all rows are in), one of 0 too.
+    """
+    bucket = F.substring("_h", 1, PREFIX_DIGITS)
+    hist = keys.groupBy(g, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    run = Window.partitionBy(g).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    upto = hist.withColumn("_upto", F.sum("_n").over(run)).join(quotas, g)
+    edge = (upto.where((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
+            .select(g, "_b", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_need")))
+    inner = keys.withColumn("_b", bucket).join(edge, [g, "_b"])
+    rank = F.row_number().over(Window.partitionBy(g).orderBy("_h", id_col))
+    last = (inner.withColumn("_rk", rank).where(F.col("_rk") == F.col("_need"))
+            .select(g, F.col("_h").alias("_last_h"), F.col(id_col).alias("_last_id")))
+    return quotas.join(last, g, "left")
 
 
 def select_smallest(df: DataFrame, quotas: DataFrame, id_col: str, seed: int,
                     group_col: str | None = None, out: str = "selected") -> DataFrame:
     """Flag, per group, the ``quota`` rows with the smallest ``(md5, id)`` key.
 
-    ``quotas`` holds ``(group_col, quota)`` (one row per group; a bounded, tiny
-    table that is broadcast) or a single ``quota`` row when ``group_col`` is None.
+    ``quotas`` holds ``(group_col, quota)``, or a single ``quota`` row when
+    ``group_col`` is None. Rows of groups without a quota are left out. Rows that
+    repeat an id share its key and are selected together.
     """
     g = group_col or "_g"
     base = df if group_col else df.withColumn("_g", F.lit(0))
-    q = quotas if group_col else quotas.withColumn("_g", F.lit(0))
-    q = F.broadcast(q.select(g, F.col("quota").cast("long").alias("_quota")))
-    h = base.withColumn("_h", rank_hash(id_col, seed))
-    h = h.withColumn("_b1", _prefix(F.col("_h"), 1)).withColumn("_b2", _prefix(F.col("_h"), 4))
-
-    def boundary(hist: DataFrame, bcol: str, need: str) -> DataFrame:
-        w = Window.partitionBy(g).orderBy(bcol).rowsBetween(Window.unboundedPreceding, 0)
-        c = hist.withColumn("_incl", F.sum("n").over(w)).withColumn("_before", F.col("_incl") - F.col("n"))
-        hit = c.filter((F.col("_before") < F.col(need)) & (F.col("_incl") >= F.col(need)))
-        return hit.select(g, F.col(bcol).alias(bcol + "_star"), (F.col(need) - F.col("_before")).alias(need + "_rest"))
-
-    hist1 = h.groupBy(g, "_b1").agg(F.count(F.lit(1)).alias("n")).join(q, g)
-    b1 = F.broadcast(boundary(hist1, "_b1", "_quota"))
-    h = h.join(b1, g, "left")
-    hist2 = (h.filter(F.col("_b1") == F.col("_b1_star")).groupBy(g, "_b2")
-             .agg(F.count(F.lit(1)).alias("n")).join(b1.select(g, "_quota_rest"), g))
-    b2 = F.broadcast(boundary(hist2, "_b2", "_quota_rest"))
-    h = h.join(b2, g, "left")
-    lower = (F.col("_b1") < F.col("_b1_star")) | (
-        (F.col("_b1") == F.col("_b1_star")) & (F.col("_b2") < F.col("_b2_star")))
-    edge = (F.col("_b1") == F.col("_b1_star")) & (F.col("_b2") == F.col("_b2_star"))
-    # groups whose quota reaches past the last row have no boundary: take all
-    # rows when the quota covers the group, none when the quota is 0
-    h = h.join(q, g)
-    inner = h.filter(edge)
-    ranked = inner.withColumn("_rk", F.row_number().over(Window.partitionBy(g).orderBy("_h", id_col)))
-    edge_sel = ranked.filter(F.col("_rk") <= F.col("_quota_rest_rest")).select(g, id_col, F.lit(True).alias("_e"))
-    h = h.join(edge_sel, [g, id_col], "left")
-    sel = F.when(F.col("_b1_star").isNull(), F.col("_quota") > 0).otherwise(
-        lower | F.coalesce(F.col("_e"), F.lit(False)))
-    res = h.withColumn(out, sel)
-    return res.drop("_h", "_b1", "_b2", "_b1_star", "_b2_star", "_quota_rest", "_quota_rest_rest", "_quota",
-                    "_e", *([] if group_col else ["_g"]))
+    q = (quotas if group_col else quotas.withColumn("_g", F.lit(0))).select(g, F.col("quota").cast("long").alias("quota"))
+    keys = base.select(g, id_col, rank_hash(id_col, seed).alias("_h"))
+    last = boundaries(keys, q, g, id_col).withColumnRenamed("quota", "_quota")
+    h = base.withColumn("_h", rank_hash(id_col, seed)).join(last, g)
+    below = (F.col("_h") < F.col("_last_h")) | ((F.col("_h") == F.col("_last_h")) & (F.col(id_col) <= F.col("_last_id")))
+    picked = h.withColumn(out, F.when(F.col("_last_h").isNull(), F.col("_quota") > 0).otherwise(below))
+    return picked.drop("_h", "_last_h", "_last_id", "_quota", *([] if group_col else ["_g"]))
 
 
 def stratified_quotas(df: DataFrame, label_col: str, test_share: float | None = fixed.TEST_SHARE,
@@ -129,15 +118,8 @@ def random_split(df: DataFrame, id_col: str = "doc_id", *, test_share: float = f
 
 
 def sample_n(df: DataFrame, n: int, id_col: str = "doc_id", seed: int = fixed.SEED) -> DataFrame:
-    """SMP-3 / SMP-4 / QRY-1: ``n`` rows without replacement, reproducible.
-
-    A small ``n`` is a distributed top-k (TakeOrderedAndProject); a large one
-    goes through the histogram selection instead of a global sort.
-    """
-    if n <= 100_000:
-        key = rank_hash(id_col, seed)
-        return df.withColumn("_k", key).orderBy("_k", id_col).limit(n).drop("_k")
-    q = df.sparkSession.createDataFrame([(n,)], "quota long")
+    """SMP-3 / SMP-4 / QRY-1: ``n`` rows without replacement, reproducible, by the boundary selection for any ``n``."""
+    q = df.agg(F.lit(n).cast("long").alias("quota"))
     return select_smallest(df, q, id_col, seed, None, "_s").filter("_s").drop("_s")
 
 

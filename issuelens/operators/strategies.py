@@ -8,8 +8,9 @@ distributed top-k (``orderBy().limit()``), never a global sort.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -18,9 +19,12 @@ from pyspark.sql import functions as F
 from issuelens import fixed
 from issuelens.functions.vectors import bind, l2_normalise
 from issuelens.operators.sampling import sample_n
+from issuelens.session import ensure_checkpoint_dir
 
 KL_EPS = 1e-12
-MAX_NEIGHBOUR_ROWS = 200_000
+#: Neighbours that a task holds at a time, and rows that it compares with them at a time.
+NEIGHBOUR_BLOCK = 50_000
+ROW_BLOCK = 256
 
 
 def _top(df: DataFrame, score: Column, n: int, ascending: bool, id_col: str) -> DataFrame:
@@ -67,58 +71,73 @@ def query_entropy(unlabelled: DataFrame, n: int, id_col: str = "doc_id", p_col:
     return _top(unlabelled, entropy_score(F.col(p_col)), n, False, id_col)
 
 
-def _knn_kl(batches, nb_ids, nb_vecs, nb_p, k, id_col, emb_col, p_col, exclude_self):
-    for pdf in batches:
-        if pdf.empty:
+def _nearest(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k smallest finite distances of a row, by (distance, id)."""
+    at = np.flatnonzero(np.isfinite(dist))
+    if len(at) > k:
+        at = at[dist[at] <= np.partition(dist[at], k - 1)[k - 1]]  # ties at the k-th distance stay in
+    return at[np.lexsort((ids[at], dist[at]))][:k]
+
+
+def _merge_block(k: int, id_col: str, emb_col: str, block):
+    """Task body: each row's k nearest so far, after one block of neighbours."""
+    def run(batches):
+        nb_ids, nb_vecs, nb_p = block.value
+        for pdf in batches:
+            near = []
+            for a in range(0, len(pdf), ROW_BLOCK):
+                rows = pdf.iloc[a:a + ROW_BLOCK]
+                x = np.stack(rows[emb_col].to_numpy()).astype(np.float64)
+                nx = np.linalg.norm(x, axis=1, keepdims=True)
+                x = np.divide(x, nx, out=np.zeros_like(x), where=nx > 0)
+                d2 = (x * x).sum(1)[:, None] + (nb_vecs * nb_vecs).sum(1)[None, :] - 2.0 * x @ nb_vecs.T
+                dist = np.round(np.sqrt(np.maximum(d2, 0.0)), 9)
+                dist[rows[id_col].to_numpy()[:, None] == nb_ids[None, :]] = np.inf
+                for r, seen in enumerate(rows["near"]):
+                    own = [{"d": float(dist[r, j]), "i": nb_ids[j], "q": nb_p[j]} for j in _nearest(dist[r], nb_ids, k)]
+                    near.append(sorted([*seen, *own], key=lambda n: (n["d"], n["i"]))[:k])
+            yield pdf.assign(near=near)
+    return run
+
+
+def k_nearest(rows: DataFrame, neighbours: DataFrame, k: int, id_col: str, emb_col: str, p_col: str) -> DataFrame:
+    """JOIN-7: ``rows`` with ``near array<struct<d, i, q>>``, the k nearest neighbours of any number, exactly.
+
+    Neighbours go to the tasks in blocks of ``NEIGHBOUR_BLOCK`` and a row keeps
+    its best k between blocks, so neither the driver, a task nor the plan holds
+    more than a block; nothing is paired in a join. With several blocks the
+    state is written to the checkpoint folder after each.
+    """
+    kind = neighbours.schema[id_col].dataType.simpleString()
+    rows = rows.select(id_col, emb_col, p_col).withColumn(
+        "near", F.array().cast(f"array<struct<d:double,i:{kind},q:array<double>>>"))
+    unit = neighbours.select(id_col, l2_normalise(F.col(emb_col)).alias("e"), F.col(p_col).alias("q"))
+    blocks = -(-neighbours.count() // NEIGHBOUR_BLOCK)
+    sc = rows.sparkSession.sparkContext
+    for b in range(blocks):
+        part = unit.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b).toPandas()
+        if not len(part):
             continue
-        x = np.stack(pdf[emb_col].to_numpy()).astype(np.float64)
-        nx = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, nx, out=np.zeros_like(x), where=nx > 0)
-        d2 = (x * x).sum(1)[:, None] + (nb_vecs * nb_vecs).sum(1)[None, :] - 2.0 * x @ nb_vecs.T
-        dist = np.round(np.sqrt(np.maximum(d2, 0.0)), 9)
-        ids = pdf[id_col].to_numpy()
-        if exclude_self:
-            dist = np.where(ids[:, None] == nb_ids[None, :], np.inf, dist)
-        px = np.stack(pdf[p_col].to_numpy()).astype(np.float64)
-        out = np.empty(len(pdf))
-        for r in range(len(pdf)):
-            order = np.lexsort((nb_ids, dist[r]))
-            order = [j for j in order if np.isfinite(dist[r, j])][:k]
-            if not order:
-                out[r] = 0.0
-                continue
-            pn = nb_p[order]
-            q = np.maximum(px[r][None, :], KL_EPS)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                terms = np.where(pn > 0, pn * np.log(pn / q), 0.0)
-            out[r] = terms.sum(1).mean()
-        yield pd.DataFrame({id_col: ids, "score": out})
+        block = sc.broadcast((part[id_col].to_numpy(), np.stack(part["e"].to_numpy()).astype(np.float64),
+                              [list(map(float, q)) for q in part["q"]]))
+        rows = rows.mapInPandas(_merge_block(k, id_col, emb_col, block), rows.schema)
+        if blocks > 1:
+            ensure_checkpoint_dir(rows.sparkSession)
+            rows = rows.checkpoint()
+    return rows
 
 
 def contrastive_scores(unlabelled: DataFrame, neighbours: DataFrame, k: int = 10, id_col: str = "doc_id",
                        emb_col: str = "embedding", p_col: str = "p") -> DataFrame:
-    """JOIN-7 + KL: mean ``KL(p_neighbour || p_row)`` over the k nearest neighbours.
+    """JOIN-7 + KL: mean ``KL(p_neighbour || p_row)`` over the k nearest neighbours (0 without any)."""
+    near = k_nearest(unlabelled, neighbours, k, id_col, emb_col, p_col)
 
-    The neighbour pool (the labelled set, bounded by the labelling budget) is
-    collected after a checked row count and shipped to the tasks; every
-    partition of the unlabelled pool is scored with numpy in ``mapInPandas``.
-    Exact, no cross join in the plan and no pair rows.
-    """
-    n = neighbours.count()
-    if n > MAX_NEIGHBOUR_ROWS:
-        raise ValueError(f"neighbour pool of {n} rows exceeds the broadcast bound {MAX_NEIGHBOUR_ROWS}")
-    nb = neighbours.select(id_col, l2_normalise(F.col(emb_col)).alias("e"), F.col(p_col).alias("q")).toPandas()
-    nb_ids = nb[id_col].to_numpy() if n else np.zeros(0, dtype=np.int64)
-    dim = len(nb["e"].iloc[0]) if n else 0
-    nb_vecs = np.stack(nb["e"].to_numpy()).astype(np.float64) if n else np.zeros((0, dim))
-    nb_p = np.stack(nb["q"].to_numpy()).astype(np.float64) if n else np.zeros((0, 0))
-    sc = unlabelled.sparkSession.sparkContext
-    b_ids, b_vecs, b_p = sc.broadcast(nb_ids), sc.broadcast(nb_vecs), sc.broadcast(nb_p)
-
-    def run(batches):
-        yield from _knn_kl(batches, b_ids.value, b_vecs.value, b_p.value, k, id_col, emb_col, p_col, True)
+    def divergence(q: Column, p: Column) -> Column:
+        return F.aggregate(F.zip_with(q, p, lambda a, b: F.when(a > 0, a * F.log(a / F.greatest(b, F.lit(KL_EPS))))
+                                      .otherwise(0.0)), F.lit(0.0), lambda s, v: s + v)
 
-    return unlabelled.select(id_col, emb_col, p_col).mapInPandas(run, f"{id_col} long, score double")
+    total = F.aggregate("near", F.lit(0.0), lambda s, n: s + divergence(n["q"], F.col(p_col)))
+    return near.select(id_col, F.when(F.size("near") > 0, total / F.size("near")).otherwise(0.0).alias("score"))
 
 
 def query_contrastive(unlabelled: DataFrame, neighbours: DataFrame, n: int, k: int = 10,
@@ -138,21 +157,24 @@ def nearest_to_centroid(df: DataFrame, centres: list[list[float]], id_col: str =
                         emb_col: str = "embedding", cluster_col: str | None = None) -> DataFrame:
     """QRY-5 (pick): per centre, the row nearest to it (distance asc, id asc).
 
-    Rows are assigned to their nearest centre in-row (centres are a bounded
-    literal: one per query slot), then ``min_by`` per cluster is a partial
+    The centres are one literal. A row that knows its cluster is measured to that
+    centre alone, another one to all. ``min_by`` per cluster is a partial
     aggregate, so a big cluster is never gathered in one task.
     """
-    cs = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
-    dists = bind(l2_normalise(F.col(emb_col)), lambda xv: F.transform(cs, lambda c: F.sqrt(F.aggregate(
-        F.zip_with(c, xv, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))))
-    d = df.select(id_col, *([cluster_col] if cluster_col else []), dists.alias("_d"))
+    cs = F.from_json(F.lit(json.dumps([list(map(float, c)) for c in centres])), "array<array<double>>")
+
+    def distance(x: Column, c: Column) -> Column:
+        return F.sqrt(F.aggregate(F.zip_with(c, x, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+
+    unit = l2_normalise(F.col(emb_col))
     if cluster_col is None:
-        best = F.array_min(F.transform(F.col("_d"), lambda v, i: F.struct(F.round(v, 9).alias("d"), i.alias("c"))))
-        d = d.withColumn("_b", best).select(id_col, F.col("_b.c").alias("cluster"), F.col("_b.d").alias("dist"))
+        best = bind(unit, lambda x: F.array_min(F.transform(cs, lambda c, i: F.struct(
+            F.round(distance(x, c), 9).alias("d"), i.alias("c")))))
+        d = df.select(id_col, best.alias("_b")).select(id_col, F.col("_b.c").alias("cluster"), F.col("_b.d").alias("dist"))
     else:
-        d = d.select(
-            id_col, F.col(cluster_col).alias("cluster"),
-            F.round(F.element_at(F.col("_d"), F.col(cluster_col) + 1), 9).alias("dist"))
+        own = bind(F.struct(unit.alias("x"), F.element_at(cs, F.col(cluster_col) + 1).alias("c")),
+                   lambda s: distance(s["x"], s["c"]))
+        d = df.select(id_col, F.col(cluster_col).alias("cluster"), F.round(own, 9).alias("dist"))
     pick = F.min_by(F.struct(F.col(id_col), F.col("dist")), F.struct(F.col("dist"), F.col(id_col)))
     return d.groupBy("cluster").agg(pick.alias("b")).select(
         "cluster", F.col("b." + id_col).alias(id_col), F.col("b.dist").alias("dist"))

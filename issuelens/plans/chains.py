@@ -1,13 +1,17 @@
 """The four preprocessing chains, as ``Column -> array<string>`` expressions.
 
-Order matters and differs between chains; each function states its order.
-All of them are narrow projections (no shuffle), so they can run inside the
-scan stage of whatever job uses them.
+Order matters and differs between chains; each class states its order. A chain
+is the tokens *before* tagging, and the tokens made of the tagged ones *after*
+it. With a literal lexicon (or none) tagging is an expression too and the chain
+is a narrow projection; ``with_lexicon_table`` tags by a join instead.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from issuelens import fixed
@@ -15,49 +19,84 @@ from issuelens.functions import text as T
 from issuelens.functions import tokens as K
 
 
-def labelling_tokens(text: Column, lexicon=None, excluded=()) -> Column:
+@dataclass(frozen=True)
+class Chain:
+    before: Callable[[Column], Column]
+    after: Callable[[Column], Column]
+
+    def __call__(self, text: Column, lexicon=None) -> Column:
+        return self.after(K.tag_tokens(self.before(text), lexicon))
+
+    def with_lexicon_table(self, df: DataFrame, text: Column, lexicon: DataFrame, out: str = "tokens") -> DataFrame:
+        """``df`` with the chain's tokens, by a lexicon table ``(token, lex_pos, lex_lemma)`` of any size."""
+        from issuelens.operators.lexicon import tag_tokens_table
+        tagged = tag_tokens_table(df.withColumn("_toks", self.before(text)), "_toks", lexicon, "_tagged")
+        return tagged.withColumn(out, self.after(F.col("_tagged"))).drop("_toks", "_tagged")
+
+
+def labelling_chain(excluded=()) -> Chain:
     """``preprocess_labelling``: CLN-14 -> tokenise -> stop words on the surface
     form (``move`` whitelisted) -> drop punctuation -> POS in the six kept
     tags -> lemma -> TOK-4 on the lemma (and the excluded words)."""
-    toks = K.tokenize_words(T.clean_labelling(text))
-    toks = K.remove_stopwords(toks, K.stop_list(keep=fixed.STOPWORD_WHITELIST))
-    toks = K.drop_punct_chars(toks)
-    lem = K.lemmas(K.filter_pos(K.tag_tokens(toks, lexicon), fixed.POS_LABELLING))
-    lem = F.transform(lem, lambda t: F.trim(t))
     excluded = list(excluded)
-    if excluded:
-        lem = F.filter(lem, lambda t: ~t.isin(excluded))
-    return K.drop_punct_tokens(lem)
+
+    def before(text: Column) -> Column:
+        toks = K.tokenize_words(T.clean_labelling(text))
+        return K.drop_punct_chars(K.remove_stopwords(toks, K.stop_list(keep=fixed.STOPWORD_WHITELIST)))
+
+    def after(tagged: Column) -> Column:
+        lem = F.transform(K.lemmas(K.filter_pos(tagged, fixed.POS_LABELLING)), lambda t: F.trim(t))
+        if excluded:
+            lem = F.filter(lem, lambda t: ~t.isin(excluded))
+        return K.drop_punct_tokens(lem)
+
+    return Chain(before, after)
+
+
+def labelling_tokens(text: Column, lexicon=None, excluded=()) -> Column:
+    return labelling_chain(excluded)(text, lexicon)
+
+
+def _seed_after(tagged: Column) -> Column:
+    kept = F.filter(K.filter_pos(tagged, fixed.POS_SEED),
+                    lambda x: ~x["tok"].isin(fixed.ENGLISH_STOPWORDS) & x["tok"].rlike(K.ALPHA_TOKEN))
+    return K.lemmas(kept)
+
+
+#: ``preprocess_seed``: lower -> tokenise -> custom stop words -> POS in {NOUN, VERB, ADJ} -> English stop words ->
+#: alphabetic -> lemma.
+SEED_CHAIN = Chain(lambda text: K.remove_stopwords(K.tokenize_words(T.lowercase(text)), fixed.SEED_STOPWORDS), _seed_after)
 
 
 def seed_tokens(text: Column, lexicon=None) -> Column:
-    """``preprocess_seed``: lower -> tokenise -> custom stop words -> POS in
-    {NOUN, VERB, ADJ} -> English stop words -> alphabetic -> lemma."""
-    toks = K.tokenize_words(T.lowercase(text))
-    toks = K.remove_stopwords(toks, fixed.SEED_STOPWORDS)
-    tagged = K.filter_pos(K.tag_tokens(toks, lexicon), fixed.POS_SEED)
-    tagged = F.filter(tagged, lambda x: ~x["tok"].isin(fixed.ENGLISH_STOPWORDS) & x["tok"].rlike(K.ALPHA_TOKEN))
-    return K.lemmas(tagged)
+    return SEED_CHAIN(text, lexicon)
 
 
 def mmr_stopwords() -> list[str]:
     return K.stop_list(extra=fixed.MMR_STOPWORDS)
 
 
+#: ``preprocess_keybert``: null -> 'nan', lower -> tokenise -> TOK-4 -> lemma -> stop words on the lower-cased lemma
+#: (English + additional).
+KEYBERT_CHAIN = Chain(lambda text: K.drop_punct_tokens(K.tokenize_words(T.lowercase(T.null_text(text, "nan")))),
+                      lambda tagged: K.remove_stopwords(K.lemmas(tagged), mmr_stopwords(), case_insensitive=True))
+
+
 def keybert_tokens(text: Column, lexicon=None) -> Column:
-    """``preprocess_keybert``: null -> 'nan', lower -> tokenise -> TOK-4 ->
-    lemma -> stop words on the lower-cased lemma (English + additional)."""
-    toks = K.tokenize_words(T.lowercase(T.null_text(text, "nan")))
-    toks = F.filter(toks, lambda t: ~F.lit(fixed.PUNCT).contains(t))
-    lem = K.lemmas(K.tag_tokens(toks, lexicon))
-    return K.remove_stopwords(lem, mmr_stopwords(), case_insensitive=True)
+    return KEYBERT_CHAIN(text, lexicon)
 
 
-def tfidf_tokens(text: Column, is_english: Column, lexicon=None) -> Column:
+def tfidf_chain(is_english: Column) -> Chain:
     """``preprocess_tfidf``: null -> 'nan' -> language gate (non-English -> no
     tokens) -> CLN-16 -> tokenise -> stop words (English + project names) on
     the surface form -> lemma. FLT-2 (drop empty) is applied by the caller."""
-    toks = K.tokenize_words(T.clean_ascii(T.null_text(text, "nan")))
-    toks = K.remove_stopwords(toks, K.stop_list(extra=fixed.TFIDF_PROJECT_STOPWORDS))
-    lem = K.lemmas(K.tag_tokens(toks, lexicon))
-    return F.when(F.coalesce(is_english, F.lit(False)), lem).otherwise(F.array().cast("array<string>"))
+    def before(text: Column) -> Column:
+        toks = K.tokenize_words(T.clean_ascii(T.null_text(text, "nan")))
+        toks = K.remove_stopwords(toks, K.stop_list(extra=fixed.TFIDF_PROJECT_STOPWORDS))
+        return F.when(F.coalesce(is_english, F.lit(False)), toks).otherwise(F.array().cast("array<string>"))
+
+    return Chain(before, K.lemmas)
+
+
+def tfidf_tokens(text: Column, is_english: Column, lexicon=None) -> Column:
+    return tfidf_chain(is_english)(text, lexicon)

@@ -12,24 +12,18 @@ from issuelens.operators import labelling as L
 from issuelens.plans import chains as C
 from issuelens.plans import oracle as O
 from issuelens.plans.catalog import query, round_doubles
-from issuelens.plans.partitioning import spread
-from issuelens.plans.q_text import _lex_join_sql, tfidf_tokens_sql
+from issuelens.plans.q_text import _lex_join_sql, ngram_rows_sql, tfidf_tokens_sql
 from issuelens.sources import tables
 
 _TFIDF_STOP = sorted(set(fixed.ENGLISH_STOPWORDS))
 
 
-def _ngram_sql(arr: str, n: int) -> str:
-    return (f"list_transform(range(1, len({arr}) - {n} + 2), "
-            f"lambda i: array_to_string({arr}[i:i + {n - 1}], ' '))")
-
-
 @query("tfidf_top_terms", f"""WITH {tfidf_tokens_sql()},
 pre AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY pos) AS t FROM tt GROUP BY doc_id),
 nd AS (SELECT count(*) AS big_n FROM pre),
 toks AS (SELECT doc_id, list_filter(regexp_extract_all(t, {O.lit(KW.TFIDF_TOKEN)}),
   lambda x: x NOT IN {O.str_list(_TFIDF_STOP)}) AS a FROM pre),
-occ AS (SELECT doc_id, unnest({_ngram_sql('a', 3)}) AS gram FROM toks),
+occ AS (SELECT doc_id, gram FROM ({ngram_rows_sql('toks', 3)})),
 vocab AS (SELECT gram FROM occ GROUP BY gram ORDER BY count(*) DESC, gram LIMIT {fixed.MAX_FEATURES}),
 tf AS (SELECT doc_id, gram, count(*) AS tf FROM occ WHERE gram IN (SELECT gram FROM vocab) GROUP BY doc_id, gram),
 dfq AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram),
@@ -42,7 +36,7 @@ SELECT gram, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(sc
 FROM sc ORDER BY round(score, 9) DESC, gram LIMIT {fixed.TOP_N_TERMS}""")
 def tfidf_top_terms(spark, sf):
     """KEY-1 on the TF-IDF chain (language gate from ``documents.lang``)."""
-    d = spread(tables.table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    d = tables.table(spark, sf, "documents").select("doc_id", "text", "lang")
     pre = d.select("doc_id", K.rejoin_tokens(C.tfidf_tokens(F.col("text"), F.col("lang") == "en")).alias("preprocessed"))
     pre = pre.filter(F.col("preprocessed") != "")
     return round_doubles(KW.tfidf_top_terms(pre, "preprocessed"))
@@ -63,7 +57,7 @@ cand_pos AS (SELECT doc_id, phrase, CAST(row_number() OVER (PARTITION BY doc_id
 
 
 def _keybert_candidates(spark, sf):
-    d = spread(tables.table(spark, sf, "documents").select("doc_id", "text"))
+    d = tables.table(spark, sf, "documents").select("doc_id", "text")
     toks = d.select("doc_id", C.keybert_tokens(F.col("text")).alias("tokens"))
     return KW.candidate_phrases(toks, "tokens", n=2)
 
@@ -87,14 +81,14 @@ def drop_banned_grams(spark, sf):
 
 
 def _seed_tokens(spark, sf):
-    d = spread(tables.table(spark, sf, "documents").select("doc_id", "text"))
+    d = tables.table(spark, sf, "documents").select("doc_id", "text")
     return d.select("doc_id", C.seed_tokens(F.col("text")).alias("tokens"))
 
 
 @query("mmr_keywords")
 def mmr_keywords(spark, sf):
     """KEY-6: MMR bigram keywords per document (top 25, diversity 0.5)."""
-    d = spread(tables.table(spark, sf, "documents").select("doc_id", "text"))
+    d = tables.table(spark, sf, "documents").select("doc_id", "text")
     toks = d.select("doc_id", C.keybert_tokens(F.col("text")).alias("tokens"))
     return round_doubles(KW.mmr_keywords(toks, "tokens", n=2, top_n=fixed.TOP_N_TERMS))
 
@@ -109,7 +103,7 @@ def seed_guided_keywords(spark, sf):
 @query("corpus_keyword_counts")
 def corpus_keyword_counts(spark, sf):
     """KEY-8 + FLT-5: the 25 bigram keywords chosen by most documents."""
-    d = spread(tables.table(spark, sf, "documents").select("doc_id", "text"))
+    d = tables.table(spark, sf, "documents").select("doc_id", "text")
     toks = d.select("doc_id", C.keybert_tokens(F.col("text")).alias("tokens"))
     kws = KW.drop_banned_grams(KW.mmr_keywords(toks, "tokens", n=2, top_n=fixed.TOP_N_TERMS), _BANNED)
     return KW.corpus_keyword_counts(kws)
@@ -152,6 +146,23 @@ def pick_new_seeds(spark, sf):
     return round_doubles(KW.pick_new_seeds(KW.score_candidates(words, fixed.SEED_KEYWORDS), fixed.SEED_KEYWORDS))
 
 
+@query("expand_keywords")
+def expand_keywords(spark, sf):
+    """KEY-12 in full: all rounds from the seeds; the keywords added, with score, round and rank."""
+    rows = KW.expand_keywords(_seed_tokens(spark, sf), fixed.SEED_KEYWORDS)
+    return round_doubles(spark.createDataFrame(rows, "keyword string, score double, round int, rank int"))
+
+
+@query("pick_new_seeds_any", f"""{_SCORE_SQL}
+SELECT phrase, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, phrase) AS INTEGER) AS rank
+FROM scored ORDER BY round(score, 9) DESC, phrase LIMIT {fixed.NEW_SEEDS}""")
+def pick_new_seeds_any(spark, sf):
+    """KEY-11 (``distinct=False``): known words compete too."""
+    words = _seed_tokens(spark, sf).select(F.explode("tokens").alias("phrase"))
+    scored = KW.score_candidates(words, fixed.SEED_KEYWORDS)
+    return round_doubles(KW.pick_new_seeds(scored, fixed.SEED_KEYWORDS, distinct=False))
+
+
 @query("expand_keywords_round")
 def expand_keywords_round(spark, sf):
     """KEY-12, one round from the seeds: seed-guided MMR, fuzzy exclusion, score, pick 3."""
@@ -172,7 +183,7 @@ orig AS (SELECT doc_id, coalesce(summary, '') || ' - ' || coalesce(description,
 SELECT term, keyword AS closest_keyword, round(sim, 6) AS similarity FROM tbest""")
 def best_keyword_per_term(spark, sf):
     """LBL-1: closest keyword (MMR list) of every distinct chunk of the labelling chain."""
-    iss = spread(tables.issues(spark, sf))
+    iss = tables.issues(spark, sf)
     terms = iss.select(F.explode(C.labelling_tokens(L.T.combine_text(F.col("Summary"), F.col("Description"))))
                        .alias("term")).distinct()
     return round_doubles(L.best_keyword_per_term(terms, fixed.KEYWORDS["mmr"]))
@@ -195,7 +206,7 @@ SELECT doc_id, "Key", method, closest_keyword, round(sim, 6) AS similarity_score
   CASE WHEN sim > {fixed.THRESHOLD!r} THEN {O.lit(fixed.LABEL_POS)} ELSE {O.lit(fixed.LABEL_NEG)} END AS label FROM lab""")
 def label_with_methods(spark, sf):
     """LBL-4: the three keyword lists in one pass."""
-    iss = spread(tables.issues(spark, sf))
+    iss = tables.issues(spark, sf)
     return round_doubles(L.label_with_methods(iss, fixed.KEYWORDS, keep=["doc_id"]))
 
 
@@ -204,7 +215,7 @@ SELECT project, method, CASE WHEN sim > {fixed.THRESHOLD!r} THEN {O.lit(fixed.LA
   AS label, count(*) AS n_issues FROM lab GROUP BY ROLLUP (project, method, 3)""")
 def candidate_summary(spark, sf):
     """LBL-5: issues per project / method / label with rollup subtotals."""
-    iss = spread(tables.issues(spark, sf))
+    iss = tables.issues(spark, sf)
     lab = L.label_with_methods(iss, fixed.KEYWORDS, keep=["project"])
     return L.candidate_summary(lab)
 
@@ -220,7 +231,7 @@ def keyword_similarity(spark, sf):
     The pairs are produced inside each term's row (no cross join): the score
     vector is exploded with its position and aggregated per keyword.
     """
-    iss = spread(tables.issues(spark, sf))
+    iss = tables.issues(spark, sf)
     terms = iss.select(F.explode(C.labelling_tokens(L.T.combine_text(F.col("Summary"), F.col("Description"))))
                        .alias("term")).distinct()
     kws = KeywordSet(fixed.KEYWORDS)
@@ -242,7 +253,7 @@ SELECT term, count(*) AS n_grams, CAST(sum(cnt * cnt) AS BIGINT) AS norm2 FROM t
 def term_vectors(spark, sf):
     """KEY-3 (b): the character-trigram vector of every distinct chunk, summarised
     as (distinct grams, squared norm)."""
-    iss = spread(tables.issues(spark, sf))
+    iss = tables.issues(spark, sf)
     terms = iss.select(F.explode(C.labelling_tokens(L.T.combine_text(F.col("Summary"), F.col("Description"))))
                        .alias("term")).distinct()
     g = L.term_grams(terms)
@@ -268,8 +279,8 @@ def label_with_word2vec(spark, sf):
     """KEY-3 (c) + JOIN-3: Word2Vec vectors trained on the labelling chunks, then
     every document labelled by the closest MMR-list keyword through the term join."""
     from issuelens.operators import providers as P
-    iss = spread(tables.issues(spark, sf))
+    iss = tables.issues(spark, sf)
     ch = iss.select("doc_id", C.labelling_tokens(L.T.combine_text(F.col("Summary"), F.col("Description")))
                     .alias("chunks"))
-    vecs = P.word2vec_vectors(ch, "chunks", vector_size=16)
+    vecs = P.word2vec_vectors(ch, "chunks")
     return round_doubles(P.label_with_vectors(ch, vecs, fixed.KEYWORDS["mmr"]))

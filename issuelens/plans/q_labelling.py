@@ -8,12 +8,11 @@ from issuelens import fixed
 from issuelens.operators import labelling as L
 from issuelens.plans import oracle as O
 from issuelens.plans.catalog import query, round_doubles
-from issuelens.plans.partitioning import spread
 from issuelens.sources import tables
 
 
 @query("label_issues", O.label_issues_sql())
 def label_issues(spark, sf):
     """LBL-3 flagship: every document labelled by its closest keyword."""
-    iss = spread(tables.issues(spark, sf))
+    iss = tables.issues(spark, sf)
     return round_doubles(L.label_issues(iss, fixed.KEYWORDS["seed_expansion"], keep=["doc_id"]))

@@ -19,7 +19,6 @@ from issuelens.operators.labelling import with_default_key
 from issuelens.plans import chains as C
 from issuelens.plans import oracle as O
 from issuelens.plans.catalog import query
-from issuelens.plans.partitioning import spread
 from issuelens.sources import tables
 
 # FIXED VALUES: markup fixtures injected on both sides (FIXTURES.md section D).
@@ -45,7 +44,7 @@ def inject_sql(text: str = "text", doc_id: str = "doc_id") -> str:
 
 
 def docs(spark, sf, cols=("doc_id", "text")):
-    return spread(tables.table(spark, sf, "documents").select(*cols))
+    return tables.table(spark, sf, "documents").select(*cols)
 
 
 def _text_query(name: str, spark_fn, sql_fn, lit_inject: bool):
@@ -105,20 +104,28 @@ _text_query("whitelist_token",
 _text_query("keep_alpha", lambda c: F.array_join(K.keep_alpha(K.tokenize_words(F.lower(c))), "|"),
             lambda e: _join_sql(f"list_filter({O.tokenize(f'lower({e})')}, lambda t: regexp_full_match(t, {O.lit(K.ALPHA_TOKEN[1:-1])}))"),
             True)
-_text_query("is_repetitive", lambda c: K.is_repetitive(F.get(F.split(c, "\n", 2), 0)),
-            lambda e: "coalesce(len(list_distinct(" + O.split_words(
-                "replace(split_part(" + e + ", chr(10), 1), chr(34), '')") + ")) = 1, false)",
+# TOK-14 on every line of a text: the lines that repeat one word, as flags.
+_text_query("is_repetitive", lambda c: F.array_join(F.transform(F.split(c, "\n"), lambda x: K.is_repetitive(x).cast("string")), ","),
+            lambda e: "array_to_string(list_transform(string_split(" + e + ", chr(10)), lambda x: CAST(coalesce(len(list_distinct("
+            + O.split_words("replace(x, chr(34), '')") + ")) = 1, false) AS VARCHAR)), ',')",
             True)
 
 
-def _ngram_sql(arr: str, n: int) -> str:
-    return (f"list_transform(range(1, len({arr}) - {n} + 2), "
-            f"lambda i: array_to_string({arr}[i:i + {n - 1}], ' '))")
+def ngram_rows_sql(src: str, n: int) -> str:
+    """``(doc_id, i, gram)`` of an array column ``a``: neighbours by ``lead`` over unnested tokens."""
+    parts = " || ' ' || ".join(["tok", *(f"lead(tok, {k}) OVER w" for k in range(1, n))])
+    return f"""SELECT doc_id, i, gram FROM (SELECT doc_id, i, {parts} AS gram
+  FROM (SELECT s.doc_id, u.tok, u.i FROM {src} s, unnest(s.a) WITH ORDINALITY AS u(tok, i))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE gram IS NOT NULL"""
 
 
 for _n in (2, 3):
-    _text_query(f"ngrams_{_n}", lambda c, n=_n: F.array_join(K.ngrams(K.split_words(F.lower(c)), n), "|"),
-                lambda e, n=_n: _join_sql(_ngram_sql(O.split_words(f"lower({e})"), n)), False)
+    @query(f"ngrams_{_n}", f"""WITH src AS (SELECT doc_id, {O.split_words('lower(text)')} AS a FROM documents),
+g AS ({ngram_rows_sql('src', _n)})
+SELECT d.doc_id, coalesce(string_agg(g.gram, '|' ORDER BY g.i), '') AS out FROM documents d LEFT JOIN g USING (doc_id)
+GROUP BY d.doc_id""")
+    def _ngrams(spark, sf, n=_n):
+        return docs(spark, sf).select("doc_id", F.array_join(K.ngrams(K.split_words(F.lower("text")), n), "|").alias("out"))
 
 
 # -- PRJ-* ---------------------------------------------------------------------
@@ -139,19 +146,26 @@ def default_key(spark, sf):
     return keyed.select("doc_id", "Key", "given_key")
 
 
-@query("null_text_policy", """SELECT doc_id, coalesce(t, '') AS empty_policy, coalesce(t, 'nan') AS nan_policy,
-    t IS NOT NULL AS is_string
-FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text END AS t FROM documents)""")
+#: Every document, and a row without a text for each (the test tables have no null text).
+_WITH_NULLS_SQL = "(SELECT doc_id, text AS t FROM documents UNION ALL SELECT -1 - doc_id, NULL FROM documents)"
+
+
+def _with_nulls(spark, sf):
+    d = docs(spark, sf).select("doc_id", F.col("text").alias("t"))
+    return d.unionByName(d.select((F.lit(-1) - F.col("doc_id")).alias("doc_id"), F.lit(None).cast("string").alias("t")))
+
+
+@query("null_text_policy", f"""SELECT doc_id, coalesce(t, '') AS empty_policy, coalesce(t, 'nan') AS nan_policy,
+    t IS NOT NULL AS is_string FROM {_WITH_NULLS_SQL}""")
 def null_text_policy(spark, sf):
-    d = docs(spark, sf).select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise(F.col("text")).alias("t"))
+    d = _with_nulls(spark, sf)
     return d.select("doc_id", T.null_text(F.col("t"), "empty").alias("empty_policy"),
                     T.null_text(F.col("t"), "nan").alias("nan_policy"), F.col("t").isNotNull().alias("is_string"))
 
 
-@query("skip_non_strings", """SELECT doc_id, t AS text FROM (SELECT doc_id,
-    CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text END AS t FROM documents) WHERE t IS NOT NULL""")
+@query("skip_non_strings", f"SELECT doc_id, t AS text FROM {_WITH_NULLS_SQL} WHERE t IS NOT NULL")
 def skip_non_strings(spark, sf):
-    d = docs(spark, sf).select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise(F.col("text")).alias("t"))
+    d = _with_nulls(spark, sf)
     return d.filter(F.col("t").isNotNull()).select("doc_id", F.col("t").alias("text"))
 
 
@@ -229,6 +243,13 @@ def preprocess_labelling(spark, sf):
                     .alias("preprocessed"))
 
 
+@query("preprocess_labelling_table", _lbl_tokens_sql("text"))
+def preprocess_labelling_table(spark, sf):
+    """The labelling chain with the lexicon as a table."""
+    out = C.labelling_chain().with_lexicon_table(docs(spark, sf), F.col("text"), LX.lexicon_df(spark))
+    return out.select("doc_id", K.rejoin_tokens(F.col("tokens")).alias("preprocessed"))
+
+
 def _lex_join_sql(tok: str, alias: str = "x") -> str:
     return f"LEFT JOIN {O.lexicon_table(alias)} ON {alias}.ltok = {tok}"
 
@@ -246,8 +267,7 @@ def preprocess_seed(spark, sf):
     return d.select("doc_id", K.rejoin_tokens(C.seed_tokens(F.col("text"))).alias("preprocessed"))
 
 
-@query("preprocess_keybert", f"""WITH src AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text END AS t
-  FROM documents),
+@query("preprocess_keybert", f"""WITH src AS (SELECT * FROM {_WITH_NULLS_SQL}),
 t AS (SELECT s.doc_id, u.tok, u.pos FROM src s,
   unnest({O.tokenize("lower(coalesce(s.t, 'nan'))")}) WITH ORDINALITY AS u(tok, pos)),
 k AS (SELECT t.doc_id, t.pos, coalesce(x.llemma, t.tok) AS lemma FROM t {_lex_join_sql('t.tok')}
@@ -256,7 +276,7 @@ SELECT s.doc_id, coalesce(string_agg(k.lemma, ' ' ORDER BY k.pos)
   FILTER (WHERE lower(k.lemma) NOT IN {O.str_list(C.mmr_stopwords())}), '') AS preprocessed
 FROM src s LEFT JOIN k USING (doc_id) GROUP BY s.doc_id""")
 def preprocess_keybert(spark, sf):
-    d = docs(spark, sf).select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise(F.col("text")).alias("t"))
+    d = _with_nulls(spark, sf)
     return d.select("doc_id", K.rejoin_tokens(C.keybert_tokens(F.col("t"))).alias("preprocessed"))
 
 
@@ -324,28 +344,27 @@ def map_pos_tag(spark, sf):
 
 
 @query("dedupe_by_lemma", f"""WITH t AS (SELECT d.doc_id, u.tok, u.pos FROM documents d,
-  unnest({O.tokenize('lower(d.text)')}) WITH ORDINALITY AS u(tok, pos) WHERE d.lang = 'en'),
+  unnest({O.tokenize('lower(d.text)')}) WITH ORDINALITY AS u(tok, pos)),
 j AS (SELECT t.doc_id, CAST(t.pos - 1 AS INTEGER) AS pos, t.tok, coalesce(x.llemma, t.tok) AS lemma
   FROM t {_lex_join_sql('t.tok')} WHERE regexp_full_match(t.tok, {O.lit(K.ALPHA_TOKEN[1:-1])}))
 SELECT lemma, min(doc_id) AS first_doc, arg_min(pos, (doc_id, pos)) AS first_pos,
   arg_max(tok, (doc_id, pos)) AS last_word, count(*) AS n FROM j GROUP BY lemma""")
 def dedupe_by_lemma(spark, sf):
-    d = docs(spark, sf, ("doc_id", "text", "lang")).filter(F.col("lang") == "en")
-    toks = LX.explode_tokens(d, "text").filter(F.col("token").rlike(K.ALPHA_TOKEN))
+    toks = LX.explode_tokens(docs(spark, sf), "text").filter(F.col("token").rlike(K.ALPHA_TOKEN))
     return LX.dedupe_by_lemma(LX.lexicon_join(toks, LX.lexicon_df(spark)))
 
 
 @query("encode_sequences", f"""WITH t AS (SELECT d.doc_id, u.tok, u.pos FROM documents d,
   unnest({O.split_words(O.clean_jira('d.text'))}) WITH ORDINALITY AS u(tok, pos)),
 vocab AS (SELECT tok, CAST(row_number() OVER (ORDER BY count(*) DESC, tok) + 1 AS INTEGER) AS id
-  FROM t GROUP BY tok ORDER BY count(*) DESC, tok LIMIT 5000),
-ids AS (SELECT t.doc_id, t.pos, coalesce(v.id, 1) AS id FROM t LEFT JOIN vocab v USING (tok) WHERE t.pos <= 64)
+  FROM t GROUP BY tok ORDER BY count(*) DESC, tok LIMIT 30000),
+ids AS (SELECT t.doc_id, t.pos, coalesce(v.id, 1) AS id FROM t LEFT JOIN vocab v USING (tok) WHERE t.pos <= 512)
 SELECT d.doc_id, coalesce(string_agg(CAST(i.id AS VARCHAR), ' ' ORDER BY i.pos), '') AS input_ids,
   CAST(count(i.id) AS INTEGER) AS n_real
 FROM documents d LEFT JOIN ids i USING (doc_id) GROUP BY d.doc_id""")
 def encode_sequences(spark, sf):
-    """TOK-15 (vocabulary 5000, max_length 64 in this check; ids as text, padding dropped)."""
+    """TOK-15 (the operator's own vocabulary and length; ids as text, padding dropped)."""
     d = docs(spark, sf).select("doc_id", K.split_words(T.clean_jira(F.col("text"))).alias("tokens"))
-    enc = LX.encode_sequences(d, "tokens", vocab_size=5000, max_length=64)
+    enc = LX.encode_sequences(d, "tokens")
     return enc.select("doc_id", F.array_join(F.filter(F.col("input_ids"), lambda x: x != 0), " ").alias("input_ids"),
                       F.aggregate(F.col("attention_mask"), F.lit(0), lambda a, x: a + x).alias("n_real"))
