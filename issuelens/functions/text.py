@@ -137,7 +137,7 @@ def clean_ascii(c: Column) -> Column:
     return strip_punctuation(strip_digits(strip_non_ascii(lowercase(c))))
 
 
-# CLN-17: opt-in line rules that the labelled-data cleaner keeps switched off.
+# Fixed values (CLN-17): opt-in line rules that the labelled-data cleaner keeps switched off.
 # Each is (name, Java regex, replacement); applied in this order.
 OPTIONAL_LINE_RULES = [
     ("plan_lines", r"(?m)^[ \t]*(plan after changes looks like|and before changes:|query plan examples:).*$", ""),
@@ -145,6 +145,10 @@ OPTIONAL_LINE_RULES = [
     ("bare_upgrade_lines", r"(?m)^\s*[\w.\-]+[ .]*\d+(\.\d+)*\s*->\s*\d+(\.\d+)*$", " "),
     ("info_lines", r"(?m)^\[info\].*$", " "),
     ("diff_blocks", r"diff --git[\s\S]*?(?=(?:\n[^+\-@\s])|$)", " "),
+    ("diff_word_lines", r"(?m)^.*diff.*$", ""),
+    ("patch_from_lines", r"(?m)^<.*---.*$", ""),
+    ("patch_to_lines", r"(?m)^>.*$", ""),
+    ("patch_change_lines", r"(?m)^\d+c\d+$", ""),
     ("patch_lines", r"(?m)^(---|\+\+\+|@@|\+|-).*$\n?", " "),
     ("double_brace", r"(?s)\{\{.*?\}\}", " "),
     ("java_import_block", r"(?ms)import .+?^\}", " "),
@@ -173,7 +177,7 @@ def combine_text(summary: Column, description: Column, sep: str = " - ") -> Colu
     return F.concat(F.coalesce(summary, F.lit("")), F.lit(sep), F.coalesce(description, F.lit("")))
 
 
-# CLN-18: a code-looking line (after stripping blanks).
+# Fixed value (CLN-18): a code-looking line (after stripping blanks).
 CODE_LINE = r"^(import |package |public |private |protected |class |@|/|\*|\{|\}|;)"
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -24,7 +23,7 @@ from issuelens import fixed
 from issuelens.operators import metrics as M
 from issuelens.operators import sampling as S
 from issuelens.operators import strategies as Q
-from issuelens.session import scratch_table_dir
+from issuelens.session import ensure_checkpoint_dir, scratch_table_dir
 
 
 def text_pipeline(text_col: str = "text", label_col: str = "label", num_features: int = 1 << 14,
@@ -39,6 +38,39 @@ def text_pipeline(text_col: str = "text", label_col: str = "label", num_features
     ])
 
 
+#: Places of the hashed word counts that stand in for an embedding when a text pool has none.
+EMBEDDING_SIZE = 64
+
+
+def count_stages(text_col: str = "text", num_features: int = 1 << 14) -> list:
+    """Texts to hashed word counts ``tf``; nothing to fit."""
+    return [RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}\p{N}_']+", toLowercase=True),
+            StopWordsRemover(inputCol="_tok", outputCol="_tok2"),
+            HashingTF(inputCol="_tok2", outputCol="tf", numFeatures=num_features)]
+
+
+def text_features(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Word counts of the texts, made once: ``tf`` (hashed), and ``embedding`` if the table has none.
+
+    The stand-in embedding is a short hashed count vector of the same words.
+    """
+    stages = count_stages(text_col)
+    if "embedding" not in df.columns:
+        stages.append(HashingTF(inputCol="_tok2", outputCol="_short", numFeatures=EMBEDDING_SIZE))
+    out = df
+    for stage in stages:
+        out = stage.transform(out)
+    if "embedding" not in df.columns:
+        out = out.withColumn("embedding", vector_to_array("_short"))
+    return out.drop("_tok", "_tok2", "_short")
+
+
+def counts_pipeline(label_col: str = "label", max_iter: int = 30, reg: float = 0.01) -> Pipeline:
+    """MDL-1 on ``text_features``: what is left to fit on the labelled rows of a round."""
+    return Pipeline(stages=[IDF(inputCol="tf", outputCol="features"),
+                            LogisticRegression(featuresCol="features", labelCol=label_col, maxIter=max_iter, regParam=reg)])
+
+
 def embedding_pipeline(label_col: str = "label", max_iter: int = 50, reg: float = 0.01) -> Pipeline:
     """MDL-1 on precomputed embeddings (``features`` built by ``with_embedding_features``)."""
     return Pipeline(stages=[LogisticRegression(featuresCol="features", labelCol=label_col,
@@ -93,9 +125,15 @@ def active_learning_run(spark: SparkSession, pool: DataFrame, test: DataFrame, *
     """
     run_dir = run_dir or scratch_table_dir(spark, f"al-{uuid.uuid4().hex}")
     ledger_path = f"{run_dir}/ledger"
-    # the pool and test rows are read every round: keep them (recomputable on loss)
-    pool = pool.persist(StorageLevel.MEMORY_AND_DISK)
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
+    # every round reads the pool and the test rows: their features are made once and written to the run's folder
+    own_features = estimator is None
+    if own_features:
+        pool, test = text_features(pool), text_features(test)
+        estimator = counts_pipeline(label_col)
+    kept = [id_col, label_col, *[c for c in ("tf", "embedding", "features") if c in pool.columns]]
+    for name, df in (("pool", pool), ("test", test)):
+        df.select(*[c for c in (kept if "tf" in df.columns else df.columns) if c in df.columns]).write.parquet(f"{run_dir}/{name}")
+    pool, test = (spark.read.parquet(f"{run_dir}/{name}") for name in ("pool", "test"))
     init = S.sample_n(pool.select(id_col), query_size, id_col, seed)
     init = init.withColumn("rank", F.row_number().over(
         Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), F.col(id_col))))
@@ -122,21 +160,26 @@ def active_learning_run(spark: SparkSession, pool: DataFrame, test: DataFrame, *
         step = (picked.select(id_col, "rank").join(pool.select(id_col, label_col), id_col)
                 .select(F.lit(it + 1).alias("iteration"), "rank", id_col, label_col))
         step.write.mode("append").parquet(ledger_path)
-    pool.unpersist()
-    test.unpersist()
     # ACT-7 / TOP-4: keep the model of the first round with the best F1
     best = max(range(len(curve)), key=lambda i: (round(curve[i][4], 9), -i))
-    save_model(models[best], f"{run_dir}/best_model")
+    model = models[best]
+    if own_features:  # the saved model reads texts
+        model = PipelineModel([*count_stages(), *model.stages])
+    save_model(model, f"{run_dir}/best_model")
     cdf = spark.createDataFrame(curve, "training_size long, accuracy double, precision double, recall double, "
                                        "fscore double, model string, iteration int")
     return spark.read.parquet(ledger_path), cdf
 
 
 def labelled_export(ledger: DataFrame, texts: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """ACT-6: ``(index, key, text, label)`` in query order (iteration, rank)."""
-    j = ledger.join(texts, id_col)
-    w = Window.orderBy("iteration", "rank")
-    return j.select(F.row_number().over(w).alias("index"), F.col("Key").alias("key"), "text", "label")
+    """ACT-6: ``(index, key, text, label)`` in query order (iteration, rank).
+
+    The ledger's ids are ranked first (one row per labelled item, the annotation
+    budget); the texts are joined to them afterwards.
+    """
+    order = Window.orderBy("iteration", "rank", id_col)
+    ranked = ledger.select(id_col, "label", F.row_number().over(order).alias("index"))
+    return ranked.join(texts.drop("label"), id_col).select("index", F.col("Key").alias("key"), "text", "label")
 
 
 def learning_curve_random(spark: SparkSession, train: DataFrame, test: DataFrame, *, lo: int = 100,
@@ -145,10 +188,14 @@ def learning_curve_random(spark: SparkSession, train: DataFrame, test: DataFrame
     """MDL-5: train at each grid size x run on a fresh seeded sample; binary metrics on ``test``.
 
     The sampling seed is a counter over all (run, size) fits, so sets are not
-    nested. Sizes above the pool size are not fitted.
+    nested. A size above the pool's is reported with status ``pool too small``
+    and no metrics. Features are made once for all fits.
     """
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(spark)
+    if estimator is None:
+        train, test = text_features(train), text_features(test)
+        estimator = counts_pipeline(label_col)
+    train, test = train.checkpoint(), test.checkpoint()
     pool_n = train.count()
     rows = []
     counter = 0
@@ -156,15 +203,16 @@ def learning_curve_random(spark: SparkSession, train: DataFrame, test: DataFrame
         for size in range(lo, hi + step, step):
             counter += 1
             if size > pool_n:
+                rows.append((model_name, run, size, None, None, None, None, "pool too small"))
                 continue
             sample = S.sample_n(train, size, id_col, counter)
             model = train_classifier(sample, estimator, label_col)
             pred = predict(model, test, [id_col, label_col])
             r = M.binary_metrics(pred, label_col, "prediction").collect()[0]
             rows.append((model_name, run, size, float(r["recall"]), float(r["fscore"]),
-                         float(r["precision"]), float(r["accuracy"])))
+                         float(r["precision"]), float(r["accuracy"]), "ok"))
     return spark.createDataFrame(rows, "model string, run int, training_size int, recall double, fscore double, "
-                                       "precision double, accuracy double")
+                                       "precision double, accuracy double, status string")
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from issuelens import fixed
 from issuelens.operators import active as A
+from issuelens.operators import metrics as M
 from issuelens.operators import sampling as S
 from issuelens.operators import strategies as Q
 from issuelens.plans.catalog import query, round_doubles
@@ -174,6 +175,30 @@ def active_learning_run(spark, sf):
     return round_doubles(curve)
 
 
+ALL_STRATEGIES = ("RandomSampling", "LeastConfidence", "BreakingTies", "PredictionEntropy", "ContrastiveActiveLearning",
+                  "EmbeddingKMeans")
+
+
+def _pool_and_test(spark, sf):
+    split = S.stratified_split(tables.labelled(spark, sf), "label", "doc_id")
+    return tuple(split.filter(F.col("split") == part).drop("split") for part in ("train", "test"))
+
+
+@query("active_learning_curves")
+def active_learning_curves(spark, sf):
+    """ACT-4 / ACT-5 / RES-1: the curves of all six strategies on the text pool."""
+    pool, test = _pool_and_test(spark, sf)
+    return round_doubles(M.union_curves({s: A.active_learning_run(spark, pool, test, strategy=s)[1] for s in ALL_STRATEGIES}))
+
+
+@query("active_learning_ledger")
+def active_learning_ledger(spark, sf):
+    """ACT-6: the labelled ledger of a run, in query order, with its texts."""
+    pool, test = _pool_and_test(spark, sf)
+    ledger, _ = A.active_learning_run(spark, pool, test, strategy="EmbeddingKMeans")
+    return A.labelled_export(ledger, pool)
+
+
 @query("learning_curve_random")
 def learning_curve_random(spark, sf):
     """MDL-5: random-sampling baseline curve (grid 100..2300 by 100, binary metrics)."""

@@ -33,7 +33,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     master = master or os.environ.get("ISSUELENS_MASTER", "local[8]")
     b = SparkSession.builder.master(master).appName(app)
     conf = dict(SCALE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.driver.memory"] = os.environ.get("ISSUELENS_DRIVER_MEMORY", "8g")
     conf.update(extra or {})
     for k, v in conf.items():
@@ -48,7 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset.
 
     On a cluster the setting names a shared folder and is left alone. Only a
-    session without it (local tests) gets a fresh scratch folder.
+    local session without it (tests) gets a fresh scratch folder; a cluster
+    without one is an error, as executors could not see a local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -56,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="issuelens-ckpt-")
     sc.setCheckpointDir(path)
     return path

@@ -1,11 +1,14 @@
 """Metrics, splits, strategies and the active-learning loop (invariants)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from issuelens import fixed
+from issuelens.operators import active as A
 from issuelens.operators import metrics as M
 from issuelens.operators import sampling as S
 from issuelens.operators import strategies as Q
+from issuelens.sources import tables
 
 
 def test_metrics_one_class_fixture(spark):
@@ -100,3 +103,44 @@ def test_active_learning_ledger_invariants(spark, tmp_path):
     assert sizes == [100, 200, 300]
     best = A.load_model(str(tmp_path / "al" / "best_model"))
     assert A.predict(best, test, ["doc_id"]).count() == test.count()
+
+
+@pytest.mark.parametrize("strategy", ["RandomSampling", "LeastConfidence", "BreakingTies", "PredictionEntropy",
+                                      "ContrastiveActiveLearning", "EmbeddingKMeans"])
+def test_all_strategies_on_texts(spark, tmp_path, strategy):
+    """A text pool without embeddings: no item twice, none of the test rows, and the export keeps the query order."""
+    lab = tables.labelled(spark, "/root/testdata/sf0.01").limit(240)
+    test = lab.filter("doc_id % 4 = 0")
+    ledger, curve = A.active_learning_run(spark, lab.filter("doc_id % 4 <> 0"), test, strategy=strategy, query_size=30,
+                                          rounds=2, run_dir=str(tmp_path / "run"))
+    ids = [r.doc_id for r in ledger.collect()]
+    assert len(ids) == len(set(ids)) == 90 and not any(i % 4 == 0 for i in ids)
+    assert [r.training_size for r in curve.orderBy("iteration").collect()] == [30, 60, 90]
+    out = A.labelled_export(ledger, lab).orderBy("index").collect()
+    assert [r["index"] for r in out] == list(range(1, 91)) and all(r.text for r in out)
+
+
+def test_learning_curve_reports_sizes_above_the_pool(spark):
+    lab = tables.labelled(spark, "/root/testdata/sf0.01").limit(200)
+    rows = A.learning_curve_random(spark, lab.filter("doc_id % 4 <> 0"), lab.filter("doc_id % 4 = 0"), lo=50, hi=250, step=100).collect()
+    assert [(r.training_size, r.status) for r in rows] == [(50, "ok"), (150, rows[1].status), (250, "pool too small")]
+    assert rows[2].fscore is None and 0 <= rows[0].fscore <= 1
+
+
+def test_knn_in_blocks_equals_one_block(spark, monkeypatch):
+    """Text ids, blocks of neighbours and small row blocks give the same nearest rows."""
+    emb = tables.class_scores(tables.pool(spark, "/root/testdata/sf0.001")).withColumn(
+        "doc_id", F.concat(F.lit("K-"), F.col("doc_id").cast("string")))
+    one = Q.k_nearest(emb, emb, 5, "doc_id", "embedding", "p").select("doc_id", "near.i").collect()
+    monkeypatch.setattr(Q, "NEIGHBOUR_BLOCK", 120)
+    more = Q.k_nearest(emb, emb, 5, "doc_id", "embedding", "p").select("doc_id", "near.i").collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, more)) and all(r.doc_id not in r.i for r in one)
+
+
+def test_split_reads_the_source_a_few_times(spark):
+    """No row is joined with itself: the ids are read for two histograms, the rows once."""
+    from issuelens.plans import catalog
+    catalog.load_all()
+    df = catalog.QUERIES["stratified_split"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("documents") <= 4 and plan.lower().count("broadcast") == 0
