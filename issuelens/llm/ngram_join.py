@@ -53,7 +53,7 @@ GATHER = 2_000_000
 SKETCH_BITS = 22
 SKETCH_BLOCKS = 64
 #: Bits of a set's parity signature.
-SIGN_BITS = 256
+SIGN_BITS = 512
 #: Bits of the filter that keeps whole rows away from the second read of the texts.
 FILTER_BITS = 22
 
