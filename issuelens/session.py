@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -65,6 +66,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package when it is not installed there.
+
+    Spark's own file server hands a zip of the sources to the executors, once
+    for each session. Installed packages, and sessions whose workers find the
+    sources by PYTHONPATH or the working folder, are left alone.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [os.path.abspath(p) for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p]
+    if root in paths or "site-packages" in root or getattr(spark, "_issuelens_shipped", False):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="issuelens-src-"), "issuelens.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "issuelens")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(target)
+    spark._issuelens_shipped = True
+
+
 def scratch_table_dir(spark: SparkSession, name: str) -> str:
     """A folder under the checkpoint dir for tables written to cut lineage."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
