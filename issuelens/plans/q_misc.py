@@ -11,6 +11,7 @@ from issuelens.operators import metrics as M
 from issuelens.plans import chains as C
 from issuelens.plans import oracle as O
 from issuelens.plans.catalog import query, round_doubles
+from issuelens.session import ensure_checkpoint_dir
 from issuelens.sources import tables
 
 _TRAIN = "md5('lang:' || CAST(doc_id AS VARCHAR)) < '8'"
@@ -42,20 +43,46 @@ def detect_language(spark, sf):
     return ev.select("doc_id", "lang").join(LG.detect_language(ev, prof, unseen), "doc_id")
 
 
-@query("drop_code_runs")
+_CODE_FIXTURE = "import a.b;\npublic class X {\nprose stays\n@Override\n"
+
+
+def _sql_text(value: str) -> str:
+    """A SQL string expression with its line feeds written out."""
+    return " || chr(10) || ".join(O.lit(part) for part in value.split("\n"))
+
+
+@query("drop_code_runs", f"""WITH lines AS (
+  SELECT d.doc_id, u.i, {O.rx_replace('u.line', '^' + T.WS + '+|' + T.WS + '+$', '')} AS line
+  FROM documents d, unnest(string_split({_sql_text(_CODE_FIXTURE)} || d.text, chr(10))) WITH ORDINALITY AS u(line, i)),
+flags AS (SELECT doc_id, i, line, regexp_matches(line, {O.lit(T.CODE_LINE)}) AS f FROM lines),
+near AS (SELECT *, coalesce(lag(f) OVER w, false) OR coalesce(lead(f) OVER w, false) AS n FROM flags
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, {O.collapse_ws("coalesce(string_agg(line, ' ' ORDER BY i) FILTER (WHERE NOT (f AND n) AND line <> ''), '')")} AS out
+FROM near GROUP BY doc_id""")
 def drop_code_runs(spark, sf):
-    """CLN-18 over every document with a code-run fixture injected (checked by tests)."""
+    """CLN-18 over every document with a code-run fixture before it."""
     d = tables.table(spark, sf, "documents").select("doc_id", "text")
-    fx = F.lit("import a.b;\npublic class X {\nprose stays\n@Override\n")
-    return d.select("doc_id", T.drop_code_runs(F.concat(fx, F.col("text"))).alias("out"))
+    return d.select("doc_id", T.drop_code_runs(F.concat(F.lit(_CODE_FIXTURE), F.col("text"))).alias("out"))
+
+
+_LINE_FIXTURE = ("[info] build\ndiff --git a b\n+x\n-y\nafter\n{{log}} org.a:b ...... 1.2 -> 1.3\n< old --- new\n"
+                 "> added\n12c13\n")
+
+
+def _line_rules_sql(e: str) -> str:
+    """The rules in order; the one look-ahead is a captured tail that is put back."""
+    for name, pattern, by in T.OPTIONAL_LINE_RULES:
+        if name == "diff_blocks":
+            pattern, by = r"diff --git[\s\S]*?(\n[^+\-@\s]|$)", r" \1"
+        e = O.rx_replace(e, pattern, by)
+    return e
 
 
-@query("optional_line_rules")
+@query("optional_line_rules", f"""SELECT doc_id, {_line_rules_sql(f"{_sql_text(_LINE_FIXTURE)} || text")} AS out FROM documents""")
 def optional_line_rules(spark, sf):
-    """CLN-17: all opt-in line rules folded into one expression (Java regex look-ahead: no RE2 twin)."""
+    """CLN-17: all opt-in line rules folded into one expression."""
     d = tables.table(spark, sf, "documents").select("doc_id", "text")
-    fx = F.lit("[info] build\ndiff --git a b\n+x\n-y\nafter\n{{log}} org.a:b ...... 1.2 -> 1.3\n")
-    return d.select("doc_id", T.optional_line_rules(F.concat(fx, F.col("text"))).alias("out"))
+    return d.select("doc_id", T.optional_line_rules(F.concat(F.lit(_LINE_FIXTURE), F.col("text"))).alias("out"))
 
 
 @query("apply_text_fn", "SELECT doc_id, lower(text) AS out FROM documents")
@@ -102,7 +129,9 @@ def explain_linear(spark, sf):
     d = tables.table(spark, sf, "documents").select("doc_id", "text")
     toks = d.select("doc_id", F.explode(F.filter(C.K.tokenize_words(F.lower(T.null_text(F.col("text"), "nan"))),
                                                  lambda t: t.rlike(r"^\p{L}+$"))).alias("feature"))
-    x = toks.groupBy("doc_id", "feature").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    ensure_checkpoint_dir(spark)
+    # the counts are read by every step below: tokenise once and go on from the written table
+    x = toks.groupBy("doc_id", "feature").agg(F.count(F.lit(1)).cast("double").alias("value")).checkpoint()
     weights = x.select("feature").distinct().select(
         "feature", ((F.length("feature") % 5 - 2) / 10.0).alias("weight"))
     contrib, base = X.explain_linear(x, weights, 0.1, d.select("doc_id"))
