@@ -11,7 +11,7 @@
   small literal keyword set it is computed in-row with the bit-parallel LCS
   recurrence (64-bit masks, one pass over the term's characters).
 * ``expand_keywords`` (KEY-12): a driver loop over a state of at most
-  ``seeds + rounds x new`` keywords; the corpus side is persisted once.
+  ``seeds + rounds x new`` keywords; the corpus side is written out once.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from issuelens import fixed
 from issuelens.functions import tokens as K
 from issuelens.functions.vectors import KeywordSet, py_char_grams
+from issuelens.session import ensure_checkpoint_dir
 
 TFIDF_TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -47,14 +47,11 @@ def tfidf_top_terms(docs: DataFrame, text_col: str = "preprocessed", id_col: str
     (documents without a vocabulary gram count as zeros).
     """
     toks = K.remove_stopwords(F.regexp_extract_all(F.col(text_col), F.lit(TFIDF_TOKEN), 0), list(stopwords))
-    # the per-document gram arrays are read three times (N, corpus counts, tf):
-    # they are kept for the duration of this call (recomputable on executor
-    # loss) and released before returning; the result is a bounded top-k
-    grams = docs.select(id_col, K.ngrams(toks, n).alias("_g")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _tfidf_from_grams(grams, id_col, max_features, top_n, n_docs)
-    finally:
-        grams.unpersist()
+    # Cleaning and tokenising cost most and the tokens are read three times (N, corpus counts, tf): they are written
+    # to the checkpoint folder once. The n-grams, several times as large, are made from them on the fly.
+    ensure_checkpoint_dir(docs.sparkSession)
+    tokens = docs.select(id_col, toks.alias("_t")).checkpoint()
+    return _tfidf_from_grams(tokens.select(id_col, K.ngrams(F.col("_t"), n).alias("_g")), id_col, max_features, top_n, n_docs)
 
 
 def _tfidf_from_grams(grams: DataFrame, id_col: str, max_features: int, top_n: int,
@@ -145,7 +142,8 @@ def _lcs_table(term: Column, keyword: str) -> Column:
 
     def step(row, c):
         prev = F.concat(F.array(F.lit(0)), F.slice(row, 1, m - 1))
-        took = F.zip_with(F.zip_with(letters, prev, lambda k, p: F.when(k == c, p + 1).otherwise(F.lit(0))), row, F.greatest)
+        took = F.zip_with(F.zip_with(letters, prev, lambda k, p: F.when(k == c, p + 1).otherwise(F.lit(0))), row,
+                          lambda a, b: F.greatest(a, b))
         return F.aggregate(took, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.greatest(
             x, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))))))
 
@@ -391,19 +389,17 @@ def expand_keywords(tokens: DataFrame, seeds: Sequence[str] = fixed.SEED_KEYWORD
 
     Returns ``(keyword, score, round, rank)`` for the added keywords, sorted by
     score desc, then round, then rank. Only the (at most ``new``) picks of a
-    round reach the driver; the token table is persisted once and every round
-    reads it.
+    round reach the driver; the token table is written to the checkpoint folder
+    once and every round reads it.
     """
-    tokens = tokens.persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(tokens.sparkSession)
+    tokens = tokens.checkpoint()
     known = list(seeds)
     added: list[tuple[str, float, int, int]] = []
-    try:
-        for r in range(rounds):
-            picks = expansion_round(tokens, known, tokens_col=tokens_col, top_n=top_n,
-                                    diversity=diversity, new=new).collect()
-            for row in picks:
-                added.append((row["phrase"], float(row["score"]), r + 1, int(row["rank"])))
-                known.append(row["phrase"])
-    finally:
-        tokens.unpersist()
+    for r in range(rounds):
+        picks = expansion_round(tokens, known, tokens_col=tokens_col, top_n=top_n,
+                                diversity=diversity, new=new).collect()
+        for row in picks:
+            added.append((row["phrase"], float(row["score"]), r + 1, int(row["rank"])))
+            known.append(row["phrase"])
     return sorted(added, key=lambda t: (-round(t[1], 9), t[2], t[3]))

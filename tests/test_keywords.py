@@ -96,3 +96,22 @@ def test_expand_keywords_grows_and_excludes_known(spark):
     assert not set(words) & set(fixed.SEED_KEYWORDS)
     for w in words:
         assert all(KW.py_fuzz_ratio(w, s) <= 85 for s in fixed.SEED_KEYWORDS)
+
+
+def test_fuzzy_keywords_of_any_length(spark):
+    """Keywords beyond the 64-bit recurrence give the same ratio as the plain table."""
+    import random
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcd") for _ in range(80))
+    terms = [long, long[:70], long[5:] + "xx", long[::-1], "abc", "", long.replace("a", "b", 3)]
+    df = spark.createDataFrame([(t,) for t in terms], "phrase string")
+    for keyword in (long, long[:62], long[:63], long * 2):
+        kept = {r.phrase for r in KW.fuzzy_exclude(df, [keyword]).collect()}
+        assert kept == {t for t in terms if KW.py_fuzz_ratio(t, keyword) <= 85}
+
+
+def test_mmr_takes_text_ids(spark):
+    df = spark.createDataFrame([("K-1", ["move", "code", "module", "code"]), ("K-2", ["fix"]), (None, [])],
+                               "Key string, tokens array<string>")
+    got = KW.mmr_keywords(df, "tokens", "Key", n=1, top_n=2).collect()
+    assert {r.Key for r in got} == {"K-1", "K-2"} and all(r["rank"] in (1, 2) for r in got)
