@@ -47,8 +47,10 @@ WALKS = 4
 BITS = 3
 #: Share of equal places of two embeddings at the edit bound, at least (measured in the tests).
 AGREE = 0.5
-#: Windows embedded together.
-WINDOWS = 20_000
+#: Starts tried to each side of a shared run, at least (all of them up to this many edits).
+STARTS = 16
+#: Places of embeddings that a task holds at a time.
+PLACES = 4_000_000
 ITEM_BYTES = 4 << 20
 RESULT = "doc_id long, item_id long, distance int, item_words int, start long, end long"
 
@@ -105,9 +107,9 @@ def walked(words: np.ndarray, begin: np.ndarray, end: np.ndarray, steps: int, wa
 
 
 def sampled(rounds: int) -> list[tuple[int, np.ndarray]]:
-    """(walk, places) of each round of bit sampling, as shares of the 3 * length steps of a window."""
+    """(round, places) of the bit sampling, places as shares of the 3 * length steps of a window."""
     rng = np.random.default_rng(1)
-    return [(k % WALKS, rng.random(BITS)) for k in range(rounds)]
+    return [(k, rng.random(BITS)) for k in range(rounds)]
 
 
 def covered(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,28 +122,31 @@ def covered(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.n
     return words[inside], place[begin], place[begin] + end - begin
 
 
-def collide(words: np.ndarray, begin: np.ndarray, limit: np.ndarray, lengths: np.ndarray, items: np.ndarray,
-            embedded: np.ndarray, rounds: int) -> np.ndarray:
-    """Which windows of ``lengths`` words agree with their item in all places of some round.
+def signatures(words: np.ndarray, begin: np.ndarray, limit: np.ndarray, lengths: np.ndarray, rounds: int) -> np.ndarray:
+    """A hash of the sampled places of every round: rounds x windows.
 
-    ``embedded[walk, step, item]`` holds the embeddings of the items.
+    Windows are embedded by length in parts of at most ``PLACES`` embedded
+    places, so a long item costs memory in proportion to itself only.
     """
-    found = np.zeros(len(begin), bool)
+    out = np.zeros((rounds, len(begin)), np.uint64)
     words, begin, end = covered(words, begin, np.minimum(begin + lengths, limit))
-    for walk in range(WALKS):
-        live = np.flatnonzero(~found)
-        if not len(live):
-            break
-        own = walked(words, begin[live], end[live], 3 * int(lengths[live].max()), walk)
-        which, column = items[live], np.arange(len(live))
-        for k, places in sampled(rounds):
-            if k == walk:
-                agree = np.ones(len(live), bool)
-                for share in places:
-                    p = (share * 3 * lengths[live]).astype(np.int64)
-                    agree &= own[p, column] == embedded[walk, p, which]
-                found[live[agree]] = True
-    return found
+    order = np.argsort(lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        count = np.searchsorted(3 * lengths[order[at:]] * np.arange(1, len(order) - at + 1), PLACES, "right")
+        count = max(1, int(count))
+        part = order[at:at + count]
+        at += count
+        column = np.arange(len(part))
+        for walk in range(WALKS):
+            own = walked(words, begin[part], end[part], 3 * int(lengths[part].max()), walk)
+            for k, places in sampled(rounds):
+                if k % WALKS == walk:
+                    key = np.full(len(part), k, np.uint64)
+                    for share in places:
+                        key = mix(key * U64(31) + own[(share * 3 * lengths[part]).astype(np.int64), column])
+                    out[k, part] = key
+    return out
 
 
 def closest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -185,8 +190,7 @@ class Searcher:
             self.runs[size] = hashes[order], who[order], off[order]
         words = np.concatenate([i.words for i in items])
         end = np.cumsum(self.lengths)
-        steps = 3 * int(self.lengths.max())
-        self.embedded = np.stack([walked(words, end - self.lengths, end, steps, w) for w in range(WALKS)])
+        self.signed = signatures(words, end - self.lengths, end, self.lengths, rounds)
 
     @staticmethod
     def grams(words: np.ndarray, size: int) -> np.ndarray:
@@ -226,8 +230,12 @@ class Searcher:
         if not parts:
             return (np.zeros(0, np.int64),) * 3
         item, doc, start = np.unique(np.concatenate(parts, axis=1), axis=1)
-        reach = 2 * self.edits[item] + 1
-        shift = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach + self.edits[item], reach)
+        # Starts that the edits allow; a long item's are taken in steps, which its embedding bears like a few edits.
+        step = np.maximum(1, self.edits[item] // STARTS)
+        side = -(-self.edits[item] // step)
+        reach = 2 * side + 1
+        shift = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach + side, reach)
+        shift *= np.repeat(step, reach)
         item, doc, start = np.repeat(item, reach), np.repeat(doc, reach), np.repeat(start, reach) + shift
         start = np.clip(start, bounds[doc], bounds[doc + 1])
         return tuple(np.unique(np.stack([item, doc, start]), axis=1))
@@ -235,11 +243,8 @@ class Searcher:
     def search(self, words: np.ndarray, row: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, distance, first word, last word + 1) of the closest stretch of each item in each row."""
         item, doc, start = self.near(words, row, bounds)
-        keep = np.zeros(len(item), bool)
-        for part in np.array_split(np.arange(len(item)), len(item) // WINDOWS + 1):
-            if len(part):
-                keep[part] = collide(words, start[part], bounds[doc[part] + 1], self.lengths[item[part]], item[part],
-                                     self.embedded, self.rounds)
+        signed = signatures(words, start, bounds[doc + 1], self.lengths[item], self.rounds)
+        keep = (signed == self.signed[:, item]).any(axis=0)
         item, doc, start = item[keep], doc[keep], start[keep]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         if len(item):
