@@ -1,5 +1,7 @@
 """Driver contract: entry, registry and oracle parity on the smallest tables."""
 
+import sys
+
 import duckdb
 import pytest
 
@@ -34,3 +36,11 @@ def test_oracle_parity_sf0001(spark, name):
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(dcols, res.fetchall())
+
+
+def test_queries_without_the_training_data_operators(monkeypatch):
+    """The other queries are there when the subpackage and its pipeline are gone."""
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    left = E.queries()
+    assert "label_issues" in left and "pipeline" not in left and not any(k.startswith("op1_") for k in left)
+    assert set(E.oracle_sql()) <= set(left)
