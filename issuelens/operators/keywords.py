@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from issuelens import fixed
 from issuelens.functions import tokens as K
-from issuelens.functions.vectors import KeywordSet, py_char_grams
+from issuelens.functions.vectors import KeywordSet, bind, char_grams, py_char_grams
 from issuelens.session import ensure_checkpoint_dir
 
 TFIDF_TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -223,6 +223,22 @@ def pick_new_seeds(scored: DataFrame, known: Sequence[str], k: int = fixed.NEW_S
 
 # -- KEY-5, KEY-6, KEY-7 ---------------------------------------------------------------------------
 
+def doc_vectors(docs: DataFrame, tokens_col: str, id_col: str = "doc_id") -> DataFrame:
+    """KEY-5 as a relation: ``(doc_id, gram, weight)``, the mean of the unit trigram vectors of a document's tokens.
+
+    A word is counted per document before it is turned into trigrams, so the
+    rows that are shuffled second are at most those of the distinct words.
+    """
+    words = docs.select(id_col, F.size(tokens_col).alias("_n"), F.explode(tokens_col).alias("_w"))
+    counted = words.groupBy(id_col, "_n", "_w").agg(F.count(F.lit(1)).alias("_k"))
+    grams = bind(char_grams(F.col("_w")), lambda g: F.transform(F.array_distinct(g), lambda x: F.struct(
+        x.alias("gram"), F.size(F.filter(g, lambda h: h == x)).alias("c"))))
+    norm = bind(F.col("_g"), lambda g: F.sqrt(F.aggregate(g, F.lit(0.0), lambda a, x: a + x["c"] * x["c"])))
+    rows = (counted.withColumn("_g", grams).withColumn("_norm", norm)
+            .select(id_col, "_n", "_k", "_norm", F.inline("_g")))
+    return rows.groupBy(id_col, "gram").agg((F.sum(F.col("_k") * F.col("c") / F.col("_norm")) / F.first("_n")).alias("weight"))
+
+
 def _word_entry(word: str, cache: dict) -> tuple[list[str], np.ndarray]:
     """Trigram keys and unit weights of one word (memoised per task)."""
     e = cache.get(word)

@@ -93,6 +93,27 @@ def mmr_keywords(spark, sf):
     return round_doubles(KW.mmr_keywords(toks, "tokens", n=2, top_n=fixed.TOP_N_TERMS))
 
 
+@query("doc_vector", f"""WITH t AS (SELECT d.doc_id, u.tok, u.pos FROM documents d,
+  unnest({O.tokenize('lower(d.text)')}) WITH ORDINALITY AS u(tok, pos)),
+w AS (SELECT t.doc_id, coalesce(x.llemma, t.tok) AS word, count(*) AS k FROM t {_lex_join_sql('t.tok')}
+  WHERE t.tok NOT IN {O.str_list(fixed.SEED_STOPWORDS)}
+    AND coalesce(x.lpos, {O.rule_pos('t.tok')}) IN {O.str_list(fixed.POS_SEED)}
+    AND t.tok NOT IN {O.str_list(fixed.ENGLISH_STOPWORDS)} AND regexp_full_match(t.tok, {O.lit(K.ALPHA_TOKEN[1:-1])})
+  GROUP BY ALL),
+n AS (SELECT doc_id, sum(k) AS n FROM w GROUP BY doc_id),
+g AS (SELECT word, gram, count(*) AS c FROM (SELECT word, unnest(list_transform(range(1, length('^' || word || '$') - 1),
+  lambda i: substr('^' || word || '$', i, 3))) AS gram FROM (SELECT DISTINCT word FROM w)) GROUP BY ALL),
+u AS (SELECT word, gram, c / sqrt(sum(c * c) OVER (PARTITION BY word)) AS x FROM g),
+v AS (SELECT w.doc_id, u.gram, sum(w.k * u.x) / max(n.n) AS weight FROM w JOIN u USING (word) JOIN n USING (doc_id) GROUP BY ALL)
+SELECT doc_id, count(*) AS n_grams, round(sqrt(sum(weight * weight)), 6) AS norm, round(max(weight), 6) AS top FROM v GROUP BY doc_id""")
+def doc_vector(spark, sf):
+    """KEY-5: the document vectors of the seed chain, summarised per document."""
+    v = KW.doc_vectors(_seed_tokens(spark, sf), "tokens")
+    return round_doubles(v.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_grams"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
+        F.max("weight").alias("top")))
+
+
 @query("seed_guided_keywords")
 def seed_guided_keywords(spark, sf):
     """KEY-7: MMR unigram keywords pulled towards the seed keywords (top 10)."""
@@ -109,13 +130,6 @@ def corpus_keyword_counts(spark, sf):
     return KW.corpus_keyword_counts(kws)
 
 
-@query("fuzzy_exclude")
-def fuzzy_exclude(spark, sf):
-    """KEY-9: distinct seed-chain words not fuzzy-similar (ratio > 85) to a seed."""
-    words = _seed_tokens(spark, sf).select(F.explode("tokens").alias("phrase")).distinct()
-    return KW.fuzzy_exclude(words, fixed.SEED_KEYWORDS)
-
-
 _SEED_WORDS_SQL = f"""t AS (SELECT d.doc_id, u.tok, u.pos FROM documents d,
   unnest({O.tokenize('lower(d.text)')}) WITH ORDINALITY AS u(tok, pos)),
 sw AS (SELECT DISTINCT coalesce(x.llemma, t.tok) AS term FROM t {_lex_join_sql('t.tok')}
@@ -123,6 +137,26 @@ sw AS (SELECT DISTINCT coalesce(x.llemma, t.tok) AS term FROM t {_lex_join_sql('
     AND coalesce(x.lpos, {O.rule_pos('t.tok')}) IN {O.str_list(fixed.POS_SEED)}
     AND t.tok NOT IN {O.str_list(fixed.ENGLISH_STOPWORDS)} AND regexp_full_match(t.tok, {O.lit(K.ALPHA_TOKEN[1:-1])}))"""
 
+# LCS by rows: the row of a character is the running maximum of the row before and, where the keyword's
+# character matches, one more than the place before.
+_ROWS = "list_transform(string_split(term, ''), lambda c: list_transform(string_split(kw, ''), lambda k: CAST(k = c AS INTEGER)))"
+_LCS_SQL = f"""list_last(list_reduce(list_prepend(list_transform(string_split(kw, ''), lambda k: 0), {_ROWS}),
+  lambda acc, x: list_transform(range(1, length(kw) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+    lambda i: greatest(acc[i], x[i] * (coalesce(acc[i - 1], 0) + 1)))))))"""
+
+
+@query("fuzzy_exclude", f"""WITH {_SEED_WORDS_SQL},
+kws AS (SELECT unnest({O.str_array(fixed.SEED_KEYWORDS)}) AS kw),
+pairs AS (SELECT term, kw FROM sw JOIN kws
+  ON 400 * least(length(term), length(kw)) >= {2 * fixed.FUZZ_CUTOFF + 1} * (length(term) + length(kw))),
+near AS (SELECT DISTINCT term FROM pairs WHERE 400 * {_LCS_SQL} >= {2 * fixed.FUZZ_CUTOFF + 1} * (length(term) + length(kw)))
+SELECT term AS phrase FROM sw WHERE term NOT IN (SELECT term FROM near)""")
+def fuzzy_exclude(spark, sf):
+    """KEY-9: distinct seed-chain words not fuzzy-similar (ratio > 85) to a seed."""
+    words = _seed_tokens(spark, sf).select(F.explode("tokens").alias("phrase")).distinct()
+    return KW.fuzzy_exclude(words, fixed.SEED_KEYWORDS)
+
+
 _SCORE_SQL = f"""WITH {_SEED_WORDS_SQL},
 {O.keyword_ctes({'known': fixed.SEED_KEYWORDS})},
 {O.term_sims_ctes('sw')},
