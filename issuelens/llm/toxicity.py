@@ -1,7 +1,8 @@
 """Toxicity score by a weighted lexicon.
 
 A text is folded (compatibility forms, lower case, look-alike letters of other
-scripts, digits and signs that stand for letters) and searched by an
+scripts, digits and signs that stand for letters; i and l become one letter, as
+the same signs stand for both) and searched by an
 Aho-Corasick automaton for all entries at once. An entry is a word or the start
 of a word; a word counts with its heaviest entry, and not at all inside an
 exception phrase. The sum is divided by the root of the length in hundreds of
@@ -48,7 +49,8 @@ LOOK_ALIKES = {
     "χ": "x", "ı": "i", "ł": "l", "ø": "o",
 }
 #: Digits and signs written for letters.
-WRITTEN_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
+WRITTEN_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
+               "!": "i", "|": "i", "l": "i"}  # 1, ! and | stand for i and for l, so these are one letter
 #: Phrases in which a lexicon word means no insult.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "circus clown", "pond scum", "soap scum")
 

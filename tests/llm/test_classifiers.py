@@ -73,10 +73,11 @@ def test_crf_gradient_finds_the_pattern():
 
 def test_fold():
     assert toxicity.fold("1D10T іdіоt ｉｄｉｏｔ st​up1d") == " idiot idiot idiot stupid "
+    assert toxicity.fold("c1own C|own") == toxicity.fold("clown clown")
 
 
 def test_toxicity_exceptions_and_length():
-    model = toxicity.Lexicon({" trash": 4.0, " idiot": 5.0}, ("trash can",))
+    model = toxicity.Lexicon({" trash": 4.0, " idiot": 5.0}, ("trash can",))  # no l in them: entries are folded text
     search = model.automaton()
     assert toxicity.hits(search, toxicity.fold("a trash can")) == {}
     assert list(toxicity.hits(search, toxicity.fold("you trash idiot")).values()) == [4.0, 5.0]
