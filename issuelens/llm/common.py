@@ -20,6 +20,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there (lineage ends)."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from issuelens.llm import decontam, ngram_join, packing, quality_rules, suffix_dedup
-from issuelens.llm.common import table, tokenizer_path
+from issuelens.llm.common import free, table, tokenizer_path
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """One document of each near-duplicate group: the one with the smallest id, once."""
     found = ngram_join.ngram_join(docs)
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    named = docs.join(keep, "doc_id", "left_semi").withColumn("place", first).where("place = 1")
+    first, place = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")), free("place", docs.columns)
+    named = docs.join(keep, "doc_id", "left_semi").withColumn(place, first).where(F.col(place) == 1)
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 

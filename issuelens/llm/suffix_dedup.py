@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from issuelens.llm.common import cut
+from issuelens.llm.common import cut, free
 from issuelens.llm.filters import filter_bits, may_have
 from issuelens.llm.graph import fresh
 from issuelens.llm.textbytes import POWERS, U64, Chunk, PrefixHash, mix, repeated, text_chunks
@@ -306,20 +306,21 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     null for a null text.
     """
     names = [c for c in docs.columns if c.lower() != "dedup"]
+    key, found = free("dedup_row", docs.columns), free("dedup_spans", docs.columns)
     keyed = docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("row"), "text")
     spans = (repeated_spans(keyed, length).groupBy("row", "start").agg(F.max("end").alias("end"))
-             .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("dedup_spans")))
+             .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(found)))
     out = T.StructType([*(docs.schema[c] for c in names), T.StructField("dedup", T.StructType.fromDDL(
         "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, kept_text string"))])
-    joined = (docs.select(*names, F.xxhash64(F.col("doc_id"), F.col("text")).alias("dedup_row"))
-              .join(spans.withColumnRenamed("row", "dedup_row"), "dedup_row", "left").drop("dedup_row"))
+    joined = (docs.select(*names, F.xxhash64(F.col("doc_id"), F.col("text")).alias(key))
+              .join(spans.withColumnRenamed("row", key), key, "left").drop(key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                found = []
-                for text, list_ in zip(part.column("text").to_pylist(), part.column("dedup_spans").to_pylist()):
+                rows = []
+                for text, list_ in zip(part.column("text").to_pylist(), part.column(found).to_pylist()):
                     data = (text or "").encode()
                     merged: list[list[int]] = []
                     for s in list_ or ():
@@ -333,13 +334,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         at = e
                     kept.append(data[at:])
                     rest = b"".join(kept)
-                    found.append({"n_bytes": len(data), "n_removed": sum(e - s for s, e in merged),
-                                  "spans": [{"start": s, "end": e} for s, e in merged], "kept": rest,
-                                  "kept_text": None if text is None else rest.decode("utf-8", "ignore")})
+                    rows.append({"n_bytes": len(data), "n_removed": sum(e - s for s, e in merged),
+                                 "spans": [{"start": s, "end": e} for s, e in merged], "kept": rest,
+                                 "kept_text": None if text is None else rest.decode("utf-8", "ignore")})
                 kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                                   ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                                   ("kept", pa.binary()), ("kept_text", pa.string())])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(found, kind)],
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(rows, kind)],
                                                  names=[*names, "dedup"])
 
     return joined.mapInArrow(run, out)

@@ -1,6 +1,6 @@
 import pytest
 
-EXTRA = "doc_id long, text string, score double, rules string, dedup int, lang_pred string, hits int, row long, cls long"
+EXTRA = "doc_id long, text string, score double, rules string, dedup int, lang_pred string, hits int, row long, cls long, place int, dedup_spans int, dedup_row int"
 
 
 @pytest.fixture(scope="session")
@@ -9,7 +9,7 @@ def odd(spark):
     long = "\n".join(" ".join(f"w{i}x{j}" for j in range(40)) + "." for i in range(1500))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one two"), (4, "one two"), (None, "one two"), (5, long), (6, long),
             (7, "single"), (None, None), (8, "日本語 текст ßé 12")]
-    return spark.createDataFrame([(i, t, 0.5, "r", 1, "xx", 2, 3, 4) for i, t in rows], EXTRA)
+    return spark.createDataFrame([(i, t, 0.5, "r", 1, "xx", 2, 3, 4, 5, 6, 7) for i, t in rows], EXTRA)
 
 
 @pytest.fixture(scope="session")
