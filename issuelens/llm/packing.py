@@ -26,6 +26,7 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ END_ID = 1
 GRAIN = 2
 ROUNDS = 12
 REST = 20_000
-CACHED_WORDS = 800_000
+CACHED_WORDS = 600_000
 
 #: 1: ASCII letter, 2: sign that never belongs to a token with a letter, 0: anything else.
 KIND = np.zeros(256, np.int8)
@@ -101,7 +102,7 @@ class WordTokens:
                 self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
             while self.used + total > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used:self.used + total] = [i for x in found for i in x]
+            self.ids[self.used:self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
             self.count[n:n + len(found)] = sizes
             self.first[n:n + len(found)] = self.used + np.cumsum(sizes) - sizes
             self.used += total
@@ -115,11 +116,14 @@ class WordTokens:
         if len(self.index) + len(known) > CACHED_WORDS:
             self.clear()
         keys = known.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.index]
-        self.add([keys[i] for i in new],
-                 [buf[starts[where[i]]:ends[where[i]]].tobytes().decode("utf-8", "replace") for i in new])
-        index = self.index
-        at = np.array([index[k] for k in keys], np.int64)[back]
+        at = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            data = buf.tobytes()
+            spans = zip(starts[where[new]].tolist(), ends[where[new]].tolist())
+            at[new] = len(self.index) + np.arange(len(new))
+            self.add([keys[i] for i in new.tolist()], [data[a:b].decode("utf-8", "replace") for a, b in spans])
+        at = at[back]
         sizes = self.count[at]
         total = np.cumsum(sizes)
         return self.ids[np.arange(total[-1]) + np.repeat(self.first[at] - total + sizes, sizes)], sizes
