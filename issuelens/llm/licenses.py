@@ -1,11 +1,17 @@
-"""License scan: lines and whole texts against license templates by the Dice coefficient of word bigrams.
+"""License scan: lines, whole texts and windows of words against license templates by the Dice coefficient of word bigrams.
 
 Native: one projection per document, no shuffle and no Python. A text is
 normalised to lower-case ASCII words. Its lines (and, if it has several, the
 text as a whole, as line -1) are units; a unit and a template are compared by
 their sets of word bigrams. ``2 * common >= threshold * (a + b)`` bounds the
 size of a unit's set from both sides, so templates of another size are never
-compared, and a unit that shares no bigram with any template leaves first.
+compared. It also bounds the common bigrams from below, so that every unit has
+one of a few rare bigrams; texts without any of them leave first, without loss.
+
+A notice wrapped over several lines, or inside a longer line, is found as a
+window of neighbouring words, whatever the line ends. Of windows that overlap
+the best one counts, with the line it starts on; it is left out where a line
+or the whole text that it is part of has the same license already.
 
 Defined results: a null or empty text has no match; a unit or template with a
 single word has no bigram and matches nothing; of several templates the one
@@ -16,9 +22,13 @@ read.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from issuelens.functions.vectors import bind
+
 THRESHOLD_PERCENT = 80
 
 #: Short license notices.
@@ -65,6 +75,82 @@ def bigrams(words: Column) -> Column:
                                        lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def least_common(size: int, percent: int) -> int:
+    """So many bigrams of a template of ``size`` are in every unit that reaches the threshold."""
+    return -(-percent * size // (200 - percent))
+
+
+def anchors(known: dict[str, list[str]], percent: int) -> list[str]:
+    """Bigrams of which every unit that reaches the threshold has one: all but so few of a template that the rest are
+    not enough. The longest ones are taken, as they are rare in other texts."""
+    found = set()
+    for v in known.values():
+        found.update(sorted(v, key=lambda b: (-len(b), b))[:len(v) - max(least_common(len(v), percent), 1) + 1])
+    return sorted(found)
+
+
+def near(size: Column, common: Column, license_id: str, n: int, percent: int) -> Column:
+    """The result of a unit of ``size`` bigrams of which ``common`` are in a template of ``n``, or null."""
+    return F.when(200 * common >= percent * (size + n),
+                  F.struct((2.0 * common / (size + n)).alias("dice"), F.lit(license_id).alias("license_id")))
+
+
+def best_template(pairs: Column, known: dict[str, list[str]], every: Column, percent: int) -> Column:
+    """The best template of a unit, or null: ``struct<dice, license_id>``."""
+    sizes = [len(v) for v in known.values()]
+    least, most = percent * min(sizes) / (200 - percent), (200 - percent) * max(sizes) / percent
+    n, found = F.size(pairs), []
+    for k, v in known.items():
+        fits = (n * (200 - percent) >= percent * len(v)) & (percent * n <= (200 - percent) * len(v))
+        common = F.size(F.array_intersect(pairs, F.array(*map(F.lit, v))))
+        found.append(F.when(fits, near(n, common, k, len(v), percent)))
+    best = F.aggregate(F.filter(F.array(*found), lambda x: x.isNotNull()), F.lit(None).cast("struct<dice:double,license_id:string>"),
+                       lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]), x).otherwise(a))
+    return F.when(n.between(int(least), int(most) + 1) & F.arrays_overlap(pairs, every), best)
+
+
+def windows(pairs: Column, known: dict[str, list[str]], percent: int) -> Column:
+    """The best windows of a text's neighbours ``struct<line, end_line, pair>``, none of which overlap.
+
+    A window starts and ends at a bigram of its template (to leave out another one at an end never lowers the
+    coefficient) and has at most as many bigrams as the threshold allows for a set. Of each template and start the best
+    window counts, then the windows are taken best first, longer ones first among equals.
+    """
+    marked = F.filter(F.transform(pairs, lambda p, i: F.struct(i.alias("at"), p["pair"].alias("pair"))),
+                      lambda x: x["pair"].isin(sorted({b for v in known.values() for b in v})))
+
+    def of_template(hits: Column, license_id: str, v: list[str]) -> Column:
+        most, enough = (200 - percent) * len(v) // percent, max(least_common(len(v), percent), 1)
+
+        def of_start(run: Column) -> Column:
+            first = run[0]["at"]
+
+            def ending(x: Column, j: Column) -> Column:
+                common = F.size(F.array_distinct(F.slice(run, F.lit(1), j + 1)["pair"]))
+                size = F.size(F.array_distinct(F.slice(pairs, first + 1, x["at"] - first + 1)["pair"]))
+                return F.when(common >= enough, bind(near(size, common, license_id, len(v), percent), lambda r: F.when(
+                    r.isNotNull(), F.struct((-r["dice"]).alias("minus"), (first - x["at"]).alias("shorter"), first.alias("at"),
+                                            r["license_id"].alias("license_id"), x["at"].alias("end")))))
+
+            return F.when(F.size(F.array_distinct(run["pair"])) >= enough, F.array_min(F.transform(run, ending)))
+
+        def of_hits(own: Column) -> Column:
+            return F.transform(own, lambda x, i: bind(
+                F.filter(F.slice(own, i + 1, F.lit(most)), lambda y: y["at"] < x["at"] + most), of_start))
+
+        return F.when(F.size(F.array_intersect(hits["pair"], F.array(*map(F.lit, v)))) >= enough,
+                      F.filter(bind(F.filter(hits, lambda x: x["pair"].isin(v)), of_hits), lambda x: x.isNotNull()))
+
+    kind = "array<struct<minus:double,shorter:int,at:int,license_id:string,end:int>>"
+    every = bind(marked, lambda hits: F.flatten(F.filter(F.array(*(of_template(hits, k, v).cast(kind) for k, v in known.items())),
+                                                          lambda x: x.isNotNull())))
+    taken = F.aggregate(F.array_sort(every), F.array().cast(kind), lambda kept, x: F.when(
+        F.exists(kept, lambda y: (y["at"] <= x["end"]) & (x["at"] <= y["end"])), kept).otherwise(F.concat(kept, F.array(x))))
+    return F.transform(taken, lambda x: F.struct(
+        pairs[x["at"]]["line"].alias("line"), pairs[x["end"]]["end_line"].alias("end_line"),
+        x["license_id"].alias("license_id"), (-x["minus"]).alias("dice")))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """``(doc_id, line, license_id, dice)`` of every unit that reaches the threshold."""
     known = {k: template_bigrams(v) for k, v in sorted(templates.items())}
@@ -72,28 +158,35 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int =
     schema = "doc_id long, line int, license_id string, dice double"
     if not known:
         return docs.sparkSession.createDataFrame([], schema)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"))
-    lines = F.transform(F.split("norm", "\n"), lambda x, i: F.struct(i.alias("line"), F.trim(x).alias("words")))
-    whole = F.when(F.instr("norm", "\n") > 0, F.array(F.struct(
-        F.lit(-1).alias("line"), F.trim(F.regexp_replace("norm", "[ \n]+", " ")).alias("words")))).otherwise(
-        F.array().cast("array<struct<line:int,words:string>>"))
-    units = (texts.where("norm is not null").select("doc_id", F.explode(F.concat(lines, whole)).alias("unit"))
-             .select("doc_id", "unit.line", F.split("unit.words", " ").alias("words"))
-             .select("doc_id", "line", bigrams(F.col("words")).alias("pairs")))
-    sizes = [len(v) for v in known.values()]
-    least, most = percent * min(sizes) / (200 - percent), (200 - percent) * max(sizes) / percent
     every = F.array(*(F.lit(b) for b in sorted({b for v in known.values() for b in v})))
-    units = units.where(F.size("pairs").between(int(least), int(most) + 1) & F.arrays_overlap("pairs", every))
-    n, found = F.size("pairs"), []
-    for k, v in known.items():
-        common = F.size(F.array_intersect("pairs", F.array(*map(F.lit, v))))
-        near = (n * (200 - percent) >= percent * len(v)) & (percent * n <= (200 - percent) * len(v))
-        found.append(F.when(near & (200 * common >= percent * (n + len(v))),
-                            F.struct((2.0 * common / (n + len(v))).alias("dice"), F.lit(k).alias("license_id"))))
-    best = F.aggregate(F.filter(F.array(*found), lambda x: x.isNotNull()), F.lit(None).cast("struct<dice:double,license_id:string>"),
-                       lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]), x).otherwise(a))
-    return (units.withColumn("best", best).where("best is not null")
-            .select("doc_id", "line", "best.license_id", "best.dice"))
+    flat = F.regexp_replace(F.translate(F.col("text"), UPPER, LOWER), "[^a-z0-9]+", " ")
+    texts = docs.where(F.exists(F.array(flat), lambda t: functools.reduce(Column.__or__, (
+        t.contains(a) for a in anchors(known, percent))))).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def of_lines(lines: Column) -> Column:
+        """The results of a text's lines, each an array of words."""
+        words = F.flatten(F.transform(lines, lambda x, i: F.transform(
+            F.filter(x, lambda w: w != ""), lambda w: F.struct(i.alias("line"), w.alias("word")))))
+        pairs = bind(words, lambda w: bind(F.greatest(F.size(w) - 1, F.lit(0)), lambda n: F.zip_with(
+            F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.struct(
+                a["line"].alias("line"), b["line"].alias("end_line"), F.concat(a["word"], F.lit(" "), b["word"]).alias("pair")))))
+
+        def of_pairs(p: Column) -> Column:
+            units = F.concat(F.transform(lines, lambda x, i: F.struct(i.alias("line"), bigrams(x).alias("pairs"))), F.when(
+                F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line"), F.array_distinct(p["pair"]).alias("pairs")))).otherwise(
+                F.array().cast("array<struct<line:int,pairs:array<string>>>")))
+            matched = F.filter(F.transform(units, lambda u: bind(best_template(u["pairs"], known, every, percent), lambda b: F.struct(
+                u["line"].alias("line"), u["line"].alias("end_line"), b["license_id"].alias("license_id"), b["dice"].alias("dice")))),
+                lambda x: x["license_id"].isNotNull())
+            return bind(matched, lambda m: F.concat(m, F.filter(windows(p, known, percent), lambda w: ~F.exists(
+                m, lambda x: (x["license_id"] == w["license_id"])
+                & ((x["line"] == -1) | x["line"].between(w["line"], w["end_line"]))))))
+
+        return bind(pairs, of_pairs)
+
+    lines = F.transform(F.split(normalised(F.col("text")), "\n"), lambda x: F.split(F.trim(x), " "))
+    return (texts.select("doc_id", F.explode(bind(lines, of_lines)).alias("found"))
+            .select("doc_id", F.col("found.line").cast("int").alias("line"), "found.license_id", "found.dice"))
 
 
 def scan_sql(templates: dict[str, str] = TEMPLATES, percent: int = THRESHOLD_PERCENT) -> str:

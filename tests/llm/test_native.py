@@ -1,4 +1,6 @@
 """Chat formatting and license scan: DuckDB twins, brute force, no Python in the plan."""
+import random
+
 import duckdb
 
 from issuelens.llm import chat, licenses, queries
@@ -60,3 +62,64 @@ def test_licenses(spark, odd, none):
     assert got == [(1, 1, "mit", 1.0), (3, -1, "gpl-3.0-header", 1.0), (4, 0, "apache-2.0", 1.0)]
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
     assert licenses.scan(odd, {"one": "word"}).count() == 0
+
+
+def test_licenses_wrapped_and_embedded(spark):
+    mit, bsd = licenses.TEMPLATES["mit-header"].split(), licenses.TEMPLATES["bsd-header"].split()
+    wrap = lambda words, mark="": "\n".join(mark + " ".join(words[i:i + 6]) for i in range(0, len(words), 6))
+    more = "\n" + " ".join(f"word{i}" for i in range(99))
+    rows = [(1, "Copyright 2020\n\n" + wrap(mit) + more), (2, "# x\n" + wrap(bsd, " * ") + "\n" + wrap(mit, "// ") + more),
+            (3, "Some words before it. Released under the MIT License. All rights reserved. " + "And many more words. " * 9),
+            (4, "of the software of the license\n" * 30)]
+    got = sorted(map(tuple, licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(1, 2, "mit-header", 1.0), (2, 1, "bsd-header", 1.0), (2, 5, "mit-header", 1.0),
+                   (3, 0, "all-rights-reserved", 1.0), (3, 0, "mit", 1.0)]
+
+
+def windows(lines, templates, percent):
+    """Brute force over all windows of a text's bigrams: ``(line, end_line, license_id, dice)``, best first."""
+    words = [(i, w) for i, line in enumerate(lines) for w in line.split()]
+    pairs = [(a, b, f"{v} {w}") for (a, v), (b, w) in zip(words, words[1:])]
+    known = {k: set(licenses.template_bigrams(v)) for k, v in templates.items()}
+    every = []
+    for k, v in known.items():
+        for i in range(len(pairs)):
+            near = []
+            for j in range(i, min(i + (200 - percent) * len(v) // percent, len(pairs))):
+                unit = {p for _, _, p in pairs[i:j + 1]}
+                if {pairs[i][2], pairs[j][2]} <= v and 200 * len(unit & v) >= percent * (len(unit) + len(v)):
+                    near.append((-2.0 * len(unit & v) / (len(unit) + len(v)), i - j, i, k, j))
+            every += sorted(near)[:1]
+    taken = []
+    for x in sorted(every):
+        if not any(y[2] <= x[4] and x[2] <= y[4] for y in taken):
+            taken.append(x)
+    return [(pairs[i][0], pairs[j][1], k, -minus) for minus, _, i, k, j in taken]
+
+
+def test_license_windows_against_brute_force(spark):
+    rng, templates = random.Random(5), {"x": "a b c d e", "y": "b c d e f g", "z": "d c b", "t": "c d"}
+    rows = [(i, "\n".join(" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) if rng.random() < 0.5 else
+                          rng.choice(["a b c d", "e f g", "q a b c d e", "b c d e f", "d c b c d"]) for _ in range(rng.randint(2, 8))))
+            for i in range(60)]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates, 80).collect():
+        got.setdefault(r.doc_id, []).append((r.line, r.license_id, round(r.dice, 9)))
+    extra = 0
+    for i, text in rows:
+        lines = text.split("\n")
+
+        def unit(words):
+            unit = set(licenses.template_bigrams(words))
+            near = [(-2.0 * len(unit & v) / (len(unit) + len(v)), k) for k, v in
+                    ((k, set(licenses.template_bigrams(v))) for k, v in templates.items())
+                    if 200 * len(unit & v) >= 80 * (len(unit) + len(v))]
+            return min(near, default=None)
+        units = {n: u for n, u in [*((n, unit(x)) for n, x in enumerate(lines)), (-1, unit(text))] if u}
+        want = [(n, k, round(-minus, 9)) for n, (minus, k) in units.items()]
+        for a, b, k, dice in windows(lines, templates, 80):
+            if not any(u[1] == k and (n == -1 or a <= n <= b) for n, u in units.items()):
+                want.append((a, k, round(dice, 9)))
+                extra += 1
+        assert sorted(got.get(i, [])) == sorted(want)
+    assert extra > 20
