@@ -2,14 +2,16 @@
 
 A text is folded (compatibility forms, lower case, look-alike letters of other
 scripts, digits and signs that stand for letters; i and l become one letter, as
-the same signs stand for both) and searched by an
-Aho-Corasick automaton for all entries at once. An entry is a word or the start
-of a word; a word counts with its heaviest entry, and not at all inside an
-exception phrase. The sum is divided by the root of the length in hundreds of
+the same signs stand for both; all else that is no letter becomes a blank) and
+searched by an Aho-Corasick automaton for all entries at once. A digit or sign
+at the edge of a word, or a sign or asterisk inside, may stand for a letter or
+part words: a text with such places is searched in each reading. An entry is the start of a word, of 4 letters at
+least, or a whole shorter word; a word counts with its heaviest entry, and not
+at all inside an exception phrase (a fixed list). The sum is divided by the root of the length in hundreds of
 words and goes through a logistic curve.
 
-The entries and their weights (log odds of document counts), learned exception
-phrases and the curve are fitted on a bounded sample of labelled texts.
+The entries and their weights (log odds of document counts) and the curve are
+fitted on a bounded sample of labelled texts.
 
 Defined results: a null or empty text has sum 0 and gets the curve's value
 there; with no labelled text of a class every score is the share of label 1
@@ -20,6 +22,7 @@ are added (columns of those names are replaced).
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -54,15 +57,46 @@ WRITTEN_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 #: Phrases in which a lexicon word means no insult.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "circus clown", "pond scum", "soap scum")
 
-FOLD = str.maketrans({**LOOK_ALIKES, **WRITTEN_FOR, **{c: " " for c in "\t\n\v\f\r"},
-                      **{c: None for c in "​‌‍­⁠"}})
+SIGNS = "".join(c for c in WRITTEN_FOR if c != "l")
+LETTERS = str.maketrans(WRITTEN_FOR)
+#: Places with two readings: signs before and after the letters of a word, and signs and asterisks between letters.
+EDGES = tuple(map(re.compile, (rf"(?<= )[{SIGNS}]+(?=[^ {SIGNS}])", rf"(?<=[^ {SIGNS}])[{SIGNS}]+(?= )",
+                               rf"(?<=[^ *{SIGNS}])[*@$!|]+(?=[^ *{SIGNS}])")))
 
 
-def fold(text: str) -> str:
-    """The folded text between two blanks; words are parted by blanks."""
+class Fold(dict):
+    """What becomes of a character: marks of letters and signs stay, what is not seen goes, the rest parts words."""
+
+    def __missing__(self, code: int) -> int | None:
+        c = chr(code)
+        kind = unicodedata.category(c)
+        self[code] = None if kind == "Cf" else code if kind[0] in "LM" or c in SIGNS or c == "*" else ord(" ")
+        return self[code]
+
+
+FOLD = Fold(str.maketrans({**LOOK_ALIKES, **{c: None for c in "​‌‍­⁠"}}))
+
+
+def readings(text: str) -> list[str]:
+    """The folded text between two blanks in each reading of its signs, first the one in which all stand for letters.
+
+    Words are parted by blanks; a place is the same in all readings.
+    """
     if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
         text = unicodedata.normalize("NFKC", text)
-    return f" {text.lower().translate(FOLD)} "
+    text = f" {text.lower().translate(FOLD)} "
+    if "*" in text:
+        text = re.sub(r"(?<= )\*+|\*+(?= )", lambda m: " " * len(m[0]), text)
+    found = [text]
+    for edge in EDGES:
+        if edge.search(text):
+            found += [edge.sub(lambda m: " " * len(m[0]), t) for t in found]
+    return [t.translate(LETTERS) for t in found]
+
+
+def fold(text: str) -> str:
+    """The folded text with all signs as letters."""
+    return readings(text)[0]
 
 
 @dataclass
@@ -98,15 +132,28 @@ def hits(automaton: ahocorasick.Automaton, folded: str) -> dict[int, float]:
     return best
 
 
+def text_hits(automaton: ahocorasick.Automaton, folded: list[str]) -> dict[int, float]:
+    """The hits of a text over its readings: a word counts once, with its heaviest entry in any reading."""
+    best = hits(automaton, folded[0])
+    for t in folded[1:]:
+        for start, weight in hits(automaton, t).items():
+            while t[start - 1] == " " != folded[0][start]:  # to the first of the signs that are blanks here
+                start -= 1
+            if weight > best.get(start, 0.0):
+                best[start] = weight
+    return best
+
+
 def level(found: dict[int, float], folded: str) -> float:
-    """Sum of the weights, normalised by the length."""
-    return sum(found.values()) / (1 + folded.count(" ") / 100) ** 0.5
+    """Sum of the weights, normalised by the length in words."""
+    return sum(found.values()) / (1 + (len(folded.split()) + 1) / 100) ** 0.5
 
 
 def entries_of(text: str) -> set[str]:
-    """Candidate entries of a text: its words and their beginnings, each after a blank."""
+    """Candidate entries of a text: beginnings of its words, each after a blank, and short words between blanks."""
     low, high = PREFIXES
-    return {f" {w[:n]}" for w in set(fold(text).split()) for n in range(low, min(len(w), high) + 1)}
+    words = {w for t in readings(text) for w in t.split()}
+    return {f" {w[:n]}" for w in words for n in range(low, min(len(w), high) + 1)} | {f" {w} " for w in words if len(w) < low}
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = TRAIN_PER_CLASS,
@@ -114,8 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     """Lexicon and curve from at most ``per_class`` labelled texts of each class.
 
     Document counts of entries and the sums of the texts are made in Spark; the
-    driver gets at most ``MAX_ENTRIES`` entries, as many phrases, and one number
-    for each text of the sample.
+    driver gets at most ``MAX_ENTRIES`` entries and one number for each text of
+    the sample.
     """
     sample = with_ids(docs, training_ids(labels, label, per_class)).where("text is not null")
 
@@ -148,9 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = model.automaton()
         for batch in batches:
-            folded = [fold(t) for t in batch.column("text").to_pylist()]
+            folded = [readings(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch({"label": batch.column("label"),
-                                   "level": pa.array([level(hits(search, t), t) for t in folded], pa.float64())})
+                                   "level": pa.array([level(text_hits(search, t), t[0]) for t in folded], pa.float64())})
 
     got = sample.mapInArrow(summed, "label int, level double").toArrow()
     x, y = got.column("level").to_numpy(), got.column("label").to_numpy().astype(float)
@@ -173,9 +220,9 @@ def score(docs: DataFrame, model: Lexicon) -> DataFrame:
             x, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for i, t in enumerate(batch.column("text")):
                 if search and t.is_valid:
-                    folded = fold(t.as_py())
-                    found = hits(search, folded)
-                    x[i], n[i] = level(found, folded), len(found)
+                    folded = readings(t.as_py())
+                    found = text_hits(search, folded)
+                    x[i], n[i] = level(found, folded[0]), len(found)
             p = 1 / (1 + np.exp(-np.clip(model.curve[0] * x + model.curve[1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p), pa.array(n)],
                                              names=[*names, "score", "hits"])

@@ -85,6 +85,29 @@ def test_toxicity_exceptions_and_length():
     assert toxicity.level(toxicity.hits(search, short), short) > toxicity.level(toxicity.hits(search, long), long) > 0
 
 
+def test_toxicity_words_after_other_signs():
+    model = toxicity.Lexicon({" idiot": 5.0, " ass ": 3.0, " f*ck": 4.0, " ugi": 4.0}, ("trash can",))
+    search = model.automaton()
+    found = lambda text: sorted(toxicity.text_hits(search, toxicity.readings(text)).values())
+    for sign in "\"'([{<-/*_¡¿«„“‘—…#~.,;:&%\\+=`|!@$2 ":
+        assert found(f"x {sign}idiot{sign} y") == found(f"{sign * 3}idiot") == found(f"x{sign}idiot") == [5.0]
+    assert found("idiot|idiot") == found("idiot*idiot") == [5.0] * 2
+    assert found("you ass") == found("an (ass).") == found("ass!") == found("A$$") == found("@ss!!") == [3.0]
+    assert found("assume a class, pass") == found("") == []
+    assert found("f*ck it") == found("!f*ck!") == found("**f*ck**") == [4.0] and found("you*idiot") == [5.0]
+    assert found("1d1ot, !diot |idiots|") == [5.0] * 3
+
+
+def test_toxicity_learns_short_words(spark):
+    from pyspark.sql import Row
+    rows = [(i, f"w{chr(97 + i // 2 % 20)}ord some -{'sod' if i % 2 else 'sad'}- more") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([Row(doc_id=i, toxic=i % 2) for i in range(200)]))
+    assert " sod " in model.weights
+    got = {r.doc_id: r.hits for r in toxicity.score(docs, model).collect()}
+    assert got[1] == 1 and got[2] == 0
+
+
 def test_toxicity_held_out(spark, more, labels):
     out = toxicity.score(more, toxicity.fit(more, labels)).where(common.held_out(F.col("doc_id"))).join(labels, "doc_id").toPandas()
     assert auc(out.score, out.toxic) > 0.85
