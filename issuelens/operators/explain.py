@@ -1,4 +1,4 @@
-"""Per-issue explanations (XPL-1).
+"""Per-issue explanations (XPL-1, XPL-2).
 
 For a linear model ``margin = b + sum_j w_j x_j`` the additive (SHAP-style)
 contribution of feature j is ``w_j (x_j - mean_j)`` with
@@ -10,6 +10,8 @@ and ``base + sum(contributions) = margin`` holds per document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,12 +82,9 @@ def _ridge_per_doc(top_k: int, ridge: float, width: float):
     import numpy as np
     import pandas as pd
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        toks = list(pdf["toks"].iloc[0])
-        if not toks:
-            return pd.DataFrame(columns=["doc_id", "rank", "token", "weight", "intercept"])
-        x = np.stack([np.asarray(k, dtype=np.float64) for k in pdf["kept"]])
-        y = pdf["p1"].to_numpy(dtype=np.float64)
+    def fit(doc_id: int, toks: list[str], kept: list, p1: list[float]) -> pd.DataFrame:
+        x = np.stack([np.asarray(k, dtype=np.float64) for k in kept])
+        y = np.asarray(p1, dtype=np.float64)
         share = x.mean(axis=1)
         d = 1.0 - np.sqrt(share)
         w = np.sqrt(np.exp(-((100.0 * d) ** 2) / width ** 2))
@@ -104,10 +103,27 @@ def _ridge_per_doc(top_k: int, ridge: float, width: float):
             beta = b.T @ np.linalg.solve(b @ b.T + ridge * np.eye(x.shape[0]), sw_ * yc)
         intercept = ym - float(xm @ beta)
         order = sorted(range(len(toks)), key=lambda j: (-round(abs(beta[j]), 9), toks[j]))[:top_k]
-        return pd.DataFrame({"doc_id": int(pdf["doc_id"].iloc[0]), "rank": list(range(1, len(order) + 1)),
+        return pd.DataFrame({"doc_id": doc_id, "rank": list(range(1, len(order) + 1)),
                              "token": [toks[j] for j in order], "weight": [float(beta[j]) for j in order],
                              "intercept": intercept})
-    return fit
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """An issue's variants follow each other, from variant 0 on; they may go over several batches."""
+        issue = None
+        for pdf in batches:
+            out = []
+            for doc_id, v, toks, kept, p1 in zip(pdf["doc_id"], pdf["v"], pdf["toks"], pdf["kept"], pdf["p1"]):
+                if v == 0:
+                    if issue:
+                        out.append(fit(*issue))
+                    issue = (doc_id, list(toks), [], [])
+                issue[2].append(kept)
+                issue[3].append(p1)
+            if out:
+                yield pd.concat(out)
+        if issue:
+            yield fit(*issue)
+    return run
 
 
 def explain_lime(model, docs: DataFrame, *, n_samples: int = 50, seed: int = 42, ridge: float = 1.0,
@@ -115,14 +131,18 @@ def explain_lime(model, docs: DataFrame, *, n_samples: int = 50, seed: int = 42,
                  text_col: str = "text", positive: int = 1) -> DataFrame:
     """XPL-2: local surrogate per issue.
 
-    All variants of all issues are scored by one ``model.transform`` (a
-    distributed job); the weighted ridge fit (intercept unpenalised) is a
-    closed-form solve per issue in ``applyInPandas``. A group is one issue's
-    ``n_samples`` variants, so its size is bounded by the caller's setting.
+    All variants of all issues are scored by one ``model.transform`` and stay
+    in the task that made them, one issue after the other; the weighted ridge
+    fit (intercept unpenalised) is a closed-form solve per issue there. The
+    model must transform rows in place. Nothing is shuffled, a task holds the
+    masks of one issue's ``n_samples`` variants, and its tokens go to Python
+    once. An issue without tokens has no rows; rows that repeat are each
+    explained.
     """
     from pyspark.ml.functions import vector_to_array
 
     var = lime_variants(docs, n_samples=n_samples, seed=seed, id_col=id_col, text_col=text_col)
-    scored = model.transform(var).select(
-        "doc_id", "v", "toks", "kept", F.element_at(vector_to_array("probability"), positive + 1).alias("p1"))
-    return scored.groupBy("doc_id").applyInPandas(_ridge_per_doc(top_k, ridge, kernel_width), LIME_SCHEMA)
+    scored = model.transform(var.where(F.size("toks") > 0)).select(
+        "doc_id", "v", F.when(F.col("v") == 0, F.col("toks")).alias("toks"),
+        "kept", F.element_at(vector_to_array("probability"), positive + 1).alias("p1"))
+    return scored.mapInPandas(_ridge_per_doc(top_k, ridge, kernel_width), LIME_SCHEMA)

@@ -145,9 +145,8 @@ def explain_linear(spark, sf):
 
 @query("explain_lime")
 def explain_lime(spark, sf):
-    """XPL-2: LIME-style token weights for every labelled document (20 masked
+    """XPL-2: LIME-style token weights for every document (the operator's 50 masked
     variants each) under a text classifier trained on the labelled documents."""
     from issuelens.operators import active as A
-    lab = tables.labelled(spark, sf)
-    model = A.train_classifier(lab)
-    return round_doubles(X.explain_lime(model, lab.select("doc_id", "text"), n_samples=20))
+    model = A.train_classifier(tables.labelled(spark, sf))
+    return round_doubles(X.explain_lime(model, tables.table(spark, sf, "documents").select("doc_id", "text")))

@@ -52,6 +52,48 @@ def test_lime_recovers_the_decisive_token(spark):
     assert all(r["rank"] <= 10 for r in out)
 
 
+def test_lime_against_brute_force_without_a_shuffle(spark):
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+    from issuelens.operators import active as A
+    rows = [(i, ("refactor " if i % 2 else "weather ") + "common words here " + str(i % 7), i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = A.train_classifier(df)
+    long = " ".join(f"w{i}" for i in range(70))
+    docs = spark.createDataFrame([(1, rows[1][1]), (2, rows[2][1]), (2, "refactor here"), (3, None), (4, "refactor " + long), (5, "")],
+                                 "doc_id long, text string").coalesce(1)
+    got = X.explain_lime(model, docs)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # an issue goes over several batches
+    try:
+        got = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.doc_id for r in got} >= {1, 2, 4} and 3 not in {r.doc_id for r in got}
+    for doc_id, text in ((1, rows[1][1]), (2, rows[2][1]), (2, "refactor here"), (4, "refactor " + long)):
+        one = spark.createDataFrame([(doc_id, text)], "doc_id long, text string")
+        var = (model.transform(X.lime_variants(one)).select("v", "toks", "kept", vector_to_array("probability")[1].alias("p"))
+               .orderBy("v").collect())
+        assert len(var) == 50
+        x = np.array([r.kept for r in var], float)
+        y = np.array([r.p for r in var])
+        w = np.sqrt(np.exp(-(100 * (1 - np.sqrt(x.mean(axis=1)))) ** 2 / 625))
+        full = np.column_stack([x, np.ones(len(x))])  # the intercept is not penalised
+        beta = np.linalg.solve(full.T @ (w[:, None] * full) + np.diag([1.0] * x.shape[1] + [0.0]), full.T @ (w * y))
+        want = {t: (b, beta[-1]) for t, b in zip(var[0].toks, beta)}
+        mine = [r for r in got if r.doc_id == doc_id and r.token in want and abs(r.intercept - beta[-1]) < 1e-7]
+        assert len(mine) == min(10, len(want))
+        assert all(abs(r.weight - want[r.token][0]) < 1e-7 for r in mine)
+        assert sorted(round(abs(r.weight), 7) for r in mine) == sorted(sorted((round(abs(b), 7) for b, _ in want.values()))[-10:])
+
+
+def test_lime_query_explains_all_documents(spark):
+    from issuelens.plans import q_misc
+    from issuelens.sources import tables
+    docs = tables.table(spark, "/root/testdata/sf0.001", "documents").where("length(trim(text)) > 0").select("doc_id")
+    assert q_misc.explain_lime(spark, "/root/testdata/sf0.001").select("doc_id").distinct().count() == docs.distinct().count()
+
+
 def test_lime_masks_are_deterministic(spark):
     df = spark.createDataFrame([(1, "a b c a")], "doc_id long, text string")
     v1 = sorted((r["v"], tuple(r["kept"]), r["text"]) for r in X.lime_variants(df, n_samples=5).collect())
