@@ -182,12 +182,22 @@ def nearest_to_centroid(df: DataFrame, centres: list[list[float]], id_col: str =
 
 def query_embedding_kmeans(unlabelled: DataFrame, n: int, id_col: str = "doc_id", emb_col: str = "embedding",
                            seed: int = fixed.SEED) -> DataFrame:
-    """QRY-5: n clusters; the row nearest each centre; top up at random if short."""
-    model = kmeans_fit(unlabelled, n, emb_col, seed)
-    centres = [list(c) for c in model.clusterCenters()]
-    assigned = model.transform(unlabelled.withColumn("features", array_to_vector(l2_normalise(F.col(emb_col)))))
-    picks = nearest_to_centroid(assigned, centres, id_col, emb_col, cluster_col="cluster")
-    chosen = picks.select(id_col, F.col("dist").alias("score"))
+    """QRY-5: n clusters; the row nearest each centre; top up at random if short.
+
+    With at most ``n`` different vectors each of them is a cluster of its own,
+    so its smallest id is taken without a fit; a pool of at most ``n`` rows is
+    taken whole.
+    """
+    unit = unlabelled.select(id_col, l2_normalise(F.col(emb_col)).alias("e"))
+    kinds = unit.groupBy("e").agg(F.min(id_col).alias(id_col))
+    if kinds.limit(n + 1).count() <= n:
+        chosen = kinds.select(id_col, F.lit(0.0).alias("score"))
+    else:
+        model = kmeans_fit(unlabelled, n, emb_col, seed)
+        centres = [list(c) for c in model.clusterCenters()]
+        assigned = model.transform(unlabelled.withColumn("features", array_to_vector(l2_normalise(F.col(emb_col)))))
+        picks = nearest_to_centroid(assigned, centres, id_col, emb_col, cluster_col="cluster")
+        chosen = picks.select(id_col, F.col("dist").alias("score"))
     short = n - chosen.count()
     if short > 0:
         rest = unlabelled.select(id_col).join(chosen.select(id_col), id_col, "left_anti")

@@ -1,5 +1,6 @@
 """Metrics, splits, strategies and the active-learning loop (invariants)."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,29 @@ def test_all_strategies_on_texts(spark, tmp_path, strategy):
     assert [r["index"] for r in out] == list(range(1, 91)) and all(r.text for r in out)
 
 
+@pytest.mark.parametrize("rows,copies", [(3, 1), (8, 1), (9, 1), (4, 5), (9, 3), (40, 1)])
+def test_kmeans_query_of_small_pools(spark, rows, copies):
+    """Fewer rows than clusters, as many, more, and repeated vectors: n rows (or all), none twice."""
+    vec = np.random.default_rng(rows).normal(size=(rows, 6)).tolist()
+    data = [(10 * i + c, v) for i, v in enumerate(vec) for c in range(copies)]
+    df = spark.createDataFrame(data, "doc_id long, embedding array<double>")
+    got = Q.query_embedding_kmeans(df, 8).collect()
+    assert len({r.doc_id for r in got}) == len(got) == min(8, len(data))
+    assert sorted(r["rank"] for r in got) == list(range(1, len(got) + 1))
+    if rows <= 8:  # every vector is a cluster, named by its smallest id
+        assert {10 * i for i in range(rows)} <= {r.doc_id for r in got}
+
+
+@pytest.mark.parametrize("strategy", ["EmbeddingKMeans", "ContrastiveActiveLearning", "PredictionEntropy"])
+def test_strategies_until_the_pool_is_empty(spark, tmp_path, strategy):
+    lab = tables.labelled(spark, "/root/testdata/sf0.001")
+    test, pool = lab.filter("doc_id % 4 = 0"), lab.filter("doc_id % 4 <> 0")
+    ledger, curve = A.active_learning_run(spark, pool, test, strategy=strategy, query_size=25, rounds=20, run_dir=str(tmp_path / "run"))
+    ids = [r.doc_id for r in ledger.collect()]
+    assert len(ids) == len(set(ids)) == pool.count()
+    assert curve.count() == -(-len(ids) // 25)
+
+
 def test_learning_curve_reports_sizes_above_the_pool(spark):
     lab = tables.labelled(spark, "/root/testdata/sf0.01").limit(200)
     rows = A.learning_curve_random(spark, lab.filter("doc_id % 4 <> 0"), lab.filter("doc_id % 4 = 0"), lo=50, hi=250, step=100).collect()
