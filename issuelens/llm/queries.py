@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from issuelens.llm import chat, compression, decontam, langid, licenses, ngram_join, packing, quality_rules, suffix_dedup, toxicity
+from issuelens.llm import (chat, compression, decontam, langid, licenses, negatives, ngram_join, packing, quality_rules, resampling,
+                           sharding, suffix_dedup, toxicity)
 from issuelens.llm.common import held_out, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +102,29 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, langid.vocabulary(tokenizer_path("piece_bpe_32k.model")))
     return langid.identify(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op11_importance_resampling"] = resampling.resample_sql()
+
+
+@query
+def op12_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_stratified_sharding"] = sharding.shard_sql()
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
+    return negatives.hard_negatives(rows, F.col("id") % 50 == 0)
+
+
+SQL["op13_hard_negatives"] = negatives.hard_negatives_sql()
