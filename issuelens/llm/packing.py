@@ -4,13 +4,15 @@
 2. The lengths are counted over all pieces. The histogram has at most
    ``capacity`` entries, whatever the number of documents, and is all that the
    driver sees.
-3. The fractional number of sequences of each *configuration* (how many pieces
-   of each length class share a sequence) is found by multiplicative weights:
-   a weight per class, knapsack dynamic programming prices the best filling of
-   a sequence that starts with each class, classes covered too little gain
-   weight. Whole multiples are taken, the program is solved again for the
-   rest, and a last rest of at most ``REST`` pieces is packed best-fit
-   decreasing.
+3. The number of sequences of each *configuration* (how many pieces of each
+   length share a sequence) is found by multiplicative weights: a weight for
+   each length, knapsack dynamic programming prices the best filling of a
+   sequence that starts with each length, lengths covered too little gain
+   weight. Rounding goes on with these weights: in each round every length
+   places half of what it has left in configurations of whole pieces. The last
+   pieces, a twentieth and never more than ``REST``, are packed best-fit
+   decreasing. The plan holds the configurations of each round, so its size
+   goes with the lengths and the logarithm of the pieces.
 4. A piece finds its sequence by its rank among the pieces of its length; ranks
    come from per-partition counts, so no length is ever collected in one task.
 
@@ -24,7 +26,7 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -38,9 +40,12 @@ from issuelens.llm.textbytes import LOWER, SPACE, Chunk, PrefixHash, text_chunks
 
 CAPACITY = 4096
 END_ID = 1
-#: Lengths are rounded up to a multiple of this in configurations.
-GRAIN = 2
-ROUNDS = 12
+#: Groups of lengths that the program gives weights to, and how fast the weights fall.
+GROUPS = 64
+RATE = 2.0
+#: Steps that share a pricing.
+PRICED_STEPS = 4
+#: Pieces that best fit packs at most.
 REST = 20_000
 CACHED_WORDS = 600_000
 
@@ -184,98 +189,121 @@ def price(sizes: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
     return choice
 
 
-def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tuple, float]:
-    """Fractional use of each configuration ``((class, pieces), ...)`` that covers the counts, by multiplicative weights."""
-    need = counts.astype(float)
-    weight = sizes / capacity
-    cover = np.zeros(len(sizes))
-    use: dict[tuple, float] = defaultdict(float)
-    for t in range(ROUNDS):
-        choice = price(sizes, weight, capacity)
-        target = need * (t + 1) / ROUNDS
-        for k in np.argsort(-sizes, kind="stable"):
-            lack = target[k] - cover[k]
-            if lack <= 0:
-                continue
-            held: dict[int, int] = defaultdict(int)
-            held[int(k)] += 1
-            space = capacity - int(sizes[k])
-            while space > 0 and choice[space] >= 0 and sizes[choice[space]] <= space:
-                held[int(choice[space])] += 1
-                space -= int(sizes[choice[space]])
-            amount = lack / held[int(k)]
-            use[tuple(sorted(held.items()))] += amount
-            for c, n in held.items():
-                cover[c] += amount * n
-        over = np.clip(cover / np.maximum(target, 1e-9), 0.25, 4)
-        weight = weight * np.exp(-0.5 * np.log(over))
-        weight /= max((weight / (sizes / capacity)).max(), 1e-9)
-    return use
-
-
 class Plan:
-    """Where the pieces of each length class go: runs of equal configurations, then single places."""
+    """Where the pieces of each length go: runs of equal configurations, then single places."""
 
     def __init__(self, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> None:
-        # Full pieces have a sequence each; classes hold the rest, by length within a class.
+        # Full pieces have a sequence each.
         part = lengths < capacity
-        full = int(counts[~part].sum())
-        self.capacity, self.lengths, self.counts = capacity, lengths[part], counts[part]
-        rounded = np.minimum(-(-self.lengths // GRAIN) * GRAIN, capacity)
-        self.sizes, self.cls = np.unique(rounded, return_inverse=True)
-        total = np.bincount(self.cls, weights=self.counts, minlength=len(self.sizes)).astype(np.int64)
-        # Smallest lengths of a class come first; base is the place of a length's first piece in its class.
-        before = np.cumsum(self.counts) - self.counts
-        first = np.concatenate([[0], np.cumsum(total)])[:-1]
-        self.base = before - first[self.cls] if len(self.lengths) else before
-        self.bins = full
+        self.bins = int(counts[~part].sum())
+        self.capacity, self.sizes, self.total = capacity, lengths[part].astype(np.int64), counts[part].astype(np.int64)
         self.runs: list[tuple[int, int, int, int, int]] = []  # class, first place, first sequence, pieces each, slot
         used = np.zeros(len(self.sizes), np.int64)
-        while (total - used).sum() > REST:
-            rest = total - used
-            live = np.flatnonzero(rest > 0)
-            got = configurations(self.sizes[live] // GRAIN, rest[live], capacity // GRAIN)
-            placed = 0
-            for config, amount in sorted(got.items(), key=lambda x: (-x[1], x[0])):
-                m = min([int(amount)] + [int((total - used)[live[c]] // n) for c, n in config])
-                if m > 0:
-                    slot = 0
-                    for c, n in config:
-                        self.runs.append((int(live[c]), int(used[live[c]]), self.bins, n, slot))
-                        used[live[c]] += m * n
-                        slot += n
-                        placed += m * n
-                    self.bins += m
-            if placed * 20 < rest.sum():
-                break
-        self.best_fit(total, used)
-
-    def best_fit(self, total: np.ndarray, used: np.ndarray) -> None:
-        """Best-fit decreasing of the pieces not yet placed, by their true lengths."""
-        rest = []
-        for i in range(len(self.lengths)):
-            left = self.base[i] + self.counts[i] - max(used[self.cls[i]], self.base[i])
-            start = max(used[self.cls[i]], self.base[i])
-            rest += [(int(self.lengths[i]), int(start + j)) for j in range(max(0, left))]
+        self.by_program(used)
+        self.placed = int(used.sum())
+        self.best_fit(used)
+
+    def by_program(self, used: np.ndarray) -> None:
+        """Solves and rounds the configuration program: in each round every length places half of what it has left.
+
+        Lengths of one ``grain`` have a weight together (each its own, if they are few). A step prices a filling
+        the rest of a sequence behind the longest piece, gives it exact lengths
+        and uses it as often as they last; weights fall by the part of a
+        round's pieces that are placed, so that lengths which lag behind are
+        worth more. A piece whose filling leaves more than ``slack`` tokens is
+        put off to the next round; ``slack`` grows when a round places little.
+        """
+        grain, slack = -(-self.capacity // GROUPS) if len(self.sizes) > GROUPS else 1, 0
+        space = self.capacity // grain
+        group = -(-self.sizes // grain)
+        rest, step = self.total.copy(), 0
+        while rest.sum() > min(REST, self.total.sum() // 20):
+            free = -(-rest // 2)
+            if (free * self.sizes).sum() < 2 * self.capacity:
+                free = rest.copy()  # not worth two rounds
+            share = np.maximum(np.bincount(group, weights=free, minlength=space + 2), 1e-9)
+            before = rest.sum()
+            for first in range(len(free) - 1, -1, -1):  # the longest first
+                while free[first]:
+                    if step % PRICED_STEPS == 0:
+                        left = np.bincount(group, weights=free, minlength=space + 2)
+                        live = np.flatnonzero(left[:space + 1])
+                        value = live * np.exp(RATE * (left[live] / share[live] - 1))
+                        choice = price(live, value, space) if len(live) else np.full(space + 1, -1)
+                    step += 1
+                    config, waste = self.filling(first, live, choice, free, group, grain)
+                    if waste > slack:
+                        break
+                    times = int(min(free[c] // n for c, n in config.items()))
+                    self.place(config, times, used)
+                    for c, n in config.items():
+                        free[c] -= times * n
+                        rest[c] -= times * n
+            if (before - rest.sum()) * 8 < before:
+                slack = min(2 * slack + 1, self.capacity)
+
+    def filling(self, first: int, live: np.ndarray, choice: np.ndarray, free: np.ndarray, group: np.ndarray,
+                grain: int) -> tuple[dict[int, int], int]:
+        """The priced filling behind a first piece in exact lengths, ``({class: pieces}, tokens left)``.
+
+        Of a group, the length with most pieces is taken; the last piece is the longest that fits.
+        """
+        taken = free.copy()
+        taken[first] -= 1
+        pieces, room = [first], self.capacity - int(self.sizes[first])
+        at = room // grain
+        while at > 0 and choice[at] >= 0:
+            g = int(live[choice[at]])
+            start, end = np.searchsorted(group, [g, g + 1])
+            c = int(start + taken[start:end].argmax())
+            if taken[c] <= 0:
+                at -= 1
+                continue
+            pieces.append(c)
+            taken[c] -= 1
+            room -= int(self.sizes[c])
+            at = min(at - g, room // grain)
+        if len(pieces) > 1:  # the last piece again, as long as can be
+            taken[pieces[-1]] += 1
+            room += int(self.sizes[pieces.pop()])
+        while True:
+            fits = np.flatnonzero(taken[:np.searchsorted(self.sizes, room, "right")])
+            if not len(fits):
+                return dict(Counter(pieces)), room
+            pieces.append(int(fits[-1]))
+            taken[fits[-1]] -= 1
+            room -= int(self.sizes[fits[-1]])
+
+    def place(self, config: dict[int, int], times: int, used: np.ndarray) -> None:
+        slot = 0
+        for c, n in sorted(config.items()):
+            self.runs.append((c, int(used[c]), self.bins, n, slot))
+            used[c] += times * n
+            slot += n
+        self.bins += times
+
+    def best_fit(self, used: np.ndarray) -> None:
+        """Best-fit decreasing of the pieces that the program left, at most ``REST``."""
         space: list[tuple[int, int]] = []  # (space left, sequence), sorted
         slots: dict[int, int] = {}
-        cls_of = dict(zip(self.lengths.tolist(), self.cls.tolist()))
-        for length, place in sorted(rest, key=lambda x: (-x[0], x[1])):
-            at = bisect.bisect_left(space, (length, -1))
-            left, bin_ = space.pop(at) if at < len(space) else (self.capacity, self.bins)
-            if bin_ == self.bins:
-                self.bins += 1
-            slots[bin_] = slots.get(bin_, -1) + 1
-            self.runs.append((cls_of[length], place, bin_, 1, slots[bin_]))
-            if left > length:
-                bisect.insort(space, (left - length, bin_))
+        for c in range(len(self.sizes) - 1, -1, -1):
+            length = int(self.sizes[c])
+            for place in range(int(used[c]), int(self.total[c])):
+                at = bisect.bisect_left(space, (length, -1))
+                left, bin_ = space.pop(at) if at < len(space) else (self.capacity, self.bins)
+                if bin_ == self.bins:
+                    self.bins += 1
+                slots[bin_] = slots.get(bin_, -1) + 1
+                self.runs.append((c, place, bin_, 1, slots[bin_]))
+                if left > length:
+                    bisect.insort(space, (left - length, bin_))
 
     def arrays(self) -> dict[str, np.ndarray]:
         runs = np.array(sorted(self.runs), np.int64).reshape(-1, 5)
-        base, cls = np.zeros(self.capacity + 1, np.int64), np.zeros(self.capacity + 1, np.int64)
-        base[self.lengths], cls[self.lengths] = self.base, self.cls
-        return {"base": base, "cls": cls, "key": (runs[:, 0] << 44) + runs[:, 1], "first": runs[:, 1],
-                "bin": runs[:, 2], "each": runs[:, 3], "slot": runs[:, 4]}
+        cls = np.zeros(self.capacity + 1, np.int64)
+        cls[self.sizes] = np.arange(len(self.sizes))
+        return {"cls": cls, "key": (runs[:, 0] << 44) + runs[:, 1], "first": runs[:, 1],
+                "bin": runs[:, 2], "each": runs[:, 3].astype(np.int16), "slot": runs[:, 4].astype(np.int16)}
 
 
 def local_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +326,7 @@ def placed(plan: dict[str, np.ndarray], capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            cls, place = plan["cls"][length], plan["base"][length] + rank
+            cls, place = plan["cls"][length], rank
             bin_, slot = rank.copy(), np.zeros(len(rank), np.int64)  # a full piece: the sequence of its rank
             part = length < capacity
             if part.any():
