@@ -10,8 +10,10 @@ from __future__ import annotations
 import datetime as _dt
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,17 +48,50 @@ def header_of(spark: SparkSession, path: str, sep: str) -> list[str]:
     return csv_options(spark.read, sep).csv(path).columns
 
 
-def _read_csv(spark: SparkSession, paths: Sequence[str], sep: str, schema: T.StructType) -> tuple[DataFrame, set[str]]:
+def _layouts(spark: SparkSession, paths: Sequence[str], sep: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header layout.
+
+    One job finds the first line of every file; the reader then parses one
+    header for each different first line, so the number of jobs goes with the
+    layouts, not with the files.
+    """
+    lines = spark.read.text(list(paths)).select(
+        "value", F.monotonically_increasing_id().alias("row"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"))
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "row").alias("line"))
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for row in first.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("line").collect():
+        layouts.setdefault(tuple(header_of(spark, row["files"][0], sep)), []).extend(row["files"])
+    return layouts
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task body: ``_record``, the row's number in its file (a multi-line CSV file is read by one task, in order)."""
+    last, seen = None, 0
+    for batch in batches:
+        files = batch.column("_file").to_numpy(zero_copy_only=False)
+        record = np.zeros(len(files), np.int64)
+        for part in np.split(np.arange(len(files)), np.flatnonzero(files[1:] != files[:-1]) + 1):
+            if len(part):
+                seen = seen if files[part[0]] == last else 0
+                record[part] = seen + np.arange(len(part))
+                last, seen = files[part[0]], seen + len(part)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(record)], names=[*batch.schema.names, "_record"])
+
+
+def _read_csv(spark: SparkSession, paths: Sequence[str], sep: str, schema: T.StructType | None) -> tuple[DataFrame, set[str]]:
     """One read per header layout, columns taken by name.
 
     A CSV read with a schema binds by position, so the files are grouped by
     their header line and each group is read under its own names. Columns of
-    ``schema`` that a file does not have are null; others are left out.
+    ``schema`` that a file does not have are null; others are left out. Without
+    a schema all columns of all files are taken, as text.
     """
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    files = csv_options(spark.read, sep).csv(list(paths)).inputFiles()
-    for path in files:
-        layouts.setdefault(tuple(header_of(spark, path, sep)), []).append(path)
+    layouts = _layouts(spark, paths, sep)
+    names_in = {n.strip().lower(): n.strip() for names in reversed(layouts) for n in names}
+    if schema is None:
+        order = dict.fromkeys(n.strip().lower() for names in layouts for n in names)
+        schema = T.StructType([T.StructField(names_in[n], T.StringType()) for n in order])
     parts = []
     for names, own in layouts.items():
         read = csv_options(spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])), sep).csv(own)
@@ -64,12 +99,11 @@ def _read_csv(spark: SparkSession, paths: Sequence[str], sep: str, schema: T.Str
         cols = [(F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name)
                 for f in schema]
         parts.append(read.select(*cols, F.col("_metadata.file_path").alias("_file"),
-                                 F.col("_metadata.file_name").alias("_name"),
-                                 F.monotonically_increasing_id().alias("_row")))
+                                 F.col("_metadata.file_name").alias("_name")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out, {n.strip().lower() for names in layouts for n in names}
+    return out, set(names_in)
 
 
 def read_issues(spark: SparkSession, paths: str | Sequence[str], sep: str = ";",
@@ -84,25 +118,30 @@ def read_issues(spark: SparkSession, paths: str | Sequence[str], sep: str = ";",
     missing = [f.name for f in schema if f.name != "Key" and f.name.lower() not in names]
     if missing:
         raise ValueError(f"input has no column {missing}")
-    df = df.withColumn("project", F.regexp_extract("_name", PROJECT_PATTERN, 1)).drop("_file", "_name", "_row")
+    df = df.withColumn("project", F.regexp_extract("_name", PROJECT_PATTERN, 1)).drop("_file", "_name")
     return df if "key" in names else df.drop("Key")
 
 
 def read_corpus(spark: SparkSession, paths: str | Sequence[str], sep: str = ",",
                 schema: T.StructType = CORPUS_SCHEMA) -> DataFrame:
-    """SRC-2: a ``text`` corpus with a ``doc_id`` of its own for every row, equal texts included."""
+    """SRC-2: a ``text`` corpus with a ``doc_id`` of its own for every row, equal texts included.
+
+    The id is a hash of the file's path and the row's number in it, whatever
+    files a task reads together.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     df, names = _read_csv(spark, paths, sep, schema)
     if "text" not in names:
         raise ValueError("input must have a 'text' column")
-    return df.withColumn("doc_id", F.xxhash64("_file", "_row")).drop("_file", "_name", "_row")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(_records, f"{fields}, _record long").withColumn("doc_id", F.xxhash64("_file", "_record")).drop("_file", "_name", "_record")
 
 
 def read_labelled(spark: SparkSession, paths: str | Sequence[str], sep: str = ",") -> DataFrame:
-    """SRC-3: labelled issues; ``Summary_Description`` is derived when missing (SRC-5)."""
+    """SRC-3: labelled issues, columns by name whatever their order in a file; ``Summary_Description`` is derived when missing (SRC-5)."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = csv_options(spark.read, sep).csv(paths)
-    return require_columns(df, mode="labelled")
+    df, _ = _read_csv(spark, paths, sep, None)
+    return require_columns(df.drop("_file", "_name"), mode="labelled")
 
 
 def require_columns(df: DataFrame, mode: str = "corpus") -> DataFrame:

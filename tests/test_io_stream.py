@@ -140,3 +140,48 @@ def test_parquet_stream_has_its_project(spark, tmp_path):
                 str(tmp_path / "ck"), available_now=True)
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).collect()[0].project == "some-project"
+
+
+def _put(folder, name, text):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text(text)
+
+
+def test_labelled_files_with_other_column_orders(spark, tmp_path):
+    """Columns go by name, also where only some files have them, and a quoted line feed in a header is kept."""
+    folder = tmp_path / "lab"
+    _put(folder, "a.csv", "Key,Summary,Description,Label\nA-1,move,\"one\ntwo\",1\n")
+    _put(folder, "b.csv", "Label,Description,Summary\n0,code,update\n")
+    _put(folder, "c.csv", "Label,Summary,Description,\"odd\nname\"\n1,s,d,x\n")
+    got = io.read_labelled(spark, str(folder))
+    assert sorted((r.Key or "", r.Summary_Description, r.Label, r["odd\nname"]) for r in got.collect()) == [
+        ("", "s. d", "1", "x"), ("", "update. code", "0", None), ("A-1", "move. one\ntwo", "1", None)]
+
+
+def test_header_jobs_do_not_grow_with_the_files(spark, tmp_path):
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(n):
+        folder = tmp_path / f"many{n}"
+        for i in range(n):
+            _put(folder, f"f{i}.csv", ("Summary;Description\n" if i % 2 else "Description;Summary\n") + f"x{i};y{i}\n")
+        spark.sparkContext.setJobGroup(f"g{n}", "headers")
+        rows = io.read_issues(spark, str(folder))
+        count = len(tracker.getJobIdsForGroup(f"g{n}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert rows.count() == n and {r.Summary[0] for r in rows.where("project like '%1' and project not like '%0'").collect()} == {"x"}
+        return count
+    assert jobs(4) == jobs(24)
+
+
+def test_corpus_ids_do_not_depend_on_the_splits(spark, tmp_path):
+    folder = tmp_path / "corpus"
+    for i in range(6):
+        _put(folder, f"f{i}.csv", "text\n" + "".join(f"\"row {j % 3}\nof {i}\"\n" for j in range(5 + i)))
+    ids = []
+    for size in ("128m", "1"):
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        ids.append(sorted((r.text, r.doc_id) for r in io.read_corpus(spark, str(folder)).collect()))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert ids[0] == ids[1] and len({i for _, i in ids[0]}) == len(ids[0]) == sum(5 + i for i in range(6))
