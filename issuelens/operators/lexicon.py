@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from issuelens import fixed
 from issuelens.functions import tokens as K
+from issuelens.session import ensure_checkpoint_dir
 
 
 def lexicon_df(spark: SparkSession, rows=None) -> DataFrame:
@@ -43,9 +44,12 @@ def tag_tokens_table(df: DataFrame, tokens_col: str, lexicon: DataFrame, out: st
     """TOK-8/TOK-9 against a lexicon table: adds ``array<struct<tok,pos,lemma>>`` like ``functions.tokens.tag_tokens``.
 
     Tokens are joined with their places and come back as one array per row, as
-    long as the row's own tokens. Rows are told apart by a key of their own.
+    long as the row's own tokens. Rows are written to the checkpoint folder
+    first, so that their numbers are the same in both branches of the join and
+    after a lost task.
     """
-    keyed = df.withColumn("_row", F.monotonically_increasing_id())
+    ensure_checkpoint_dir(df.sparkSession)
+    keyed = df.checkpoint().withColumn("_row", F.monotonically_increasing_id())
     toks = keyed.select("_row", F.posexplode(tokens_col).alias("_at", "token"))
     one = F.struct("_at", F.col("token").alias("tok"), F.coalesce("lex_pos", K.rule_pos(F.col("token"))).alias("pos"),
                    F.coalesce("lex_lemma", "token").alias("lemma"))

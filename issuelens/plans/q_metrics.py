@@ -125,10 +125,12 @@ def best_iteration(spark, sf):
 r AS (SELECT model, training_size, round(fscore, 9) AS fscore, max(round(fscore, 9)) OVER (PARTITION BY model) AS t
   FROM curves)
 SELECT model, min(CASE WHEN fscore >= t THEN training_size END) AS size_at_target,
-  round(1.0 - min(CASE WHEN fscore >= t THEN training_size END) / 500.0, 6) AS effort_saved FROM r GROUP BY model""")
+  round(1.0 - min(CASE WHEN fscore >= t THEN training_size END) / (SELECT count(*) FROM embeddings), 6) AS effort_saved
+FROM r GROUP BY model""")
 def effort_saved(spark, sf):
+    """RES-3: the part of the whole pool that need not be labelled."""
     c = _curves(spark, sf).withColumn("fscore", F.round("fscore", 9))
-    return round_doubles(M.effort_saved(c, 500))
+    return round_doubles(M.effort_saved(c, tables.table(spark, sf, "embeddings").count()))
 
 
 @query("global_top_k", """SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25""")

@@ -28,19 +28,18 @@ cnt AS (SELECT lang, gram, count(*) AS cnt FROM g WHERE train GROUP BY lang, gra
 v AS (SELECT count(DISTINCT gram) AS v FROM cnt),
 tot AS (SELECT lang, -ln(sum(cnt) + max(v.v)) AS unseen FROM cnt CROSS JOIN v GROUP BY lang),
 prof AS (SELECT lang, gram, ln(cnt + 1.0) AS delta FROM cnt),
-occ AS (SELECT doc_id, gram, count(*) AS c FROM g WHERE NOT train GROUP BY doc_id, gram),
+occ AS (SELECT doc_id, gram, count(*) AS c FROM g GROUP BY doc_id, gram),
 n AS (SELECT doc_id, sum(c) AS n FROM occ GROUP BY doc_id),
 part AS (SELECT o.doc_id, p.lang, sum(o.c * p.delta) AS s FROM occ o JOIN prof p USING (gram) GROUP BY o.doc_id, p.lang),
 sc AS (SELECT n.doc_id, t.lang, round(n.n * t.unseen + coalesce(part.s, 0.0), 9) AS score FROM n CROSS JOIN tot t
   LEFT JOIN part ON part.doc_id = n.doc_id AND part.lang = t.lang),
 best AS (SELECT doc_id, arg_min(lang, (-score, lang)) AS detected FROM sc GROUP BY doc_id)
-SELECT d.doc_id, d.lang, best.detected FROM d LEFT JOIN best USING (doc_id) WHERE NOT d.train""")
+SELECT d.doc_id, d.lang, d.train, best.detected FROM d LEFT JOIN best USING (doc_id)""")
 def detect_language(spark, sf):
-    """LNG-1: trigram profile trained on one md5 half of ``documents``, applied to the other."""
-    d = tables.table(spark, sf, "documents").select("doc_id", "text", "lang").withColumn("_train", _train_flag())
-    prof, unseen = LG.train_profile(d.filter("_train"))
-    ev = d.filter(~F.col("_train"))
-    return ev.select("doc_id", "lang").join(LG.detect_language(ev, prof, unseen), "doc_id")
+    """LNG-1: every document's language, by a trigram profile trained on the md5 half that ``train`` marks."""
+    d = tables.table(spark, sf, "documents").select("doc_id", "text", "lang").withColumn("train", _train_flag())
+    prof, unseen = LG.train_profile(d.filter("train"))
+    return d.select("doc_id", "lang", "train").join(LG.detect_language(d, prof, unseen), "doc_id")
 
 
 _CODE_FIXTURE = "import a.b;\npublic class X {\nprose stays\n@Override\n"
