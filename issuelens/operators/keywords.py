@@ -5,30 +5,29 @@
   broadcast; only occurrences of vocabulary grams are shuffled per document.
 * ``mmr_keywords`` (KEY-6/7): greedy maximal-marginal-relevance is sequential
   inside one document and independent across documents. A document is one
-  row, so the greedy runs in ``mapInPandas`` over Arrow batches with no
-  shuffle; its cost is O(top_n x candidates) per document.
+  row, so the greedy runs in ``mapInArrow`` over batches with no shuffle; its cost is O(top_n x candidates) per document.
 * ``fuzzy_exclude`` (KEY-9): the indel ratio needs the LCS length. Against a
   small literal keyword set it is computed in-row with the bit-parallel LCS
   recurrence (64-bit masks, one pass over the term's characters).
 * ``expand_keywords`` (KEY-12): a driver loop over a state of at most
-  ``seeds + rounds x new`` keywords; the corpus side is written out once.
+  ``seeds + rounds x new`` keywords; the documents' candidates are written out
+  once and every round selects from them.
 """
 
 from __future__ import annotations
 
 import json
-from collections import Counter
+import uuid
 from collections.abc import Iterable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from issuelens import fixed
 from issuelens.functions import tokens as K
-from issuelens.functions.vectors import KeywordSet, bind, char_grams, py_char_grams
-from issuelens.session import ensure_checkpoint_dir
+from issuelens.functions.vectors import KeywordSet, bind, char_grams
+from issuelens.operators import mmr
+from issuelens.session import ensure_checkpoint_dir, scratch_table_dir
 
 TFIDF_TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -182,7 +181,10 @@ def fuzzy_any(term: Column, keywords: Sequence[str], cutoff: int = fixed.FUZZ_CU
 
 def fuzzy_exclude(cands: DataFrame, keywords: Sequence[str], term_col: str = "phrase",
                   cutoff: int = fixed.FUZZ_CUTOFF) -> DataFrame:
-    """KEY-9 / JOIN-4: the left-anti theta join, as an in-row predicate against a literal set."""
+    """KEY-9 / JOIN-4: the left-anti theta join, as an in-row predicate against a literal set.
+
+    For a keyword table use ``fuzzy.fuzzy_anti_join``.
+    """
     return cands.filter(~fuzzy_any(F.col(term_col), list(keywords), cutoff))
 
 
@@ -239,27 +241,6 @@ def doc_vectors(docs: DataFrame, tokens_col: str, id_col: str = "doc_id") -> Dat
     return rows.groupBy(id_col, "gram").agg((F.sum(F.col("_k") * F.col("c") / F.col("_norm")) / F.first("_n")).alias("weight"))
 
 
-def _word_entry(word: str, cache: dict) -> tuple[list[str], np.ndarray]:
-    """Trigram keys and unit weights of one word (memoised per task)."""
-    e = cache.get(word)
-    if e is None:
-        c = Counter(py_char_grams(word))
-        keys = list(c)
-        vals = np.asarray([c[k] for k in keys], dtype=np.float64)
-        e = (keys, vals / np.sqrt((vals * vals).sum()))
-        cache[word] = e
-    return e
-
-
-def _segments(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Concatenated ``arange(start, start + length)`` for every segment."""
-    total = int(lengths.sum())
-    if total == 0:
-        return np.zeros(0, dtype=np.int64)
-    offs = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return np.repeat(starts, lengths) + offs
-
-
 def mmr_select(tokens: list[str], n: int, top_n: int, diversity: float,
                seeds: Sequence[str] = (), cache: dict | None = None) -> list[tuple[int, str, float]]:
     """Greedy MMR for one document; returns ``(rank, phrase, relevance)``.
@@ -270,87 +251,17 @@ def mmr_select(tokens: list[str], n: int, top_n: int, diversity: float,
     ``(3 * doc + mean(seeds)) / 4`` when seeds are given (KEY-7). Ties go to
     the earlier candidate.
 
-    Phrase vectors are unit rows of a sparse (CSR) matrix over the document's
-    trigrams, built with vectorised segment gathers: relevance is one sparse
-    mat-vec, and each greedy step is one O(nnz) product with the last pick, so
-    a step never touches all pairs.
     """
-    cache = {} if cache is None else cache
-    if len(tokens) < n:
+    found = mmr.candidates(tokens, n, mmr.Words())
+    if found is None:
         return []
-    grams = [" ".join(tokens[i:i + n]) for i in range(len(tokens) - n + 1)]
-    counts = Counter(grams)
-    cands = list(counts)  # insertion order = first position
-    m = len(cands)
-    words = list(dict.fromkeys(w for c in cands for w in c.split(" ")))
-    wid = {w: i for i, w in enumerate(words)}
-    entries = [_word_entry(w, cache) for w in words]
-    wlen = np.asarray([len(k) for k, _ in entries], dtype=np.int64)
-    wptr = np.concatenate([[0], np.cumsum(wlen)])
-    all_keys = [k for ks, _ in entries for k in ks]
-    all_vals = np.concatenate([v for _, v in entries])
-    uniq, gid = np.unique(np.asarray(all_keys, dtype=object), return_inverse=True)
-    g = len(uniq)
-    cw = np.asarray([[wid[w] for w in c.split(" ")] for c in cands], dtype=np.int64).reshape(m, n)
-    rows, cols, vals = [], [], []
-    for k in range(n):
-        wk = cw[:, k]
-        idx = _segments(wptr[wk], wlen[wk])
-        rows.append(np.repeat(np.arange(m), wlen[wk]))
-        cols.append(gid[idx])
-        vals.append(all_vals[idx] / n)
-    key = np.concatenate(rows) * g + np.concatenate(cols)
-    ukey, inv = np.unique(key, return_inverse=True)
-    raw = np.bincount(inv, weights=np.concatenate(vals))
-    row, col = ukey // g, ukey % g
-    ptr = np.searchsorted(row, np.arange(m + 1))
-    norms = np.sqrt(np.bincount(row, weights=raw * raw, minlength=m))
-    dat = raw / norms[row]
-    cnt = np.asarray([counts[c] for c in cands], dtype=np.float64)
-    doc = np.bincount(col, weights=raw * cnt[row], minlength=g) / float(len(grams))
-    out_norm2 = 0.0
-    if seeds:
-        sv: dict[str, float] = {}
-        for s in seeds:
-            ks, vs = _word_entry(s, cache)
-            for kk, vv in zip(ks, vs):
-                sv[kk] = sv.get(kk, 0.0) + vv / len(seeds)
-        pos = {k: i for i, k in enumerate(uniq)}
-        ext = np.zeros(g)
-        for kk, vv in sv.items():
-            if kk in pos:
-                ext[pos[kk]] += vv
-            else:
-                out_norm2 += (vv / 4.0) ** 2
-        doc = (3.0 * doc + ext) / 4.0
-    dn = float(np.sqrt(doc @ doc + out_norm2))
-
-    def matvec(vec: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(dat * vec[col], ptr[:-1])
-
-    rel = np.round(matvec(doc) / dn, 9) if dn > 0 else np.zeros(m)
-    k_out = min(top_n, m)
-    order_idx = np.arange(m)
-    first = int(np.lexsort((order_idx, -rel))[0])
-    chosen = [first]
-    taken = np.zeros(m, dtype=bool)
-    taken[first] = True
-    best_sim = np.full(m, -np.inf)
-    while len(chosen) < k_out:
-        last = np.zeros(g)
-        lo, hi = ptr[chosen[-1]], ptr[chosen[-1] + 1]
-        last[col[lo:hi]] = dat[lo:hi]
-        best_sim = np.maximum(best_sim, matvec(last))
-        score = np.round((1 - diversity) * rel - diversity * best_sim, 9)
-        score[taken] = -np.inf
-        nxt = int(np.lexsort((order_idx, -score))[0])
-        chosen.append(nxt)
-        taken[nxt] = True
-    return [(r + 1, cands[i], float(rel[i])) for r, i in enumerate(chosen)]
-
-
-#: Words whose trigrams a task remembers.
-CACHED_WORDS = 100_000
+    chosen, relevance = mmr.select(found, top_n, diversity, mmr.Seeds(seeds, mmr.Words()) if seeds else None)
+    return [(r + 1, found.phrases[i], float(relevance[i])) for r, i in enumerate(chosen)]
+
+
+def _with_tokens(docs: DataFrame, tokens_col: str, id_col: str) -> tuple[DataFrame, str]:
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(tokens_col).alias("tokens"))
+    return src, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, "
 
 
 def mmr_keywords(docs: DataFrame, tokens_col: str, id_col: str = "doc_id", *, n: int = 1,
@@ -358,28 +269,32 @@ def mmr_keywords(docs: DataFrame, tokens_col: str, id_col: str = "doc_id", *, n:
                  seeds: Sequence[str] = ()) -> DataFrame:
     """KEY-6 (and KEY-7 with ``seeds``): per-document MMR keyword selection.
 
-    ``mapInPandas`` over ``(doc_id, tokens)`` rows: no shuffle, the unit of work
+    ``mapInArrow`` over ``(doc_id, tokens)`` rows: no shuffle, the unit of work
     is one document, and word vectors are memoised per task.
     """
-    seeds = list(seeds)
-
-    def run(batches):
-        cache: dict = {}
-        for pdf in batches:
-            rows = []
-            for did, toks in zip(pdf["doc_id"], pdf["tokens"]):
-                if len(cache) > CACHED_WORDS:
-                    cache.clear()
-                for rank, phrase, rel in mmr_select(list(toks), n, top_n, diversity, seeds, cache):
-                    rows.append((did, rank, phrase, float(rel)))
-            yield pd.DataFrame(rows, columns=["doc_id", "rank", "phrase", "relevance"])
-
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(tokens_col).alias("tokens"))
-    out = src.mapInPandas(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, rank int, phrase string, "
-                               "relevance double")
+    src, key = _with_tokens(docs, tokens_col, id_col)
+    out = src.mapInArrow(mmr.picked(top_n, diversity, list(seeds), n), key + "rank int, phrase string, relevance double")
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
 
 
+def candidate_state(docs: DataFrame, tokens_col: str, n: int = 1, id_col: str = "doc_id") -> DataFrame:
+    """``(doc_id, phrases, ptr, col, dat, grams, doc)``: what MMR needs of each document, whatever the seeds.
+
+    Written as Parquet to the checkpoint folder; the tokens are read once.
+    """
+    src, key = _with_tokens(docs, tokens_col, id_col)
+    spark, path = docs.sparkSession, scratch_table_dir(docs.sparkSession, f"candidates-{uuid.uuid4().hex}")
+    src.mapInArrow(mmr.stored(n), key + mmr.STATE).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def mmr_of_state(state: DataFrame, *, top_n: int = fixed.TOP_N_SEED, diversity: float = fixed.DIVERSITY,
+                 seeds: Sequence[str] = ()) -> DataFrame:
+    """KEY-6 / KEY-7 from a ``candidate_state``: the rows of ``mmr_keywords``."""
+    key = f"doc_id {state.schema['doc_id'].dataType.simpleString()}, "
+    return state.mapInArrow(mmr.picked(top_n, diversity, list(seeds), None), key + "rank int, phrase string, relevance double")
+
+
 def corpus_keyword_counts(keywords: DataFrame, k: int = fixed.TOP_N_TERMS, phrase_col: str = "phrase") -> DataFrame:
     """KEY-8 / AGG-1: how many documents chose each keyword; the ``k`` most common."""
     counts = keywords.groupBy(F.lower(F.col(phrase_col)).alias(phrase_col)).agg(F.count(F.lit(1)).alias("count"))
@@ -388,13 +303,16 @@ def corpus_keyword_counts(keywords: DataFrame, k: int = fixed.TOP_N_TERMS, phras
 
 # -- KEY-12 -----------------------------------------------------------------------------------
 
+def _expansion_picks(cands: DataFrame, known: Sequence[str], new: int) -> DataFrame:
+    kept = fuzzy_exclude(cands.select("phrase").distinct(), known, "phrase")
+    return pick_new_seeds(score_candidates(kept, known, "phrase"), known, new, "phrase")
+
+
 def expansion_round(tokens: DataFrame, known: Sequence[str], *, tokens_col: str = "tokens",
                     top_n: int = fixed.TOP_N_SEED, diversity: float = fixed.DIVERSITY,
                     new: int = fixed.NEW_SEEDS) -> DataFrame:
     """One round of KEY-12: seed-guided MMR -> fuzzy exclusion -> score -> pick."""
-    cands = mmr_keywords(tokens, tokens_col, n=1, top_n=top_n, diversity=diversity, seeds=known)
-    kept = fuzzy_exclude(cands.select("phrase").distinct(), known, "phrase")
-    return pick_new_seeds(score_candidates(kept, known, "phrase"), known, new, "phrase")
+    return _expansion_picks(mmr_keywords(tokens, tokens_col, n=1, top_n=top_n, diversity=diversity, seeds=known), known, new)
 
 
 def expand_keywords(tokens: DataFrame, seeds: Sequence[str] = fixed.SEED_KEYWORDS, *,
@@ -405,16 +323,15 @@ def expand_keywords(tokens: DataFrame, seeds: Sequence[str] = fixed.SEED_KEYWORD
 
     Returns ``(keyword, score, round, rank)`` for the added keywords, sorted by
     score desc, then round, then rank. Only the (at most ``new``) picks of a
-    round reach the driver; the token table is written to the checkpoint folder
-    once and every round reads it.
+    round reach the driver. The tokens are read once, into the documents'
+    ``candidate_state``; a round reads that and moves the relevance by the
+    known words.
     """
-    ensure_checkpoint_dir(tokens.sparkSession)
-    tokens = tokens.checkpoint()
+    state = candidate_state(tokens, tokens_col)
     known = list(seeds)
     added: list[tuple[str, float, int, int]] = []
     for r in range(rounds):
-        picks = expansion_round(tokens, known, tokens_col=tokens_col, top_n=top_n,
-                                diversity=diversity, new=new).collect()
+        picks = _expansion_picks(mmr_of_state(state, top_n=top_n, diversity=diversity, seeds=known), known, new).collect()
         for row in picks:
             added.append((row["phrase"], float(row["score"]), r + 1, int(row["rank"])))
             known.append(row["phrase"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from issuelens import fixed
 from issuelens.functions import tokens as K
 from issuelens.functions.vectors import KeywordSet, dense_cosine
+from issuelens.operators import fuzzy as FZ
 from issuelens.operators import keywords as KW
 from issuelens.operators import labelling as L
 from issuelens.plans import chains as C
@@ -137,26 +138,42 @@ sw AS (SELECT DISTINCT coalesce(x.llemma, t.tok) AS term FROM t {_lex_join_sql('
     AND coalesce(x.lpos, {O.rule_pos('t.tok')}) IN {O.str_list(fixed.POS_SEED)}
     AND t.tok NOT IN {O.str_list(fixed.ENGLISH_STOPWORDS)} AND regexp_full_match(t.tok, {O.lit(K.ALPHA_TOKEN[1:-1])}))"""
 
-# LCS by rows: the row of a character is the running maximum of the row before and, where the keyword's
-# character matches, one more than the place before.
-_ROWS = "list_transform(string_split(term, ''), lambda c: list_transform(string_split(kw, ''), lambda k: CAST(k = c AS INTEGER)))"
-_LCS_SQL = f"""list_last(list_reduce(list_prepend(list_transform(string_split(kw, ''), lambda k: 0), {_ROWS}),
-  lambda acc, x: list_transform(range(1, length(kw) + 1), lambda j: list_max(list_transform(range(1, j + 1),
-    lambda i: greatest(acc[i], x[i] * (coalesce(acc[i - 1], 0) + 1)))))))"""
+# Bit-parallel LCS: v & m marks where the term's letter extends a common subsequence; zero bits of the last v count.
+_LCS_SQL = """(length(kw) - bit_count(list_reduce(list_prepend((1::BIGINT << length(kw)) - 1, list_transform(string_split(term, ''),
+  lambda c: list_sum(list_transform(string_split(kw, ''), lambda k, j: CASE WHEN k = c THEN 1::BIGINT << (j - 1) ELSE 0 END))::BIGINT)),
+  lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::BIGINT << length(kw)) - 1))))"""
+# A letter that only one of the two has costs an edit, so most pairs leave before their LCS is computed.
+_LETTERS_SQL = "list_aggregate(list_transform(string_split({0}, ''), lambda c: 1::BIGINT << (unicode(c) % 62)), 'bit_or') AS s{0}"
+_FUZZY_SQL = f"""t1 AS (SELECT term, {_LETTERS_SQL.format('term')} FROM sw WHERE term <> ''),
+k1 AS (SELECT kw, {_LETTERS_SQL.format('kw')} FROM kws WHERE kw <> ''),
+pairs AS (SELECT term, kw FROM t1 JOIN k1
+  ON 400 * least(length(term), length(kw)) >= {2 * fixed.FUZZ_CUTOFF + 1} * (length(term) + length(kw))
+  AND 200 * bit_count(xor(sterm, skw)) <= {199 - 2 * fixed.FUZZ_CUTOFF} * (length(term) + length(kw))),
+near AS (SELECT DISTINCT term FROM pairs WHERE 400 * {_LCS_SQL} >= {2 * fixed.FUZZ_CUTOFF + 1} * (length(term) + length(kw)))
+SELECT term AS phrase FROM sw WHERE term NOT IN (SELECT term FROM near)"""
 
 
 @query("fuzzy_exclude", f"""WITH {_SEED_WORDS_SQL},
-kws AS (SELECT unnest({O.str_array(fixed.SEED_KEYWORDS)}) AS kw),
-pairs AS (SELECT term, kw FROM sw JOIN kws
-  ON 400 * least(length(term), length(kw)) >= {2 * fixed.FUZZ_CUTOFF + 1} * (length(term) + length(kw))),
-near AS (SELECT DISTINCT term FROM pairs WHERE 400 * {_LCS_SQL} >= {2 * fixed.FUZZ_CUTOFF + 1} * (length(term) + length(kw)))
-SELECT term AS phrase FROM sw WHERE term NOT IN (SELECT term FROM near)""")
+kws AS (SELECT unnest({O.str_array(fixed.SEED_KEYWORDS)}) AS kw), {_FUZZY_SQL}""")
 def fuzzy_exclude(spark, sf):
     """KEY-9: distinct seed-chain words not fuzzy-similar (ratio > 85) to a seed."""
     words = _seed_tokens(spark, sf).select(F.explode("tokens").alias("phrase")).distinct()
     return KW.fuzzy_exclude(words, fixed.SEED_KEYWORDS)
 
 
+_KNOWN_WORD = "[a-z]{3,20}"
+
+
+@query("fuzzy_anti_join", f"""WITH {_SEED_WORDS_SQL},
+kws AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{_KNOWN_WORD}')) AS kw FROM benchmark), {_FUZZY_SQL}""")
+def fuzzy_anti_join(spark, sf):
+    """KEY-9 / JOIN-4 by the segment index: distinct seed-chain words not fuzzy-similar to a word of ``benchmark``."""
+    words = _seed_tokens(spark, sf).select(F.explode("tokens").alias("phrase")).distinct()
+    known = tables.table(spark, sf, "benchmark").select(
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_KNOWN_WORD), 0)).alias("keyword"))
+    return FZ.fuzzy_anti_join(words, known)
+
+
 _SCORE_SQL = f"""WITH {_SEED_WORDS_SQL},
 {O.keyword_ctes({'known': fixed.SEED_KEYWORDS})},
 {O.term_sims_ctes('sw')},

@@ -1,11 +1,14 @@
 """Keyword extraction: fuzzy ratio, MMR invariants, TF-IDF against a brute-force twin."""
 
 import math
+import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from issuelens import fixed
+from issuelens.operators import fuzzy as FZ
 from issuelens.operators import keywords as KW
 
 
@@ -115,3 +118,121 @@ def test_mmr_takes_text_ids(spark):
                                "Key string, tokens array<string>")
     got = KW.mmr_keywords(df, "tokens", "Key", n=1, top_n=2).collect()
     assert {r.Key for r in got} == {"K-1", "K-2"} and all(r["rank"] in (1, 2) for r in got)
+
+
+def _random_words(rnd, n, longest):
+    """Words and edited copies of them, with letters beyond ASCII, from 1 letter to ``longest``."""
+    words = {"".join(rnd.choice("abcdefgé日") for _ in range(rnd.randint(1, longest))) for _ in range(n)}
+    for w in list(words):
+        letters = list(w)
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(letters) + 1)
+            if rnd.random() < 0.5:
+                letters.insert(at, rnd.choice("abcx"))
+            elif len(letters) > 1 and at < len(letters):
+                del letters[at]
+        words.add("".join(letters))
+    return sorted(words)
+
+
+@pytest.mark.parametrize("longest,cutoff", [(9, 85), (24, 85), (24, 67), (90, 90)])
+def test_fuzzy_pairs_equal_all_pairs(spark, longest, cutoff):
+    rnd = random.Random(longest)
+    words = _random_words(rnd, 150 if longest < 50 else 40, longest)
+    known = _random_words(rnd, 20, longest) + [w + "a" for w in words[::3]]
+    a = spark.createDataFrame([(w,) for w in [*words, *words[:5], None, ""]], "phrase string")
+    b = spark.createDataFrame([(w,) for w in [*known, *known[:5], None, ""]], "keyword string")
+    want = {(x, y) for x in words for y in known if KW.py_fuzz_ratio(x, y) > cutoff}
+    got = [tuple(r) for r in FZ.fuzzy_pairs(a, b, cutoff=cutoff).collect()]
+    assert len(got) == len(set(got)) and want and set(got) == want
+
+
+def test_fuzzy_anti_join_of_ten_thousand_keywords(spark):
+    """The plan does not grow with the keyword table, and its rows are those of the literal form."""
+    rnd = random.Random(5)
+    known = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(4, 12))) for _ in range(10_000)]
+    words = sorted({k[:2] + k[3:] for k in known[:300]} | {"".join(rnd.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(300)})
+    rows = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "phrase string, k int")
+    table = spark.createDataFrame([(w,) for w in known], "keyword string")
+    got = {r.phrase for r in FZ.fuzzy_anti_join(rows, table).collect()}
+    near = {w for w in words for k in known if abs(len(w) - len(k)) <= 4 and KW.py_fuzz_ratio(w, k) > 85}
+    assert got == set(words) - near and near and got
+    plans = [FZ.fuzzy_anti_join(rows, t)._jdf.queryExecution().optimizedPlan().toString().count("\n") for t in (table, table.limit(10))]
+    assert plans[0] <= plans[1]
+
+
+def test_fuzzy_anti_join_odd_rows(spark):
+    rows = spark.createDataFrame([("update", 1), ("upgrades", 2), ("", 3), (None, 4), ("update", 5)], "phrase string, keyword int")
+    known = spark.createDataFrame([("updated",), (None,), ("",)], "keyword string")
+    got = sorted((r.keyword, r.phrase) for r in FZ.fuzzy_anti_join(rows, known).collect())
+    assert got == [(2, "upgrades"), (3, ""), (4, None)]
+    assert FZ.fuzzy_anti_join(rows, known.limit(0)).count() == 5
+    with pytest.raises(ValueError):
+        FZ.fuzzy_pairs(rows, known, cutoff=50)
+
+
+def _plain_mmr(tokens, n, top_n, diversity, seeds):
+    """MMR with dictionaries, all similarities anew in each step."""
+    def unit(word):
+        c = Counter(f"^{word}$"[i:i + 3] for i in range(len(word)))
+        length = math.sqrt(sum(v * v for v in c.values()))
+        return {g: v / length for g, v in c.items()}
+
+    def mean(vectors):
+        out = Counter()
+        for v in vectors:
+            for g, x in v.items():
+                out[g] += x / len(vectors)
+        return out
+
+    def dot(a, b):
+        return sum(x * b.get(g, 0.0) for g, x in a.items())
+
+    grams = [tokens[i:i + n] for i in range(len(tokens) - n + 1)]
+    if not grams:
+        return []
+    phrases = list(dict.fromkeys(" ".join(g) for g in grams))
+    raw = {p: mean([unit(w) for w in p.split(" ")]) for p in phrases}
+    vec = {p: {g: x / math.sqrt(dot(v, v)) for g, x in v.items()} for p, v in raw.items()}
+    doc = mean([raw[" ".join(g)] for g in grams])
+    if seeds:
+        pull = mean([unit(s) for s in seeds])
+        doc = {g: (3 * doc.get(g, 0.0) + pull.get(g, 0.0)) / 4 for g in {*doc, *pull}}
+    rel = {p: round(dot(vec[p], doc) / math.sqrt(dot(doc, doc)), 9) for p in phrases}
+    chosen = [max(phrases, key=lambda p: rel[p])]
+    while len(chosen) < min(top_n, len(phrases)):
+        score = {p: round((1 - diversity) * rel[p] - diversity * max(dot(vec[p], vec[c]) for c in chosen), 9)
+                 for p in phrases if p not in chosen}
+        chosen.append(max(score, key=lambda p: score[p]))
+    return [(i + 1, p, rel[p]) for i, p in enumerate(chosen)]
+
+
+@pytest.mark.parametrize("n,seeds", [(1, []), (1, ["moving", "code"]), (2, []), (2, ["zz"])])
+def test_mmr_equals_plain_greedy(n, seeds):
+    rnd = random.Random(n)
+    letters = "abcdeé日"
+    for size in (0, 1, 2, 5, 40, 120):
+        words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 6))) for _ in range(max(1, size // 2))]
+        tokens = [rnd.choice(words) for _ in range(size)]
+        got, want = KW.mmr_select(tokens, n, 8, 0.4, seeds), _plain_mmr(tokens, n, 8, 0.4, seeds)
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert all(abs(g[2] - w[2]) < 2e-9 for g, w in zip(got, want))
+
+
+def test_stored_candidates_give_the_same_rows(spark):
+    """A round reads the stored candidates only, and picks what it picks from the tokens."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(80)]
+    rows = [(i, [rnd.choice(words) for _ in range(rnd.randint(0, 40))]) for i in range(60)] + [(60, None), (61, [])]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3)
+    state = KW.candidate_state(df, "tokens")
+    for seeds in ([], words[:3], words[:3] + ["abcabc"]):
+        got = sorted(map(tuple, KW.mmr_of_state(state, seeds=seeds).collect()))
+        assert got == sorted(map(tuple, KW.mmr_keywords(df, "tokens", seeds=seeds).collect())) and got
+    assert "tokens" not in state.columns
+    known, want = list(words[:3]), []
+    for r in range(3):  # the loop over tokens
+        picks = KW.expansion_round(df, known).collect()
+        want += [(p.phrase, p.score, r + 1, p["rank"]) for p in picks]
+        known += [p.phrase for p in picks]
+    assert sorted(KW.expand_keywords(df, words[:3], rounds=3)) == sorted(want)
