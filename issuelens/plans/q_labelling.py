@@ -16,3 +16,9 @@ def label_issues(spark, sf):
     """LBL-3 flagship: every document labelled by its closest keyword."""
     iss = tables.issues(spark, sf)
     return round_doubles(L.label_issues(iss, fixed.KEYWORDS["seed_expansion"], keep=["doc_id"]))
+
+
+@query("label_issues_by_terms", O.label_issues_sql())
+def label_issues_by_terms(spark, sf):
+    """LBL-1 / LBL-3 by the term dictionary: every distinct chunk scored once, joined back to the documents."""
+    return round_doubles(L.label_issues(tables.issues(spark, sf), fixed.KEYWORDS["seed_expansion"], keep=["doc_id"], scoring="terms"))
