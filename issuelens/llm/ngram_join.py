@@ -93,13 +93,14 @@ def fingerprints(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def class_rows(size: int):
-    """Task body: ``(doc_id, cls, n)`` of every row."""
+    """Task body: ``(doc_id, row, cls, n)`` of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch.column("text")):
                 tokens, sizes = shingle_sets(chunk, size)
                 yield pa.record_batch({
                     "doc_id": batch.column("doc_id").slice(chunk.first, chunk.n),
+                    "row": batch.column("row").slice(chunk.first, chunk.n),
                     "cls": pa.array(fingerprints(tokens, sizes).view(np.int64)),
                     "n": pa.array(sizes)})
     return run
@@ -349,11 +350,13 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     return components(second.unionByName(tree))
 
 
-def ngram_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of ``docs (doc_id, text)``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE_WORDS) -> DataFrame:
+    """``(doc_id, row, n, root, component_id)`` for every row of ``docs (doc_id, row, text)``, a ``row`` being any long.
+
+    Rows of one component have one ``root``; rows without words have none.
+    """
     spark = docs.sparkSession
-    rows = cut(docs.mapInArrow(class_rows(size), "doc_id long, cls long, n long"))
+    rows = cut(docs.mapInArrow(class_rows(size), "doc_id long, row long, cls long, n long"))
     ranges = max(RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = docs.select("text").mapInArrow(shingle_blocks(size, ranges),
                                             "part int, tokens binary, owner binary, cls binary")
@@ -368,7 +371,13 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE_WORD
     names = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = names.join(links.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = named.select("cls", "root").join(least, "root").select("cls", "component_id")
+    by_class = named.select("cls", "root").join(least, "root").select("cls", "root", "component_id")
     return (fresh(rows, "cls").join(fresh(by_class, "cls").drop("cls"), "cls_k", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
+            .select("doc_id", "row", "n", F.when(F.col("n") > 0, F.col("root")).alias("root"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+
+
+def ngram_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE_WORDS) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for every row of ``docs (doc_id, text)``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row"), "text")
+    return near_groups(rows, percent, size).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

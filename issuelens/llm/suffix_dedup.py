@@ -1,27 +1,29 @@
 """Removal of long repeated substrings by a depth-limited radix sort of suffixes.
 
-Suffixes are compared through ``length`` bytes only, most significant digit
+Suffixes are compared through ``length`` units only, most significant digit
 first; a suffix that is alone in its group leaves, and the groups that are left
-after the last digit are exactly the repeated windows.
+after the last digit are exactly the repeated windows. Units are the UTF-8
+bytes of a text, or its words ``[^\\x20\\x09-\\x0D]+`` (white space between them
+does not count, and a span reaches from its first word to its last).
 
-* Digit 1 is a gram of ``length // 2`` bytes. It is taken at *anchors* alone:
+* Digit 1 is a gram of ``length // 2`` units. It is taken at *anchors* alone:
   in every window of ``length`` bytes the leftmost smallest gram hash (by
   content, so equal windows have the same anchor at the same place). Grams are
   counted over all texts; an anchor whose gram is nowhere else leaves here.
 * Digit 2 is the whole context that the windows of an anchor can reach. If it
   occurs twice, all those windows do, and the anchor is settled.
 * For the anchors left, each with one row per different context, the windows
-  are sorted by digits of ``DIGITS`` bytes. In a group of more than ``BLOCK``
-  contexts one more digit comes first, the bytes that ``PARTS`` ranges of the
+  are sorted by digits of ``DIGITS`` units. In a group of more than ``BLOCK``
+  contexts one more digit comes first, the units that ``PARTS`` ranges of the
   windows have in common; then it is sorted in salted blocks, and windows that
   are alone in their block are counted across blocks.
 
-Digits are 64-bit hashes of the bytes. Rows are named by xxhash64 of id and
+Digits are 64-bit hashes of the units. Rows are named by xxhash64 of id and
 text, so rows that repeat share a name and count as copies of each other.
 
 Defined results: a null text is empty; an empty or short text loses nothing;
 texts that are equal (also with equal ids) lose everything that is ``length``
-bytes or longer; an empty table gives an empty result; other columns pass
+units or longer; an empty table gives an empty result; other columns pass
 through untouched, except that ``dedup`` is added (a column of that name is
 replaced). A text is handled whole, in memory of its own size.
 """
@@ -39,7 +41,7 @@ from pyspark.sql import types as T
 from issuelens.llm.common import cut, free
 from issuelens.llm.filters import filter_bits, may_have
 from issuelens.llm.graph import fresh
-from issuelens.llm.textbytes import POWERS, U64, Chunk, PrefixHash, mix, repeated, text_chunks
+from issuelens.llm.textbytes import POWERS, U64, Chunk, PrefixHash, mix, repeated, text_chunks, word_chunk, words
 
 LENGTH = 400
 DIGITS = (8, 32)
@@ -50,8 +52,14 @@ ANCHOR = "row long, pos long, before int, after int, gram long, ctx long"
 HIGH = U64(0xFFFFFFFF00000000)
 
 
+def unit_chunks(column: pa.Array, unit: str) -> Iterator[Chunk]:
+    """Whole rows as chunks of their ``byte`` or ``word`` units."""
+    for chunk in text_chunks(column):
+        yield chunk if unit == "byte" else word_chunk(chunk)
+
+
 class Anchors:
-    """The anchors of a chunk: byte position, row, gram hash, context bounds and context hash."""
+    """The anchors of a chunk: position, row, gram hash, context bounds and context hash."""
 
     def __init__(self, chunk: Chunk, length: int) -> None:
         gram, n = max(1, length // 2), len(chunk.buf)
@@ -88,22 +96,22 @@ def sliding_min(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(tail[:n - width + 1], head[width - 1:n])
 
 
-def gram_counts(length: int):
+def gram_counts(length: int, unit: str):
     """Task body: ``(gram, count)`` of the anchors of each chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in text_chunks(batch.column("text")):
+            for chunk in unit_chunks(batch.column("text"), unit):
                 grams, counts = np.unique(Anchors(chunk, length).gram, return_counts=True)
                 yield pa.record_batch({"gram": pa.array(grams.view(np.int64)), "count": pa.array(counts)})
     return run
 
 
-def anchor_rows(length: int, bitmap: np.ndarray):
+def anchor_rows(length: int, bitmap: np.ndarray, unit: str):
     """Task body: the anchors whose gram may be repeated."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column("row").to_numpy()
-            for chunk in text_chunks(batch.column("text")):
+            for chunk in unit_chunks(batch.column("text"), unit):
                 a = Anchors(chunk, length)
                 use = may_have(bitmap, a.gram)
                 row, pos = a.row[use], a.pos[use]
@@ -115,11 +123,11 @@ def anchor_rows(length: int, bitmap: np.ndarray):
     return run
 
 
-def context_bytes(length: int, bitmap: np.ndarray):
+def context_bytes(length: int, bitmap: np.ndarray, unit: str):
     """Task body: ``(ctx, bytes)`` of the contexts that may be wanted, once for each chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in text_chunks(batch.column("text")):
+            for chunk in unit_chunks(batch.column("text"), unit):
                 a = Anchors(chunk, length)
                 use = np.flatnonzero(may_have(bitmap, a.ctx))
                 use = use[np.unique(a.ctx[use], return_index=True)[1]]
@@ -130,7 +138,7 @@ def context_bytes(length: int, bitmap: np.ndarray):
     return run
 
 
-def range_keys(length: int, bitmap: np.ndarray):
+def range_keys(length: int, bitmap: np.ndarray, unit: str):
     """Task body: ``(ctx, part, key)`` of the contexts that may be in a large group.
 
     The windows of an anchor are split into ``PARTS`` ranges by the anchor's
@@ -141,7 +149,7 @@ def range_keys(length: int, bitmap: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in text_chunks(batch.column("text")):
+            for chunk in unit_chunks(batch.column("text"), unit):
                 a = Anchors(chunk, length)
                 use = np.flatnonzero(may_have(bitmap, a.ctx))
                 use = use[np.unique(a.ctx[use], return_index=True)[1]]
@@ -155,7 +163,7 @@ def range_keys(length: int, bitmap: np.ndarray):
     return run
 
 
-def sort_windows(length: int):
+def sort_windows(length: int, unit: str):
     """Task body over ``(gram, salt, salts, live, row, pos, before, own, bytes)``, whole (gram, salt) blocks in a partition.
 
     Gives ``(row, start, end)`` for the windows repeated in a block, and
@@ -174,9 +182,10 @@ def sort_windows(length: int):
         t = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         col = {k: t.column(k).to_numpy(zero_copy_only=False) for k in ("gram", "salt", "salts", "live", "row", "pos", "before", "own")}
         data = t.column("bytes")
+        kind = np.dtype(np.uint8 if unit == "byte" else np.uint64)
         offs = np.frombuffer(data.buffers()[1], np.int32)[data.offset:data.offset + len(data) + 1].astype(np.int64)
-        buf = np.frombuffer(data.buffers()[2], np.uint8)[offs[0]:offs[-1]]
-        offs = offs - offs[0]
+        buf = np.frombuffer(data.buffers()[2], np.uint8)[offs[0]:offs[-1]].copy().view(kind)
+        offs = (offs - offs[0]) // kind.itemsize
         hashes = PrefixHash(buf)
         windows = np.minimum(offs[1:] - offs[:-1] - length + 1, width)
         group = mix(col["gram"].view(np.uint64) + col["salt"].astype(np.uint64) * U64(0x9E3779B1))
@@ -244,7 +253,7 @@ def sort_windows(length: int):
     return run, out
 
 
-def in_reach(docs: DataFrame, members: DataFrame, length: int) -> DataFrame:
+def in_reach(docs: DataFrame, members: DataFrame, length: int, unit: str) -> DataFrame:
     """``members`` with ``live``, a bit for each range of windows that may be repeated, without those that have none.
 
     In a group of more than ``BLOCK`` contexts, the bytes common to the windows
@@ -255,7 +264,7 @@ def in_reach(docs: DataFrame, members: DataFrame, length: int) -> DataFrame:
     every = F.lit((1 << PARTS) - 1)
     if large.isEmpty():
         return members.withColumn("live", every)
-    keys = docs.select("text").mapInArrow(range_keys(length, filter_bits(large, F.col("ctx"), FILTER_BITS)),
+    keys = docs.select("text").mapInArrow(range_keys(length, filter_bits(large, F.col("ctx"), FILTER_BITS), unit),
                                           "ctx long, part int, key long")
     keys = cut(keys)
     shared = keys.groupBy("key").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("a <> b").select("key")
@@ -265,13 +274,13 @@ def in_reach(docs: DataFrame, members: DataFrame, length: int) -> DataFrame:
     return cut(kept)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``(row, start, end)``: spans of bytes that hold all repeated windows of the rows ``(row, text)``."""
-    counts = (docs.select("text").mapInArrow(gram_counts(length), "gram long, count long")
+def repeated_spans(docs: DataFrame, length: int = LENGTH, unit: str = "byte") -> DataFrame:
+    """``(row, start, end)``: spans of units that hold all repeated windows of the rows ``(row, text)``."""
+    counts = (docs.select("text").mapInArrow(gram_counts(length, unit), "gram long, count long")
               .groupBy("gram").agg(F.sum("count").alias("n")).where("n > 1"))
     grams = cut(counts.select("gram"))
     bitmap = filter_bits(grams, F.col("gram"), FILTER_BITS)
-    found = docs.mapInArrow(anchor_rows(length, bitmap), ANCHOR)
+    found = docs.mapInArrow(anchor_rows(length, bitmap, unit), ANCHOR)
     found = cut(fresh(found, "gram").join(fresh(grams, "gram").drop("gram"), "gram_k", "left_semi").drop("gram_k"))
     # One row for each different context of a gram; contexts found twice are settled.
     kinds = cut(found.groupBy("gram", "ctx").agg(F.count("*").alias("copies"),
@@ -284,11 +293,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                   .withColumn("salts", F.ceil(F.col("kinds") / BLOCK).cast("int"))
                   .select("gram", "ctx", "salts", F.pmod(F.xxhash64("ctx"), F.col("salts")).cast("int").alias("salt"),
                           "at.row", "at.pos", "at.before", (F.col("copies") == 1).alias("own")))
-    members = in_reach(docs, members, length)
+    members = in_reach(docs, members, length, unit)
     wanted = filter_bits(members, F.col("ctx"), FILTER_BITS)
-    contexts = (docs.select("text").mapInArrow(context_bytes(length, wanted), "ctx long, bytes binary")
+    contexts = (docs.select("text").mapInArrow(context_bytes(length, wanted, unit), "ctx long, bytes binary")
                 .dropDuplicates(["ctx"]))
-    body, schema = sort_windows(length)
+    body, schema = sort_windows(length, unit)
     blocks = (members.join(contexts, "ctx").repartition("gram", "salt").sortWithinPartitions("gram", "salt")
               .mapInArrow(body, schema))
     blocks = cut(blocks)
@@ -299,8 +308,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             .unionByName(late.select("row", "start", "end")))
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows of ``docs`` with the struct ``dedup``: n_bytes, n_removed, spans (removed runs), kept (bytes), kept_text.
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, unit: str = "byte") -> DataFrame:
+    """The rows of ``docs`` with the struct ``dedup``: n_bytes, n_removed, spans (removed runs of bytes), kept (bytes), kept_text.
 
     ``kept_text`` leaves out bytes of characters that a span cut in two, and is
     null for a null text.
@@ -308,7 +317,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     names = [c for c in docs.columns if c.lower() != "dedup"]
     key, found = free("dedup_row", docs.columns), free("dedup_spans", docs.columns)
     keyed = docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("row"), "text")
-    spans = (repeated_spans(keyed, length).groupBy("row", "start").agg(F.max("end").alias("end"))
+    spans = (repeated_spans(keyed, length, unit).groupBy("row", "start").agg(F.max("end").alias("end"))
              .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(found)))
     out = T.StructType([*(docs.schema[c] for c in names), T.StructField("dedup", T.StructType.fromDDL(
         "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, kept_text string"))])
@@ -323,6 +332,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 for text, list_ in zip(part.column("text").to_pylist(), part.column(found).to_pylist()):
                     data = (text or "").encode()
                     merged: list[list[int]] = []
+                    if list_ and unit == "word":
+                        starts, ends = words(Chunk(0, np.frombuffer(data, np.uint8), np.array([0, len(data)])))
+                        list_ = [{"start": int(starts[s["start"]]), "end": int(ends[s["end"] - 1])} for s in list_]
                     for s in list_ or ():
                         if merged and s["start"] <= merged[-1][1]:
                             merged[-1][1] = max(merged[-1][1], s["end"])

@@ -63,14 +63,14 @@ TABLES: dict[int, np.ndarray] = {}
 
 
 class PrefixHash:
-    """64-bit hashes of any substrings of ``buf``."""
+    """64-bit hashes of any stretches of ``buf``: of bytes, or of 64-bit numbers that stand for words."""
 
     def __init__(self, buf: np.ndarray, seed: int = 1) -> None:
         POWERS.upto(len(buf) + 1)
         if seed not in TABLES:
             TABLES[seed] = byte_table(seed)
         self.sums = np.zeros(len(buf) + 1, np.uint64)
-        terms = TABLES[seed][buf]
+        terms = TABLES[seed][buf] if buf.dtype == np.uint8 else mix(buf + U64(seed))
         terms *= POWERS.up[:len(buf)]
         np.cumsum(terms, out=self.sums[1:])
 
@@ -83,7 +83,7 @@ class PrefixHash:
 
 @dataclass
 class Chunk:
-    """Rows ``first`` to ``first + n`` of a batch: their bytes and the place of each text in them."""
+    """Rows ``first`` to ``first + n`` of a batch: their bytes (or word numbers) and the place of each text in them."""
 
     first: int
     buf: np.ndarray
@@ -139,6 +139,12 @@ def words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return runs(~SPACE[chunk.buf], chunk.offsets)
 
 
+def word_chunk(chunk: Chunk) -> Chunk:
+    """The chunk with a 64-bit hash for each word in place of the bytes."""
+    starts, ends = words(chunk)
+    return Chunk(chunk.first, PrefixHash(chunk.buf).of(starts, ends), np.searchsorted(starts, chunk.offsets))
+
+
 def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(found twice or more, equal to an earlier one) for each key."""
     order = np.argsort(keys, kind="stable")

@@ -28,6 +28,35 @@ def removed(texts, length):
     return out
 
 
+def without_repeated_words(texts, length):
+    """Texts without their stretches of ``length`` words that are found twice, by counting every window."""
+    found = [list(re.finditer(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    words = [tuple(m[0] for m in f) for f in found]
+    seen = Counter(w[i:i + length] for w in words for i in range(len(w) - length + 1))
+    out = []
+    for text, f, w in zip(texts, found, words):
+        spans = [(f[i].start(), f[i + length - 1].end()) for i in range(len(w) - length + 1) if seen[w[i:i + length]] > 1]
+        gone = [False] * len(text or "")
+        for a, b in spans:
+            gone[a:b] = [True] * (b - a)
+        out.append(None if text is None else "".join(c for c, g in zip(text, gone) if not g))
+    return out
+
+
+@pytest.mark.parametrize("length,block", [(8, 4000), (8, 2), (50, 4000)])
+def test_suffix_dedup_of_words_is_exact(spark, docs, odd, monkeypatch, length, block):
+    """Whatever white space is between the words, and with letters of several bytes."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rng = random.Random(length)
+    words = [f"wörd{i}" if i % 3 else f"日{i}" for i in range(60)]
+    own = [(1000 + k, "".join(w + rng.choice([" ", "\n", "\t  "]) for w in words[rng.randint(0, 5):rng.randint(40, 60)])) for k in range(20)]
+    rows = [(r.doc_id, r.text) for d in (docs, odd) for r in d.select("doc_id", "text").collect()] + own
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(i, t) for (i, _), t in zip(rows, without_repeated_words([t for _, t in rows], length))]
+    got = suffix_dedup.suffix_dedup(df, length, "word").select("doc_id", "dedup.kept_text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def suffix_rows(df, length):
     got = suffix_dedup.suffix_dedup(df, length).select(
         "doc_id", "dedup.n_bytes", "dedup.n_removed", F.size("dedup.spans"), F.sha2("dedup.kept", 256)).collect()
