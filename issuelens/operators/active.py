@@ -2,8 +2,7 @@
 
 The classifier is a ``pyspark.ml`` pipeline (distributed fit). The loop is a
 driver loop over small state: per round one selected-id table (at most
-``query_size`` rows) is appended to the ledger, which is written to the
-checkpoint folder and read back, so lineage never grows with the rounds and a
+``query_size`` rows) is written to the ledger in the run's folder and read back, so lineage never grows with the rounds and a
 lost executor only recomputes the current round.
 """
 
@@ -11,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, StopWordsRemover
@@ -111,10 +110,22 @@ def _select(strategy: str, unlabelled: DataFrame, labelled: DataFrame, n: int, i
     return Q.STRATEGIES[strategy](unlabelled, n, id_col)
 
 
+CURVE_FORM = "training_size long, accuracy double, precision double, recall double, fscore double, model string, iteration int"
+CURVE_COLUMNS = [f.split()[0] for f in CURVE_FORM.split(", ")]
+
+
+def _written(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or nothing if none was ever finished there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
 def active_learning_run(spark: SparkSession, pool: DataFrame, test: DataFrame, *, strategy: str = "BreakingTies",
                         query_size: int = fixed.QUERY_SIZE, rounds: int = fixed.NUM_QUERIES,
                         estimator: Pipeline | None = None, id_col: str = "doc_id", label_col: str = "label",
-                        seed: int = fixed.SEED, run_dir: str | None = None) -> tuple[DataFrame, DataFrame]:
+                        seed: int = fixed.SEED, run_dir: str | None = None, resume: bool = False) -> tuple[DataFrame, DataFrame]:
     """ACT-4: initial sample -> train -> evaluate -> ``rounds`` x (query, label, retrain, evaluate).
 
     Returns ``(ledger, curve)`` and saves the best round's model under
@@ -122,33 +133,64 @@ def active_learning_run(spark: SparkSession, pool: DataFrame, test: DataFrame, *
     and holds no test row; ``curve.training_size`` is the actual ledger size
     (ACT-5). A round whose query comes back empty is skipped; once the pool is
     exhausted the remaining rounds would all be skipped, so the loop stops.
+
+    Ledger and curve are tables with a folder ``iteration=N`` for each round
+    (SNK-4), written whole and over whatever an interrupted attempt left there,
+    so a round is never in them twice. A round counts once its curve row is
+    written. ``resume=True`` goes on after the last such round of ``run_dir``;
+    selections are seeded by the round, so the ledger is that of a run without
+    a break.
     """
     run_dir = run_dir or scratch_table_dir(spark, f"al-{uuid.uuid4().hex}")
-    ledger_path = f"{run_dir}/ledger"
+    ledger_path, curve_path = f"{run_dir}/ledger", f"{run_dir}/curve"
+    done = _written(spark, curve_path) if resume else None
+    curve = [] if done is None else [tuple(r) for r in done.select(*CURVE_COLUMNS).orderBy("iteration").collect()]  # a row for each round
     # every round reads the pool and the test rows: their features are made once and written to the run's folder
     own_features = estimator is None
     if own_features:
-        pool, test = text_features(pool), text_features(test)
         estimator = counts_pipeline(label_col)
-    kept = [id_col, label_col, *[c for c in ("tf", "embedding", "features") if c in pool.columns]]
-    for name, df in (("pool", pool), ("test", test)):
-        df.select(*[c for c in (kept if "tf" in df.columns else df.columns) if c in df.columns]).write.parquet(f"{run_dir}/{name}")
+    if not curve:
+        if own_features:
+            pool, test = text_features(pool), text_features(test)
+        kept = [id_col, label_col, *[c for c in ("tf", "embedding", "features") if c in pool.columns]]
+        for name, df in (("pool", pool), ("test", test)):
+            columns = [c for c in (kept if "tf" in df.columns else df.columns) if c in df.columns]
+            df.select(*columns).write.mode("overwrite" if resume else "error").parquet(f"{run_dir}/{name}")
     pool, test = (spark.read.parquet(f"{run_dir}/{name}") for name in ("pool", "test"))
-    init = S.sample_n(pool.select(id_col), query_size, id_col, seed)
-    init = init.withColumn("rank", F.row_number().over(
-        Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), F.col(id_col))))
-    first = (init.join(pool.select(id_col, label_col), id_col)
-             .select(F.lit(0).alias("iteration"), "rank", id_col, label_col))
-    first.write.mode("overwrite").parquet(ledger_path)
-    curve = []
-    models = []
-    for it in range(rounds + 1):
-        ledger = spark.read.parquet(ledger_path)
+
+    def write_round(rows: DataFrame, path: str, it: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/iteration={it}")
+
+    def ledger_of(it: int) -> DataFrame:
+        """What was labelled up to round ``it``."""
+        return (spark.read.parquet(ledger_path).where(F.col("iteration") <= it)
+                .select(F.col("iteration").cast("int").alias("iteration"), "rank", id_col, label_col))
+
+    def fitted(it: int) -> tuple[PipelineModel, DataFrame, DataFrame]:
+        ledger = ledger_of(it)
         labelled = pool.join(ledger.select(id_col), id_col, "left_semi")
-        model = train_classifier(labelled, estimator, label_col)
-        models.append(model)
-        m = evaluate(model, test, id_col, label_col)
-        curve.append((int(ledger.count()), m["accuracy"], m["precision"], m["recall"], m["fscore"], strategy, it))
+        return train_classifier(labelled, estimator, label_col), labelled, ledger
+
+    if not curve:
+        init = S.sample_n(pool.select(id_col), query_size, id_col, seed)
+        init = init.withColumn("rank", F.row_number().over(
+            Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), F.col(id_col))))
+        write_round(init.join(pool.select(id_col, label_col), id_col).select("rank", id_col, label_col), ledger_path, 0)
+
+    def better(at: int) -> bool:
+        return round(curve[at][4], 9) > round(curve[best][4], 9)
+
+    best = max(range(len(curve)), key=lambda i: (round(curve[i][4], 9), -i), default=0)
+    best_model = None
+    for it in range(max(len(curve) - 1, 0), rounds + 1):
+        model, labelled, ledger = fitted(it)
+        if it == len(curve):
+            m = evaluate(model, test, id_col, label_col)
+            row = (int(ledger.count()), m["accuracy"], m["precision"], m["recall"], m["fscore"], strategy, it)
+            curve.append(row)
+            write_round(spark.createDataFrame([row[:-1]], CURVE_FORM.rsplit(",", 1)[0]), curve_path, it)
+        if it == best or better(it):
+            best, best_model = it, model
         if it == rounds:
             break
         unlabelled = pool.join(ledger.select(id_col), id_col, "left_anti")
@@ -157,18 +199,14 @@ def active_learning_run(spark: SparkSession, pool: DataFrame, test: DataFrame, *
         scored = predict(model, unlabelled, [id_col, *[c for c in unlabelled.columns if c == "embedding"]])
         lab_scored = predict(model, labelled, [id_col, *[c for c in labelled.columns if c == "embedding"]])
         picked = _select(strategy, scored, lab_scored, query_size, id_col, seed + it + 1)
-        step = (picked.select(id_col, "rank").join(pool.select(id_col, label_col), id_col)
-                .select(F.lit(it + 1).alias("iteration"), "rank", id_col, label_col))
-        step.write.mode("append").parquet(ledger_path)
+        write_round(picked.select(id_col, "rank").join(pool.select(id_col, label_col), id_col).select("rank", id_col, label_col),
+                    ledger_path, it + 1)
     # ACT-7 / TOP-4: keep the model of the first round with the best F1
-    best = max(range(len(curve)), key=lambda i: (round(curve[i][4], 9), -i))
-    model = models[best]
+    model = best_model or fitted(best)[0]
     if own_features:  # the saved model reads texts
         model = PipelineModel([*count_stages(), *model.stages])
     save_model(model, f"{run_dir}/best_model")
-    cdf = spark.createDataFrame(curve, "training_size long, accuracy double, precision double, recall double, "
-                                       "fscore double, model string, iteration int")
-    return spark.read.parquet(ledger_path), cdf
+    return ledger_of(len(curve) - 1), spark.createDataFrame(curve, CURVE_FORM)
 
 
 def labelled_export(ledger: DataFrame, texts: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Active-learning query strategies (QRY-*) and kNN (JOIN-7).
+"""Active-learning query strategies (QRY-*).
 
 Signature: ``(unlabelled[, labelled], n) -> (doc_id, rank, score)``. Class
 probabilities are ``p array<double>``. Scores that decide an order are rounded
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 
-import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -18,13 +17,10 @@ from pyspark.sql import functions as F
 
 from issuelens import fixed
 from issuelens.functions.vectors import bind, l2_normalise
+from issuelens.operators.knn import k_nearest
 from issuelens.operators.sampling import sample_n
-from issuelens.session import ensure_checkpoint_dir
 
 KL_EPS = 1e-12
-#: Neighbours that a task holds at a time, and rows that it compares with them at a time.
-NEIGHBOUR_BLOCK = 50_000
-ROW_BLOCK = 256
 
 
 def _top(df: DataFrame, score: Column, n: int, ascending: bool, id_col: str) -> DataFrame:
@@ -71,62 +67,6 @@ def query_entropy(unlabelled: DataFrame, n: int, id_col: str = "doc_id", p_col:
     return _top(unlabelled, entropy_score(F.col(p_col)), n, False, id_col)
 
 
-def _nearest(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k smallest finite distances of a row, by (distance, id)."""
-    at = np.flatnonzero(np.isfinite(dist))
-    if len(at) > k:
-        at = at[dist[at] <= np.partition(dist[at], k - 1)[k - 1]]  # ties at the k-th distance stay in
-    return at[np.lexsort((ids[at], dist[at]))][:k]
-
-
-def _merge_block(k: int, id_col: str, emb_col: str, block):
-    """Task body: each row's k nearest so far, after one block of neighbours."""
-    def run(batches):
-        nb_ids, nb_vecs, nb_p = block.value
-        for pdf in batches:
-            near = []
-            for a in range(0, len(pdf), ROW_BLOCK):
-                rows = pdf.iloc[a:a + ROW_BLOCK]
-                x = np.stack(rows[emb_col].to_numpy()).astype(np.float64)
-                nx = np.linalg.norm(x, axis=1, keepdims=True)
-                x = np.divide(x, nx, out=np.zeros_like(x), where=nx > 0)
-                d2 = (x * x).sum(1)[:, None] + (nb_vecs * nb_vecs).sum(1)[None, :] - 2.0 * x @ nb_vecs.T
-                dist = np.round(np.sqrt(np.maximum(d2, 0.0)), 9)
-                dist[rows[id_col].to_numpy()[:, None] == nb_ids[None, :]] = np.inf
-                for r, seen in enumerate(rows["near"]):
-                    own = [{"d": float(dist[r, j]), "i": nb_ids[j], "q": nb_p[j]} for j in _nearest(dist[r], nb_ids, k)]
-                    near.append(sorted([*seen, *own], key=lambda n: (n["d"], n["i"]))[:k])
-            yield pdf.assign(near=near)
-    return run
-
-
-def k_nearest(rows: DataFrame, neighbours: DataFrame, k: int, id_col: str, emb_col: str, p_col: str) -> DataFrame:
-    """JOIN-7: ``rows`` with ``near array<struct<d, i, q>>``, the k nearest neighbours of any number, exactly.
-
-    Neighbours go to the tasks in blocks of ``NEIGHBOUR_BLOCK`` and a row keeps
-    its best k between blocks, so neither the driver, a task nor the plan holds
-    more than a block; nothing is paired in a join. With several blocks the
-    state is written to the checkpoint folder after each.
-    """
-    kind = neighbours.schema[id_col].dataType.simpleString()
-    rows = rows.select(id_col, emb_col, p_col).withColumn(
-        "near", F.array().cast(f"array<struct<d:double,i:{kind},q:array<double>>>"))
-    unit = neighbours.select(id_col, l2_normalise(F.col(emb_col)).alias("e"), F.col(p_col).alias("q"))
-    blocks = -(-neighbours.count() // NEIGHBOUR_BLOCK)
-    sc = rows.sparkSession.sparkContext
-    for b in range(blocks):
-        part = unit.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b).toPandas()
-        if not len(part):
-            continue
-        block = sc.broadcast((part[id_col].to_numpy(), np.stack(part["e"].to_numpy()).astype(np.float64),
-                              [list(map(float, q)) for q in part["q"]]))
-        rows = rows.mapInPandas(_merge_block(k, id_col, emb_col, block), rows.schema)
-        if blocks > 1:
-            ensure_checkpoint_dir(rows.sparkSession)
-            rows = rows.checkpoint()
-    return rows
-
-
 def contrastive_scores(unlabelled: DataFrame, neighbours: DataFrame, k: int = 10, id_col: str = "doc_id",
                        emb_col: str = "embedding", p_col: str = "p") -> DataFrame:
     """JOIN-7 + KL: mean ``KL(p_neighbour || p_row)`` over the k nearest neighbours (0 without any)."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from issuelens import fixed
 from issuelens.operators import active as A
+from issuelens.operators import knn
 from issuelens.operators import metrics as M
 from issuelens.operators import sampling as S
 from issuelens.operators import strategies as Q
@@ -144,6 +145,36 @@ def test_strategies_until_the_pool_is_empty(spark, tmp_path, strategy):
     assert curve.count() == -(-len(ids) // 25)
 
 
+def test_an_interrupted_run_goes_on_to_the_same_ledger(spark, tmp_path, monkeypatch):
+    """A run that dies in its second round, before or after that round is evaluated, ends like one that did not."""
+    lab = tables.labelled(spark, "/root/testdata/sf0.001")
+    test, pool = lab.filter("doc_id % 4 = 0"), lab.filter("doc_id % 4 <> 0")
+
+    def run(name, **kw):
+        ledger, curve = A.active_learning_run(spark, pool, test, strategy="LeastConfidence", query_size=12, rounds=2, run_dir=str(tmp_path / name), **kw)
+        return (sorted(tuple(r) for r in ledger.select("iteration", "rank", "doc_id", "label").collect()),
+                sorted(tuple(r) for r in curve.select("iteration", "training_size", F.round("fscore", 9)).collect()))
+
+    want = run("whole")
+    for broken in ("evaluate", "_select"):
+        calls, real = [], getattr(A, broken)
+
+        def dies(*args, **kw):
+            calls.append(1)
+            if len(calls) == 2:
+                raise RuntimeError("lost")
+            return real(*args, **kw)
+        with monkeypatch.context() as m:
+            m.setattr(A, broken, dies)
+            with pytest.raises(RuntimeError):
+                run(broken)
+        folder = tmp_path / broken / "ledger"
+        rounds = sum(p.name.startswith("iteration") for p in folder.iterdir())
+        spark.read.parquet(str(folder / "iteration=0")).limit(3).write.parquet(str(folder / f"iteration={rounds}"))  # a lost attempt's rows
+        assert run(broken, resume=True) == want
+    assert run(broken, resume=True) == want  # a finished run stays as it is
+
+
 def test_learning_curve_reports_sizes_above_the_pool(spark):
     lab = tables.labelled(spark, "/root/testdata/sf0.01").limit(200)
     rows = A.learning_curve_random(spark, lab.filter("doc_id % 4 <> 0"), lab.filter("doc_id % 4 = 0"), lo=50, hi=250, step=100).collect()
@@ -151,14 +182,61 @@ def test_learning_curve_reports_sizes_above_the_pool(spark):
     assert rows[2].fscore is None and 0 <= rows[0].fscore <= 1
 
 
-def test_knn_in_blocks_equals_one_block(spark, monkeypatch):
-    """Text ids, blocks of neighbours and small row blocks give the same nearest rows."""
-    emb = tables.class_scores(tables.pool(spark, "/root/testdata/sf0.001")).withColumn(
-        "doc_id", F.concat(F.lit("K-"), F.col("doc_id").cast("string")))
-    one = Q.k_nearest(emb, emb, 5, "doc_id", "embedding", "p").select("doc_id", "near.i").collect()
-    monkeypatch.setattr(Q, "NEIGHBOUR_BLOCK", 120)
-    more = Q.k_nearest(emb, emb, 5, "doc_id", "embedding", "p").select("doc_id", "near.i").collect()
-    assert sorted(map(tuple, one)) == sorted(map(tuple, more)) and all(r.doc_id not in r.i for r in one)
+def _all_pairs(rows, neighbours, k):
+    """Distances and ids of the k nearest by all distances."""
+    def units(table):
+        x = np.array([v for _, v in table if v is not None], float)
+        n = np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
+        return [i for i, v in table if v is not None], np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+    ids, x = units(rows)
+    others, y = units(neighbours)
+    out = {i: [] for i, _ in rows}
+    for i, v in zip(ids, x):
+        d = np.round(np.sqrt(((y - v) ** 2).sum(1)), 9) if len(others) else []
+        out[i] = sorted((float(a), j) for a, j in zip(d, others) if j != i)[:k]
+    return out
+
+
+def _knn_rows(spark, rows):
+    return spark.createDataFrame([(i, v, [0.25, 0.75]) for i, v in rows], "doc_id string, embedding array<double>, p array<double>").repartition(3)
+
+
+def _same(got, want):
+    assert {r.doc_id for r in got} == want.keys() and len(got) == len(want)
+    for r in got:
+        assert [n.i for n in r.near] == [j for _, j in want[r.doc_id]]
+        assert np.allclose([n.d for n in r.near], [d for d, _ in want[r.doc_id]], atol=2e-8)
+
+
+@pytest.mark.parametrize("pivots,block,team", [(256, 20_000, 100_000), (7, 9, 5), (1, 40, 11)])
+def test_knn_index_equals_all_pairs(spark, monkeypatch, pivots, block, team):
+    """Clusters of unlike sizes, text ids, null, zero and repeated vectors, small blocks and teams."""
+    for name, value in (("PIVOTS", pivots), ("BLOCK", block), ("TEAM", team)):
+        monkeypatch.setattr(knn, name, value)
+    rng = np.random.default_rng(pivots)
+    centre = rng.normal(size=(6, 8)) * 3
+    rows = [(f"K-{i:03}", [float(x) for x in np.round(centre[min(5, i % 9)] + rng.normal(size=8) * 0.3, 2)]) for i in range(140)]
+    rows += [("null", None), ("zero", [0.0] * 8), ("copy", rows[3][1]), ("twice", rows[3][1])]
+    near = rows[::2] + rows[-3:]
+    _same(knn.k_nearest(_knn_rows(spark, rows), _knn_rows(spark, near), 4, "doc_id", "embedding", "p").collect(), _all_pairs(rows, near, 4))
+
+
+def test_knn_of_few_or_no_neighbours(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", None)]
+    _same(knn.k_nearest(_knn_rows(spark, rows), _knn_rows(spark, rows), 5, "doc_id", "embedding", "p").collect(), _all_pairs(rows, rows, 5))
+    none = _knn_rows(spark, rows).limit(0)
+    _same(knn.k_nearest(_knn_rows(spark, rows), none, 5, "doc_id", "embedding", "p").collect(), {i: [] for i, _ in rows})
+    assert knn.k_nearest(none, none, 5, "doc_id", "embedding", "p").count() == 0
+
+
+def test_knn_index_leaves_out_most_pairs_of_clusters(spark):
+    """Where vectors have clusters, a tenth of the pairs is compared at most."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(60, 16))
+    rows = [(f"{i:04}", [float(x) for x in centre[i % 60] + rng.normal(size=16) * 0.05]) for i in range(2000)]
+    got = knn.k_nearest(_knn_rows(spark, rows), _knn_rows(spark, rows), 5, "doc_id", "embedding", "p").collect()
+    _same(got, _all_pairs(rows, rows, 5))
+    assert sum(r.pairs for r in got) < 0.1 * len(rows) ** 2
 
 
 def test_split_reads_the_source_a_few_times(spark):
