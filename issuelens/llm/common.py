@@ -57,3 +57,11 @@ def training_ids(labels: DataFrame, label: str, per_class: int) -> DataFrame:
 def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id is in ``ids`` (bounded by its sample size, so it is broadcast)."""
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+
+
+def excerpt(text: Column, limit: int, parts: int = 10) -> Column:
+    """A text to fit on: whole up to ``limit`` bytes, else ``parts`` stretches at even places with ``limit`` characters in all."""
+    size = limit // parts
+    step = (F.length(text) - size) / (parts - 1)
+    cut_out = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(size)))
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat_ws("", cut_out))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from issuelens.llm.common import held_out, training_ids, with_ids
+from issuelens.llm.common import excerpt, held_out, training_ids, with_ids
 
 BLOCK = 2048
 LEVEL = 3
@@ -90,12 +90,12 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = TRAIN_PER_CLASS) -> Model:
     """Dictionaries from two thirds of a bounded sample of labelled texts, the curve from the other third.
 
-    The driver gets at most ``2 * per_class`` texts of at most
-    ``TRAIN_MAX_BYTES``. The curve is weighted to the label shares of all
+    The driver gets at most ``2 * per_class`` texts; of one with more than
+    ``TRAIN_MAX_BYTES`` it gets stretches with as many characters. The curve is weighted to the label shares of all
     labelled rows outside the held-out fold.
     """
-    small = docs.where(F.octet_length("text").between(1, TRAIN_MAX_BYTES))
-    got = (with_ids(small, training_ids(labels, label, per_class))
+    some = docs.where(F.octet_length("text") > 0)
+    got = (with_ids(some, training_ids(labels, label, per_class)).withColumn("text", excerpt(F.col("text"), TRAIN_MAX_BYTES))
            .withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3))).toArrow().to_pandas())
     got = got.sort_values(["doc_id", "text"], kind="stable")
     texts = np.array([t.encode() for t in got["text"]], object)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from issuelens.llm.common import held_out
+from issuelens.llm.common import excerpt, held_out
 from issuelens.llm.textbytes import Chunk, PrefixHash, runs, text_chunks
 
 UNKNOWN = "und"
@@ -190,11 +190,11 @@ def vocabulary(path: str) -> list[str]:
 def fit(docs: DataFrame, vocab: list[str], per_lang: int = TRAIN_PER_LANG) -> Model:
     """Piece probabilities from about ``per_lang`` labelled texts of each language outside the held-out fold.
 
-    Texts of more than ``TRAIN_MAX_BYTES`` are not used to fit. Spark counts the
-    words of the sample; the driver gets these counts, bounded by the sample,
+    Of a text with more than ``TRAIN_MAX_BYTES``, stretches with as many
+    characters are used to fit. Spark counts the words of the sample; the driver gets these counts, bounded by the sample,
     and one number for each language.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.octet_length("text").between(1, TRAIN_MAX_BYTES)
+    rows = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)
                       & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
@@ -207,7 +207,8 @@ def fit(docs: DataFrame, vocab: list[str], per_lang: int = TRAIN_PER_LANG) -> Mo
     order = Window.partitionBy("lang").orderBy(luck, "doc_id", "text")
     # Twice the wanted number by chance, then exactly the first ones: the window never sees a whole language.
     sample = (rows.join(F.broadcast(share), "lang").where(luck < F.col("share"))
-              .withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_lang).select("lang", "text"))
+              .withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_lang)
+              .select("lang", excerpt(F.col("text"), TRAIN_MAX_BYTES).alias("text")))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

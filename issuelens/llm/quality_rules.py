@@ -206,8 +206,20 @@ def train(x: np.ndarray, y: np.ndarray, rows: np.ndarray, steps: int = 60, rate:
     return weights, stay
 
 
+def in_stretches(row: np.ndarray, n: int, parts: int = 4) -> np.ndarray:
+    """Which lines are used to fit: all of a row, or ``parts`` stretches at even places with ``TRAIN_MAX_LINES`` in all."""
+    count = np.bincount(row, minlength=n)
+    place = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+    size, lines = TRAIN_MAX_LINES // parts, count[row]
+    use = lines <= TRAIN_MAX_LINES
+    for k in range(parts):
+        start = k * (lines - size) // (parts - 1)
+        use |= (place >= start) & (place < start + size)
+    return use
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> tuple[np.ndarray, float]:
-    """Train on at most ``per_class`` labelled documents of each class that have at most ``TRAIN_MAX_LINES`` lines.
+    """Train on at most ``per_class`` labelled documents of each class; of one with more than ``TRAIN_MAX_LINES`` lines, on four stretches.
 
     Spark computes the line features; the driver gets at most
     ``2 * per_class * TRAIN_MAX_LINES`` feature rows.
@@ -217,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) ->
             ids, label = batch.column("doc_id").to_numpy(), batch.column("label").to_numpy()
             for chunk in text_chunks(batch.column("text")):
                 got = Lines(chunk)
-                use = (np.bincount(got.row, minlength=chunk.n) <= TRAIN_MAX_LINES)[got.row]
+                use = in_stretches(got.row, chunk.n)
                 row = got.row[use] + chunk.first
                 yield pa.record_batch({"doc_id": pa.array(ids[row]), "label": pa.array(label[row]),
                                        "x": pa.array(list(got.x[use]), pa.list_(pa.float64()))})

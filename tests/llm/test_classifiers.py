@@ -188,3 +188,26 @@ def test_language_odd_rows(odd, none, more):
     assert langid.identify(none, model).count() == 0
     bare = langid.fit(none.withColumn("lang", F.lit(None).cast("string")), vocab)
     assert {r.lang_pred for r in langid.identify(odd, bare).collect()} == {"und"}
+
+
+def test_fits_on_long_texts_only(spark):
+    """Languages and classes whose labelled texts are all long are learned too, from the whole text."""
+    rng = np.random.default_rng(6)
+    words = {"de": "und der nicht strasse wirklich schnell".split(), "en": "the and quickly really street not".split()}
+    rows = [(i, " ".join(rng.choice(words[lang], 6000)), lang) for i, lang in enumerate(["de", "en"] * 20)]
+    assert min(len(t) for _, t, _ in rows) > langid.TRAIN_MAX_BYTES
+    rows += [(1000, "nicht wirklich schnell und", None), (1001, "not really the street", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.identify(docs, langid.fit(docs, langid.vocabulary(common.tokenizer_path("piece_bpe_32k.model")))).collect()
+    assert {r.doc_id: r.lang_pred for r in found} == {i: ("de", "en")[i % 2] for i in range(40)} | {1000: "de", 1001: "en"}
+    labels = docs.where("doc_id < 1000").selectExpr("doc_id", "doc_id % 2 AS quality")
+    scores = compression.score(docs, compression.fit(docs, labels)).collect()
+    assert min(r.score for r in scores if r.doc_id < 1000 and r.doc_id % 2) > max(r.score for r in scores if r.doc_id < 1000 and not r.doc_id % 2)
+
+
+def test_lines_of_long_documents_are_used_in_stretches():
+    row = np.repeat([0, 1, 2], [150, 1000, 201])
+    use = quality_rules.in_stretches(row, 3)
+    assert np.bincount(row[use]).tolist() == [150, 200, 200]
+    at = np.flatnonzero(use[150:1150])
+    assert at[0] == 0 and at[-1] == 999 and (np.diff(at) > 1).sum() == 3
