@@ -28,8 +28,10 @@ def letters_only(text: Column) -> Column:
 
 def doc_trigrams(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``(doc_id, gram)`` occurrences of 3-character substrings."""
-    grams = bind(letters_only(F.col(text_col)), lambda t: F.when(F.length(t) >= 3, F.transform(
-        F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, 3))).otherwise(
+    # An array of characters first: a substring of a long text counts its way from the start each time.
+    chars = F.regexp_extract_all(letters_only(F.col(text_col)), F.lit("(?s)."), F.lit(0))
+    grams = bind(chars, lambda c: F.when(F.size(c) >= 3, F.transform(
+        F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(c[i], c[i + 1], c[i + 2]))).otherwise(
         F.array().cast("array<string>")))
     return df.select(id_col, F.explode(grams).alias("gram"))
 
