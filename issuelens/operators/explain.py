@@ -12,9 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from issuelens.session import ensure_checkpoint_dir
+
 REST = "__rest__"
 
 
@@ -52,6 +57,32 @@ def linear_margin(x: DataFrame, weights: DataFrame, bias: float, docs: DataFrame
         id_col, (F.lit(bias) + F.coalesce(F.col("s"), F.lit(0.0))).alias("margin"))
 
 
+def explain_model(model: PipelineModel, docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, float]:
+    """XPL-1 of a fitted text classifier (MDL-1): ``(contributions(doc_id, token, count, contribution), base)``.
+
+    From its hashed counts on the pipeline is linear, so a token's weight is
+    the margin of a text that holds it once, less ``base``, the margin of a text
+    without words. Every distinct token goes through the fitted stages once and
+    is joined back. Tokens that share a hashed feature share its weight, each
+    with its own count, so ``base`` and a document's contributions add up to the
+    raw prediction of the model. Documents without words have no rows.
+    """
+    at = next(i for i, stage in enumerate(model.stages) if isinstance(stage, HashingTF))
+    column = model.stages[at].getInputCol()
+    words, rest = PipelineModel(model.stages[:at]), PipelineModel(model.stages[at:])
+
+    def margins(df: DataFrame) -> DataFrame:
+        return rest.transform(df).withColumn("margin", F.element_at(vector_to_array("rawPrediction"), 2))
+
+    base = margins(docs.sparkSession.createDataFrame([([],)], f"`{column}` array<string>")).head()["margin"]
+    ensure_checkpoint_dir(docs.sparkSession)
+    counts = (words.transform(docs).select(id_col, F.explode(column).alias("token"))
+              .groupBy(id_col, "token").agg(F.count(F.lit(1)).cast("double").alias("count")).checkpoint())
+    weights = margins(counts.select("token").distinct().withColumn(column, F.array("token"))).select(
+        "token", (F.col("margin") - F.lit(base)).alias("weight"))
+    return counts.join(weights, "token").select(id_col, "token", "count", (F.col("count") * F.col("weight")).alias("contribution")), base
+
+
 # -- XPL-2 ---------------------------------------------------------------------------
 
 LIME_SCHEMA = "doc_id long, rank int, token string, weight double, intercept double"

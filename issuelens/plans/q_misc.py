@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from issuelens.functions import text as T
@@ -142,6 +143,23 @@ def explain_linear(spark, sf):
     return round_doubles(out)
 
 
+@query("explain_fitted")
+def explain_fitted(spark, sf):
+    """XPL-1 of the classifier trained on the labelled documents: of every document its margin, the sum of its
+    tokens' contributions, and the token that weighs most."""
+    from issuelens.operators import active as A
+    docs = tables.table(spark, sf, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    model = A.train_classifier(tables.labelled(spark, sf))
+    contrib, base = X.explain_model(model, docs)
+    per_doc = contrib.groupBy("doc_id").agg(
+        F.sum("contribution").alias("s"), F.count(F.lit(1)).alias("n_tokens"),
+        F.max_by("token", F.struct(F.round(F.abs("contribution"), 9), "token")).alias("top_token"))
+    margins = model.transform(docs).select("doc_id", F.element_at(vector_to_array("rawPrediction"), 2).alias("margin"))
+    return round_doubles(margins.join(per_doc, "doc_id", "left").select(
+        "doc_id", "margin", (F.lit(base) + F.coalesce("s", F.lit(0.0))).alias("reconstructed"),
+        F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "top_token"))
+
+
 @query("explain_lime")
 def explain_lime(spark, sf):
     """XPL-2: LIME-style token weights for every document (the operator's 50 masked

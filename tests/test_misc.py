@@ -1,5 +1,6 @@
 """Language detection, code-run rule, linear explanations, optional rules."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from issuelens.functions import text as T
@@ -41,6 +42,27 @@ def test_linear_explanation_adds_up(spark):
         assert abs(base + sums[d] - margins[d]) < 1e-12
 
 
+def test_fitted_explanation_adds_up_to_the_model(spark):
+    """Base and contributions are the raw prediction, also where tokens share one of few hashed features."""
+    from pyspark.ml.functions import vector_to_array
+    from issuelens.operators import active as A
+    rows = [(i, ("refactor module " if i % 2 else "weather ") + f"common words here w{i % 9} " + "again " * (i % 3), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows + [(60, "", 0), (61, "the", 1)], "doc_id long, text string, label int")
+    for size in (1 << 14, 4):
+        model = A.train_classifier(df, A.text_pipeline(num_features=size))
+        contrib, base = X.explain_model(model, df)
+        got = {}
+        for r in contrib.collect():
+            got.setdefault(r.doc_id, {})[r.token] = r.contribution
+        raw = model.transform(df).select("doc_id", vector_to_array("rawPrediction")[1].alias("m")).collect()
+        assert all(abs(base + sum(got.get(r.doc_id, {}).values()) - r.m) < 1e-9 for r in raw) and 60 not in got
+        tf, idf, lr = model.stages[2], model.stages[3].idf.toArray(), model.stages[4]
+        for token, value in got[2].items():
+            j = tf.indexOf(token)
+            assert abs(value - dict(zip(*np.unique(rows[2][1].split(), return_counts=True)))[token] * idf[j] * lr.coefficients[j]) < 1e-9
+    assert max(contrib.collect(), key=lambda r: r.doc_id).doc_id <= 61
+
+
 def test_lime_recovers_the_decisive_token(spark):
     from issuelens.operators import active as A
     rows = [(i, ("refactor " if i % 2 else "weather ") + "common words here " + str(i % 7), i % 2) for i in range(80)]
