@@ -1,5 +1,7 @@
 """Sources, sinks and the labelling stream (round trips and stream = batch)."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +187,37 @@ def test_corpus_ids_do_not_depend_on_the_splits(spark, tmp_path):
         ids.append(sorted((r.text, r.doc_id) for r in io.read_corpus(spark, str(folder)).collect()))
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert ids[0] == ids[1] and len({i for _, i in ids[0]}) == len(ids[0]) == sum(5 + i for i in range(6))
+
+
+def test_a_stream_of_versions_ends_with_the_newest_labels(spark, tmp_path):
+    """Several triggers, keys sent again with another label, a late file with old versions, null keys, and a restart."""
+    source, sink, ckpt = tmp_path / "src", str(tmp_path / "sink"), str(tmp_path / "ckpt")
+    source.mkdir()
+
+    def send(name, when, *rows):
+        (source / f"{name}").mkdir(exist_ok=True)
+        path = _write(source / name / "proj.csv", "Key;Summary;Description", *rows)
+        os.utime(path, (when, when))
+
+    def run():
+        stream = S.label_stream(S.issue_stream(spark, str(source / "*"), max_files_per_trigger=1, columns=["Key", "Summary", "Description"]))
+        assert S.start(S.label_changes(stream), sink, ckpt, available_now=True).awaitTermination(180)
+        return spark.read.parquet(sink)
+
+    send("one", 1000, "A-1;refactoring;x", "A-2;weather;y", ";refactoring;no key")
+    send("two", 3000, "A-1;weather;x", "A-3;refactoring;z", "A-3;restructure;z")
+    run()
+    send("late", 2000, "A-1;refactoring;late", "A-2;refactoring;newer than one", ";refactoring;no key")
+    changes = run()
+    files = [(t, f"{source}/{n}/proj.csv") for t, n in ((1000, "one"), (2000, "late"), (3000, "two"))]
+    whole = None
+    for t, path in files:
+        part = io.read_issues(spark, path).withColumn("sent", F.timestamp_seconds(F.lit(t)))
+        whole = part if whole is None else whole.unionByName(part)
+    every = S.versions(label_issues(whole, fixed.KEYWORDS["seed_expansion"], keep=["project", "sent"]))
+    best = every.groupBy("project", "key").agg(F.max_by(F.struct(*every.columns), F.struct("sent", "mark")).alias("v")).select("v.*")
+    got, want = (sorted(map(tuple, d.select(every.columns).collect())) for d in (S.newest_labels(changes), best))
+    assert got == want and len(want) == 4
+    counts = {(r.project, r.label): r.n_issues for r in S.label_counts(changes).collect()}
+    assert counts == {(r.project, r.label): r["count"] for r in best.groupBy("project", "label").count().collect()}
+    assert changes.where("delta < 0").count() >= 2
