@@ -5,15 +5,19 @@ Plan, all steps exact:
 1. Every row gets its set of distinct shingles as 64-bit hashes and a
    fingerprint of the set. Rows with one fingerprint are one *class*, so copies
    are never paired.
-2. Shingles are counted over all classes in hash-range blocks (sorted
-   differences, packed), so that one shingle costs a few shuffled bytes. Two
-   sets with Jaccard t share at least ``t * n`` shingles of either, hence a
-   class with fewer shared shingles has no link and leaves.
+2. The head of every class, its first shingles in hash order, is counted over
+   all classes in hash-range blocks (sorted differences, packed), so that one
+   shingle costs a few shuffled bytes. Sets A and B with Jaccard t share at
+   least ``t * |A|`` shingles, so their first k common ones are among the first
+   ``(1 - t) * |A| + k`` of A, and likewise of B. Heads have that length with k
+   ``EXTRA`` percent of the set, and B has at least ``t * |A|`` shingles; hence
+   a class whose head shares fewer than ``t * EXTRA`` percent of its shingles
+   with other heads has no link and leaves.
 3. Those that stay order their shingles globally in three ways: by counted
    frequency, ties by hash; by frequency, ties by another hash; by a hash
-   alone. Linked sets share a token of their prefixes under *every* order; a
-   pair is verified only if it passes all orders, the length bound and the
-   place bound of the first. Frequencies come from a sketch of fixed size: any
+   alone. Linked sets share a token of their prefixes under *every* order; the
+   sets of a pair are brought together only if it passes all orders, the length
+   bound, the place bound of the first and the bound of the signatures. Frequencies come from a sketch of fixed size: any
    order is exact as long as it is the same for all sets.
 4. Verification is in two rounds, so that a large group of near copies makes
    pairs in proportion to its size: first every class against the smallest
@@ -54,6 +58,8 @@ SKETCH_BITS = 22
 SKETCH_BLOCKS = 64
 #: Bits of a set's parity signature.
 SIGN_BITS = 512
+#: Percent of a set's shingles that its head has beyond the prefix.
+EXTRA = 20
 #: Bits of the filter that keeps whole rows away from the second read of the texts.
 FILTER_BITS = 22
 
@@ -117,8 +123,15 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel())
 
 
-def shingle_blocks(size: int, ranges: int):
-    """Task body: the shingles of a task by hash range, ``(part, tokens, owner, cls)``.
+def heads_of(tokens: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of each set in hash order (sets are sorted by hash), and their numbers."""
+    length = np.minimum(sizes, sizes * (100 - percent) // 100 + -(-sizes * EXTRA // 100))
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return tokens[place < np.repeat(length, sizes)], length
+
+
+def shingle_blocks(size: int, ranges: int, percent: int):
+    """Task body: the heads of a task's sets by hash range, ``(part, tokens, owner, cls)``.
 
     Hashes are kept to 48 bits here: two shingles that fall together only make
     the count larger, which keeps more classes, never fewer.
@@ -152,7 +165,9 @@ def shingle_blocks(size: int, ranges: int):
             for chunk in text_chunks(batch.column("text")):
                 tokens, sizes = shingle_sets(chunk, size)
                 if len(tokens):
-                    held.append((tokens, sizes, fingerprints(tokens, sizes)))
+                    names = fingerprints(tokens, sizes)
+                    tokens, sizes = heads_of(tokens, sizes, percent)
+                    held.append((tokens, sizes, names))
                     count += len(tokens)
                 if count >= GATHER:
                     yield from flush(held)
@@ -252,11 +267,13 @@ def token_sketch(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(sketch: np.ndarray, percent: int):
-    """Task body: ``(cls, n, tok, at, other, lone, signs)`` of the sets.
+    """Task body: ``(cls, n, tok, at, other, third, lone, signs)`` of the sets that can have a link.
 
+    A set whose tokens are too seldom in another one, by the counters of all
+    its tokens, is linked with nothing and leaves here.
     ``tok`` and ``at`` are the prefix under the first order and the places in
-    it, ``other`` the prefix under the second. Both orders are global, as they
-    go by the token's counter and hash alone. A token whose counter is 1 is in
+    it, ``other`` and ``third`` the prefixes under the other two. All orders are
+    global, as they go by the token's counter and hash alone. A token whose counter is 1 is in
     no other set: it has its place, but is left out. ``lone`` counts those
     tokens, and ``signs`` has a bit for the parity of the others in each of
     ``SIGN_BITS`` classes: two sets differ in at least their lone tokens and as
@@ -264,41 +281,78 @@ def prefixes(sketch: np.ndarray, percent: int):
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for n, tokens in zip(batch.column("n").to_pylist(), batch.column("tokens")):
+            rows, use = [], []
+            for i, (n, tokens) in enumerate(zip(batch.column("n").to_pylist(), batch.column("tokens"))):
                 tokens = tokens.values.to_numpy().view(np.uint64)
                 df = sketch[cell(tokens)]
+                if 100 * int((df > 1).sum()) < percent * n:
+                    continue
+                use.append(i)
                 length = n - -(-n * percent // 100) + 1
                 first, second = np.lexsort((tokens, df))[:length], np.lexsort((mix(tokens), df))[:length]
+                third = np.argsort(mix(tokens ^ U64(0x3C6EF372FE94F82B)), kind="stable")[:length]
                 at = np.flatnonzero(df[first] > 1)
                 odd = np.bincount((mix(tokens[df > 1]) & U64(SIGN_BITS - 1)).astype(np.int64), minlength=SIGN_BITS) & 1
                 rows.append((tokens[first[at]].view(np.int64), at.astype(np.int32),
-                             tokens[second[df[second] > 1]].view(np.int64), int((df == 1).sum()),
-                             np.packbits(odd.astype(bool)).view(np.int64)))
-            tok, at, other, lone, signs = zip(*rows) if rows else ((),) * 5
+                             tokens[second[df[second] > 1]].view(np.int64), tokens[third[df[third] > 1]].view(np.int64),
+                             int((df == 1).sum()), np.packbits(odd.astype(bool)).view(np.int64)))
+            tok, at, other, third, lone, signs = zip(*rows) if rows else ((),) * 6
+            use = pa.array(use, pa.int64())
             yield pa.record_batch({
-                "cls": batch.column("cls"), "n": batch.column("n"), "tok": pa.array(tok, pa.list_(pa.int64())),
+                "cls": batch.column("cls").take(use), "n": batch.column("n").take(use), "tok": pa.array(tok, pa.list_(pa.int64())),
                 "at": pa.array(at, pa.list_(pa.int32())), "other": pa.array(other, pa.list_(pa.int64())),
-                "lone": pa.array(lone, pa.int64()), "signs": pa.array(signs, pa.list_(pa.int64()))})
+                "third": pa.array(third, pa.list_(pa.int64())), "lone": pa.array(lone, pa.int64()), "signs": pa.array(signs, pa.list_(pa.int64()))})
+    return run
+
+
+def postings_of(bitmap: np.ndarray):
+    """Task body over ``(cls, n, comp, tok, at)``: a row for each prefix token whose flag is set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tok, at = batch.column("tok"), batch.column("at")
+            tokens, own = tok.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(tok.offsets.to_numpy()))
+            use = may_have(bitmap, tokens.view(np.uint64))
+            rows = pa.array(own[use])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tokens[use]), *(batch.column(c).take(rows) for c in ("cls", "n", "comp")), pa.array(at.flatten().to_numpy()[use])],
+                names=["tok", "cls", "n", "comp", "at"])
     return run
 
 
+def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
+    return table.select(F.col("cls").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+
+
+def in_pairs(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``table`` without most of the classes that are in none of the pairs, before it is shuffled to them."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+    bitmap = filter_bits(ends, F.col("cls"), FILTER_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_have(bitmap, batch.column("cls").to_numpy().view(np.uint64))))
+    return table.mapInArrow(run, table.schema)
+
+
+def few_differ(percent: int) -> Column:
+    """Whether the signatures let the pair's sets differ in as few tokens as the similarity allows."""
+    differ = F.col("lone_a") + F.col("lone_b")
+    for k in range(SIGN_BITS // 64):
+        differ = differ + F.bit_count(F.col("signs_a")[k].bitwiseXOR(F.col("signs_b")[k]))
+    return differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+
+
 def verified(pairs: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share a prefix token under the second and the third order too, and reach the similarity."""
-    def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
-        return table.select(F.col("cls").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
-
-    def by_hash(name: str) -> Column:
-        """The prefix under the order by a seeded hash alone."""
-        n = F.col(f"n_{name}")
-        order = F.transform(f"tokens_{name}", lambda t: F.struct(F.xxhash64(t, F.lit(3)).alias("h"), t.alias("t")))
-        return F.slice(F.sort_array(order), F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))["t"]
-
-    second = (pairs.join(side(heads, "a", "other"), "a").join(side(heads, "b", "other"), "b")
-              .where(F.arrays_overlap("other_a", "other_b")).select("a", "b"))
+    """The pairs (a, b) whose signatures are near, that share a prefix token under all orders, and that reach the similarity."""
+    signs = ("n", "lone", "signs")
+    near = pairs.join(side(heads, "a", *signs), "a").join(side(heads, "b", *signs), "b").where(few_differ(percent)).select("a", "b")
+    near = cut(near)
+    prefix = in_pairs(heads.select("cls", "other", "third"), near)
+    second = cut(near.join(side(prefix, "a", "other", "third"), "a").join(side(prefix, "b", "other", "third"), "b")
+                 .where(F.arrays_overlap("other_a", "other_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b"))
+    sets = in_pairs(sets.select("cls", "n", "tokens"), second)
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return (second.join(side(sets, "a", "n", "tokens"), "a").join(side(sets, "b", "n", "tokens"), "b")
-            .where(F.arrays_overlap(by_hash("a"), by_hash("b")))
             .where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b"))
 
 
@@ -315,7 +369,7 @@ def may_link(percent: int, na: str, ia: str, nb: str, ib: str) -> Column:
 
 def class_links(sets: DataFrame, percent: int) -> DataFrame:
     """``(node, root)``: the components of the classes that have a link."""
-    form = "cls long, n long, tok array<long>, at array<int>, other array<long>, lone long, signs array<long>"
+    form = "cls long, n long, tok array<long>, at array<int>, other array<long>, third array<long>, lone long, signs array<long>"
     heads = cut(sets.mapInArrow(prefixes(token_sketch(sets), percent), form))
     postings = (heads.select("cls", "n", F.explode(F.arrays_zip("tok", "at")).alias("p"))
                 .select("cls", "n", "p.tok", "p.at"))
@@ -327,23 +381,19 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     first = cut(components(verified(stars, heads, sets, percent)))
     # What is left: pairs on one token whose ends are in different components. The largest component of a
     # token meets the others, never itself.
-    placed = cut(postings.join(first.withColumnRenamed("node", "cls"), "cls", "left")
-                 .select("tok", "cls", "n", "at", F.coalesce("root", "cls").alias("comp")))
-    split = (placed.groupBy("tok", "comp").agg(F.count("*").alias("k"))
-             .groupBy("tok").agg(F.max(F.struct("k", "comp"))["comp"].alias("big"), F.count("*").alias("comps"))
-             .where("comps > 1"))
-    marks = [F.col("signs")[k].alias(f"s{k}") for k in range(SIGN_BITS // 64)]
+    located = cut(heads.select("cls", "n", "tok", "at").join(first.withColumnRenamed("node", "cls"), "cls", "left")
+                  .withColumn("comp", F.coalesce("root", "cls")).drop("root"))
+    split = cut(located.select("comp", F.explode("tok").alias("tok")).groupBy("tok", "comp").agg(F.count("*").alias("k"))
+                .groupBy("tok").agg(F.max(F.struct("k", "comp"))["comp"].alias("big"), F.count("*").alias("comps"))
+                .where("comps > 1").drop("comps"))
+    placed = located.mapInArrow(postings_of(filter_bits(split, F.col("tok"), FILTER_BITS)), "tok long, cls long, n long, comp long, at int")
     placed = cut(fresh(placed, "tok").join(fresh(split, "tok").drop("tok"), "tok_k").drop("tok_k")
-                 .join(heads.select("cls", "lone", *marks), "cls"))
+                 .join(heads.select("cls", "lone", "signs"), "cls"))
     cols = [c for c in placed.columns if c not in ("tok", "big")]
     one = placed.where("comp <> big").select("tok", *(F.col(c).alias(f"{c}_a") for c in cols))
     two = placed.select("tok", "big", *(F.col(c).alias(f"{c}_b") for c in cols))
-    differ = F.col("lone_a") + F.col("lone_b")
-    for k in range(SIGN_BITS // 64):
-        differ = differ + F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b")))
     pairs = (one.join(two, "tok").where("comp_a <> comp_b and (comp_b = big or cls_a < cls_b)")
-             .where(may_link(percent, "n_a", "at_a", "n_b", "at_b"))
-             .where(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+             .where(may_link(percent, "n_a", "at_a", "n_b", "at_b")).where(few_differ(percent))
              .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct())
     second = verified(pairs, heads, sets, percent)
     tree = first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -358,12 +408,12 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE_WOR
     spark = docs.sparkSession
     rows = cut(docs.mapInArrow(class_rows(size), "doc_id long, row long, cls long, n long"))
     ranges = max(RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = docs.select("text").mapInArrow(shingle_blocks(size, ranges),
+    blocks = docs.select("text").mapInArrow(shingle_blocks(size, ranges, percent),
                                             "part int, tokens binary, owner binary, cls binary")
     shared = (blocks.repartition(ranges, "part").mapInArrow(shared_counts, "cls long, shared long")
               .groupBy("cls").agg(F.sum("shared").alias("shared")))
     sizes = rows.where("n > 0").groupBy("cls").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
-    wanted = cut(sizes.join(shared, "cls").where(100 * F.col("shared") >= percent * F.col("n")).select("cls"))
+    wanted = cut(sizes.join(shared, "cls").where(10_000 * F.col("shared") >= EXTRA * percent * F.col("n")).select("cls"))
     bitmap = filter_bits(wanted, F.col("cls"), FILTER_BITS)
     sets = (docs.select("text").mapInArrow(wanted_sets(size, bitmap), "cls long, n long, tokens array<long>")
             .join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
