@@ -21,10 +21,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-from issuelens.functions.vectors import py_char_grams
-
-#: Words whose trigrams a task remembers.
-CACHED_WORDS = 100_000
+#: Trigrams whose text a task remembers.
+CACHED_GRAMS = 100_000
 STATE = "phrases array<string>, ptr array<int>, col array<int>, dat array<double>, grams array<long>, doc array<double>"
 
 
@@ -39,22 +37,16 @@ class Candidates(NamedTuple):
     doc: np.ndarray
 
 
-class Words:
-    """Trigrams and unit weights of words, remembered up to a bound."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-    def get(self, word: str) -> tuple[np.ndarray, np.ndarray]:
-        entry = self.known.get(word)
-        if entry is None:
-            counts = Counter((ord(a) << 42) | (ord(b) << 21) | ord(c) for a, b, c in py_char_grams(word))
-            weights = np.fromiter(counts.values(), np.float64, len(counts))
-            entry = np.fromiter(counts, np.int64, len(counts)), weights / np.sqrt((weights * weights).sum())
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
-            self.known[word] = entry
-        return entry
+def word_vectors(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unit trigram vectors of all words at once: ``(grams, word, gram, weight)``, sorted by word and gram (a place in ``grams``)."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    code = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    at = gathered(np.cumsum(size + 2) - size - 2, size)
+    grams, gram = np.unique((code[at] << 42) | (code[at + 1] << 21) | code[at + 2], return_inverse=True)
+    key, count = np.unique(np.repeat(np.arange(len(words)) * len(grams), size) + gram, return_counts=True)
+    word = key // len(grams)
+    norm = np.sqrt(np.bincount(word, weights=count * count, minlength=len(words)))
+    return grams, word, key - word * len(grams), count / norm[word]
 
 
 def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -63,7 +55,7 @@ def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(total)
 
 
-def candidates(tokens: Sequence[str], n: int, words: Words) -> Candidates | None:
+def candidates(tokens: Sequence[str], n: int) -> Candidates | None:
     """The candidates of a document; none if it has fewer than ``n`` tokens."""
     if len(tokens) < n:
         return None
@@ -72,21 +64,22 @@ def candidates(tokens: Sequence[str], n: int, words: Words) -> Candidates | None
     phrases = list(counts)  # insertion order = first position
     parts = [(p,) for p in phrases] if n == 1 else [p.split(" ") for p in phrases]
     place = {w: i for i, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
-    entries = [words.get(w) for w in place]
-    size = np.fromiter((len(k) for k, _ in entries), np.int64, len(entries))
-    start = np.cumsum(size) - size
-    grams, gram = np.unique(np.concatenate([k for k, _ in entries]), return_inverse=True)
-    weight = np.concatenate([v for _, v in entries])
-    of = np.array([[place[w] for w in p] for p in parts], np.int64).reshape(len(phrases), n)
-    rows, cols, vals = [], [], []
-    for k in range(n):
-        at = gathered(start[of[:, k]], size[of[:, k]])
-        rows.append(np.repeat(np.arange(len(phrases)), size[of[:, k]]))
-        cols.append(gram[at])
-        vals.append(weight[at] / n)
-    key, back = np.unique(np.concatenate(rows) * len(grams) + np.concatenate(cols), return_inverse=True)
-    raw = np.bincount(back, weights=np.concatenate(vals))
-    row, col = key // len(grams), key % len(grams)
+    grams, word, gram, weight = word_vectors(list(place))
+    if n == 1:
+        row, col, raw = word, gram, weight
+    else:
+        start = np.searchsorted(word, np.arange(len(place) + 1))
+        start, size = start[:-1], np.diff(start)
+        of = np.array([[place[w] for w in p] for p in parts], np.int64).reshape(len(phrases), n)
+        rows, cols, vals = [], [], []
+        for k in range(n):
+            at = gathered(start[of[:, k]], size[of[:, k]])
+            rows.append(np.repeat(np.arange(len(phrases)), size[of[:, k]]))
+            cols.append(gram[at])
+            vals.append(weight[at] / n)
+        key, back = np.unique(np.concatenate(rows) * len(grams) + np.concatenate(cols), return_inverse=True)
+        raw = np.bincount(back, weights=np.concatenate(vals))
+        row, col = key // len(grams), key % len(grams)
     norm = np.sqrt(np.bincount(row, weights=raw * raw, minlength=len(phrases)))
     times = np.fromiter(counts.values(), np.float64, len(phrases))
     doc = np.bincount(col, weights=raw * times[row], minlength=len(grams)) / float(len(runs))
@@ -96,13 +89,9 @@ def candidates(tokens: Sequence[str], n: int, words: Words) -> Candidates | None
 class Seeds:
     """The mean of the seeds' vectors, sorted by trigram."""
 
-    def __init__(self, seeds: Sequence[str], words: Words) -> None:
-        total: dict[int, float] = {}
-        for s in seeds:
-            for g, v in zip(*(x.tolist() for x in words.get(s))):
-                total[g] = total.get(g, 0.0) + v / len(seeds)
-        order = sorted(total)
-        self.grams, self.weight = np.array(order, np.int64), np.array([total[g] for g in order])
+    def __init__(self, seeds: Sequence[str]) -> None:
+        self.grams, _, gram, weight = word_vectors(seeds)
+        self.weight = np.bincount(gram, weights=weight / len(seeds), minlength=len(self.grams))
 
 
 def select(c: Candidates, top_n: int, diversity: float, seeds: Seeds | None) -> tuple[list[int], np.ndarray]:
@@ -139,14 +128,54 @@ def select(c: Candidates, top_n: int, diversity: float, seeds: Seeds | None) ->
     return chosen, relevance
 
 
+def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task body over ``(doc_id, tokens)``, sorted by id: ``(doc_id, gram, weight)``, the vector of each document (KEY-5)."""
+    names: dict[int, str] = {}
+
+    def name(gram: int) -> str:
+        text = names.get(gram)
+        if text is None:
+            if len(names) >= CACHED_GRAMS:
+                names.clear()
+            text = names[gram] = chr(gram >> 42) + chr(gram >> 21 & 0x1FFFFF) + chr(gram & 0x1FFFFF)
+        return text
+
+    def vector(counts: Counter, n: int) -> tuple[list[str], np.ndarray]:
+        grams, word, gram, weight = word_vectors(list(counts))
+        times = np.fromiter(counts.values(), np.float64, len(counts))
+        return [name(g) for g in grams.tolist()], np.bincount(gram, weights=times[word] * weight) / n
+
+    def rows(docs: list, kind: pa.DataType) -> pa.RecordBatch:
+        made = [vector(counts, n) for _, counts, n in docs]
+        ids = pa.array([i for i, _, _ in docs], kind).take(pa.array(np.repeat(np.arange(len(docs)), [len(g) for g, _ in made])))
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array([g for grams, _ in made for g in grams], pa.string()), pa.array(np.concatenate([w for _, w in made]))],
+            names=["doc_id", "gram", "weight"])
+
+    docs, kind = [], None
+    for batch in batches:
+        ids, tokens = batch.column("doc_id"), batch.column("tokens")
+        kind = ids.type
+        for i in range(batch.num_rows):
+            doc_id, own = ids[i].as_py(), tokens[i].as_py()
+            if docs and docs[-1][0] == doc_id:
+                docs[-1][1].update(own)
+                continue
+            if len(docs) >= 256:
+                yield rows(docs, kind)
+                docs = []
+            docs.append((doc_id, Counter(own), len(own)))
+    if docs:
+        yield rows(docs, kind)
+
+
 def stored(n: int):
     """Task body over ``(doc_id, tokens)``: the candidates of each document that has any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             ids, tokens = batch.column("doc_id"), batch.column("tokens")
             for a in range(0, batch.num_rows, 256):
-                made = [(i, c) for i in range(a, min(a + 256, batch.num_rows)) if (c := candidates(tokens[i].as_py() or (), n, words))]
+                made = [(i, c) for i in range(a, min(a + 256, batch.num_rows)) if (c := candidates(tokens[i].as_py() or (), n))]
                 cols = list(zip(*(c for _, c in made))) or [()] * 6
                 kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays(
@@ -167,11 +196,10 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[Candidates]:
 def picked(top_n: int, diversity: float, seeds: Sequence[str], n: int | None):
     """Task body: ``(doc_id, rank, phrase, relevance)`` of stored candidates, or of ``tokens`` if ``n`` is given."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        pull = Seeds(seeds, words) if seeds else None
+        pull = Seeds(seeds) if seeds else None
         for batch in batches:
             at, ranks, phrases, scores = [], [], [], []
-            found = rows_of(batch) if n is None else (candidates(t.as_py() or (), n, words) for t in batch.column("tokens"))
+            found = rows_of(batch) if n is None else (candidates(t.as_py() or (), n) for t in batch.column("tokens"))
             for i, c in enumerate(found):
                 if c is None:
                     continue

@@ -1,5 +1,6 @@
 """Keyword extraction: fuzzy ratio, MMR invariants, TF-IDF against a brute-force twin."""
 
+from math import sqrt
 import math
 import random
 from collections import Counter
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from issuelens import fixed
 from issuelens.operators import fuzzy as FZ
 from issuelens.operators import keywords as KW
+from issuelens.functions.vectors import py_char_grams
+from issuelens.operators import mmr
 
 
 def test_fuzzy_fixture_ratios(spark):
@@ -236,3 +239,29 @@ def test_stored_candidates_give_the_same_rows(spark):
         want += [(p.phrase, p.score, r + 1, p["rank"]) for p in picks]
         known += [p.phrase for p in picks]
     assert sorted(KW.expand_keywords(df, words[:3], rounds=3)) == sorted(want)
+
+
+def test_doc_vectors_shuffle_documents_not_trigrams(spark):
+    rows = [(1, ["move", "moved", "aa", "aaaa", "move"]), (2, []), (3, None), (4, ["x"]), (5, ["\U0001f600é", "zz"]), (6, ["aa"]), (6, ["aa"])]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3)
+    out = KW.doc_vectors(df, "tokens")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = {}
+    for doc_id, tokens in rows:
+        for w in tokens or []:
+            counts = Counter(py_char_grams(w))
+            for g, c in counts.items():
+                key = doc_id, g
+                want[key] = want.get(key, 0.0) + c / sqrt(sum(x * x for x in counts.values())) / len(tokens)
+    got = {(r["doc_id"], r["gram"]): r["weight"] for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_word_vectors_at_once_are_those_of_single_words():
+    words = ["move", "aaaa", "x", "\U0001f600é", "remove"]
+    grams, word, gram, weight = mmr.word_vectors(words)
+    for i, w in enumerate(words):
+        counts = Counter((ord(a) << 42) | (ord(b) << 21) | ord(c) for a, b, c in py_char_grams(w))
+        norm = sqrt(sum(x * x for x in counts.values()))
+        mine = word == i
+        assert dict(zip(grams[gram[mine]].tolist(), weight[mine].tolist())) == {g: c / norm for g, c in counts.items()}
