@@ -104,3 +104,16 @@ def test_null_policies(spark):
 def test_combine_keeps_separator(spark):
     df = spark.createDataFrame([(None, None)], "s string, d string")
     assert df.select(T.combine_text(F.col("s"), F.col("d"), " - ")).collect()[0][0] == " - "
+
+
+def test_kept_lemmas_are_the_lemmas_of_the_kept_tags(spark):
+    lexicon = [("moved", "VERB", "move"), ("the", "DET", "the"), ("12", "NOUN", "twelve"), ("odd", None, "odd"), ("nil", "NOUN", None)]
+    toks = ["moved", "the", "12", "13", "!", "x1", "odd", "nil", "é", "", "_", "run", "every"]
+    df = spark.createDataFrame([(toks,), ([],), (None,)], "t array<string>")
+    for lex in (lexicon, [], None):
+        for keep in (["NOUN", "VERB", "ADJ"], ["NUM", "DET"], ["SYM", "NOUN"], ["NUM", "SYM", "NOUN"], ["VERB"]):
+            found = df.select(K.lemmas(K.filter_pos(K.tag_tokens(F.col("t"), lex), keep)).alias("old"),
+                              K.kept_lemmas(F.col("t"), keep, lex).alias("new")).collect()
+            assert all(r["old"] == r["new"] for r in found)
+        both = df.select(K.lemmas(K.tag_tokens(F.col("t"), lex)).alias("old"), K.kept_lemmas(F.col("t"), None, lex).alias("new")).collect()
+        assert all(r["old"] == r["new"] for r in both)
