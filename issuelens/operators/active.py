@@ -25,11 +25,15 @@ from issuelens.operators import strategies as Q
 from issuelens.session import ensure_checkpoint_dir, scratch_table_dir
 
 
+#: What lies between two tokens of a text.
+TOKEN_GAP = r"[^\p{L}\p{N}_']+"
+
+
 def text_pipeline(text_col: str = "text", label_col: str = "label", num_features: int = 1 << 14,
                   max_iter: int = 30, reg: float = 0.01) -> Pipeline:
     """MDL-1 default estimator: tokenise -> stop words -> hashed TF -> IDF -> logistic regression."""
     return Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}\p{N}_']+", toLowercase=True),
+        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=TOKEN_GAP, toLowercase=True),
         StopWordsRemover(inputCol="_tok", outputCol="_tok2"),
         HashingTF(inputCol="_tok2", outputCol="_tf", numFeatures=num_features),
         IDF(inputCol="_tf", outputCol="features"),
@@ -43,7 +47,7 @@ EMBEDDING_SIZE = 64
 
 def count_stages(text_col: str = "text", num_features: int = 1 << 14) -> list:
     """Texts to hashed word counts ``tf``; nothing to fit."""
-    return [RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}\p{N}_']+", toLowercase=True),
+    return [RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=TOKEN_GAP, toLowercase=True),
             StopWordsRemover(inputCol="_tok", outputCol="_tok2"),
             HashingTF(inputCol="_tok2", outputCol="tf", numFeatures=num_features)]
 
