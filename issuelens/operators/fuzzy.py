@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from issuelens import fixed
 from issuelens.functions.vectors import bind
+from issuelens.session import written
 
 #: Bits of the recurrence; pairs of longer strings are compared by the table of the recurrence.
 WORD_BITS = 62
@@ -125,7 +126,7 @@ def fuzzy_pairs(terms: DataFrame, keywords: DataFrame, term_col: str = "phrase",
     most = F.least(F.col("n_term") - F.col("letters"), F.col("start") + F.floor((apart + F.col("k")) / 2).cast("int"))
     probes = probes.withColumns({"least": least, "most": most}).where("least <= most").withColumn("at", F.explode(F.sequence("least", "most")))
     probes = probes.withColumn("part", F.substring("term", F.col("at") + 1, F.col("letters")))
-    probes = probes.select("term", "set_term", "n_term", "n_keyword", "segment", "part", "k").distinct()
+    probes = probes.select("term", "set_term", "n_term", "n_keyword", "segment", "part", "k")
     few = F.bit_count(F.col("set_term").bitwiseXOR(F.col("set_keyword"))) <= F.col("k")
     keys = ["n_term", "n_keyword", "segment", "part"]
     pairs = probes.join(index, keys).where(few).select("term", "keyword").distinct()
@@ -143,5 +144,6 @@ def fuzzy_pairs(terms: DataFrame, keywords: DataFrame, term_col: str = "phrase",
 def fuzzy_anti_join(rows: DataFrame, keywords: DataFrame, term_col: str = "phrase", keyword_col: str = "keyword",
                     cutoff: int = fixed.FUZZ_CUTOFF) -> DataFrame:
     """KEY-9 / JOIN-4: the ``rows`` whose term is like no keyword of the table (a null term is like none)."""
+    rows = written(rows, "fuzzy-rows")  # read three times below; what makes the terms may be long
     near = fuzzy_pairs(rows, keywords, term_col, keyword_col, cutoff).select(F.col("term").alias(term_col)).distinct()
     return rows.join(near, term_col, "left_anti").select(rows.columns)
