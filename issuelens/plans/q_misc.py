@@ -12,7 +12,7 @@ from issuelens.operators import metrics as M
 from issuelens.plans import chains as C
 from issuelens.plans import oracle as O
 from issuelens.plans.catalog import query, round_doubles
-from issuelens.session import ensure_checkpoint_dir
+from issuelens.session import ensure_checkpoint_dir, together, written
 from issuelens.sources import tables
 
 _TRAIN = "md5('lang:' || CAST(doc_id AS VARCHAR)) < '8'"
@@ -127,13 +127,13 @@ def explain_linear(spark, sf):
     weights (``(len(token) % 5 - 2) / 10``, bias 0.1) on word counts; per document the
     margin and ``base + sum(contributions)``, which must agree."""
     d = tables.table(spark, sf, "documents").select("doc_id", "text")
-    toks = d.select("doc_id", F.explode(F.filter(C.K.tokenize_words(F.lower(T.null_text(F.col("text"), "nan"))),
+    toks = together(d, "doc_id").select("doc_id", F.explode(F.filter(C.K.tokenize_words(F.lower(T.null_text(F.col("text"), "nan"))),
                                                  lambda t: t.rlike(r"^\p{L}+$"))).alias("feature"))
     ensure_checkpoint_dir(spark)
     # the counts are read by every step below: tokenise once and go on from the written table
     x = toks.groupBy("doc_id", "feature").agg(F.count(F.lit(1)).cast("double").alias("value")).checkpoint()
-    weights = x.select("feature").distinct().select(
-        "feature", ((F.length("feature") % 5 - 2) / 10.0).alias("weight"))
+    weights = written(x.select("feature").distinct().select(
+        "feature", ((F.length("feature") % 5 - 2) / 10.0).alias("weight")), "weights")
     contrib, base = X.explain_linear(x, weights, 0.1, d.select("doc_id"))
     per_doc = contrib.groupBy("doc_id").agg(F.sum("contribution").alias("s"), F.count(F.lit(1)).alias("n_terms"))
     margins = X.linear_margin(x, weights, 0.1, d.select("doc_id"))
