@@ -12,12 +12,12 @@ The profile has (languages x distinct trigrams) rows; the planner sizes its join
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from issuelens.functions.vectors import bind
-from issuelens.session import ensure_checkpoint_dir
+from issuelens.session import ensure_checkpoint_dir, written
 
 
 def letters_only(text: Column) -> Column:
@@ -26,14 +26,36 @@ def letters_only(text: Column) -> Column:
     return F.trim(t)
 
 
-def doc_trigrams(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, gram)`` occurrences of 3-character substrings."""
-    # An array of characters first: a substring of a long text counts its way from the start each time.
-    chars = F.regexp_extract_all(letters_only(F.col(text_col)), F.lit("(?s)."), F.lit(0))
-    grams = bind(chars, lambda c: F.when(F.size(c) >= 3, F.transform(
-        F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(c[i], c[i + 1], c[i + 2]))).otherwise(
-        F.array().cast("array<string>")))
-    return df.select(id_col, F.explode(grams).alias("gram"))
+#: Rows of trigram counts that a task holds at a time.
+COUNTS_AT_ONCE = 1 << 20
+
+
+def trigram_counts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``(doc_id, gram long, cnt long)``: the distinct 3-character substrings of each row, counted in the row's task.
+
+    A trigram is a number, 21 bits for each character.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, grams, counts, held = [], [], [], 0
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                c = np.frombuffer((text or "").encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+                gram, cnt = np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:], return_counts=True)
+                rows.append(np.full(len(gram), i))
+                grams.append(gram)
+                counts.append(cnt)
+                held += len(gram)
+                if held >= COUNTS_AT_ONCE or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(grams)),
+                                                      pa.array(np.concatenate(counts))], names=[id_col, "gram", "cnt"])
+                    rows, grams, counts, held = [], [], [], 0
+
+    return df.select(id_col, letters_only(F.col(text_col)).alias("_letters")).mapInArrow(run, f"`{id_col}` {kind}, gram long, cnt long")
 
 
 def train_profile(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, dict[str, float]]:
@@ -42,9 +64,9 @@ def train_profile(df: DataFrame, text_col: str = "text", lang_col: str = "lang")
     ``delta = log p - unseen = ln(cnt + 1)``. The unseen map has one entry per
     language (a bounded, tiny result brought to the driver).
     """
-    occ = doc_trigrams(df, text_col, lang_col)  # the language goes through the explode, so nothing is joined back
+    occ = trigram_counts(df, text_col, lang_col)  # the language goes with the counts, so nothing is joined back
     ensure_checkpoint_dir(df.sparkSession)
-    counts = occ.groupBy(lang_col, "gram").agg(F.count(F.lit(1)).alias("cnt")).checkpoint()
+    counts = occ.groupBy(lang_col, "gram").agg(F.sum("cnt").alias("cnt")).checkpoint()
     v = counts.select("gram").distinct().count()
     totals = counts.groupBy(lang_col).agg(F.sum("cnt").alias("total")).collect()
     unseen = {r[lang_col]: -math.log(r["total"] + v) for r in totals}
@@ -57,16 +79,19 @@ def detect_language(df: DataFrame, profile: DataFrame, unseen: dict[str, float],
     """``(doc_id, detected)``; a document without a trigram gets null (treated as not English).
 
     ``score(doc, lang) = n_grams * unseen_lang + sum(cnt * delta)``. The
-    per-language base terms come from the bounded ``unseen`` literal inside
-    each document row (no join); only seen grams are joined to the profile.
+    per-language base terms come from the bounded ``unseen`` literal. The
+    profile is brought to one row a trigram with a column for each language, so
+    a document's distinct trigrams are joined once, and is written first, so
+    that the planner knows its size.
     """
-    occ = doc_trigrams(df, text_col, id_col).groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("cnt"))
-    n = occ.groupBy(id_col).agg(F.sum("cnt").alias("n"))
-    langs = F.array(*[F.struct(F.lit(k).alias(lang_col), F.lit(v).alias("unseen")) for k, v in sorted(unseen.items())])
-    base = n.select(id_col, "n", F.inline(langs))
-    part = occ.join(profile, "gram").groupBy(id_col, lang_col).agg(
-        F.sum(F.col("cnt") * F.col("delta")).alias("s"))
-    scored = base.join(part, [id_col, lang_col], "left").select(
-        id_col, lang_col, F.round(F.col("n") * F.col("unseen") + F.coalesce(F.col("s"), F.lit(0.0)), 9).alias("score"))
-    best = scored.groupBy(id_col).agg(F.min_by(lang_col, F.struct(-F.col("score"), F.col(lang_col))).alias("detected"))
+    langs = sorted(unseen, key=lambda k: (k is not None, k))  # a null language has a base and meets no profile row
+    delta = [F.max(F.when(F.col(lang_col) == F.lit(k), F.col("delta"))).alias(f"_{i}") for i, k in enumerate(langs)]
+    if not langs:
+        return df.select(id_col, F.lit(None).cast("string").alias("detected"))
+    wide = written(profile.groupBy("gram").agg(*delta), "profile")
+    found = trigram_counts(df, text_col, id_col).join(wide, "gram", "left")
+    sums = found.groupBy(id_col).agg(F.sum("cnt").alias("n"), *[F.sum(F.col("cnt") * F.col(f"_{i}")).alias(f"_{i}") for i in range(len(langs))])
+    scores = F.array(*[F.struct((-F.round(F.col("n") * F.lit(unseen[k]) + F.coalesce(F.col(f"_{i}"), F.lit(0.0)), 9)).alias("cost"),
+                                F.lit(k).cast("string").alias("lang")) for i, k in enumerate(langs)])
+    best = sums.select(id_col, F.array_min(scores)["lang"].alias("detected"))
     return df.select(id_col).join(best, id_col, "left")
