@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -55,6 +56,12 @@ KIND[ord("a"):ord("z") + 1] = KIND[ord("A"):ord("Z") + 1] = 1
 SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 KIND[[ord(c) for c in SIGNS]] = 2
 
+#: Runs that are one word of the vocabulary's pre-tokenizer and in its normal form but for case: Latin letters, none
+#: that takes a combining mark when it is lower-cased (U+0130). Its model is given their bytes as these characters.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(PRINTED)))}
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -89,6 +96,7 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
@@ -100,7 +108,7 @@ class WordTokens:
 
     def add(self, hashes: list[int], texts: list[str]) -> None:
         for a in range(0, len(texts), 10_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[a:a + 10_000], add_special_tokens=False)]
+            found = self.found(texts[a:a + 10_000])
             sizes = np.array([len(x) for x in found], np.int64)
             n, total = len(self.index), int(sizes.sum())
             while n + len(found) > len(self.first):
@@ -113,6 +121,23 @@ class WordTokens:
             self.used += total
             self.index.update(zip(hashes[a:a + 10_000], range(n, n + len(found))))
 
+    def found(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text. Letters alone go straight to the model, which costs less than half."""
+        ids: list[list[int]] = []
+        rest = []
+        for i, text in enumerate(texts):
+            if LETTERS.fullmatch(text):
+                text = text.lower()
+                if not text.isascii():
+                    text = text.encode().decode("latin-1").translate(BYTE_CHARS)
+                ids.append([t.id for t in self.model.tokenize(text)])
+            else:
+                ids.append([])
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            ids[i] = e.ids
+        return ids
+
     def encode(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of ids of each word)."""
         if not len(starts):

@@ -28,6 +28,26 @@ def test_runs_give_the_tokens_of_the_whole_text(text):
     assert got == whole(text)[:-1]
 
 
+def test_letters_go_to_the_model_alone(monkeypatch):
+    """Every Latin letter, by itself and among others, has the tokenizer's ids without the costly whole path."""
+    letters = [c for c in map(chr, range(0x180)) if c.isalpha() and c not in "İªµº"]
+    texts = [*letters, "".join(letters), *(f"{a}re{a}x" for a in letters), "THE", "größe", "ÉTÉ"]
+    other = ["İ", "µ", "e\u0301", "'re", "a1", "日本", "don't"]
+    want = [whole(t)[:-1] for t in texts + other]
+    words = packing.WordTokens(PATH)
+    seen = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return TOKENIZER.encode_batch_fast(texts, **options)
+    monkeypatch.setattr(words, "tokenizer", Counting())
+    words.add(list(range(len(want))), texts + other)
+    ends = np.cumsum(words.count[:len(want)])
+    assert [words.ids[b - n:b].tolist() for b, n in zip(ends, words.count)] == want
+    assert seen == other
+
+
 def check(rows, docs, capacity):
     """Round trip: the pieces are the documents' ids, and the sequences have no gap and no overflow."""
     want = []
