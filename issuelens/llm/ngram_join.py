@@ -5,10 +5,12 @@ Plan, all steps exact:
 1. Every row gets its set of distinct shingles as 64-bit hashes and a
    fingerprint of the set. Rows with one fingerprint are one *class*, so copies
    are never paired.
-2. Shingles are counted over all classes in hash-range blocks (sorted
-   differences, packed), so that one shingle costs a few shuffled bytes. Two
-   sets with Jaccard t share at least ``t * n`` shingles of either, hence a
-   class with fewer shared shingles has no link and leaves.
+2. Shingles are counted in hash-range blocks (sorted differences, packed, an
+   owner being a small number in its block), so that one shingle costs a few
+   shuffled bytes, however many ranges there are. The counts go back to the
+   blocks, whose classes are listed once. Two sets with Jaccard t share at
+   least ``t * n`` shingles of either, hence a class with fewer shingles that
+   more rows have than its own has no link and leaves.
 3. Those that stay order their shingles globally in three ways: by counted
    frequency, ties by hash; by frequency, ties by another hash; by a hash
    alone. Linked sets share a token of their prefixes under *every* order; a
@@ -31,11 +33,13 @@ read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +50,12 @@ from issuelens.llm.textbytes import LOWER, U64, Chunk, PrefixHash, mix, text_chu
 
 SHINGLE_WORDS = 5
 PERCENT = 75
-#: Hash ranges of the shingle count, and shingles that a task gathers before it packs them.
+#: Hash ranges of the shingle count, shingles that a task gathers before it packs them, and the bits of their hashes.
 RANGES = 64
 GATHER = 2_000_000
+COUNT_BITS = 40
+BLOCKS = "part int, block long, wide int, tokens binary, owner binary, cls binary, n binary"
+COUNTS = "block long, owner binary, df binary, cls binary, n binary"
 #: Counters of the frequency sketch that orders the tokens, and the parts it is summed in.
 SKETCH_BITS = 22
 SKETCH_BLOCKS = 64
@@ -106,48 +113,64 @@ def class_rows(size: int):
     return run
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+    return zstandard.compress(np.ascontiguousarray(planes.T).tobytes(), 1)
+
+
+def loosen(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def pack(values: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as differences, byte plane by byte plane, compressed."""
-    gaps = np.diff(values, prepend=values[:1] * U64(0))
-    return zstandard.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    """Sorted numbers as differences."""
+    return squeeze(np.diff(values, prepend=values.dtype.type(0)))
 
 
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel())
+def unpack(data: bytes, kind: type = np.uint64) -> np.ndarray:
+    return np.cumsum(loosen(data, kind), dtype=kind)
+
+
+def block_name(task: int, number: int, names: np.ndarray) -> int:
+    """Names the rows that a task gathered, by task, number and content."""
+    key = np.array([task, number, zlib.crc32(names.tobytes())], np.uint64)
+    return int(PrefixHash(key).of(np.array([0]), np.array([3])).view(np.int64)[0])
 
 
 def shingle_blocks(size: int, ranges: int):
-    """Task body: the shingles of a task by hash range, ``(part, tokens, owner, cls)``.
+    """Task body: the shingles of the rows gathered at a time, by hash range, ``BLOCKS``.
 
-    Hashes are kept to 48 bits here: two shingles that fall together only make
-    the count larger, which keeps more classes, never fewer.
+    A shingle's owner is a number among the gathered rows, a few bits; the
+    classes of all of them go once, in a row of their own, not with every range.
+
+    Hashes are kept to ``COUNT_BITS`` here: two shingles that fall together only
+    make the count larger, which keeps more classes, never fewer.
     """
-    def flush(held: list) -> Iterator[pa.RecordBatch]:
+    def flush(held: list, number: int) -> Iterator[pa.RecordBatch]:
         tokens = np.concatenate([t for t, _, _ in held])
         sizes = np.concatenate([s for _, s, _ in held])
         names = np.concatenate([c for _, _, c in held])
-        owner = np.repeat(np.arange(len(names), dtype=np.uint32), sizes)
+        task = TaskContext.get()
+        block = block_name(task.partitionId() if task else 0, number, names)
         once = np.zeros(len(names), bool)  # copies in one block count once
         once[np.unique(names, return_index=True)[1]] = True
+        owner = np.repeat(np.arange(len(names), dtype=np.uint16 if len(names) < 1 << 16 else np.uint32), sizes)
         keep = once[owner]
-        tokens, owner = tokens[keep] >> U64(16), owner[keep]
+        tokens, owner = tokens[keep] >> U64(64 - COUNT_BITS), owner[keep]
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
-        bounds = np.searchsorted(tokens, (np.arange(ranges + 1, dtype=np.uint64) << U64(48)) // U64(ranges))
-        for part in range(ranges):
-            a, b = bounds[part], bounds[part + 1]
-            if a < b:
-                ids, local = np.unique(owner[a:b], return_inverse=True)
-                kind = np.uint16 if len(ids) < 1 << 16 else np.uint32
-                planes = np.ascontiguousarray(local.astype(kind).view(np.uint8).reshape(b - a, -1).T).tobytes()
-                yield pa.record_batch({
-                    "part": pa.array([part], pa.int32()), "tokens": pa.array([pack(tokens[a:b])], pa.binary()),
-                    "owner": pa.array([zstandard.compress(planes, 1)], pa.binary()),
-                    "cls": pa.array([names[ids].tobytes()], pa.binary())})
+        bounds = np.searchsorted(tokens, (np.arange(ranges + 1, dtype=np.uint64) << U64(COUNT_BITS)) // U64(ranges))
+        parts = np.flatnonzero(np.diff(bounds))
+        spans = [slice(bounds[part], bounds[part + 1]) for part in parts]
+        yield block_rows(
+            part=[block % ranges, *parts.tolist()], block=[block] * (len(parts) + 1), wide=[owner.itemsize] * (len(parts) + 1),
+            tokens=[None, *(pack(tokens[s]) for s in spans)], owner=[None, *(squeeze(owner[s]) for s in spans)],
+            cls=[names.tobytes(), *[None] * len(parts)], n=[sizes.tobytes(), *[None] * len(parts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
+        held, count, number = [], 0, 0
         for batch in batches:
             for chunk in text_chunks(batch.column("text")):
                 tokens, sizes = shingle_sets(chunk, size)
@@ -155,42 +178,95 @@ def shingle_blocks(size: int, ranges: int):
                     held.append((tokens, sizes, fingerprints(tokens, sizes)))
                     count += len(tokens)
                 if count >= GATHER:
-                    yield from flush(held)
-                    held, count = [], 0
+                    yield from flush(held, number)
+                    held, count, number = [], 0, number + 1
         if held:
-            yield from flush(held)
+            yield from flush(held, number)
     return run
 
 
+def block_rows(part: list | None = None, **columns: list) -> pa.RecordBatch:
+    kinds = {"block": pa.int64(), "wide": pa.int32()}
+    arrays = {k: pa.array(v, kinds.get(k, pa.binary())) for k, v in columns.items()}
+    return pa.record_batch(({"part": pa.array(part, pa.int32())} if part else {}) | arrays)
+
+
 def shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task body over blocks: ``(cls, shared)``, the shingles of the range that another class has too.
+    """Task body over blocks: how many rows have each shingle, for those that two have or more, ``COUNTS``.
 
     The blocks of one partition hold whole hash ranges, so a task has a bounded
-    share of all shingles (the number of ranges grows with the shuffle).
+    share of all shingles (the number of ranges grows with the shuffle). Rows
+    with the classes of a block pass through.
     """
-    tokens, owner = [], []
+    tokens, owner, blocks = [], [], []
     for batch in batches:
-        for t, o, c in zip(*(batch.column(k).to_pylist() for k in ("tokens", "owner", "cls"))):
-            t, c = unpack(t), np.frombuffer(c, np.uint64)
-            planes = np.frombuffer(zstandard.decompress(o), np.uint8).reshape(-1, len(t))
-            kind = np.uint16 if len(planes) == 2 else np.uint32
-            tokens.append(t)
-            owner.append(c[np.ascontiguousarray(planes.T).view(kind).ravel()])
+        for block, wide, t, o, c, n in zip(*(batch.column(k).to_pylist() for k in ("block", "wide", "tokens", "owner", "cls", "n"))):
+            if c is not None:
+                yield block_rows(block=[block], owner=[None], df=[None], cls=[c], n=[n])
+            else:
+                tokens.append(unpack(t))
+                owner.append(loosen(o, np.uint16 if wide == 2 else np.uint32))
+                blocks.append(block)
     if not tokens:
         return
-    tokens, owner = np.concatenate(tokens), np.concatenate(owner)
+    ends = np.cumsum([len(t) for t in tokens])
+    tokens = np.concatenate(tokens)
     order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    new = np.ones(len(tokens), bool)
-    new[1:] = tokens[1:] != tokens[:-1]
-    group = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    high, low = np.maximum.reduceat(owner, first), np.minimum.reduceat(owner, first)
-    twice = (high != low)[group]
-    names, counts = np.unique(owner[twice], return_counts=True)
-    for a in range(0, len(names), 100_000):
-        yield pa.record_batch({"cls": pa.array(names[a:a + 100_000].view(np.int64)),
-                               "shared": pa.array(counts[a:a + 100_000].astype(np.int64))})
+    tokens = tokens[order]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    counts = np.diff(first, append=len(tokens)).astype(np.uint32)
+    df = np.empty(len(tokens), np.uint32)
+    df[order] = np.repeat(counts, counts)
+    held = []
+    for block, end, who in zip(blocks, ends.tolist(), owner):
+        own = df[end - len(who):end]
+        at = np.flatnonzero(own > 1)
+        if len(at):
+            at = at[np.argsort(who[at], kind="stable")]
+            held.append((block, pack(who[at].astype(np.uint32)), squeeze(own[at])))
+    for a in range(0, len(held), 1000):
+        name, who, own = zip(*held[a:a + 1000])
+        yield block_rows(block=name, owner=who, df=own, cls=[None] * len(name), n=[None] * len(name))
+
+
+def reaches(percent: int):
+    """Task body over ``COUNTS``, whole blocks sorted by name: ``(cls, reach)`` of each class of a block.
+
+    A class needs ``percent`` of its ``n`` shingles in another one. As many of
+    them are in ``reach`` rows or more, the class's own rows included (one for
+    each block that has it). Classes that reach no second row are left out.
+    """
+    def reach(classes: tuple[bytes, bytes] | None, owner: list, df: list) -> Iterator[pa.RecordBatch]:
+        if classes is None:
+            raise RuntimeError("a task that was run again read its rows in another order: checkpoint the documents first")
+        if not owner:
+            return
+        cls, n = np.frombuffer(classes[0], np.int64), np.frombuffer(classes[1], np.int64)
+        owner, df = np.concatenate(owner), np.concatenate(df)
+        need = np.maximum(-(-n * percent // 100), 1)
+        have = np.bincount(owner, minlength=len(n))
+        enough = have >= need
+        owner, df = owner[enough[owner]], df[enough[owner]]
+        df = df[np.lexsort((df, owner))]
+        at = np.cumsum(have[enough]) - need[enough]  # the largest last
+        yield pa.record_batch({"cls": pa.array(cls[enough]), "reach": pa.array(df[at].astype(np.int64))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, classes, owner, df = None, None, [], []
+        for batch in batches:
+            for block, o, d, c, n in zip(*(batch.column(k).to_pylist() for k in ("block", "owner", "df", "cls", "n"))):
+                if block != last:
+                    if last is not None:
+                        yield from reach(classes, owner, df)
+                    last, classes, owner, df = block, None, [], []
+                if c is not None:
+                    classes = c, n
+                else:
+                    owner.append(unpack(o, np.uint32))
+                    df.append(loosen(d, np.uint32))
+        if last is not None:
+            yield from reach(classes, owner, df)
+    return run
 
 
 def wanted_sets(size: int, bitmap: np.ndarray):
@@ -358,12 +434,11 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE_WOR
     spark = docs.sparkSession
     rows = cut(docs.mapInArrow(class_rows(size), "doc_id long, row long, cls long, n long"))
     ranges = max(RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = docs.select("text").mapInArrow(shingle_blocks(size, ranges),
-                                            "part int, tokens binary, owner binary, cls binary")
-    shared = (blocks.repartition(ranges, "part").mapInArrow(shared_counts, "cls long, shared long")
-              .groupBy("cls").agg(F.sum("shared").alias("shared")))
-    sizes = rows.where("n > 0").groupBy("cls").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
-    wanted = cut(sizes.join(shared, "cls").where(100 * F.col("shared") >= percent * F.col("n")).select("cls"))
+    blocks = docs.select("text").mapInArrow(shingle_blocks(size, ranges), BLOCKS)
+    counts = blocks.repartition(ranges, "part").mapInArrow(shared_counts, COUNTS)
+    found = (counts.repartition("block").sortWithinPartitions("block").mapInArrow(reaches(percent), "cls long, reach long")
+             .groupBy("cls").agg(F.max("reach").alias("reach"), F.count("*").alias("own")))
+    wanted = cut(found.where("reach > own").select("cls"))
     bitmap = filter_bits(wanted, F.col("cls"), FILTER_BITS)
     sets = (docs.select("text").mapInArrow(wanted_sets(size, bitmap), "cls long, n long, tokens array<long>")
             .join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))

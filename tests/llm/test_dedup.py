@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,46 @@ def test_ngram_join_is_exact(spark, docs):
     assert sorted(map(tuple, ngram_join.ngram_join(docs).collect())) == sorted(near_groups(rows))
 
 
+def text_batches(texts, rows):
+    return [pa.record_batch({"text": pa.array(texts[i:i + rows], pa.string())}) for i in range(0, len(texts), rows)]
+
+
+def test_shingle_count_costs_the_same_in_many_ranges():
+    """Classes are listed once for the rows gathered, not again with every range."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(600)) for _ in range(200)]
+    sizes = [sum(b.nbytes for b in ngram_join.shingle_blocks(5, ranges)(iter(text_batches(texts, 50)))) for ranges in (8, 256)]
+    assert sizes[1] < 1.2 * sizes[0]
+
+
+@pytest.mark.parametrize("rows,ranges", [(7, 3), (1, 16), (100, 1)])
+def test_shingle_count_keeps_the_classes_that_may_link(monkeypatch, rows, ranges):
+    """Copies of a class in several blocks are no other class; near copies, also of copied texts, are."""
+    monkeypatch.setattr(ngram_join, "GATHER", 1)
+    rng = random.Random(rows)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base = [words(rng.randint(1, 60)) for _ in range(30)]
+    texts = [" ".join(b) for b in base] + [" ".join(b) for b in base[:10] for _ in range(3)]
+    texts += [" ".join(b + words(k)) for b in base[5:25] for k in (1, 4, 12)] + ["", None, "x"]
+    rng.shuffle(texts)
+    blocks = ngram_join.shingle_blocks(5, ranges)(iter(text_batches(texts, rows)))
+    table = pa.Table.from_batches(blocks)
+    parts = [table.filter(pa.compute.equal(table["part"], k)).to_batches() for k in range(ranges)]
+    counts = pa.Table.from_batches([b for p in parts for b in ngram_join.shared_counts(iter(p))]).sort_by("block")
+    got = Counter()
+    for b in ngram_join.reaches(75)(iter(counts.to_batches(max_chunksize=4))):
+        for cls, reach in zip(b.column("cls").to_pylist(), b.column("reach").to_pylist()):
+            got[cls, reach] += 1
+    kept = {cls for (cls, reach), own in got.items() if reach > own}
+    sets = {shingles(t) for t in texts} - {frozenset()}
+    names = {}
+    for chunk in ngram_join.text_chunks(pa.array(texts)):
+        for t, c in zip(texts, ngram_join.fingerprints(*ngram_join.shingle_sets(chunk)).view(np.int64).tolist()):
+            names[shingles(t)] = c
+    want = {names[s] for s in sets if 100 * sum(any(x in o for o in sets if o != s) for x in s) >= 75 * len(s)}
+    assert kept == want and 10 < len(want) < len(sets)
+
+
 def test_ngram_join_of_near_copies(spark):
     """Chains of near copies around the threshold, shared passages, and short texts."""
     rng = random.Random(5)
