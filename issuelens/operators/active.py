@@ -28,7 +28,7 @@ from issuelens import fixed
 from issuelens.operators import metrics as M
 from issuelens.operators import sampling as S
 from issuelens.operators import strategies as Q
-from issuelens.session import ensure_checkpoint_dir, scratch_table_dir
+from issuelens.session import ensure_checkpoint_dir, scratch_table_dir, written
 
 
 #: What lies between two tokens of a text.
@@ -99,6 +99,12 @@ def train_classifier(train: DataFrame, estimator: Pipeline | None = None, label_
     return est.fit(train.withColumn(label_col, F.col(label_col).cast("double")))
 
 
+def train_on_counts(train: DataFrame, text_col: str = "text", label_col: str = "label") -> PipelineModel:
+    """MDL-1: ``text_pipeline`` fitted with the words counted once, and not by every pass of the fit before its rows are kept."""
+    counts = written(text_features(train, text_col).select(label_col, "tf"), "counts")
+    return PipelineModel([*count_stages(text_col), *train_classifier(counts, counts_pipeline(label_col), label_col).stages])
+
+
 def predict(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
     """MDL-2 / MDL-3: ``prediction int`` and class probabilities ``p array<double>``."""
     out = model.transform(df)

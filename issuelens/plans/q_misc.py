@@ -165,5 +165,5 @@ def explain_lime(spark, sf):
     """XPL-2: LIME-style token weights for every document (the operator's 50 masked
     variants each) under a text classifier trained on the labelled documents."""
     from issuelens.operators import active as A
-    model = A.train_classifier(tables.labelled(spark, sf))
+    model = A.train_on_counts(tables.labelled(spark, sf))
     return round_doubles(X.explain_lime(model, tables.table(spark, sf, "documents").select("doc_id", "text")))
